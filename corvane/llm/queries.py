@@ -10,10 +10,20 @@ from pyspark.sql import functions as F
 from .common import latest, load
 from .neardup import all_pairs, groups, near_duplicates
 from .splitting import split_oversized
+from .vectors import most_similar, similar_pairs
 
 LIMIT, OVERLAP = 4000, 200
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = similar_pairs(load(spark, d, "vectors"), "vec_no", "vector", "indexed_at", threshold=0.92)
+    return all_pairs(links, members).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return most_similar(load(spark, d, "vectors"), "vec_no", "vector", "indexed_at", k=10)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_oversized(load(spark, d, "chunk"), "chunk_no", "content", LIMIT, OVERLAP, only_oversized=True)
     return pieces.where("n_pieces > 1 and chunk_no is not null").select("chunk_no").distinct()
@@ -37,11 +47,16 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p6_found, p6_groups)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p6_found, p6_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": """
+            WITH once AS (SELECT vec_no, arg_max(vector, indexed_at) AS v FROM vectors WHERE vector IS NOT NULL GROUP BY 1),
+            u AS (SELECT vec_no, len(v) AS n, v, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS l FROM once)
+            SELECT x.vec_no AS vec_a, y.vec_no AS vec_b FROM u x JOIN u y ON x.n = y.n AND x.vec_no < y.vec_no
+            WHERE x.l > 0 AND y.l > 0 AND list_dot_product(x.v::DOUBLE[], y.v::DOUBLE[]) >= 0.92 * x.l * y.l""",
         "p4_found": "SELECT DISTINCT chunk_no FROM chunk WHERE length(content) > 4000 AND chunk_no IS NOT NULL",
         "p6_found": """
             WITH once AS (SELECT chunk_no, arg_max(content, indexed_at) AS content FROM chunk WHERE chunk_no IS NOT NULL GROUP BY 1),
