@@ -140,7 +140,7 @@ def near_duplicates(
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), (F.col(when) if when else F.lit(0)).alias("at"))
     source = source.where(F.col("key").isNotNull() & F.col("text").isNotNull())
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sign(batches: Iterator[pa.RecordBatch], sets: bool) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 batch = whole.slice(start, 1024)
@@ -152,55 +152,46 @@ def near_duplicates(
                 keep = np.flatnonzero(sizes >= max(1, least))
                 if not len(keep):
                     continue
-                signed = signatures(doc, element, count, len(texts), slots)[keep]
                 ends = np.cumsum(sizes)
                 with np.errstate(over="ignore"):
-                    mixed = mix(element ^ mix(count.astype(U64)))
-                    total = np.concatenate([[U64(0)], np.cumsum(mixed)])
+                    total = np.concatenate([[U64(0)], np.cumsum(mix(element ^ mix(count.astype(U64))))])
                     same = mix(total[ends] - total[ends - sizes])[keep]
-                    value = np.zeros((len(keep), bands), U64)
-                    grouped = signed.reshape(len(keep), bands, rows)
-                    for r in range(rows):
-                        value = mix(value * U64(31) + grouped[:, :, r])
-                    # The lowest byte of the band value holds the band's number: one integer key.
-                    value = (value & ~U64(255)) | np.arange(bands, dtype=U64)[None, :]
-                short = (element >> U64(16)).astype(np.uint32)
-                packed = []
-                for i in keep:
-                    part = slice(ends[i] - sizes[i], ends[i])
-                    kept = [short[part].tobytes()] + ([count[part].astype(np.uint32).tobytes()] if weighted else [])
-                    packed.append(b"".join(kept))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(keep)),
-                        batch.column(2).take(pa.array(keep)),
-                        pa.array(same.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, value.size + 1, bands, dtype=np.int32)), pa.array(value.view(np.int64).ravel())),
-                        pa.array(packed, pa.binary()),
-                    ],
-                    ["key", "at", "same", "bands", "elements"],
-                )
-
+                    columns = [batch.column(0).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array(same.view(np.int64))]
+                    if sets:
+                        short = (element >> U64(16)).astype(np.uint32)
+                        packed = []
+                        for i in keep:
+                            part = slice(ends[i] - sizes[i], ends[i])
+                            packed.append(short[part].tobytes() + (count[part].astype(np.uint32).tobytes() if weighted else b""))
+                        columns.append(pa.array(packed, pa.binary()))
+                    else:
+                        value = np.zeros((len(keep), bands), U64)
+                        grouped = signatures(doc, element, count, len(texts), slots)[keep].reshape(len(keep), bands, rows)
+                        for r in range(rows):
+                            value = mix(value * U64(31) + grouped[:, :, r])
+                        short = (value >> U64(32)).astype(np.uint32).view(np.int32).ravel()
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, value.size + 1, bands, dtype=np.int32)), pa.array(short)))
+                yield pa.RecordBatch.from_arrays(columns, ["key", "at", "same", "elements" if sets else "bands"])
+
+    # Texts are read twice, once for signatures and once for the sets of candidates: that costs
+    # less than to keep all sets in between.
     at_type = source.schema["at"].dataType.simpleString()
-    signed = cut_lineage(source.mapInArrow(sign, f"key long, at {at_type}, same long, bands array<long>, elements binary"))
-    if when:
-        per_key = signed.groupBy("key").agg(F.max_by("same", "at").alias("same"))
-    else:
-        per_key = signed.select("key", "same").distinct()
-    reps = per_key.groupBy("same").agg(F.min("key").alias("rep"))
-    members = per_key.join(reps, "same").select("key", "rep")
-
-    # One row per representative: only these are banded and verified.
-    distinct_sets = reps.select(F.col("rep").alias("key"), "same").join(signed.select("key", "same", "bands", "elements"), ["key", "same"]).dropDuplicates(["key"])
-    distinct_sets = cut_lineage(distinct_sets)
-    banded = distinct_sets.select("key", F.explode("bands").alias("band"))
+    signed = source.mapInArrow(lambda b: sign(b, False), f"key long, at {at_type}, same long, bands array<int>")
+    signed = cut_lineage(signed.groupBy("key").agg(F.max_by(F.struct("same", "bands"), "at").alias("x")).select("key", "x.*"))
+    # The copy with the smallest key stands for its group; only representatives are banded.
+    reps = cut_lineage(signed.groupBy("same").agg(F.min(F.struct("key", "bands")).alias("x")).select("same", "x.*"))
+    members = signed.select("key", "same").join(reps.select(F.col("key").alias("rep"), "same"), "same").select("key", "rep")
+    banded = reps.select("key", F.posexplode("bands")).select("key", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col")).alias("band"))
     pairs = (
         banded.alias("x")
         .join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")))
         .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         .distinct()
     )
-    sets = distinct_sets.select("key", "elements")
+    pairs = cut_lineage(pairs)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "same"), "key")
+    sets = source.mapInArrow(lambda b: sign(b, True), f"key long, at {at_type}, same long, elements binary")
+    sets = sets.select("key", "same", "elements").join(asked, ["key", "same"], "left_semi").dropDuplicates(["key"]).select("key", "elements")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
