@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import latest, load
+from .common import load
+from .credentials import credentials, redacted
 from .neardup import all_pairs, groups, near_duplicates
 from .splitting import split_oversized
+from .truncation import rates, truncated
 from .vectors import most_similar, similar_pairs
 
 LIMIT, OVERLAP = 4000, 200
@@ -24,6 +26,14 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return most_similar(load(spark, d, "vectors"), "vec_no", "vector", "indexed_at", k=10)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return credentials(load(spark, d, "chunk"), "chunk_no", "content", "indexed_at").select("chunk_no", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redacted(load(spark, d, "chunk").dropDuplicates(["chunk_no"]), "chunk_no", "content")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = split_oversized(load(spark, d, "chunk"), "chunk_no", "content", LIMIT, OVERLAP, only_oversized=True)
     return pieces.where("n_pieces > 1 and chunk_no is not null").select("chunk_no").distinct()
@@ -46,8 +56,20 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*_p6(spark, d)).select(F.col("key").alias("chunk_no"), "group_id")
 
 
+def _p10(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(load(spark, d, "documents"), "doc_id", "text", "source")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d).where("cut").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(_p10(spark, d), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_pieces, p6_found, p6_groups)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p6_found, p6_groups, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
