@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import load
 from .credentials import credentials, redacted
+from .handwritten import not_handwritten
 from .neardup import all_pairs, groups, near_duplicates
 from .splitting import split_oversized
 from .truncation import rates, truncated
@@ -44,6 +45,20 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(chunk, "chunk_no", "content", LIMIT, OVERLAP)
 
 
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    # The list of libraries has a fixed size of 30 rows.
+    libraries = [r[0] for r in load(spark, d, "lib_item").select("lib_name").limit(10_000).collect()]
+    return not_handwritten(load(spark, d, "source_file"), "file_id", "filename", "content", libraries)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).where("reason is not null").select("file_id").distinct()
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).groupBy(F.coalesce("reason", F.lit("handwritten")).alias("reason")).agg(F.count("*").alias("files"))
+
+
 def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates(load(spark, d, "chunk"), "chunk_no", "content", "indexed_at", width=3, threshold=0.7, least=40, weighted=False)
 
@@ -69,7 +84,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p6_found, p6_groups, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_reasons, p6_found, p6_groups, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
