@@ -55,6 +55,8 @@ class Grammar:
         for name, k in self.names.items():
             if not self.alts[k]:
                 raise ValueError(f"no rule for {name}")
+        #: By bracket, the symbols that rules put inside of it.
+        self.inside: list[list[int]] = [sorted({s[2] for x in self.alts for a in x for s in a if s[0] == "g" and s[1] == b}) for b in range(FIRST_KIND)]
         self._prepare()
 
     def _named(self, name: str) -> int:
@@ -193,7 +195,7 @@ class Recogniser:
     """Recognises sequences of tokens whose groups are interned here."""
 
     #: Beyond so many groups all memory of earlier files is dropped, between two files.
-    KEPT = 150_000
+    KEPT = 400_000
 
     def __init__(self, grammar: Grammar) -> None:
         self.grammar = grammar
@@ -204,16 +206,43 @@ class Recogniser:
         self.kinds: list[int] = []
         self.contents: list[tuple] = []
         self.known: dict[tuple, bool] = {}
+        self.classes: dict[tuple, int] = {}
+        #: Groups that match nothing that a rule puts into such a bracket.
+        self.hopeless: set[int] = set()
 
     def group(self, bracket: int, content: tuple) -> int:
+        """The number of a group. Contents that match the same symbols of the grammar can't be told
+        apart by any rule, so that they share one number."""
         key = (bracket, content)
         got = self.numbers.get(key)
         if got is None:
-            got = self.numbers[key] = BASE + len(self.kinds)
-            self.kinds.append(bracket)
-            self.contents.append(content)
+            told = self.shortened(content) if len(content) > 40 else content
+            accepted = tuple([self.matches(s, told) for s in self.grammar.inside[bracket]])
+            got = self.classes.get((bracket, accepted))
+            if got is None:
+                got = self.classes[bracket, accepted] = BASE + len(self.kinds)
+                self.kinds.append(bracket)
+                self.contents.append(told)
+                if not any(accepted):
+                    self.hopeless.add(got)
+            self.numbers[key] = got
         return got
 
+    def shortened(self, content: tuple) -> tuple:
+        """Long lists with runs of equal items cut to eight, as no rule counts beyond that."""
+        comma = self.grammar.terms.number.get(",")
+        out: list[int] = []
+        item: list[int] = []
+        last, run = None, 0
+        for t in content:
+            item.append(t)
+            if t == comma:
+                run = run + 1 if item == last else 0
+                if run < 8:
+                    out += item
+                last, item = item, []
+        return tuple(out + item)
+
     def matches(self, symbol: int, tokens: tuple, final: bool = True) -> bool:
         """Whether a sequence is one of the symbol. final: `$` may match its end."""
         key = (symbol, tokens, final)
@@ -225,9 +254,19 @@ class Recogniser:
     def in_group(self, symbol: int, token: int) -> bool:
         return self.matches(symbol, self.contents[token - BASE])
 
-    def _parse(self, symbol: int, tokens: tuple, final: bool) -> bool:
+    def viable(self, symbol: int, tokens: tuple) -> bool:
+        """Whether the symbol has a sequence that begins with these tokens."""
+        key = (symbol, tokens)
+        got = self.known.get(key)
+        if got is None:
+            got = self.known[key] = self._parse(symbol, tokens, False, True)
+        return got
+
+    def _parse(self, symbol: int, tokens: tuple, final: bool, prefix: bool = False) -> bool:
         """Descriptors are (alternative, place in it, position, stack node). A stack node is a symbol
         at a position: [ends, returns]; a return continues an alternative of a calling node."""
+        if self.hopeless and not self.hopeless.isdisjoint(tokens):
+            return False
         predict, at_end, n = self.grammar.predict, self.grammar.at_end, len(tokens)
         kinds, shapes = self.kinds, [t if t < BASE else self.kinds[t - BASE] for t in tokens]
         root: tuple[set, list] = (set(), [])
@@ -242,6 +281,8 @@ class Recogniser:
             done.add(mark)
             size = len(alternative)
             while k < size:
+                if prefix and i == n:
+                    return True
                 s = alternative[k]
                 kind = s[0]
                 if kind == "t":

@@ -20,6 +20,13 @@ class Invalid(Exception):
     """The text can't be read as tokens in balanced brackets."""
 
 
+def plain(grammar: Grammar, symbol: int) -> int:
+    """The symbol that another one is only a second name of."""
+    while len(a := grammar.alts[symbol]) == 1 and len(a[0]) == 1 and a[0][0][0] == "n":
+        symbol = a[0][0][1]
+    return symbol
+
+
 class Language:
     """Terms, grammar and token pattern of one language.
 
@@ -44,7 +51,7 @@ class Language:
         self.pattern = re.compile(rf"(?:{blank})*({tokens}|{number}|{ID}|{operator}|[()\[\]{{}}]|\n|/\*|[^\s])", re.M)
         self.first = {}
         names = self.grammar.names
-        self.lists = {names[x] for x in lists}
+        self.lists = {plain(self.grammar, names[x]) for x in lists}
         self.tops = [names[x] for x in tops]
         t = self.terms.number
         self.cut, self.joins, self.headers = ({t[x] for x in xs if x in t} for xs in (cut, joins, headers))
@@ -118,8 +125,6 @@ class Language:
             elif x in CLOSING:
                 if not stack or stack[-1][0] != CLOSING[x]:
                     raise Invalid(f"unmatched {x}")
-                if go and len(current) and current[-1] == semi and x != "}" and False:
-                    current.pop()
                 bracket, outer = stack.pop()
                 outer.append(group(bracket, tuple(current)))
                 current = outer
@@ -205,7 +210,7 @@ class Language:
         indents = [0]
         text = text.replace("\r\n", "\n").replace("\r", "\n")
         lead = PY_LINES.match(text)
-        if lead and _columns(lead.group(0)):
+        if lead and columns(lead.group(0)):
             if lead.end() < len(text):
                 raise Invalid("unexpected indent")
         blocks = 0
@@ -215,7 +220,7 @@ class Language:
                     continue
                 if current and not (current[-1] == nl or blocks and current[-1] >= BASE and self.recogniser.kinds[current[-1] - BASE] == INDENT):
                     current.append(nl)
-                width = _columns(x)
+                width = columns(x)
                 if width > indents[-1]:
                     indents.append(width)
                     stack.append((INDENT, current))
@@ -253,6 +258,9 @@ class Language:
             bracket, outer = stack.pop()
             if bracket != INDENT:
                 raise Invalid("unclosed bracket")
+            if not current:  # only white space
+                current = outer
+                continue
             if current and current[-1] != nl and not (current[-1] >= BASE and self.recogniser.kinds[current[-1] - BASE] == INDENT):
                 current.append(nl)
             outer.append(group(INDENT, tuple(current)))
@@ -265,7 +273,7 @@ class Language:
 
     def accepts(self, text: str) -> bool:
         """Whether some dialect accepts the whole text."""
-        if len(self.recogniser.kinds) > self.recogniser.KEPT or len(self.recogniser.known) > 4 * self.recogniser.KEPT:
+        if len(self.recogniser.numbers) + len(self.recogniser.known) > self.recogniser.KEPT:
             self.recogniser.forget()
         try:
             tokens = self.tokens(text)
@@ -283,17 +291,15 @@ class Pieces(Recogniser):
     """Matches lists piece by piece."""
 
     language: Language
+    plain: list[int]
 
     def matches(self, symbol: int, tokens: tuple, final: bool = True) -> bool:
-        alternatives = self.grammar.alts[symbol]
-        while len(alternatives) == 1 and len(alternatives[0]) == 1 and alternatives[0][0][0] == "n":
-            symbol = alternatives[0][0][1]
-            alternatives = self.grammar.alts[symbol]
+        symbol = self.plain[symbol]
         key = (symbol, tokens, final)
         got = self.known.get(key)
         if got is None:
-            if symbol in self.language.lists and len(tokens) > 8:
-                got = self._listed(symbol, tokens, final)
+            if len(tokens) > 8:
+                got = self.viable(symbol, tokens[:5]) and (self._listed if symbol in self.language.lists else self._parse)(symbol, tokens, final)
             else:
                 got = self._parse(symbol, tokens, final)
             self.known[key] = got
@@ -301,11 +307,13 @@ class Pieces(Recogniser):
 
     def _listed(self, symbol: int, tokens: tuple, final: bool) -> bool:
         spec, kinds, known = self.language, self.kinds, self.known
+        if self.hopeless and not self.hopeless.isdisjoint(tokens):
+            return False
         cut, joins, headers, n = spec.cut, spec.joins, spec.headers, len(tokens)
         start, header = 0, tokens[0] in headers
         for i, t in enumerate(tokens):
             if t < BASE:
-                ends = not header and t in cut and (i + 1 == n or tokens[i + 1] not in joins)
+                ends = not header and t in cut and (i + 1 == n or tokens[i + 1] not in joins and (tokens[i + 1] < BASE or kinds[tokens[i + 1] - BASE] != INDENT))
             else:
                 bracket = kinds[t - BASE]
                 if bracket == BRACE or bracket == INDENT:
@@ -327,7 +335,7 @@ class Pieces(Recogniser):
         return True
 
 
-def _columns(run: str) -> int:
+def columns(run: str) -> int:
     """Width of the indentation behind the last line end of a run of blank and comment lines."""
     last = run[run.rfind("\n") + 1 :]
     width = 0
@@ -430,4 +438,5 @@ def language(extension: str) -> Language | None:
     made.enders.add(made.private)
     made.recogniser = Pieces(made.grammar)
     made.recogniser.language = made
+    made.recogniser.plain = [plain(made.grammar, k) for k in range(len(made.grammar.alts))]
     return made

@@ -9,15 +9,37 @@ from pyspark.sql import functions as F
 
 from .common import load
 from .credentials import credentials, redacted
+from .docpairs import documented_functions
 from .handwritten import not_handwritten
 from .neardup import all_pairs, groups, near_duplicates
 from .splitting import split_oversized
+from .syntax import invalid_rates, parsed
 from .truncation import rates, truncated
 from .vectors import most_similar, similar_pairs
 
 LIMIT, OVERLAP = 4000, 200
 
 
+def _p1(spark: SparkSession, d: str) -> DataFrame:
+    return parsed(load(spark, d, "source_file"), "file_id", "filename", "content", "scanned_at", "repo")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d).where("not valid").select("file_id")
+
+
+def p1_rates(spark: SparkSession, d: str) -> DataFrame:
+    return invalid_rates(_p1(spark, d), "repo", "language")
+
+
+def p1_files(spark: SparkSession, d: str) -> DataFrame:
+    """Every file's verdict beside what the symbol scan made of it."""
+    at = F.coalesce("scanned_at", F.lit("1900-01-01").cast("timestamp"))
+    scan = load(spark, d, "file_result").where("file_id is not null").groupBy("file_id").agg(F.max_by("classes", at).alias("classes"))
+    counts = scan.select("file_id", F.coalesce(F.size("classes"), F.lit(0)).alias("classes"), F.coalesce(F.size(F.filter("classes", lambda c: F.coalesce(c["end_line"], F.lit(0)) == 0)), F.lit(0)).alias("unclosed_classes"))
+    return _p1(spark, d).join(counts, "file_id", "left")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     links, members = similar_pairs(load(spark, d, "vectors"), "vec_no", "vector", "indexed_at", threshold=0.92)
     return all_pairs(links, members).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"))
@@ -71,6 +93,18 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*_p6(spark, d)).select(F.col("key").alias("chunk_no"), "group_id")
 
 
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return documented_functions(load(spark, d, "source_file"), load(spark, d, "file_result"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).select("file_id", F.col("start_line").cast("long").alias("start_line")).distinct()
+
+
+def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)
+
+
 def _p10(spark: SparkSession, d: str) -> DataFrame:
     return truncated(load(spark, d, "documents"), "doc_id", "text", "source")
 
@@ -84,7 +118,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_reasons, p6_found, p6_groups, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p1_files, p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_reasons, p6_found, p6_groups, p7_found, p7_pairs, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
