@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,26 @@ def latest(df: DataFrame, key: str, when: str, *values: Column) -> DataFrame:
     return picked.groupBy(key).agg(
         F.max_by(F.struct(*names), F.coalesce(F.col(when), F.lit("1900-01-01").cast("timestamp"))).alias("_latest")
     ).select(key, *[F.col(f"_latest.{n}").alias(n) for n in names])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Tables of rows that share the first columns, from batches sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [np.asarray(batch.column(i)) for i in range(n_keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for x in cols:
+            change[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = tuple(x[a] for x in cols)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)

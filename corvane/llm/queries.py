@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import cut_lineage, load
 from .credentials import credentials, redacted
 from .docpairs import documented_functions
 from .handwritten import not_handwritten
+from .mixing import mixed, shares
 from .neardup import all_pairs, groups, near_duplicates
+from .packing import fill_report, packed
 from .splitting import split_oversized
 from .syntax import invalid_rates, parsed
+from .tokens import sized
 from .truncation import rates, truncated
 from .vectors import most_similar, similar_pairs
 
@@ -105,6 +109,33 @@ def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _p7(spark, d)
 
 
+def _p8(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
+    sizes = cut_lineage(sized(load(spark, d, "documents"), "doc_id", "text"))
+    # The list of containers has a fixed size of 3 rows.
+    targets = load(spark, d, "pack_target").limit(1000).collect()
+    return [(t["pack_name"], t["capacity_tokens"], packed(sizes, "doc_id", t["capacity_tokens"])) for t in targets]
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [a.withColumn("pack_name", F.lit(name)) for name, _, a in _p8(spark, d)])
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [fill_report(a, c).withColumn("pack_name", F.lit(name)) for name, c, a in _p8(spark, d)])
+
+
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    return mixed(sized(load(spark, d, "documents"), "doc_id", "text", "source"), load(spark, d, "mix_target"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(cut_lineage(_p9(spark, d)), load(spark, d, "mix_target"))
+
+
 def _p10(spark: SparkSession, d: str) -> DataFrame:
     return truncated(load(spark, d, "documents"), "doc_id", "text", "source")
 
@@ -118,7 +149,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p1_files, p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_reasons, p6_found, p6_groups, p7_found, p7_pairs, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p1_files, p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_reasons, p6_found, p6_groups, p7_found, p7_pairs, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
