@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, symbols
+from . import graphs, search, symbols
 
-PARTS = (graphs, symbols)
+PARTS = (graphs, symbols, search)
 
 
 def queries() -> dict:
