@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,3 +22,172 @@ def dependency_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     boxes = nodes.select(F.lit(1), "name", F.concat(F.lit("    "), node_id(F.col("name")), F.lit('["'), "name", F.lit('"]')))
     arrows = edges.select(F.lit(2), F.concat_ws(" ", "src", "dst"), F.concat(F.lit("    "), node_id(F.col("src")), F.lit(" --> "), node_id(F.col("dst"))))
     return global_rank(head.union(boxes).union(arrows), F.asc("part"), F.asc("k"), name="line_no").select("line_no", "line")
+
+
+def sequence_lines(paths: DataFrame) -> DataFrame:
+    """(start, line_no, line): a call chain `a#f -> b#g -> ...` as lines of a sequence diagram; a call
+    that follows its own repetition is written once."""
+    steps = F.split("path", " -> ")
+    module = lambda x: F.split_part(x, F.lit("#"), F.lit(1))
+    head = F.array(F.lit("sequenceDiagram"))
+    people = F.transform(F.array_distinct(F.transform(steps, module)), lambda m: F.concat(F.lit("    participant "), node_id(m)))
+    calls = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.lit("    "), node_id(module(F.element_at(steps, i))), F.lit("->>"), node_id(module(F.element_at(steps, i + 1))), F.lit(": "), F.split_part(F.element_at(steps, i + 1), F.lit("#"), F.lit(2))))
+    return paths.select("path", F.posexplode(F.concat(head, people, calls)).alias("line_no", "line"))
+
+
+def validate_diagrams(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, message): structural errors of diagram texts, lines from 1; 0 for an empty text."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    key_type = rows.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            keys, at, said = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for line, message in diagram_errors(t):
+                    keys.append(k)
+                    at.append(line)
+                    said.append(message)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(at, pa.int64()), pa.array(said, pa.string())], ["key", "line", "message"])
+
+    return rows.mapInArrow(run, f"key {key_type}, line long, message string").withColumnRenamed("key", key)
+
+
+# Diagram kinds by the start of the first line, and arrows of flow charts.
+KINDS = (("graph", "graph"), ("flowchart", "graph"), ("classdiagram", "class"), ("sequencediagram", "sequence"))
+ARROWS = ("-->", "-.->", "==>", "--x", "--o", "-.-")
+
+
+def diagram_errors(text: str) -> list[tuple[int, str]]:
+    """(line, message) of a diagram text."""
+    lines = text.split("\n")
+    shown = [(n, s) for n, x in enumerate(lines, 1) if (s := x.strip()) and not s.startswith("%%")]
+    if not text.strip():
+        return [(0, "empty diagram")]
+    out: list[tuple[int, str]] = []
+    kind, open_braces, open_graphs = "", 0, 0
+    for n, line in shown:
+        if not kind:
+            word = line.lower()
+            kind = next((k for start, k in KINDS if (word == start or word.startswith(start + " ") if k == "graph" else word.startswith(start))), "")
+            if not kind:
+                out.append((n, "unrecognized diagram type"))
+            continue
+        open_braces += line.count("{") - line.count("}")
+        if open_braces < 0:
+            out.append((n, "unmatched closing brace"))
+            open_braces = 0
+        if kind != "graph":
+            continue
+        if line.startswith("subgraph "):
+            open_graphs += 1
+        elif line == "end":
+            open_graphs -= 1
+            if open_graphs < 0:
+                out.append((n, "unmatched 'end' for subgraph"))
+                open_graphs = 0
+        else:
+            message = _flow_line(line)
+            if message:
+                out.append((n, message))
+    if open_braces > 0:
+        out.append((len(lines), "unclosed brace block"))
+    if open_graphs > 0:
+        out.append((len(lines), "unclosed subgraph block"))
+    return out
+
+
+def _flow_line(line: str) -> str:
+    for opening, closing, what in (("[", "]", "bracket"), ("(", ")", "parenthesis"), ("{", "}", "brace")):
+        if line.count(opening) != line.count(closing):
+            return f"unclosed node {what}"
+    arrow = next((a for a in ARROWS if a in line), None)
+    if arrow:
+        left, _, right = line.partition(arrow)
+        return "edge missing source node" if not left.strip() else "edge missing target node" if not right.strip() else ""
+    return ""
+
+
+INLINE = ((re.compile(r"`([^`]+)`"), "code"), (re.compile(r"\*\*(.+?)\*\*"), "strong"), (re.compile(r"(?<![\w*])\*([^*\s][^*]*)\*"), "em"))
+
+
+def inline_html(text: str) -> str:
+    """Code spans, emphasis, links and images of one piece of text; everything else escaped."""
+    kept: list[str] = []
+
+    def keep(html: str) -> str:
+        kept.append(html)
+        return f"\0{len(kept) - 1}\0"
+
+    text = re.sub(r"`([^`]+)`", lambda m: keep(f"<code>{escape(m.group(1))}</code>"), text)
+    text = re.sub(r"!\[([^\]]*)\]\(([^)\s]+)\)", lambda m: keep(f'<img src="{escape(m.group(2))}" alt="{escape(m.group(1))}">'), text)
+    text = re.sub(r"\[([^\]]+)\]\(([^)\s]+)\)", lambda m: keep(f'<a href="{escape(m.group(2))}">{escape(m.group(1))}</a>'), text)
+    text = escape(text)
+    for pattern, tag in INLINE[1:]:
+        text = pattern.sub(rf"<{tag}>\1</{tag}>", text)
+    return re.sub(r"\0(\d+)\0", lambda m: kept[int(m.group(1))], text)
+
+
+def escape(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+
+
+def markdown_html(text: str) -> str:
+    """Blocks of Markdown as HTML: fences, rules, quotes, tables, lists, headings, paragraphs."""
+    out: list[str] = []
+    lines = text.replace("\r\n", "\n").split("\n")
+    k = 0
+    while k < len(lines):
+        line = lines[k]
+        body = line.strip()
+        if body.startswith("```"):
+            stop = next((j for j in range(k + 1, len(lines)) if lines[j].strip().startswith("```")), len(lines))
+            language = body[3:].strip()
+            inner = "".join(escape(x) + "\n" for x in lines[k + 1 : stop])
+            out.append(f'<div class="mermaid">\n{inner}</div>' if language == "mermaid" else f"<pre><code{f' class=' + chr(34) + 'language-' + escape(language) + chr(34) if language else ''}>{inner}</code></pre>")
+            k = stop + 1
+        elif not body:
+            k += 1
+        elif re.fullmatch(r"-{3,}|\*{3,}|_{3,}", body):
+            out.append("<hr>")
+            k += 1
+        elif m := re.match(r"(#{1,6}) (.*)", body):
+            out.append(f"<h{len(m[1])}>{inline_html(m[2].strip())}</h{len(m[1])}>")
+            k += 1
+        else:
+            test = next(t for t in BLOCKS if t[0](body))
+            stop = k
+            while stop < len(lines) and (s := lines[stop].strip()) and test[0](s) and not (test[1] == "p" and (stop > k and any(t[0](s) for t in BLOCKS[:-1]) or re.match(r"#{1,6} |```", s))):
+                stop += 1
+            out.append(_block(test[1], [x.strip() for x in lines[k:stop]]))
+            k = stop
+    return "\n".join(out)
+
+
+BLOCKS = ((lambda s: s.startswith(">"), "blockquote"), (lambda s: s.startswith("|"), "table"), (lambda s: re.match(r"[-*+] ", s) is not None, "ul"), (lambda s: re.match(r"\d+\. ", s) is not None, "ol"), (lambda s: True, "p"))
+
+
+def _block(tag: str, lines: list[str]) -> str:
+    if tag == "table":
+        rows = [[c.strip() for c in x.strip("|").split("|")] for x in lines]
+        rows = [r for r in rows if not all(re.fullmatch(r"[ :-]*", c) for c in r)]
+        cells = lambda r, t: "".join(f"<{t}>{inline_html(c)}</{t}>" for c in r)
+        return "<table>\n" + "\n".join(f"<tr>{cells(r, 'th' if n == 0 else 'td')}</tr>" for n, r in enumerate(rows)) + "\n</table>"
+    if tag in ("ul", "ol"):
+        items = [re.sub(r"^(?:[-*+]|\d+\.) ", "", x) for x in lines]
+        return f"<{tag}>\n" + "\n".join(f"<li>{inline_html(x)}</li>" for x in items) + f"\n</{tag}>"
+    if tag == "blockquote":
+        return f"<blockquote>{inline_html(' '.join(x.lstrip('> ') for x in lines))}</blockquote>"
+    return f"<p>{inline_html(' '.join(lines))}</p>"
+
+
+def rendered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, html) of Markdown texts; null texts are empty."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    key_type = rows.schema["key"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([markdown_html(t) for t in batch.column(1).to_pylist()], pa.string())], ["key", "html"])
+
+    return rows.mapInArrow(run, f"key {key_type}, html string").withColumnRenamed("key", key)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, search, symbols
+from . import documents, graphs, search, symbols
 
-PARTS = (graphs, symbols, search)
+PARTS = (graphs, symbols, search, documents)
 
 
 def queries() -> dict:
