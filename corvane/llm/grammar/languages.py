@@ -58,6 +58,8 @@ class Language:
         self.enders = {self.id, self.num, self.str, self.tmpl, self.regex, self.life, self.private} | {t[x] for x in ENDERS if x in t}
         if mode == "js":
             self.enders |= {t[x] for x in t if x in WORDS_AS_NAMES}
+        self.otherwise = t.get("else", -9)
+        self.heads = {t[x] for x in ("if", "for", "while", "with") if x in t}
         self.going_on = {t[x] for x in GOING_ON if x in t}
         self.kinds: dict[str, int] = {}
 
@@ -88,6 +90,7 @@ class Language:
         """The top-level sequence, with bracketed groups interned in the recogniser."""
         if "\0" in text:
             raise Invalid("null byte")
+        text = text.replace("\r\n", "\n")
         if text.startswith("﻿"):
             text = text[1:]
         if self.name in ("js", "ts", "rs", "py") and text.startswith("#!") and not text.startswith("#!["):
@@ -117,7 +120,9 @@ class Language:
                 continue
             if waiting:
                 waiting = False
-                if current and (current[-1] in enders or current[-1] >= BASE) and k not in going_on and x not in ")]}" and (x not in "([{" or x == "{" and current[-1] < BASE):
+                headed = len(current) > 1 and current[-1] >= BASE and current[-2] in self.heads
+                before_else = bool(current) and k == self.otherwise and (current[-1] < BASE or self.recogniser.kinds[current[-1] - BASE] != BRACE)
+                if current and not headed and (current[-1] in enders or current[-1] >= BASE) and (k not in going_on or before_else) and x not in ")]}" and (x not in "([{" or x == "{" and current[-1] < BASE):
                     current.append(semi)
             if x in OPENING:
                 stack.append((OPENING[x], current))
@@ -208,7 +213,7 @@ class Language:
         stack: list[tuple[int, list[int]]] = []
         current: list[int] = []
         indents = [0]
-        text = text.replace("\r\n", "\n").replace("\r", "\n")
+        text = text.replace("\r", "\n")
         lead = PY_LINES.match(text)
         if lead and columns(lead.group(0)):
             if lead.end() < len(text):

@@ -227,7 +227,7 @@ RUST = RUST.replace("BlockLike = 'life'? ':'? ('unsafe' | 'async' 'move'? | 'con
 CPP = """
 Tops = Decl*
 Decl = ';' | 'namespace' Attrs? Name? {| Tops |} | 'inline' 'namespace' Name {| Tops |} | 'namespace' 'id' '=' Name ';' | 'using' 'namespace' Name ';' | 'using' 'typename'? Name % ',' ';' | 'using' 'id' Attrs? '=' TypeId ';' | 'using' 'enum' Name ';'
-  | 'template' '<' (TParam % ',')? '>' Requires? Decl | 'template' Decl | 'extern' 'str' ({| Tops |} | Decl) | 'static_assert' (| Args |) ';' | 'asm' (| @any* |) ';' | Attrs* Specs InitDecls? ';' | Attrs* Specs? FuncDecl FuncBody | 'concept' 'id' '=' Expr ';' | 'friend' Decl
+  | 'template' '<' (TParam % ',')? '>' Requires? Decl | 'template' Decl | 'extern' 'str' ({| Tops |} | Decl) | 'static_assert' (| Args |) ';' | 'asm' (| @any* |) ';' | Attrs* Specs InitDecls? ';' | Attrs* Specs FuncDecl FuncBody | Attrs* Spec* FuncDecl (FuncBody | ';') | 'concept' 'id' '=' Expr ';' | 'friend' Decl
   | 'typedef' Specs InitDecls ';' | 'id' (| @any* |) ';'?
 Requires = 'requires' Expr
 TParam = ('typename' | 'class') '...'? 'id'? ('=' TypeId)? | 'template' '<' (TParam % ',')? '>' ('class' | 'typename') '...'? 'id'? ('=' Name)? | Specs Declarator? ('=' Unary)? | Name '...'? 'id' ('=' TypeId)?
