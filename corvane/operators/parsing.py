@@ -167,7 +167,7 @@ def parse(filename: str, text: str) -> dict:
                 m = METHOD.match(body)
             if not m and kind == "js" and not inside:
                 m = ARROW.match(body)
-            if m and m["n"] not in NOT_NAMES and not (kind == "cpp" and (m["r"] in NOT_NAMES or m["r"] in ("else", "return"))):
+            if m and (kind in ("py", "rs", "go") or m["n"] not in NOT_NAMES) and not (kind == "cpp" and (m["r"] in NOT_NAMES or m["r"] in ("else", "return"))):
                 given = m["p"] if m["p"] is not None else m.groupdict().get("q") or ""
                 returns = re.sub(r"\s+", " ", (m["r"] or "").strip())
                 made = {"name": m["n"], "params": parameters(given, kind), "return_type": returns, "decorators": marks, "start_line": number, "end_line": 0}
