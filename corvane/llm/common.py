@@ -31,6 +31,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer parts than there are cores, as a single small
+    file has; larger inputs stay as they are read. For stages that spend long on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, key: str, when: str, *values: Column) -> DataFrame:
     """One row per key, taken from its latest delivery. Give narrow value columns: only these are
     shuffled. Rows whose key is null are dropped, as they can't be named in a result."""

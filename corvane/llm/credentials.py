@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 # What the automaton looks for, in lower case.
 KEYWORDS = (
     "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-", "sk_live_", "rk_live_",
@@ -235,6 +237,7 @@ def credentials(df: DataFrame, key: str, text: str, when: str | None = None) ->
     are shuffled, never the texts.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(when) if when else F.lit(None).cast("timestamp")).alias("at")).where("key is not null and text is not null")
+    rows = spread(rows)
     key_type = rows.schema["key"].dataType.simpleString()
     place = pa.list_(pa.struct([("line_no", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

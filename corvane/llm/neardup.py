@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, spread
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
@@ -138,7 +138,7 @@ def near_duplicates(
         raise ValueError("at most 256 bands")
     slots = bands * rows
     source = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), (F.col(when) if when else F.lit(0)).alias("at"))
-    source = source.where(F.col("key").isNotNull() & F.col("text").isNotNull())
+    source = spread(source.where(F.col("key").isNotNull() & F.col("text").isNotNull()))
 
     def sign(batches: Iterator[pa.RecordBatch], sets: bool) -> Iterator[pa.RecordBatch]:
         for whole in batches:

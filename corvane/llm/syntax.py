@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
 from .grammar.languages import language
 
 
@@ -31,7 +32,7 @@ def parsed(df: DataFrame, key: str, filename: str, text: str, when: str | None =
     """
     at = F.col(when) if when else F.lit(None).cast("timestamp")
     rows = df.select(F.col(key).alias("key"), at.alias("at"), F.struct(F.col(filename).alias("name"), *[F.col(c).alias(f"c_{c}") for c in more]).alias("also"), extension(F.col(filename)).alias("ext"), F.col(text).alias("text"))
-    rows = rows.where("key is not null")
+    rows = spread(rows.where("key is not null"))
     schema = rows.drop("text").schema.add("valid", "boolean")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

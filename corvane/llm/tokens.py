@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's makers cut a text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -32,6 +34,7 @@ def sized(df: DataFrame, key: str, text: str, *more: str, vocabulary: str = VOCA
     """(key, more columns, tokens) of every row; null texts have 0 tokens, rows with a null key are
     left out."""
     rows = df.where(F.col(key).isNotNull()).select(key, *more, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = spread(rows)
     schema = rows.drop("_text").schema.add("tokens", "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, spread
 
 # What is appended at a cut, and abbreviations inside of sentences.
 NOTE = re.compile(r"\s*(?:[\[(<{]\s*(?:\.{3}|…)?\s*(?:more|read more|continued|cont\.?|to be continued|continue reading|truncated|cut|cut off|snip(?:ped)?|clipped|message clipped|trimmed|shortened)\s*(?:\.{3}|…)?\s*[\])>}])\s*$", re.I)
@@ -158,6 +158,7 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     Null sources form one source. Other columns are ignored.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).cast("string").alias("source")).where("key is not null")
+    rows = spread(rows)
     key_type = rows.schema["key"].dataType.simpleString()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
