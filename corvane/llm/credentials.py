@@ -50,13 +50,14 @@ ISSUERS = (
 ISSUED = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in ISSUERS))
 
 NOUN = r"(?:password|passwd|passphrase|pwd|smtp_?pass|db_?pass|user_?pass|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|signing[_-]?key|encryption[_-]?key|private[_-]?key|auth[_-]?key|credential)s?"
-NAME = rf"(?<![A-Za-z0-9])[A-Za-z0-9_.-]*{NOUN}\d*"
+# A name is only tried at the start of its run of name characters, however long the run is.
+NAME = rf"(?<![A-Za-z0-9_.-])[A-Za-z0-9_.-]*{NOUN}\d*"
 #: A name, perhaps with a type, then an assigned string literal or (in configuration) a bare word.
 ASSIGNED = re.compile(rf"(?i)({NAME})[\"']?\]?\s*(?::\s*[&'\w<>\[\]\. ]{{1,24}}?\s*=|:=|=>|={{1,3}}(?!=)|:(?!:)|\bis\b|\bwas\b)\s*(?:[rbuf]{{1,2}}(?=[\"'])|String::from\(|std::string\()?(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)")
 BARE = re.compile(rf"(?i)({NAME})[\"']?\s*(?:=|:)\s*(?P<v>[^\s\"'`,;(){{}}\[\]<>]+)(?=\s*(?:$|[,;#\"'`}}\])&]|\s))")
 PASSED = re.compile(rf"(?i)[\"'](?:{NAME})[\"']\s*,\s*(?P<q>[\"'`])(?P<v>(?:(?!(?P=q))[^\\\n]|\\.)*)(?P=q)")
 HEADER = re.compile(r"(?i)authorization[\"']?\s*(?:,|:|=|=>)\s*[\"'`]?\s*(?:bearer|basic|token|apikey)\s+(?P<v>[A-Za-z0-9+/=_.~-]{8,})|\bbearer\s+(?P<w>[A-Za-z0-9+/=_.~-]{16,})")
-URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/:@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@[^\s/\"'`<>]+")
+URL = re.compile(r"(?<![a-zA-Z0-9+.-])[a-zA-Z][a-zA-Z0-9+.-]{0,30}://[^\s/:@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@[^\s/\"'`<>]+")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 #: Prose and comments that hand a credential over without a name before an equals sign.
 SAID = re.compile(

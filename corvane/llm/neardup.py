@@ -118,6 +118,19 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     return owner.reshape(n_docs, slots)
 
 
+def _slices(whole: pa.RecordBatch, rows: int = 1024, characters: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch that are worked on at once, with their texts; a longer text is a part of its own."""
+    texts = whole.column(1).to_pylist()
+    start = size = 0
+    for k, text in enumerate(texts):
+        if k > start and (k - start == rows or size + len(text) > characters):
+            yield whole.slice(start, k - start), texts[start:k]
+            start, size = k, 0
+        size += len(text)
+    if texts:
+        yield whole.slice(start), texts[start:]
+
+
 def near_duplicates(
     df: DataFrame, key: str, text: str, when: str | None = None, width: int = 5, threshold: float = 0.8, least: int = 1, weighted: bool = True, bands: int = 36, rows: int = 4
 ) -> tuple[DataFrame, DataFrame]:
@@ -142,9 +155,7 @@ def near_duplicates(
 
     def sign(batches: Iterator[pa.RecordBatch], sets: bool) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                batch = whole.slice(start, 1024)
-                texts = batch.column(1).to_pylist()
+            for batch, texts in _slices(whole):
                 doc, element, count = shingles(texts, width)
                 if not weighted:
                     count = np.ones_like(count)

@@ -59,6 +59,8 @@ def open_spans(paragraph: str) -> list[str]:
                 stack.append('"')
         elif c in OPENS:
             stack.append(c)
+        elif c in CLOSES and top == CLOSES[c]:
+            stack.pop()
         elif c in CLOSES and CLOSES[c] in stack:
             del stack[len(stack) - 1 - stack[::-1].index(CLOSES[c]) :]
         elif paragraph.startswith("**", k):
