@@ -31,8 +31,8 @@ def test_other_languages():
 
 
 def test_document_sections(spark):
-    docs = spark.createDataFrame([(1, "intro\n## One two\nbody\n\n## Empty\n\n## Ö\n" + "x" * 900), (2, "no heading"), (3, None)], "id int, text string")
-    got = {r["section_no"]: r for r in chunks.document_sections(docs, "id", "text").collect()}
+    docs = spark.createDataFrame([(1, "intro\n## One two\nbody\n\n## Empty\n\n## Ö\n" + "x" * 900), (2, "no heading"), (3, None)], "no int, text string")
+    got = {r["section_no"]: r for r in chunks.document_sections(docs, "no", "text").collect()}
     assert set(got) == {1, 3} and got[1]["id"] == "wiki/1#one-two" and got[1]["content"] == "body"
     assert got[3]["id"] == "wiki/1#section" and len(got[3]["content"]) == 803
 
@@ -60,3 +60,15 @@ def test_whole_pipeline(spark):
     assert {tuple(r) for r in k.edges.collect()} == {("app/main", "app/svc"), ("app/svc", "app/db")}
     assert {r["name"]: r["role"] for r in k.roles.collect()}["app/main"] == "入口层"
     assert {r["id"] for r in k.chunks.collect()} >= {"app/db.py#Q", "app/db.py#q", "app/svc.py#imports"}
+
+
+def test_call_sites_and_graph(spark):
+    from corvane.operators import calls
+
+    text = 'def run(a):\n    b = load(a)  # not_a_call()\n    x.y.save(b, "nor(this)")\n\ndef load(p):\n    return run.load(p)\n'
+    assert calls.sites("m.py", text) == [(2, "", "load"), (3, "x.y", "save"), (6, "run", "load")]
+    files = spark.createDataFrame([(1, "m.py", text), (2, "n.py", "def save(z):\n    pass\n"), (3, "o.py", "def load(q):\n    return save(q)\n")], "file_id long, filename string, content string")
+    defs = spark.createDataFrame([(1, "run", 1), (1, "load", 5), (2, "save", 1), (3, "load", 1)], "file_id long, name string, start_line long")
+    modules = spark.createDataFrame([(1, "m"), (2, "n"), (3, "o")], "file_id long, module string")
+    got = {tuple(r) for r in calls.call_graph(calls.call_sites(files, "file_id", "filename", "content"), defs, modules).collect()}
+    assert got == {("m", "run", "m", "load"), ("m", "run", "n", "save"), ("o", "load", "n", "save")}
