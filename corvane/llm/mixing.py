@@ -102,12 +102,13 @@ def mixed(sizes: DataFrame, targets: DataFrame, block_rows: int = 50_000, large:
     per_source = sized.groupBy("source").agg(F.sum("tokens").alias("held")).join(wanted, "source")
     total = per_source.agg(F.min(F.col("held") * F.col("max_repeats") / F.col("share")).alias("total"))
     aims = per_source.join(F.broadcast(total)).select("source", "max_repeats", (F.col("share") * F.col("total")).alias("aim"))
-    usable = sized.join(aims, "source").where(F.col("tokens") <= F.col("aim") + 0.5)
+    # At most one row for each target source.
+    usable = sized.join(F.broadcast(aims), "source").where(F.col("tokens") <= F.col("aim") + 0.5)
     rates = usable.groupBy("source", "aim", "max_repeats").agg(F.sum("tokens").alias("held"), F.count("*").alias("docs"))
     rates = cut_lineage(rates.select("source", "docs", F.least(F.col("max_repeats").cast("double"), F.col("aim") / F.col("held")).alias("rate")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / block_rows)).cast("int")))
     blocks = rates.agg(F.max("blocks").alias("b")).collect()[0]["b"] or 1
     whole = F.floor(F.col("rate") + EDGE)
-    rows = usable.join(rates, "source").select(
+    rows = usable.join(F.broadcast(rates), "source").select(
         "source", "doc_id", "tokens", whole.cast("int").alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("part"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long").alias("block"), (F.col("tokens") > large * F.col("aim")).alias("big")
     )
     rows = cut_lineage(rows)

@@ -205,7 +205,11 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     total = closings.agg(F.sum("k").alias("all"))
     closings = closings.join(F.broadcast(total)).where("k >= 3 and k * 20 >= all").select("word", F.lit(True).alias("closes"))
 
-    out = judged.join(sources, same("source", "of"), "left").join(broken, "word", "left").join(closings, "word", "left")
+    # Most texts end as they should: only the others meet the tables of words.
+    doubtful = F.col("state").isin("open", "plain", "dots") & (F.col("word") != "")
+    looked_up = judged.where(doubtful).join(broken, "word", "left").join(closings, "word", "left")
+    clear = judged.where(~doubtful).withColumn("broken", F.lit(None).cast("boolean")).withColumn("closes", F.lit(None).cast("boolean"))
+    out = looked_up.unionByName(clear).join(sources, same("source", "of"), "left")
     limit = (F.col("at_limit") >= 3) & (F.col("length") == F.col("longest"))
     is_broken, state = F.coalesce("broken", F.lit(False)), F.col("state")
     reason = (
