@@ -27,16 +27,17 @@ def cosine(query: Column, record: Column) -> Column:
     return F.when(both > 0, dot / both).otherwise(0.0)
 
 
-def exact_search(records: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 0, least: float = 0.0, groups: int = 32) -> DataFrame:
+def exact_search(records: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 0, least: float = 0.0, groups: int = 0) -> DataFrame:
     """(query, key, similarity[, rank]) of the records that are at least `least` similar, the k best
     of each query if k > 0; ties by key. Query and record vectors must be of one length; others
     never match. Zero queries have no result, zero records a similarity of 0.
 
-    Records are spread over groups, queries go to each of them; a task multiplies blocks of both
+    Records are spread over groups (one per 100,000 rows and 32 at least, unless given), queries go to each of them; a task multiplies blocks of both
     and hands on no more than the k best of its group.
     """
     rows = records.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
     asked = queries.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    groups = groups or max(32, rows.count() // 100_000)
     left = asked.select("key", "v", F.size("v").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(0).alias("role"))
     right = rows.select("key", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("grp"), F.lit(1).alias("role"))
     meeting = left.unionByName(right).where("dim > 0").repartition("dim", "grp").sortWithinPartitions("dim", "grp", "role", "key")
