@@ -49,7 +49,6 @@ class Language:
         operator = "|".join(re.escape(x) for x in sorted({x for x in self.terms.number if not re.match(r"\w", x) and x not in (";",)} | {";"} | set(operators), key=len, reverse=True))
         number = NUMBER + f"(?:{suffix})?(?!\\w)" if suffix else NUMBER + r"(?!\w)"
         self.pattern = re.compile(rf"(?:{blank})*({tokens}|{number}|{ID}|{operator}|[()\[\]{{}}]|\n|/\*|[^\s])", re.M)
-        self.first = {}
         names = self.grammar.names
         self.lists = {plain(self.grammar, names[x]) for x in lists}
         self.tops = [names[x] for x in tops]
@@ -150,7 +149,7 @@ class Language:
             k = OPENING.get(x, CLOSING.get(x, 0))
         else:
             k = self.kind(x)
-        if len(self.kinds) > 400_000:
+        if len(self.kinds) > 150_000:
             self.kinds.clear()
         self.kinds[x] = k
         return k
