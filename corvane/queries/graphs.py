@@ -169,6 +169,20 @@ SIZE_SQL = "size AS (SELECT regexp_replace(filename, '\\.[^./]*$', '') AS name,
 CYCLE_SQL = """, walk(p, last) AS (SELECT [src, dst], dst FROM g WHERE dst > src UNION ALL SELECT list_append(p, dst), dst FROM walk JOIN g ON g.src = last WHERE len(p) < 4 AND dst > p[1] AND NOT list_contains(p, dst)),
  cyc AS (SELECT p FROM walk JOIN g ON g.src = last AND g.dst = p[1])"""
 SQL = {
+    "import_links": f"""WITH {LATEST}, names AS (SELECT DISTINCT regexp_replace(filename, '\\.[^./]*$', '') AS name FROM fr),
+      i AS (SELECT regexp_replace(filename, '\\.[^./]*$', '') AS src, unnest(imports) AS i FROM fr),
+      j AS (SELECT DISTINCT src, i.module AS module, coalesce(i.is_relative, FALSE) AS rel, CASE WHEN contains(src, '/') THEN regexp_replace(src, '/[^/]*$', '') ELSE '' END AS folder FROM i WHERE coalesce(i.module, '') <> ''),
+      k AS (SELECT *, length(regexp_extract(module, '^(\\.*)', 1)) AS dots, regexp_replace(module, '^\\.+/?', '') AS rest, string_split(folder, '/') AS up FROM j),
+      l AS (SELECT src, module, rel, folder, CASE WHEN rel OR starts_with(module, '.') THEN array_to_string(list_filter(list_append(up[1:greatest(0, len(up) - greatest(0, dots - 1))], CASE WHEN contains(rest, '/') THEN regexp_replace(rest, '\\.[^./]*$', '') ELSE replace(rest, '.', '/') END), lambda x: x <> ''), '/')
+        WHEN contains(module, '/') THEN module ELSE replace(module, '.', '/') END AS target FROM k),
+      direct AS (SELECT src, module, target AS dst FROM l WHERE target IN (SELECT name FROM names)),
+      open_ones AS (SELECT * FROM l WHERE NOT rel AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.src = l.src AND d.module = l.module)),
+      keys AS (SELECT key, min(name) AS dst FROM (SELECT name, name AS key FROM names UNION ALL SELECT name, regexp_replace(name, '/[^/]*$', '') FROM names WHERE contains(name, '/')) GROUP BY 1),
+      parts AS (SELECT src, module, string_split(target, '/') AS p FROM open_ones), ends AS (SELECT src, module, unnest(range(1, len(p) + 1)) AS n, p FROM parts),
+      suffix AS (SELECT src, module, arg_min(dst, n) AS dst FROM ends JOIN keys ON key = array_to_string(p[n:], '/') GROUP BY 1, 2),
+      near AS (SELECT o.src, o.module, CASE WHEN folder = '' THEN target ELSE folder || '/' || target END AS dst FROM open_ones o WHERE NOT EXISTS (SELECT 1 FROM suffix s WHERE s.src = o.src AND s.module = o.module)),
+      every AS (SELECT src, dst FROM direct UNION ALL SELECT src, dst FROM suffix UNION ALL SELECT src, dst FROM near WHERE dst IN (SELECT name FROM names))
+      SELECT DISTINCT src, dst FROM every WHERE src <> dst""",
     "graph_edges": f"WITH {EDGES_SQL} SELECT src, dst FROM g",
     "degrees": f"WITH {DEGREE_SQL} SELECT * FROM deg",
     "entry_points": f"WITH {DEGREE_SQL} SELECT name FROM deg WHERE n_in = 0 AND n_out > 0",
