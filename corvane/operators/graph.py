@@ -163,11 +163,15 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
 
 def call_paths(calls: DataFrame, longest: int = 4, least: int = 2) -> DataFrame:
     """(start, path, n_edges): chains of calls from functions that nobody calls, of at least `least`
-    edges and two modules; no function is reached twice on a chain."""
+    edges and two modules; no function is reached twice on a chain. Where every function is called,
+    chains begin at the smallest one."""
     key = lambda m, f: F.concat_ws("#", m, f)
     edges = calls.select(key("from_module", "from_name").alias("a"), key("to_module", "to_name").alias("b"), F.col("from_module").alias("ma"), F.col("to_module").alias("mb")).distinct()
     edges = cut_lineage(edges)
-    heads = edges.where("a <> b").join(edges.where("a <> b").select(F.col("b").alias("a")), "a", "left_anti")
+    sources = edges.join(edges.where("a <> b").select(F.col("b").alias("a")), "a", "left_anti")
+    if sources.isEmpty():
+        sources = edges.join(edges.agg(F.min("a").alias("a")), "a", "left_semi")
+    heads = sources.where("a <> b")
     path = heads.select(F.array("a", "b").alias("path"), F.array("ma", "mb").alias("mods"))
     found = None
     for n in range(1, longest + 1):
@@ -177,6 +181,8 @@ def call_paths(calls: DataFrame, longest: int = 4, least: int = 2) -> DataFrame:
         if n < longest:
             reached = F.slice("path", 2, 1000)
             path = cut_lineage(path.join(edges, F.element_at("path", -1) == F.col("a")).where(~F.array_contains(reached, F.col("b"))).select(F.concat("path", F.array("b")).alias("path"), F.concat("mods", F.array("mb")).alias("mods")))
+            if n >= least and path.isEmpty():
+                break
     return found
 
 

@@ -81,7 +81,7 @@ def import_groups(spark, d):
 
 
 def sequence_diagrams(spark, d):
-    return render.sequence_lines(G.call_paths(load(spark, d, "call_edge"), 3))
+    return render.sequence_lines(G.call_paths(load(spark, d, "call_edge"), 10))
 
 
 def mermaid_validate(spark, d):

@@ -142,7 +142,7 @@ def cycles(spark, d):
 
 
 def call_paths(spark, d):
-    return G.call_paths(load(spark, d, "call_edge"), 3).withColumn("n_edges", F.col("n_edges").cast("long"))
+    return G.call_paths(load(spark, d, "call_edge"), 10).withColumn("n_edges", F.col("n_edges").cast("long"))
 
 
 def call_targets(spark, d):

@@ -79,6 +79,45 @@ def test_call_paths(spark):
     assert run([("a", "f1", "a", "f2"), ("a", "f2", "a", "f3")]) == []
 
 
+CALL = "from_module string, from_name string, to_module string, to_name string"
+
+
+def chains(calls, longest):
+    """All chains by depth-first search, as the reference walks them."""
+    edges = {(f"{a}#{f}", f"{b}#{g}", a, b) for a, f, b, g in calls}
+    called = {b for a, b, _, _ in edges if a != b}
+    sources = [e for e in edges if e[0] not in called] or [e for e in edges if e[0] == min(x[0] for x in edges)]
+    found = set()
+
+    def walk(path, mods):
+        if len(path) > 2 and len(mods) > 1:
+            found.add((path[0], " -> ".join(path), len(path) - 1))
+        if len(path) <= longest:
+            for a, b, m, k in edges:
+                if a == path[-1] and b not in path[1:]:
+                    walk([*path, b], mods | {m, k})
+
+    for a, b, m, k in sources:
+        if a != b:
+            walk([a, b], {m, k})
+    return found
+
+
+def test_call_path_queries_against_brute_force(spark, tmp_path):
+    from corvane.queries import documents, graphs
+
+    rng = random.Random(7)
+    calls = [(f"m{i % 3}", f"f{i}", f"m{(i + 1) % 3}", f"f{i + 1}") for i in range(12)] + [("m0", "f0", "m0", "f0")]
+    calls += [(f"m{a % 3}", f"f{a}", f"m{b % 3}", f"f{b}") for a, b in ((rng.randrange(1, 13), rng.randrange(1, 13)) for _ in range(8))]
+    ring = [(f"m{i}", "g", f"m{(i + 1) % 4}", "g") for i in range(4)]
+    for name, table in (("tree", calls), ("ring", ring)):
+        spark.createDataFrame(table, CALL).write.parquet(str(tmp_path / name / "call_edge.parquet"))
+        got = [tuple(r) for r in graphs.call_paths(spark, str(tmp_path / name)).collect()]
+        assert len(got) == len(set(got)) and set(got) == chains(table, 10)
+        assert {r["path"] for r in documents.sequence_diagrams(spark, str(tmp_path / name)).select("path").collect()} == {p for _, p, _ in got}
+    assert max(n for _, _, n in chains(calls, 10)) == 10 and max(n for _, _, n in chains(ring, 10)) == 4
+
+
 def test_global_rank_and_value_at(spark):
     df = spark.range(1000).selectExpr("id", "(id * 37) % 101 AS v")
     got = [(r["rank"], r["v"], r["id"]) for r in global_rank(df, df["v"].desc(), df["id"].asc()).orderBy("rank").collect()]
