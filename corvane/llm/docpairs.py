@@ -185,6 +185,55 @@ def function_span(lines: list[str], at: int, ext: str) -> tuple[int, int, int]:
     return at + (text.count("\n", 0, end) if end else len(lines) - 1 - at), row, 0
 
 
+def closings(lines: list[str], at: int, ext: str) -> Iterator[int]:
+    """Lines of the closing braces at which the function that begins in line `at` can end: more than
+    the first one where code goes on behind it, as after a type written in braces."""
+    text = "\n".join(lines[at:])
+    depth = 0
+    for m in language(ext).pattern.finditer(text):
+        x = m.group(1)
+        if x in "([{":
+            depth += 1
+        elif x in ")]}":
+            depth -= 1
+            if depth < 0:
+                return
+            if depth == 0 and x == "}":
+                yield at + text.count("\n", 0, m.end(1))
+                rest = re.compile(r"[ \t]*(.?)(.?)").match(text, m.end(1))
+                if (not rest.group(1) or rest.group(1) in ";,)" or rest.group(1) + rest.group(2) in ("//", "/*")) and not re.compile(r"\s*\{").match(text, m.end(1)):
+                    return
+
+
+def recovered(lines: list[str], at: int, row: int) -> int:
+    """The last line of a function whose brackets don't tell it: the next line that is indented no
+    deeper than its signature, which ends in line `row`, begins something else."""
+    indent = columns("\n" + re.match(r"[ \t]*", lines[at]).group(0))
+    last = at
+    for k in range(at + 1, len(lines)):
+        line = lines[k].strip()
+        width = columns("\n" + re.match(r"[ \t]*", lines[k]).group(0))
+        if line and k > row and width <= indent and line[0] not in "{)]":
+            return k if line[0] == "}" and width == indent else last
+        if line:
+            last = k
+    return last
+
+
+def bounded(lines: list[str], at: int, last: int, ext: str) -> tuple[int, bool]:
+    """(last line, whether the grammar accepts the function). The first end that the grammar accepts
+    counts: the scan's own, a later closing brace, or the end by indentation; without any, the last."""
+    text = lambda end: "\n".join(lines[at : end + 1])
+    if parses(ext, text(last)):
+        return last, True
+    for end in closings(lines, at, ext) if ext != "py" else ():
+        if end > last and parses(ext, text(end)):
+            return end, True
+    row = function_span(lines, at, ext)[1]
+    end = recovered(lines, at, row)
+    return (end, parses(ext, text(end))) if end < last else (last, False)
+
+
 def documented(text: str, ext: str, functions: list[tuple[str, int]]) -> list[dict]:
     """For each (name, line of the signature from 1): its documentation and code."""
     ext = ALIASES.get(ext, ext)
@@ -214,8 +263,10 @@ def documented(text: str, ext: str, functions: list[tuple[str, int]]) -> list[di
             doc = found[0] if found else None
         if doc is not None and ext != "py" and _is_code(doc, ext):
             doc = None
+        dull = doc is None or trivial(doc, name)
+        last, valid = (last, False) if dull else bounded(lines, at, last, ext)
         code = "\n".join(lines[at : last + 1])
-        out.append({"name": name, "start_line": line, "end_line": last + 1, "doc": doc, "code": code, "hash": int.from_bytes(hashlib.blake2b(re.sub(r"\W+", " ", prose(doc or "").lower()).encode(), digest_size=8).digest(), "little", signed=True), "trivial": doc is None or trivial(doc, name)})
+        out.append({"name": name, "start_line": line, "end_line": last + 1, "doc": doc, "code": code, "hash": int.from_bytes(hashlib.blake2b(re.sub(r"\W+", " ", prose(doc or "").lower()).encode(), digest_size=8).digest(), "little", signed=True), "trivial": dull, "parses": valid})
     return out
 
 
@@ -238,7 +289,8 @@ def documented_functions(files: DataFrame, symbols: DataFrame, template_share: f
     scanned_at; of each the latest delivery counts. A description that announces nothing of its own
     but comes with many functions is a template: descriptions of fewer than ten words that more than
     `template_share` of all documented functions share (ten at least, with different names) are
-    dropped. Null texts, lists and lines give no rows; equal (file_id, start_line) come out once.
+    dropped. A function that the grammar rejects at every possible end is kept up to its end by
+    indentation, with parses false. Null texts, lists and lines give no rows; equal (file_id, start_line) come out once.
     """
     at = lambda c: F.coalesce(F.col(c), F.lit("1900-01-01").cast("timestamp"))
     brief = lambda c: F.transform(c, lambda x: F.struct(x["name"].alias("name"), x["start_line"].cast("int").alias("line")))
@@ -262,7 +314,7 @@ def documented_functions(files: DataFrame, symbols: DataFrame, template_share: f
             for file_id, ext, text, named, seen in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 wanted = [(x["name"] or "", x["line"]) for x in named if x and x["line"]]
                 found = documented(text, ext, wanted)
-                rows += [{**f, "file_id": file_id, "seen": seen, "parses": parses(ext, f["code"])} for f in found if not f["trivial"]]
+                rows += [{**f, "file_id": file_id, "seen": seen} for f in found if not f["trivial"]]
             yield pa.RecordBatch.from_arrays([pa.array([r["file_id"] for r in rows], batch.schema.field(0).type), pa.array([r["seen"] for r in rows], batch.schema.field(4).type), *(pa.array([r[n] for r in rows], t) for n, t in fields)], ["file_id", "seen", *(n for n, _ in fields)])
 
     key_type = both.schema["file_id"].dataType.simpleString()

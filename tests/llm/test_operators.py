@@ -210,6 +210,16 @@ def test_documentation_of_each_language():
     assert doc_of("cpp", "/* Not a documentation comment of this one. */\nint f() { return 1; }\n", "f", 2)["doc"] is None
 
 
+def test_documented_functions_end_where_the_grammar_says():
+    go = "// Load reads all of the rows at once.\nfunc Load() interface{} {\n\treturn 1\n}\n\nfunc Next() {}\n"
+    got = doc_of("go", go, "Load", 2)
+    assert (got["end_line"], got["parses"]) == (4, True)
+    js = "/** Sends all of the rows at once. */\nfunction send(a) {\n  call(a;\n}\n\n/** Another one that is quite fine. */\nfunction next() {\n  return 1;\n}\n"
+    assert [(doc_of("js", js, n, k)["end_line"], doc_of("js", js, n, k)["parses"]) for n, k in (("send", 2), ("next", 7))] == [(4, False), (9, True)]
+    py = 'def send(a):\n    """Sends all of the rows at once."""\n    call(a\n\ndef next():\n    """Another one that is quite fine."""\n    return 1\n'
+    assert [(doc_of("py", py, n, k)["end_line"], doc_of("py", py, n, k)["parses"]) for n, k in (("send", 1), ("next", 5))] == [(3, False), (7, True)]
+
+
 @pytest.mark.parametrize("text", ["", "...", "TODO", "TODO write the documentation for this function later", "Document me when the interface has settled down", "No docs yet", "Sends the pigeon.", "Send pigeon", "@param a the first of all the values\n@return nothing at all here", "Args:\n    a: the first of the given values", "<b></b>"])
 def test_trivial(text):
     assert docpairs.trivial(text, "send_pigeon")
