@@ -8,6 +8,7 @@ with a full stop at all, at which length its field was cut, which words and clos
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -151,7 +152,8 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
     Counts over the whole corpus decide what an ending means: a word at the end counts as broken
     off if other texts have words that it begins, fifty times as often as itself; a phrase before
-    an ellipsis is a way to close if a twentieth of such texts, three at least, end in it; a missing
+    an ellipsis is a way to close if a twentieth of such texts, three at least, end in it, copies
+    counted once, and they come from three sources or from as many as have such texts; a missing
     full stop means nothing in a source where most texts lack one, or after a label whose lines
     mostly lack one; a text as long as its source's
     longest ones (three at least) stopped at the limit of its field.
@@ -167,9 +169,10 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         for batch in batches:
             ends = [ending(t or "") for t in batch.column(1).to_pylist()]
             lengths = [len(t or "") for t in batch.column(1).to_pylist()]
+            hashes = [int.from_bytes(hashlib.blake2b(t.rstrip().encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True) if e[0] == "dots" else 0 for e, t in zip(ends, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(lengths, pa.int32()), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.array([head(t or "") for t in batch.column(1).to_pylist()])],
-                ["key", "source", "length", "state", "word", "head"],
+                [batch.column(0), batch.column(2), pa.array(lengths, pa.int32()), pa.array([e[0] for e in ends]), pa.array([e[1] for e in ends]), pa.array([head(t or "") for t in batch.column(1).to_pylist()]), pa.array(hashes, pa.int64())],
+                ["key", "source", "length", "state", "word", "head", "hash"],
             )
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +184,7 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
             short = {w: n for w, n in counts.items() if len(w) <= 40}
             yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], ["word", "n"])
 
-    judged = cut_lineage(rows.mapInArrow(judge, f"key {key_type}, source string, length int, state string, word string, head string"))
+    judged = cut_lineage(rows.mapInArrow(judge, f"key {key_type}, source string, length int, state string, word string, head string, hash long"))
     # A label whose lines mostly do end in a full stop introduces a sentence.
     heads = judged.where("head <> ''").groupBy("head").agg(F.avg(F.when(F.col("state") == "open", 1.0).otherwise(0.0)).alias("bare_head"))
     heads = heads.where("bare_head < 0.5").select("head", F.lit(True).alias("spoken"))
@@ -201,9 +204,12 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     limits = at_longest.groupBy("s2").agg(F.count("*").alias("at_limit"))
     sources = sources.join(limits, same("source", "s2")).select(F.col("source").alias("of"), "longest", "bare", "at_limit")
 
-    closings = judged.where("state = 'dots'").groupBy("word").agg(F.count("*").alias("k"))
-    total = closings.agg(F.sum("k").alias("all"))
-    closings = closings.join(F.broadcast(total)).where("k >= 3 and k * 20 >= all").select("word", F.lit(True).alias("closes"))
+    # A copied text is one witness, from one source.
+    dotted = judged.where("state = 'dots'").groupBy("word", "hash").agg(F.min("source").alias("source"))
+    origins = F.count_distinct(F.struct("source"))
+    closings = dotted.groupBy("word").agg(F.count("*").alias("k"), origins.alias("origins"))
+    total = dotted.agg(F.count("*").alias("all"), origins.alias("all_origins"))
+    closings = closings.join(F.broadcast(total)).where("k >= 3 and k * 20 >= all and origins >= least(3, all_origins)").select("word", F.lit(True).alias("closes"))
 
     # Most texts end as they should: only the others meet the tables of words.
     doubtful = F.col("state").isin("open", "plain", "dots") & (F.col("word") != "")

@@ -342,3 +342,12 @@ def test_truncated_table(spark):
     assert sorted(r["doc_id"] for r in flagged.where("cut").collect()) == [900, 901, 905]
     assert {r["source"]: r["cut_texts"] for r in truncation.rates(flagged, "source").collect()} == {"s1": 2, "notes": 1, None: 0}
     assert truncation.truncated(df.where("false"), "doc_id", "text", "source").count() == 0
+
+
+def test_copies_of_a_cut_text_are_no_closing_phrase(spark):
+    cut = [(i, "The lantern is kept near the har...", f"s{i % 4}") for i in range(12)]
+    alike = [(50 + i, f"Rule {i} of the gate is that the har...", "s1") for i in range(3)]
+    closing = [(100 + i, f"The gate number {i} opens next week...", f"s{i % 4}") for i in range(12)]
+    df = table(spark, cut + alike + closing, "doc_id long, text string, source string")
+    flagged = {r["doc_id"] for r in truncation.truncated(df, "doc_id", "text", "source").where("cut").collect()}
+    assert flagged == {i for i, *_ in cut + alike}
