@@ -252,6 +252,18 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(df.where("false"), "file_id", "filename", "content").count() == 0
 
 
+def test_a_library_in_many_repositories_stays_foreign(spark):
+    words = "alpha beta gamma delta harbor lantern mirror copper".split()
+    both = list(itertools.permutations(words, 2))
+    mine = [(i, f"r{i}/own{i}.py", "".join(f"def {a}_{b}_{i}(x):\n    return x\n" for a, b in both[:20])) for i in range(10)]
+    library = "".join(f"def {a}{b.title()}(x):\n    return x\n" for a, b in both[:40])
+    copies = [(100 + i, f"r{i}/util/grid.py", library + "# %d\n" % (i % 3)) for i in range(10)]
+    for parts in (1, 7):
+        df = table(spark, mine + copies, "file_id long, filename string, content string").repartition(parts)
+        got = {r["file_id"]: r["reason"] for r in handwritten.not_handwritten(df, "file_id", "filename", "content").collect()}
+        assert got == {i: None for i, *_ in mine} | {i: "vendored" for i, *_ in copies}
+
+
 # -- 8 and 9: packing and mixing ------------------------------------------------------------
 
 
