@@ -1,12 +1,16 @@
 """A generalised LL recogniser over a graph-structured stack, and a notation for grammars.
 
-Tokens are integers. A pair of brackets with all that it holds is one token: equal contents get
-the same number, so that each shape is parsed once however often it occurs. A grammar refers to such
-a token together with the symbol its content must match.
+Tokens are integers. A pair of brackets with all that it holds is one token: contents that match the
+same symbols get the same number, so that each shape is parsed once however often it occurs. A
+grammar refers to such a token together with the symbol its content must match.
 
 Notation, one rule per `Name = ...`: 'x' a terminal, Name a symbol, @word any word, @any any token,
-(| X |) [| X |] {| X |} a bracketed group with content X, <| X |> an indented block, $ the end of the
-sequence, ( ) ? * + | as usual, and X % ',' for a list with a separator.
+@flat any token but a line end, a semicolon and a block, (| X |) [| X |] {| X |} a bracketed group
+with content X, <| X |> an indented block, $ the end of the sequence, ( ) ? * + | as usual, and
+X % ',' for a list with a separator.
+
+What a symbol can match from a place on depends on no more tokens than the parse has looked at. So the
+ends of list items are remembered together with exactly these tokens, whatever follows them.
 """
 
 from __future__ import annotations
@@ -18,6 +22,10 @@ RULE = re.compile(r"^([A-Z]\w*)\s*(\+?=)(?!=)", re.M)
 PAREN, BRACKET, BRACE, INDENT = 0, 1, 2, 3
 #: Numbers below are brackets themselves; groups are numbered from BASE.
 FIRST_KIND, BASE = 4, 1 << 20
+#: What stands behind the last token of every sequence.
+END = -1
+#: Kinds of grammar symbols.
+TOKENS, SYMBOL, GROUP, LOOP, LAST = range(5)
 
 
 class Terms:
@@ -37,14 +45,15 @@ class Terms:
 
 
 class Grammar:
-    """Rules compiled to alternatives; a symbol is ("t", kinds), ("n", symbol), ("g", bracket, symbol) or ("$",)."""
+    """Rules compiled to alternatives of (TOKENS, kinds), (SYMBOL, symbol), (GROUP, bracket, symbol)
+    (LAST,), the end, and (LOOP, symbol), which is the symbol any number of times."""
 
     def __init__(self, text: str, terms: Terms) -> None:
-        self.terms, self.names, self.alts = terms, {}, []
+        self.terms, self.names, self.alts, self.separated = terms, {}, [], []
+        self.made: dict[tuple, int] = {}
         spans = list(RULE.finditer(text))
         for m, nxt in zip(spans, [*spans[1:], None]):
             self._named(m.group(1))
-        self.waiting: list[tuple[int, list]] = []
         for m, nxt in zip(spans, [*spans[1:], None]):
             body = text[m.end() : nxt.start() if nxt else len(text)]
             self.tokens, self.at = self._lex(body), 0
@@ -56,7 +65,12 @@ class Grammar:
             if not self.alts[k]:
                 raise ValueError(f"no rule for {name}")
         #: By bracket, the symbols that rules put inside of it.
-        self.inside: list[list[int]] = [sorted({s[2] for x in self.alts for a in x for s in a if s[0] == "g" and s[1] == b}) for b in range(FIRST_KIND)]
+        self.inside: list[list[int]] = [sorted({s[2] for x in self.alts for a in x for s in a if s[0] == GROUP and s[1] == b}) for b in range(FIRST_KIND)]
+        #: Symbols whose ends are remembered: items of comma lists, and those that a language names.
+        self.items = set(self.separated)
+        #: Symbols whose rules are those of another symbol but for alternatives that begin with a
+        #: token: symbol -> (other symbol, token).
+        self.stricter: dict[int, tuple[int, int]] = {}
         self._prepare()
 
     def _named(self, name: str) -> int:
@@ -66,8 +80,14 @@ class Grammar:
         return self.names[name]
 
     def _fresh(self, alternatives: list) -> tuple:
-        self.alts.append(alternatives)
-        return ("n", len(self.alts) - 1)
+        """A symbol without a name; equal ones are one."""
+        if len(alternatives) == 1 and len(alternatives[0]) == 1 and alternatives[0][0][0] == SYMBOL:
+            return alternatives[0][0]
+        key = tuple(map(tuple, alternatives))
+        if key not in self.made:
+            self.made[key] = len(self.alts)
+            self.alts.append(alternatives)
+        return (SYMBOL, self.made[key])
 
     @staticmethod
     def _lex(body: str) -> list[tuple[str, str]]:
@@ -99,21 +119,21 @@ class Grammar:
                 return out
             self.at += 1
             if kind == "t":
-                symbol: tuple = ("t", frozenset([self.terms(text[1:-1])]))
+                symbol: tuple = (TOKENS, frozenset([self.terms(text[1:-1])]))
             elif kind == "n":
-                symbol = ("n", self._named(text))
+                symbol = (SYMBOL, self._named(text))
             elif kind == "c":
                 symbol = ("c", text)
             elif kind == "o":
                 inner = self._fresh(self._alternatives())
                 self.at += 1
-                symbol = ("g", {"(|": PAREN, "[|": BRACKET, "{|": BRACE, "<|": INDENT}[text], inner[1])
+                symbol = (GROUP, {"(|": PAREN, "[|": BRACKET, "{|": BRACE, "<|": INDENT}[text], inner[1])
             elif text == "(":
                 inner = self._alternatives()
                 self.at += 1
                 symbol = inner[0][0] if len(inner) == 1 and len(inner[0]) == 1 else self._fresh(inner)
             elif text == "$":
-                symbol = ("$",)
+                symbol = (LAST,)
             else:
                 raise ValueError(f"unexpected {text}")
             while self._peek()[1] in ("?", "*", "+", "%") and self._peek()[0] == "p":
@@ -121,29 +141,26 @@ class Grammar:
                 self.at += 1
                 if op == "?":
                     symbol = self._fresh([[symbol], []])
-                elif op == "*":
-                    loop = self._fresh([])
-                    self.alts[loop[1]] += [[], [symbol, loop]]
-                    symbol = loop
-                elif op == "+":
-                    loop = self._fresh([])
-                    self.alts[loop[1]] += [[], [symbol, loop]]
-                    symbol = self._fresh([[symbol, loop]])
-                else:
-                    separator = ("t", frozenset([self.terms(self._peek()[1][1:-1])]))
+                elif op == "%":
+                    separator = (TOKENS, frozenset([self.terms(self._peek()[1][1:-1])]))
                     self.at += 1
-                    loop = self._fresh([])
-                    self.alts[loop[1]] += [[], [separator, symbol, loop]]
-                    symbol = self._fresh([[symbol, loop]])
+                    step = self._fresh([[separator, symbol]])
+                    self.separated.append(step[1])
+                    symbol = self._fresh([[symbol, (LOOP, step[1])]])
+                else:
+                    step = symbol if symbol[0] == SYMBOL else self._fresh([[symbol]])
+                    symbol = (LOOP, step[1]) if op == "*" else self._fresh([[step, (LOOP, step[1])]])
             out.append(symbol)
 
     def _prepare(self) -> None:
         """First sets, and for every symbol the alternatives that a token can begin."""
         every = frozenset([*range(FIRST_KIND), *self.terms.number.values()])
         words = frozenset(self.terms.words)
+        blocks = frozenset([BRACE, INDENT, *(self.terms.number[x] for x in (";", "nl") if x in self.terms.number)])
+        classes = {"@word": (TOKENS, words), "@any": (TOKENS, every), "@flat": (TOKENS, every - blocks)}
         for alternatives in self.alts:
             for k, alternative in enumerate(alternatives):
-                alternatives[k] = tuple(("t", words) if s == ("c", "@word") else ("a",) if s == ("c", "@any") else s for s in alternative)
+                alternatives[k] = tuple(classes[s[1]] if s[0] == "c" else s for s in alternative)
         n = len(self.alts)
         first: list[set[int]] = [set() for _ in range(n)]
         empty = [False] * n
@@ -151,16 +168,15 @@ class Grammar:
         def of(alternative: tuple) -> tuple[set[int], bool]:
             out: set[int] = set()
             for s in alternative:
-                if s[0] == "t":
+                if s[0] == TOKENS:
                     return out | s[1], False
-                if s[0] == "a":
-                    return out | every, False
-                if s[0] == "g":
+                if s[0] == GROUP:
                     return out | {s[1]}, False
-                if s[0] == "n":
-                    out |= first[s[1]]
-                    if not empty[s[1]]:
-                        return out, False
+                if s[0] == LAST:
+                    return out | {END}, False
+                out |= first[s[1]]
+                if s[0] == SYMBOL and not empty[s[1]]:
+                    return out, False
             return out, True
 
         changed = True
@@ -174,21 +190,42 @@ class Grammar:
                         empty[k] |= e
                         changed = True
         self.predict: list[dict[int, list]] = []
-        self.at_end: list[list] = []
         number = 0
         for k in range(n):
             table: dict[int, list] = {}
-            nullable = []
             for alternative in self.alts[k]:
                 f, e = of(alternative)
-                entry = (number, alternative)
+                entry = (number, alternative, len(alternative))
                 number += 1
-                if e:
-                    nullable.append(entry)
-                for token in every if e else f:
+                for token in (*every, END) if e else f:
                     table.setdefault(token, []).append(entry)
             self.predict.append(table)
-            self.at_end.append(nullable)
+
+
+class Line:
+    """A sequence of tokens on which parses run."""
+
+    __slots__ = ("tokens", "shapes", "n", "cuts")
+
+    def __init__(self, tokens: tuple, kinds: list[int], cutting: frozenset[int]) -> None:
+        self.n = len(tokens)
+        self.tokens = tokens + (END,)
+        self.shapes = [t if t < BASE else kinds[t - BASE] for t in self.tokens]
+        self.cuts: list[int] = []
+        if self.n > SHORT:
+            cuts, last = [self.n] * (self.n + 1), self.n
+            for i in range(self.n - 1, -1, -1):
+                if self.shapes[i] in cutting:
+                    last = i + 1
+                cuts[i] = last
+            self.cuts = cuts
+
+
+#: Sequences up to this length are parsed without remembering the ends of their items.
+SHORT = 8
+#: Parses of items run inside of each other to this depth; deeper ones share one stack.
+DEEP = 24
+MORE = ((), -1)
 
 
 class Recogniser:
@@ -199,16 +236,21 @@ class Recogniser:
 
     def __init__(self, grammar: Grammar) -> None:
         self.grammar = grammar
+        number = grammar.terms.number
+        #: Tokens behind which an item may end; they only decide how far the memory looks at first.
+        self.cutting = frozenset([BRACE, INDENT, *(number[x] for x in (";", ",", "nl") if x in number)])
         self.forget()
 
     def forget(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.kinds: list[int] = []
-        self.contents: list[tuple] = []
+        self.accepted: list[frozenset[int]] = []
         self.known: dict[tuple, bool] = {}
+        self.ends: dict[tuple, tuple] = {}
         self.classes: dict[tuple, int] = {}
-        #: Groups that match nothing that a rule puts into such a bracket.
-        self.hopeless: set[int] = set()
+
+    def size(self) -> int:
+        return len(self.numbers) + len(self.known) + len(self.ends)
 
     def group(self, bracket: int, content: tuple) -> int:
         """The number of a group. Contents that match the same symbols of the grammar can't be told
@@ -216,111 +258,146 @@ class Recogniser:
         key = (bracket, content)
         got = self.numbers.get(key)
         if got is None:
-            told = self.shortened(content) if len(content) > 40 else content
-            accepted = tuple([self.matches(s, told) for s in self.grammar.inside[bracket]])
+            accepted = self._accepted(bracket, content)
             got = self.classes.get((bracket, accepted))
             if got is None:
                 got = self.classes[bracket, accepted] = BASE + len(self.kinds)
                 self.kinds.append(bracket)
-                self.contents.append(told)
-                if not any(accepted):
-                    self.hopeless.add(got)
+                self.accepted.append(accepted)
             self.numbers[key] = got
         return got
 
-    def shortened(self, content: tuple) -> tuple:
-        """Long lists with runs of equal items cut to eight, as no rule counts beyond that."""
-        comma = self.grammar.terms.number.get(",")
-        out: list[int] = []
-        item: list[int] = []
-        last, run = None, 0
-        for t in content:
-            item.append(t)
-            if t == comma:
-                run = run + 1 if item == last else 0
-                if run < 8:
-                    out += item
-                last, item = item, []
-        return tuple(out + item)
-
-    def matches(self, symbol: int, tokens: tuple, final: bool = True) -> bool:
-        """Whether a sequence is one of the symbol. final: `$` may match its end."""
-        key = (symbol, tokens, final)
-        got = self.known.get(key)
-        if got is None:
-            got = self.known[key] = self._parse(symbol, tokens, final)
-        return got
-
-    def in_group(self, symbol: int, token: int) -> bool:
-        return self.matches(symbol, self.contents[token - BASE])
-
-    def viable(self, symbol: int, tokens: tuple) -> bool:
-        """Whether the symbol has a sequence that begins with these tokens."""
+    def _accepted(self, bracket: int, content: tuple) -> frozenset[int]:
+        strict = self.grammar.stricter
+        out = {s for s in self.grammar.inside[bracket] if s not in strict and self.matches(s, content)}
+        for s in self.grammar.inside[bracket]:
+            if s in strict and (other := strict[s][0]) in out:
+                # Where neither the token nor a group that differs occurs, both are the same.
+                below = [self.accepted[t - BASE] for t in content if t >= BASE]
+                same = strict[s][1] not in content and not any(o in a and x not in a for a in below for x, (o, _) in strict.items())
+                if same or self.matches(s, content):
+                    out.add(s)
+        return frozenset(out)
+
+    def line(self, tokens: tuple) -> Line:
+        return Line(tokens, self.kinds, self.cutting)
+
+    def matches(self, symbol: int, tokens: tuple) -> bool:
+        """Whether a whole sequence is one of the symbol."""
         key = (symbol, tokens)
         got = self.known.get(key)
         if got is None:
-            got = self.known[key] = self._parse(symbol, tokens, False, True)
+            head = END if not tokens else tokens[0] if tokens[0] < BASE else self.kinds[tokens[0] - BASE]
+            if head not in self.grammar.predict[symbol]:
+                return False
+            line = self.line(tokens)
+            got = self.known[key] = line.n in self._run(symbol, line, 0, 0, line.n)[0]
         return got
 
-    def _parse(self, symbol: int, tokens: tuple, final: bool, prefix: bool = False) -> bool:
-        """Descriptors are (alternative, place in it, position, stack node). A stack node is a symbol
-        at a position: [ends, returns]; a return continues an alternative of a calling node."""
-        if self.hopeless and not self.hopeless.isdisjoint(tokens):
-            return False
-        predict, at_end, n = self.grammar.predict, self.grammar.at_end, len(tokens)
-        kinds, shapes = self.kinds, [t if t < BASE else self.kinds[t - BASE] for t in tokens]
+    def ends_from(self, symbol: int, line: Line, start: int) -> tuple[int, ...]:
+        """Every place where a sequence of the symbol that begins at `start` can end."""
+        if line.n <= SHORT:
+            return tuple(self._run(symbol, line, start, 0)[0])
+        return tuple(start + e for e in self._item(symbol, line, start, 0)[0])
+
+    def _item(self, symbol: int, line: Line, start: int, depth: int) -> tuple[tuple[int, ...], int]:
+        """(lengths, number of tokens looked at) of the symbol from a place on, from memory where the
+        tokens looked at are known."""
+        tokens, n, known = line.tokens, line.n, self.ends
+        cut, stop, turn = line.cuts[start], line.cuts[start], 0
+        asked = None
+        while True:
+            if cut >= n:
+                stop = n + 1
+            key = (symbol, tokens[start:stop])
+            got = known.get(key) if asked is None else None
+            if got is None:
+                if asked is None:
+                    ends, looked = self._run(symbol, line, start, depth)
+                    asked = tuple([e - start for e in ends]), looked - start
+                if asked[1] < stop - start:
+                    known[key] = asked
+                    return asked
+                known[key] = MORE
+            elif got is not MORE:
+                return got
+            # First one token more, then twice as many.
+            turn += 1
+            if turn == 1:
+                stop = cut + 1
+            else:
+                cut = line.cuts[min(n, start + 2 * (cut - start))]
+                stop = cut + 1
+
+    def _run(self, symbol: int, line: Line, start: int, depth: int, goal: int = -1) -> tuple[set[int], int]:
+        """(ends, last place looked at). Descriptors are (alternative, place in it, position, stack
+        node). A stack node is a symbol at a position: (ends, returns); a return continues an
+        alternative of a calling node. With a goal, the parse stops where it is reached."""
+        predict, items, accepted = self.grammar.predict, self.grammar.items, self.accepted
+        tokens, shapes = line.tokens, line.shapes
+        remember = line.n > SHORT and depth < DEEP
         root: tuple[set, list] = (set(), [])
-        nodes = {(symbol, 0): root}
+        nodes = {(symbol, start): root}
         done: set[tuple] = set()
-        todo = [(a, 0, 0, root) for a in (predict[symbol].get(shapes[0], ()) if n else at_end[symbol])]
+        looked = start
+        todo = [(a, 0, start, root) for a in predict[symbol].get(shapes[start], ())]
         while todo:
-            (number, alternative), k, i, node = todo.pop()
-            mark = (number, k, i, id(node))
+            alternative, k, i, node = todo.pop()
+            mark = (alternative[0], k, i, id(node))
             if mark in done:
                 continue
             done.add(mark)
-            size = len(alternative)
+            _, body, size = alternative
             while k < size:
-                if prefix and i == n:
-                    return True
-                s = alternative[k]
+                if i > looked:
+                    looked = i
+                s = body[k]
                 kind = s[0]
-                if kind == "t":
-                    if i < n and shapes[i] in s[1]:
-                        i += 1
-                    else:
+                if kind == TOKENS:
+                    if shapes[i] not in s[1]:
                         break
-                elif kind == "n":
-                    at = (s[1], i)
-                    child = nodes.get(at)
-                    if child is None:
-                        child = nodes[at] = (set(), [])
-                        child[1].append(((number, alternative), k + 1, node))
-                        for a in predict[s[1]].get(shapes[i], ()) if i < n else at_end[s[1]]:
-                            todo.append((a, 0, i, child))
-                    else:
-                        child[1].append(((number, alternative), k + 1, node))
-                        for end in child[0]:
-                            todo.append(((number, alternative), k + 1, end, node))
-                    break
-                elif kind == "g":
-                    if i < n and shapes[i] == s[1] and tokens[i] >= BASE and self.in_group(s[2], tokens[i]):
-                        i += 1
-                    else:
+                    i += 1
+                elif kind == GROUP:
+                    if shapes[i] != s[1] or tokens[i] < BASE or s[2] not in accepted[tokens[i] - BASE]:
                         break
-                elif kind == "a":
-                    if i < n:
-                        i += 1
-                    else:
+                    i += 1
+                elif kind == LAST:
+                    if shapes[i] != END:
+                        break
+                else:
+                    below = s[1]
+                    options = predict[below].get(shapes[i])
+                    after = k if kind == LOOP else k + 1
+                    if options:
+                        if remember and below in items and (below, i) not in nodes:
+                            lengths, seen = self._item(below, line, i, depth + 1)
+                            if i + seen > looked:
+                                looked = i + seen
+                            for e in lengths:
+                                todo.append((alternative, after, i + e, node))
+                        else:
+                            child = nodes.get((below, i))
+                            if child is None:
+                                child = nodes[below, i] = (set(), [])
+                                for a in options:
+                                    todo.append((a, 0, i, child))
+                            else:
+                                for e in child[0]:
+                                    todo.append((alternative, after, e, node))
+                            child[1].append((alternative, after, node))
+                    if kind == SYMBOL:
                         break
-                elif not (final and i == n):
-                    break
                 k += 1
             else:
                 if i not in node[0]:
                     node[0].add(i)
-                    if node is root and i == n:
-                        return True
+                    if i == goal and node is root:
+                        return node[0], looked
                     for a, place, parent in node[1]:
+                        # A token that must come next is tried before the alternative is taken up.
+                        if place < a[2] and (s := a[1][place])[0] == TOKENS and shapes[i] not in s[1]:
+                            if i > looked:
+                                looked = i
+                            continue
                         todo.append((a, place, i, parent))
-        return n in root[0]
+        return root[0], looked

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-import sys
+from collections.abc import Iterator
 from functools import lru_cache
 
 from . import rules
@@ -20,40 +20,38 @@ class Invalid(Exception):
     """The text can't be read as tokens in balanced brackets."""
 
 
-def plain(grammar: Grammar, symbol: int) -> int:
-    """The symbol that another one is only a second name of."""
-    while len(a := grammar.alts[symbol]) == 1 and len(a[0]) == 1 and a[0][0][0] == "n":
-        symbol = a[0][0][1]
-    return symbol
-
-
 class Language:
     """Terms, grammar and token pattern of one language.
 
-    lists names the rules that are repetitions of an item; such a list is matched piece by piece,
-    cut where an item surely ends, so that pieces seen before needn't be parsed again. If a piece
-    fails, the whole list is parsed. mode: how line ends count ("", "go", "js" or "py").
+    items names the symbols that lists are made of, whose ends are worth remembering. top is what a
+    file is: one symbol, whose alternatives are the dialects. mode: how line ends count ("", "go",
+    "js" or "py").
     """
 
-    def __init__(self, name, text, tokens, blank, keywords, lists, tops, cut=(";",), joins=(), headers=(), mode="", suffix="", operators=()):
-        self.name, self.mode = name, mode
+    def __init__(self, name, text, tokens, blank, keywords, items, top="Unit", mode="", suffix="", operators=()):
+        self.name, self.mode, self.markup = name, mode, name in ("jsx", "tsx")
         self.terms = Terms()
         for word in keywords:
             self.terms(word)
         self.id, self.num, self.str, self.tmpl = (self.terms(x) for x in ("id", "num", "str", "tmpl"))
-        self.regex, self.life, self.private = self.terms("regex"), self.terms("life"), self.terms("private")
-        self.semi, self.nl = self.terms(";"), self.terms("nl")
+        self.regex, self.life = self.terms("regex"), self.terms("life")
+        self.semi, self.nl, self.err = self.terms(";"), self.terms("nl"), self.terms("err")
+        self.private = self.terms("#private")
+        for word in ("<markup", "markup>"):
+            self.terms(word)
         self.grammar = Grammar(text, self.terms)
+        names = self.grammar.names
+        self.grammar.items.update(names[x] for x in items)
+        self.top = names[top]
+        for name in names:
+            if f"{name}0" in names and "return" in keywords:
+                self.grammar.stricter[names[f"{name}0"]] = names[name], self.terms("return")
         self.recogniser = Recogniser(self.grammar)
         self.keywords = frozenset(keywords)
         operator = "|".join(re.escape(x) for x in sorted({x for x in self.terms.number if not re.match(r"\w", x) and x not in (";",)} | {";"} | set(operators), key=len, reverse=True))
         number = NUMBER + f"(?:{suffix})?(?!\\w)" if suffix else NUMBER + r"(?!\w)"
         self.pattern = re.compile(rf"(?:{blank})*({tokens}|{number}|{ID}|{operator}|[()\[\]{{}}]|\n|/\*|[^\s])", re.M)
-        names = self.grammar.names
-        self.lists = {plain(self.grammar, names[x]) for x in lists}
-        self.tops = [names[x] for x in tops]
         t = self.terms.number
-        self.cut, self.joins, self.headers = ({t[x] for x in xs if x in t} for xs in (cut, joins, headers))
         self.enders = {self.id, self.num, self.str, self.tmpl, self.regex, self.life, self.private} | {t[x] for x in ENDERS if x in t}
         if mode == "js":
             self.enders |= {t[x] for x in t if x in WORDS_AS_NAMES}
@@ -68,7 +66,7 @@ class Language:
         """The number of a lexeme; -1 for what is no token."""
         got = self.terms.number.get(lexeme)
         c = lexeme[0]
-        if got is not None and lexeme not in ("id", "num", "str", "tmpl", "regex", "life", "private", "nl", "err", "pp") or lexeme in self.keywords:
+        if got is not None and lexeme not in ("id", "num", "str", "tmpl", "regex", "life", "#private", "nl", "err", "pp") or lexeme in self.keywords:
             return self.terms.number[lexeme]
         if len(lexeme) > 1 and lexeme[-1] in "\"'`#" and (c in "\"'`" or re.match(r"[A-Za-z]{1,3}\d?#*[\"']", lexeme)):
             return self.tmpl if c == "`" and self.mode == "js" else self.str
@@ -92,13 +90,13 @@ class Language:
         text = text.replace("\r\n", "\n")
         if text.startswith("﻿"):
             text = text[1:]
-        if self.name in ("js", "ts", "rs", "py") and text.startswith("#!") and not text.startswith("#!["):
+        if (self.mode in ("js", "py") or self.name == "rs") and text.startswith("#!") and not text.startswith("#!["):
             text = text[text.find("\n") :] if "\n" in text else ""
         if self.mode == "py":
             return self._python(text)
-        lexemes = self._careful(text) if self.mode == "js" and REGEXISH.search(text) else self.lexemes(text)
+        lexemes = (x for x, _, _ in self._careful(text)) if self.mode == "js" and (self.markup or REGEXISH.search(text)) else self.lexemes(text)
         kinds, kind, group = self.kinds, self.kind, self.recogniser.group
-        go, js, semi, enders, going_on = self.mode == "go", self.mode == "js", self.semi, self.enders, self.going_on
+        go, semi, enders = self.mode == "go", self.semi, self.enders
         stack: list[tuple[int, list[int]]] = []
         current: list[int] = []
         waiting = False
@@ -119,9 +117,7 @@ class Language:
                 continue
             if waiting:
                 waiting = False
-                headed = len(current) > 1 and current[-1] >= BASE and current[-2] in self.heads
-                before_else = bool(current) and k == self.otherwise and (current[-1] < BASE or self.recogniser.kinds[current[-1] - BASE] != BRACE)
-                if current and not headed and (current[-1] in enders or current[-1] >= BASE) and (k not in going_on or before_else) and x not in ")]}" and (x not in "([{" or x == "{" and current[-1] < BASE):
+                if self.ends_before(current, k, x):
                     current.append(semi)
             if x in OPENING:
                 stack.append((OPENING[x], current))
@@ -140,10 +136,19 @@ class Language:
             current.append(semi)
         return tuple(current)
 
+    def ends_before(self, current: list[int], k: int, x: str) -> bool:
+        """Whether a line end before token k (lexeme x) of a script closes a statement."""
+        if not current:
+            return False
+        last, kinds = current[-1], self.recogniser.kinds
+        headed = len(current) > 1 and last >= BASE and current[-2] in self.heads
+        before_else = k == self.otherwise and (last < BASE or kinds[last - BASE] != BRACE)
+        return not headed and (last in self.enders or last >= BASE) and (k not in self.going_on or before_else) and x not in ")]}" and (x not in "([{" or x == "{" and last < BASE)
+
     def _new_kind(self, x: str) -> int:
         if x == "\n":
             k = -2 if self.mode in ("go", "js") else -3
-        elif x[0] == "#" and self.name == "cpp":
+        elif x[0] == "#" and self.name in ("cpp", "c", "h"):
             k = -3 if DIRECTIVE.fullmatch(x) else -1
         elif x in OPENING or x in CLOSING:
             k = OPENING.get(x, CLOSING.get(x, 0))
@@ -154,57 +159,124 @@ class Language:
         self.kinds[x] = k
         return k
 
-    def _careful(self, text: str) -> list[str]:
-        """Lexemes of JavaScript where a slash can begin a pattern and templates can nest."""
-        out, at, n = [], 0, len(text)
-        match, last = self.pattern.match, ""
-        while at < n:
-            m = match(text, at)
-            if not m:
-                break
-            x = m.group(1)
-            start = m.start(1)
-            if x[0] == "/" and x not in ("/*",) and (not last or last in BEFORE_PATTERN or (last[-1] in "=(,:;!&|?{}[+-*%<>~^" and last not in ("++", "--") and last[0] not in "\"'`")):
-                r = PATTERN.match(text, start)
-                if r:
-                    out.append("/regex/")
-                    last, at = ")", r.end()
-                    continue
+    def scan(self, text: str) -> Iterator[tuple[str, int, int]]:
+        """(lexeme, start, end) of every lexeme."""
+        if self.mode == "js" and (self.markup or REGEXISH.search(text)):
+            yield from self._careful(text)
+        else:
+            for m in self.pattern.finditer(text):
+                yield m.group(1), m.start(1), m.end(1)
+
+    def _careful(self, text: str) -> Iterator[tuple[str, int, int]]:
+        """Lexemes of scripts where a slash can begin a pattern, templates can nest and, where the
+        language has it, a `<` can begin markup."""
+        self.kinds["/regex/"] = self.regex
+        match, last, at = self.pattern.match, "", 0
+        #: What encloses the place: "" for plain brackets, else the names of open tags.
+        holders: list[list[str] | None] = []
+        depth: list[int] = []
+        while m := match(text, at):
+            x, start = m.group(1), m.start(1)
+            begins = not last or last in BEFORE_PATTERN or (last[-1] in "=(,:;!&|?{}[+-*%<>~^" and last not in ("++", "--") and last[0] not in "\"'`")
+            if x[0] == "/" and x != "/*" and begins and (r := PATTERN.match(text, start)):
+                yield "/regex/", start, r.end()
+                last, at = ")", r.end()
+                continue
             if x[0] == "`":
-                stop = self._template(text, start)
-                out.append("``")
-                last, at = ")", stop
+                at = self._template(text, start)
+                yield "``", start, at
+                last = ")"
+                continue
+            if self.markup and x == "<" and (begins or last == "=>") and (t := TAG.match(text, start)) and not (self.name == "tsx" and GENERIC.match(text, start)):
+                holders.append([])
+                depth.append(0)
+                at = yield from self._markup(text, start, holders[-1])
+                last = ")" if not holders[-1] else "{"
+                if not holders[-1]:
+                    holders.pop()
+                    depth.pop()
                 continue
-            out.append(x)
+            yield x, start, m.end()
+            at = m.end()
             if x != "\n":
                 last = x
-            at = m.end()
-        self.kinds["/regex/"] = self.regex
-        return out
+            if holders and x in "{}":
+                depth[-1] += 1 if x == "{" else -1
+                if depth[-1] == -1:  # back in the markup
+                    depth[-1] = 0
+                    at = yield from self._markup(text, at, holders[-1])
+                    last = ")" if not holders[-1] else "{"
+                    if not holders[-1]:
+                        holders.pop()
+                        depth.pop()
+
+    def _markup(self, text: str, at: int, tags: list[str]) -> Iterator[tuple[str, int, int]]:
+        """Reads markup up to the brace of an expression, which is handed on as a lexeme, or to its
+        end. tags: the open elements, a last "<" where a tag itself is open. Returns the place."""
+        while True:
+            if tags and tags[-1] == "<":
+                m = INSIDE_TAG.match(text, at)
+                at = m.end()
+                if text.startswith("{", at):
+                    yield "{", at, at + 1
+                    return at + 1
+                tags.pop()
+                if text.startswith("/>", at):
+                    tags.pop()
+                    yield "markup>", at, at + 2
+                    at += 2
+                elif text.startswith(">", at):
+                    at += 1
+                else:
+                    raise Invalid("unfinished tag")
+            else:
+                if tags:
+                    m = CONTENT.match(text, at)
+                    at = m.end()
+                    if text.startswith("{", at):
+                        yield "{", at, at + 1
+                        return at + 1
+                if c := CLOSING_TAG.match(text, at):
+                    if not tags or tags[-1] != c.group(1):
+                        raise Invalid("unmatched tag")
+                    tags.pop()
+                    yield "markup>", at, c.end()
+                    at = c.end()
+                elif t := TAG.match(text, at):
+                    yield "<markup", at, t.end()
+                    tags += [t.group(1), "<"]
+                    at = t.end()
+                else:
+                    raise Invalid("unclosed tag")
+            if not tags:
+                return at
 
     def _template(self, text: str, start: int) -> int:
+        """The end of a template literal; literals inside of its expressions may hold templates too."""
+        open_: list[int] = [-1]  # -1 for a template, else the depth of braces in an expression
         at = start + 1
         while at < len(text):
             c = text[at]
-            if c == "\\":
-                at += 2
-            elif c == "`":
-                return at + 1
-            elif text.startswith("${", at):
-                depth, at = 1, at + 2
-                while at < len(text) and depth:
-                    c = text[at]
-                    if c == "`":
-                        at = self._template(text, at)
-                        continue
-                    if c in "\"'":
-                        m = re.compile(DQ if c == '"' else SQ).match(text, at)
-                        at = m.end() if m else at + 1
-                        continue
-                    depth += (c == "{") - (c == "}")
+            if open_[-1] < 0:
+                if c == "\\":
                     at += 1
-            else:
-                at += 1
+                elif c == "`":
+                    open_.pop()
+                    if not open_:
+                        return at + 1
+                elif c == "$" and text.startswith("{", at + 1):
+                    open_.append(1)
+                    at += 1
+            elif c == "`":
+                open_.append(-1)
+            elif c in "\"'":
+                m = (DOUBLE if c == '"' else SINGLE).match(text, at)
+                at = m.end() - 1 if m else at
+            elif c in "{}":
+                open_[-1] += 1 if c == "{" else -1
+                if not open_[-1]:
+                    open_.pop()
+            at += 1
         raise Invalid("unclosed template")
 
     def _python(self, text: str) -> tuple:
@@ -275,68 +347,18 @@ class Language:
 
     # -- recognition -------------------------------------------------------------------------
 
-    def accepts(self, text: str) -> bool:
-        """Whether some dialect accepts the whole text."""
-        if len(self.recogniser.numbers) + len(self.recogniser.known) > self.recogniser.KEPT:
+    def rest(self) -> None:
+        """Between two files: drops what is remembered once it is much."""
+        if self.recogniser.size() > self.recogniser.KEPT:
             self.recogniser.forget()
+
+    def accepts(self, text: str) -> bool:
+        """Whether some dialect accepts the whole text; all of them share one stack."""
+        self.rest()
         try:
-            tokens = self.tokens(text)
-            if self.name == "go" and tokens[:1] != (self.terms("package"),):
-                return False
-            return any(self.recogniser.matches(top, tokens) for top in self.tops)
+            return self.recogniser.matches(self.top, self.tokens(text))
         except Invalid:
             return False
-        except RecursionError:
-            self.recogniser.forget()
-            return False
-
-
-class Pieces(Recogniser):
-    """Matches lists piece by piece."""
-
-    language: Language
-    plain: list[int]
-
-    def matches(self, symbol: int, tokens: tuple, final: bool = True) -> bool:
-        symbol = self.plain[symbol]
-        key = (symbol, tokens, final)
-        got = self.known.get(key)
-        if got is None:
-            if len(tokens) > 8:
-                got = self.viable(symbol, tokens[:5]) and (self._listed if symbol in self.language.lists else self._parse)(symbol, tokens, final)
-            else:
-                got = self._parse(symbol, tokens, final)
-            self.known[key] = got
-        return got
-
-    def _listed(self, symbol: int, tokens: tuple, final: bool) -> bool:
-        spec, kinds, known = self.language, self.kinds, self.known
-        if self.hopeless and not self.hopeless.isdisjoint(tokens):
-            return False
-        cut, joins, headers, n = spec.cut, spec.joins, spec.headers, len(tokens)
-        start, header = 0, tokens[0] in headers
-        for i, t in enumerate(tokens):
-            if t < BASE:
-                ends = not header and t in cut and (i + 1 == n or tokens[i + 1] not in joins and (tokens[i + 1] < BASE or kinds[tokens[i + 1] - BASE] != INDENT))
-            else:
-                bracket = kinds[t - BASE]
-                if bracket == BRACE or bracket == INDENT:
-                    ends = spec.mode != "go" and (i + 1 == n or tokens[i + 1] < BASE and tokens[i + 1] not in joins)
-                    header = False
-                else:
-                    ends = False
-            if ends or i + 1 == n:
-                piece, last = tokens[start : i + 1], final and i + 1 == n
-                key = (symbol, piece, last)
-                ok = known.get(key)
-                if ok is None:
-                    ok = known[key] = self._parse(symbol, piece, last)
-                if not ok:
-                    # Perhaps the cut was wrong: only the whole list can tell.
-                    return False if start == 0 and i + 1 == n else self._parse(symbol, tokens, final)
-                start = i + 1
-                header = start < n and tokens[start] in headers
-        return True
 
 
 def columns(run: str) -> int:
@@ -357,6 +379,13 @@ def columns(run: str) -> int:
 
 PY_LINES = re.compile(r"(?:[ \t\f]*(?:#[^\n]*)?\n)*[ \t\f]*(?:#[^\n]*)?(?=\S|\Z|\n)")
 DIRECTIVE = re.compile(r"#\s*(?:include(?:_next)?\s*(?:<[^>\n]+>|\"[^\"\n]+\"|\w+)\s*(?://.*|/\*.*)?|import\s+\S+.*|define\s+\w[\s\S]*|(?:undef|ifdef|ifndef|elifdef|elifndef)\s+\w+.*|(?:if|elif)\b\s*[\s\S]+|(?:else|endif)\b.*|pragma\b[\s\S]*|(?:error|warning|line)\b[\s\S]*)?\s*")
+DOUBLE, SINGLE = re.compile(DQ), re.compile(SQ)
+# Markup: the start of a tag, what it holds up to its end or a brace, its content, and its end.
+TAG = re.compile(r"<\s*((?:[A-Za-z_$][\w$.:-]*)?)(?=[\s/>{]|$)")
+CLOSING_TAG = re.compile(r"<\s*/\s*((?:[A-Za-z_$][\w$.:-]*)?)\s*>")
+INSIDE_TAG = re.compile(r"(?:\s+|[A-Za-z_$][\w$:-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?=\{)))?)*")
+CONTENT = re.compile(r"[^<>{}]*")
+GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)")
 PATTERN = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[a-z]*")
 REGEXISH = re.compile(r"[=(,:;!&|?{}\[+\n]\s*/(?![/*])|\breturn\s*/(?![/*])|`[^`]*\$\{|=>\s*/(?![/*])")
 BEFORE_PATTERN = frozenset("return typeof case in of delete void throw new else do instanceof await yield".split())
@@ -374,14 +403,14 @@ def _python() -> Language:
     string = r"(?:[rRbBuUfFtT]{0,2})(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|(?!\"\"\"|''')(?:" + DQ + "|" + SQ + "))"
     return Language(
         "py", rules.PYTHON, rf"{string}|(?:\n[ \t\f]*(?:#[^\n]*)?)+|\.\.\.", r"[ \t\f]+|\\\n|#[^\n]*", words("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield None True False match case type"),
-        ("Stmts",), ("Stmts",), cut=("nl",), joins=("else", "elif", "except", "finally"), headers=("@",), mode="py", suffix="[jJ]", operators=("!",),
+        ("Stmt", "Small"), mode="py", suffix="[jJ]", operators=("!",),
     )
 
 
 def _go() -> Language:
     return Language(
         "go", rules.GO, rf"{DQ}|`[^`]*`|'(?:[^'\\\n]|\\.[^'\n]*)'", rf"[ \t\r\f]+|{C_COMMENT}", words("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"),
-        ("Tops", "Stmts"), ("Tops",), headers=("for", "if", "switch", "select", "else"), mode="go", suffix="i",
+        ("Top", "Stmt", "Case"), mode="go", suffix="i",
     )
 
 
@@ -389,7 +418,7 @@ def _java() -> Language:
     return Language(
         "java", rules.JAVA, r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""' + rf"|(?!\"\"\"){DQ}|'(?:[^'\\\n]|\\[^\n][^'\n]*)'", rf"\s+|{C_COMMENT}",
         words("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null record sealed permits yield var open module non when"),
-        ("Tops", "Members", "Stmts"), ("Tops",), joins=("else", "catch", "finally", "while", ";", ",", ".", ")"), suffix="[lLfFdD]",
+        ("Import", "TypeDecl", "Member", "Stmt"), suffix="[lLfFdD]",
     )
 
 
@@ -398,16 +427,16 @@ def _rust() -> Language:
     comment = r"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*))*\*/)*\*/"
     return Language(
         "rs", rules.RUST, string, rf"\s+|{comment}", words("as async await box break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub raw ref return self Self static struct super trait true type unsafe use where while yield union auto default _"),
-        ("Tops", "Stmts", "Assocs"), ("Tops",), joins=("else", ";", ",", ".", ")", "?", "as", "=", "&&", "||", "==", "!=", "+", "/", "%", "<", ">", "=>"), suffix="(?:[iu](?:8|16|32|64|128|size)|f(?:32|64))",
+        ("Item", "Stmt", "Assoc", "Arm"), suffix="(?:[iu](?:8|16|32|64|128|size)|f(?:32|64))",
     )
 
 
-def _cpp() -> Language:
+def _cpp(name: str = "cpp", text: str = rules.CPP, top: str = "Unit", items: tuple[str, ...] = ("Decl", "Member", "Stmt")) -> Language:
     string = r'(?:u8|[uUL])?R"\((?:[^)]|\)(?!"))*\)"|(?:u8|[uUL])?R"(?:[^()\\\s"]{1,16})\([\s\S]*?\)[^()\\\s"]{1,16}"|(?:u8|[uUL])?' + DQ + r"|(?:u8|[uUL])?'(?:[^'\\\n]|\\[^\n][^'\n]*)'|^[ \t]*\#[^\n\\]*(?:\\[\s\S][^\n\\]*)*"
     return Language(
-        "cpp", rules.CPP, string.replace(r"^[ \t]*\#", r"\#"), rf"\s+|\\\n|{C_COMMENT}",
+        name, text, string.replace(r"^[ \t]*\#", r"\#"), rf"\s+|\\\n|{C_COMMENT}",
         words("alignas alignof and asm auto bitand bitor bool break case catch char char8_t char16_t char32_t class compl concept const consteval constexpr constinit const_cast continue co_await co_return co_yield decltype default delete do double dynamic_cast else enum explicit extern false float for friend goto if inline int long mutable namespace new noexcept not nullptr operator or private protected public register reinterpret_cast requires restrict return short signed sizeof static static_assert static_cast struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while xor __attribute__"),
-        ("Tops", "Members", "Stmts"), ("Tops",), joins=("else", "catch", "while", ";", ",", ".", ")", "id", "*", "&", "->", "::"), suffix="(?:[uUlLzZ]{1,3}|[fFlL]|_\\w+|(?:h|min|s|ms|us|ns|sv|i|il|if))",
+        items, top, suffix="(?:[uUlLzZ]{1,3}|[fFlL]|_\\w+|(?:h|min|s|ms|us|ns|sv|i|il|if))",
     )
 
 
@@ -418,29 +447,23 @@ TS_WORDS = words("type declare abstract readonly namespace module is asserts inf
 def _script(name: str, text: str, more: tuple[str, ...]) -> Language:
     return Language(
         name, text, rf"{DQ}|{SQ}|`(?:[^`\\]|\\[\s\S])*`|\#?[^\W\d][\w$]*|\#?\$[\w$]*", rf"[ \t\r\f\v   ]+|{C_COMMENT}", JS_WORDS + more,
-        ("Tops", "Stmts", "Members"), ("Tops",), joins=("else", "catch", "finally", "while", ";", ",", ".", ")", "?.", "=", "tmpl", "?", ":", "instanceof", "||", "&&", "+", "-", "*", "/", "=>", "in", "of", "as", "from", "==", "===", "!=", "!==", "<", ">", "|", "&", "from", "??"), mode="js", suffix="n", operators=(">>>=", ">>="),
+        ("Top", "Stmt", "Stmt0", "Member", "Case"), mode="js", suffix="n", operators=(">>>=", ">>="),
     )
 
 
 MAKERS = {
     "py": _python, "go": _go, "java": _java, "rs": _rust, "cpp": _cpp,
-    "js": lambda: _script("js", rules.JS.replace("'private'", "'#private'"), ()),
-    "ts": lambda: _script("ts", rules.TS.replace("(Word | 'private')", "(Word | '#private')").replace("(Word | 'private' |", "(Word | '#private' |").replace("[| Expr |] | 'private'", "[| Expr |] | '#private'").replace("'private' 'in'", "'#private' 'in'"), TS_WORDS + ("private",)),
+    "c": lambda: _cpp("c", rules.C, "CUnit", ("CDecl", "CItem", "CField")),
+    # A header may be of either language: both grammars run on one stack.
+    "h": lambda: _cpp("h", rules.CPP + rules.C + "Header = Unit | CUnit\n", "Header", ("Decl", "Member", "Stmt", "CDecl", "CItem", "CField")),
+    "js": lambda: _script("js", rules.JS, ()), "jsx": lambda: _script("jsx", rules.JSX, ()),
+    "ts": lambda: _script("ts", rules.TS, TS_WORDS + ("private",)), "tsx": lambda: _script("tsx", rules.TSX, TS_WORDS + ("private",)),
 }
-ALIASES = {"pyi": "py", "mjs": "js", "cjs": "js", "mts": "ts", "cts": "ts", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "h": "cpp", "c": "cpp", "hh": "cpp"}
+ALIASES = {"pyi": "py", "mjs": "js", "cjs": "js", "mts": "ts", "cts": "ts", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp"}
 
 
 @lru_cache(maxsize=None)
 def language(extension: str) -> Language | None:
     """The language of a file extension, or None."""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8000))
     maker = MAKERS.get(ALIASES.get(extension, extension))
-    if maker is None:
-        return None
-    made = maker()
-    made.private = made.terms("#private")
-    made.enders.add(made.private)
-    made.recogniser = Pieces(made.grammar)
-    made.recogniser.language = made
-    made.recogniser.plain = [plain(made.grammar, k) for k in range(len(made.grammar.alts))]
-    return made
+    return maker() if maker else None

@@ -1,17 +1,23 @@
 """Grammars of the supported languages. Operators are read flat, as precedence doesn't matter to
 whether a text is valid; what needs names or types to be resolved is accepted."""
 
+import re
+
 PYTHON = """
+Unit = Stmts
 Stmts = Stmt*
 Stmt = Line | Compound
 Line = Small % ';' ';'? 'nl'
 Small = Assign | 'pass' | 'break' | 'continue' | 'return' Tests? | 'raise' (Test ('from' Test)?)? | 'global' 'id' % ',' | 'nonlocal' 'id' % ','
-  | 'del' Stars | 'assert' Test (',' Test)? | 'import' Dotted % ',' | 'from' Origin 'import' ('*' | Names | (| Names ','? |)) | 'type' 'id' TypeParams? '=' Test
+  | 'del' Targets | 'assert' Test (',' Test)? | 'import' Dotted % ',' | 'from' Origin 'import' ('*' | Names | (| Names ','? |)) | 'type' 'id' TypeParams? '=' Test
 Dotted = Name ('.' Name)* ('as' Name)?
 Origin = ('.' | '...')* Name ('.' Name)* | ('.' | '...')+
 Names = (Name ('as' Name)?) % ','
 Name = 'id' | 'match' | 'case' | 'type'
-Assign = Stars (':' Test ('=' Value)? | AugOp Value | ('=' Value)*)
+Assign = Stars | (Targets '=')+ Value | Place AugOp Value | (Place | (| Place |)) ':' Test ('=' Value)?
+Targets = Target % ',' ','?
+Target = '*'? (Place | (| Targets? |) | [| Targets? |])
+Place = Name | Atom Trailer* ('.' Name | [| Subs |]) | (| Place |)
 Value = 'yield' ('from' Test | Stars)? | Stars
 AugOp = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
 Stars = (Test | '*' Test) % ',' ','?  | 'yield' ('from' Test | Stars)?
@@ -27,23 +33,29 @@ Atom = Name | 'num' | 'str'+ | '...' | 'None' | 'True' | 'False' | (| (Stars | C
 Comp = (Test | '*' Test) CompFor
 CompFor = ('async'? 'for' Targets 'in' Or ('if' CondTest)*)+
 CondTest = Or | 'lambda' LambdaArgs? ':' CondTest | Name ':=' Test
-Targets = Target % ',' ','?
-Target = '*'? Atom Trailer*
 DictOrSet = (Test ':' Test | '**' Test) % ',' ','? | Test ':' Test CompFor | Stars | Comp
 Trailer = (| Args? |) | [| Subs |] | '.' Name
-Args = Arg % ',' ','?
-Arg = Test | Test CompFor | Name '=' Test | '*' Test | '**' Test
+Args = Given (',' Named)? (',' Spread)? ','? | Named (',' Spread)? ','? | Spread ','? | Test CompFor
+Given = (Test | '*' Test) % ','
+Named = (Name '=' Test | '*' Test) % ','
+Spread = (Name '=' Test | '**' Test) % ','
 Subs = Sub % ',' ','?
 Sub = Test | '*' Test | Test? ':' Test? (':' Test?)?
-LambdaArgs = LambdaArg % ',' ','?
-LambdaArg = Name ('=' Test)? | '*' Name? | '**' Name | '/'
-Params = Param % ',' ','?
-Param = Name (':' Test)? ('=' Test)? | '*' (Name (':' ('*' Test | Test))?)? | '**' Name (':' Test)? | '/'
+Params = Bare % ',' (',' '/' (',' Bare % ',')?)? (',' Filled % ',')? (',' Rest)? ','? | Bare % ',' ',' Filled % ',' ',' '/' (',' Filled % ',')? (',' Rest)? ','?
+  | Filled % ',' (',' '/' (',' Filled % ',')?)? (',' Rest)? ','? | Rest ','?
+Bare = Name (':' Test)?
+Filled = Name (':' Test)? '=' Test
+Rest = '*' Name (':' ('*' Test | Test))? (',' (Bare | Filled) % ',')? (',' Tail)? | '*' ',' (Bare | Filled) % ',' (',' Tail)? | Tail
+Tail = '**' Name (':' Test)?
+LambdaArgs = Name % ',' (',' '/' (',' Name % ',')?)? (',' LambdaFilled % ',')? (',' LambdaRest)? ','? | Name % ',' ',' LambdaFilled % ',' ',' '/' (',' LambdaFilled % ',')? (',' LambdaRest)? ','?
+  | LambdaFilled % ',' (',' '/' (',' LambdaFilled % ',')?)? (',' LambdaRest)? ','? | LambdaRest ','?
+LambdaFilled = Name '=' Test
+LambdaRest = '*' Name (',' (Name | LambdaFilled) % ',')? (',' '**' Name)? | '*' ',' (Name | LambdaFilled) % ',' (',' '**' Name)? | '**' Name
 Compound = 'if' Test ':' Suite ('elif' Test ':' Suite)* Else? | 'while' Test ':' Suite Else? | 'async'? 'for' Targets 'in' Stars ':' Suite Else?
   | 'try' ':' Suite (Except+ Else? Finally? | Finally) | 'async'? 'with' WithItems ':' Suite | Decorator* 'async'? Def | Decorator* Class | Match
 Else = 'else' ':' Suite
 Finally = 'finally' ':' Suite
-Except = 'except' '*'? (Test (',' Test)* ('as' Name)?)? ':' Suite
+Except = 'except' ':' Suite | 'except' '*'? Test ('as' Name)? ':' Suite
 WithItems = WithItem % ',' | (| WithItem % ',' ','? |)
 WithItem = Test ('as' Target)?
 Decorator = '@' Test 'nl'
@@ -64,8 +76,8 @@ PatKey = '-'? 'num' | 'str'+ | 'None' | 'True' | 'False' | Name ('.' Name)+
 PYTHON = PYTHON.replace("Class = 'class' Name TypeParams? (| Args? |)? ':' Suite\nClass", "Class = 'class' Name TypeParams? (| Args? |) ':' Suite\nClass").replace("Name ('.' Name)* (| PatArgs? |)? |", "Name ('.' Name)* (| PatArgs? |) |")
 
 GO = """
-Tops = Top*
-Top = 'package' 'id' ';' | 'import' (ImportSpec | (| Imports |)) ';' | Decl ';' | Func ';' | ';'
+Unit = 'package' 'id' ';' ('import' (ImportSpec | (| Imports |)) ';')* Top*
+Top = Decl ';' | Func ';' | ';'
 Imports = (ImportSpec ';')* ImportSpec?
 ImportSpec = ('id' | '.')? 'str'
 Decl = 'const' (ConstSpec | (| (ConstSpec ';')* ConstSpec? |)) | 'var' (VarSpec | (| (VarSpec ';')* VarSpec? |)) | 'type' (TypeSpec | (| (TypeSpec ';')* TypeSpec? |))
@@ -110,8 +122,10 @@ ElementValue = Expr | Literal
 """
 
 JAVA = """
-Tops = Top*
-Top = Annot* 'package' QName ';' | 'import' 'static'? QName ('.' '*')? ';' | TypeDecl | ';' | Annot* 'open'? 'module' QName {| @any* |}
+Unit = Ordinary | Modular
+Ordinary = (Annot* 'package' QName ';')? ';'* Import* (TypeDecl | ';')*
+Modular = Import* Annot* 'open'? 'module' QName {| @any* |}
+Import = 'import' 'static'? QName ('.' '*')? ';' | ';'
 QName = Id ('.' Id)*
 Id = 'id' | 'record' | 'sealed' | 'permits' | 'yield' | 'var' | 'open' | 'module'
 Mod = 'public' | 'private' | 'protected' | 'static' | 'final' | 'abstract' | 'native' | 'synchronized' | 'transient' | 'volatile' | 'strictfp' | 'default' | 'sealed' | 'non' '-' 'sealed' | Annot
@@ -139,19 +153,21 @@ Declarators = (Id Dims? ('=' (Expr | ArrayInit))?) % ','
 ArrayInit = {| ((Expr | ArrayInit) % ',' ','?)? |}
 Block = {| Stmts |}
 Stmts = Stmt*
-Stmt = ';' | Block | ParamMod* Type Declarators ';' | TypeDecl | Expr ';' | 'if' (| Expr |) Stmt ('else' Stmt)? | 'while' (| Expr |) Stmt | 'do' Stmt 'while' (| Expr |) ';'
+Stmt = ';' | Block | ParamMod* Type Declarators ';' | TypeDecl | StmtExpr ';' | 'if' (| Expr |) Stmt ('else' Stmt)? | 'while' (| Expr |) Stmt | 'do' Stmt 'while' (| Expr |) ';'
   | 'for' (| ForHead |) Stmt | 'return' Expr? ';' | 'throw' Expr ';' | 'break' Id? ';' | 'continue' Id? ';' | 'yield' Expr ';' | 'assert' Expr (':' Expr)? ';'
   | 'synchronized' (| Expr |) Block | Try | 'switch' (| Expr |) {| SwitchBody |} | Id ':' Stmt
-ForHead = ForInit? ';' Expr? ';' (Expr % ',')? | ParamMod* Type Id ':' Expr
-ForInit = ParamMod* Type Declarators | Expr % ','
+ForHead = ForInit? ';' Expr? ';' (StmtExpr % ',')? | ParamMod* Type Id ':' Expr
+ForInit = ParamMod* Type Declarators | StmtExpr % ','
+StmtExpr = Place AssignOp Expr | ('++' | '--') Primary | Operand Post* ('++' | '--' | (| Args? |) | '.' New) | New
 Try = 'try' Block (Catch+ Finally? | Finally) | 'try' (| Resource % ';' ';'? |) Block Catch* Finally?
 Resource = ParamMod* Type Id '=' Expr | Expr
 Catch = 'catch' (| ParamMod* Type ('|' Type)* Id |) Block
 Finally = 'finally' Block
-SwitchBody = (Label ':' Stmts)* | (Label '->' (Expr ';' | Block | 'throw' Expr ';'))*
+SwitchBody = (Label ':' Stmt*)* | (Label '->' (Expr ';' | Block | 'throw' Expr ';'))*
 Label = 'case' Pattern % ',' ('when' Expr)? | 'default'
 Pattern = Expr | 'default' | ParamMod* Type Id | Type (| (Pattern % ',')? |) Id?
-Expr = Ternary (AssignOp Expr)? | Lambda
+Expr = Ternary | Place AssignOp Expr | Lambda
+Place = Id | Operand Post* ('.' Id | [| Expr |]) | (| Place |)
 Lambda = (Id | (| (Id % ',')? |) | (| Params |)) '->' (Expr | Block)
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '>' '>' '>='
 Ternary = Binary ('?' Expr ':' (Ternary | Lambda))?
@@ -167,6 +183,7 @@ Args = Expr % ','
 """
 
 RUST = """
+Unit = Tops
 Tops = Item*
 Item = Attr* Vis? ItemKind | InnerAttr | Attr* MacroItem | ';'
 InnerAttr = '#' '!' [| @any* |]
@@ -190,7 +207,8 @@ Bound = 'life' | '?'? ('for' Generics)? Path | (| '?'? ('for' Generics)? Path |)
 Fields = ((Attr* Vis? 'id' ':' Type) % ',' ','?)?
 TupleFields = ((Attr* Vis? Type) % ',' ','?)?
 Variant = Attr* Vis? 'id' ({| Fields |} | (| TupleFields |))? ('=' Expr)?
-Assocs = (Attr* Vis? AssocKind | Attr* MacroItem | InnerAttr)*
+Assocs = Assoc*
+Assoc = Attr* Vis? AssocKind | Attr* MacroItem | InnerAttr
 AssocKind = FnQual* 'fn' 'id' Generics? (| FnParams? |) ('->' Type)? Where? (Block | ';') | 'default'? 'type' 'id' Generics? (':' Bounds?)? Where? ('=' Type)? Where? ';' | 'const' ('id' | '_') ':' Type ('=' Expr)? ';' | 'static' 'mut'? 'id' ':' Type ';'
 Type = Path | '&' 'life'? 'mut'? Type | '&&' 'life'? 'mut'? Type | '*' ('const' | 'mut') Type | (| (Type % ',' ','?)? |) | [| Type (';' Expr)? |] | '!' | '_' | ('for' Generics)? ('unsafe')? ('extern' 'str'?)? 'fn' (| ((('id' | '_') ':')? Type | '...') % ',' ','? |) ('->' Type)?
   | ('for' Generics)? 'unsafe'? ('extern' 'str'?)? 'fn' (| |) ('->' Type)? | 'dyn' Bounds | 'impl' Bounds | Path '!' ((| @any* |) | [| @any* |] | {| @any* |}) | '<' Type ('as' Path)? '>' ('::' PathSeg)+ | (| Bounds |)
@@ -225,6 +243,7 @@ Post = '.' ('id' | 'num' | 'await') ('::' '<' (GenericArg % ',' ','?)? '>')? | (
 RUST = RUST.replace("BlockLike = 'life'? ':'? ('unsafe' | 'async' 'move'? | 'const')? Block | 'life'? ':'? ('loop'", "BlockLike = ('unsafe' | 'async' 'move'? | 'const')? Block | ('loop'")
 
 CPP = """
+Unit = Tops
 Tops = Decl*
 Decl = ';' | 'namespace' Attrs? Name? {| Tops |} | 'inline' 'namespace' Name {| Tops |} | 'namespace' 'id' '=' Name ';' | 'using' 'namespace' Name ';' | 'using' 'typename'? Name % ',' ';' | 'using' 'id' Attrs? '=' TypeId ';' | 'using' 'enum' Name ';'
   | 'template' '<' (TParam % ',')? '>' Requires? Decl | 'template' Decl | 'extern' 'str' ({| Tops |} | Decl) | 'static_assert' (| Args |) ';' | 'asm' (| @any* |) ';' | Attrs* Specs InitDecls? ';' | Attrs* Specs FuncDecl FuncBody | Attrs* Spec* FuncDecl (FuncBody | ';') | 'concept' 'id' '=' Expr ';' | 'friend' Decl
@@ -289,9 +308,49 @@ Args = (InitValue '...'?) % ','
 """
 CPP = CPP.replace("| '::'? 'new' (| Args |)? NewType |", "| '::'? 'new' (| Args |) NewType |").replace("[| Expr? |]* ((| Args? |)", "([| Expr? |])* ((| Args? |)")
 
+#: C beside C++: words that are only C++'s are names, and so on. Every symbol begins with C.
+C = """
+CUnit = (CDecl | CFunction | ';')*
+CId = 'id' | 'alignas' | 'alignof' | 'and' | 'asm' | 'bool' | 'catch' | 'char8_t' | 'class' | 'compl' | 'concept' | 'consteval' | 'constinit' | 'const_cast' | 'co_await' | 'co_return' | 'co_yield' | 'decltype' | 'delete' | 'dynamic_cast' | 'explicit' | 'export' | 'final' | 'friend' | 'mutable' | 'namespace' | 'new' | 'noexcept' | 'not' | 'operator' | 'or' | 'override' | 'private' | 'protected' | 'public' | 'reinterpret_cast' | 'requires' | 'static_cast' | 'template' | 'this' | 'throw' | 'try' | 'typeid' | 'typename' | 'using' | 'virtual' | 'wchar_t' | 'xor' | 'bitand' | 'bitor'
+CAttr = '__attribute__' (| @any* |) | [| [| @any* |] |] | 'alignas' (| @any* |)
+CSpec = 'typedef' | 'extern' | 'static' | 'auto' | 'register' | 'inline' | 'thread_local' | 'const' | 'volatile' | 'restrict' | 'constexpr' | CAttr
+CType = CSpec* CCore (CSpec | CPrim)*
+CPrim = 'void' | 'char' | 'short' | 'int' | 'long' | 'float' | 'double' | 'signed' | 'unsigned' | 'bool'
+CCore = CPrim+ | CId | ('struct' | 'union') CAttr* (CId? {| CField* |} | CId) | 'enum' CAttr* (CId? {| ((CId ('=' CCond)?) % ',' ','?)? |} | CId) | 'typeof' (| @any* |)
+CField = CType ((CDeclarator (':' CCond)? | ':' CCond) % ',')? CAttr* ';' | 'static_assert' (| CArgs |) ';'
+CPtr = '*' ('const' | 'volatile' | 'restrict' | CAttr)*
+CDeclarator = CPtr* (CId | (| CAttr* CDeclarator |)) CSuffix* CAttr*
+CSuffix = (| CParams? |) | (| CId % ',' |) | [| ('static' | 'const' | 'restrict')* (CAssign | '*')? |]
+CParams = CParam % ',' (',' '...')?
+CParam = CType (CDeclarator | CAbstract)?
+CAbstract = CPtr+ CAbsSuffix* | CPtr* (| CAbstract |) CAbsSuffix* | CAbsSuffix+
+CAbsSuffix = (| CParams? |) | [| ('static' | 'const' | 'restrict')* (CAssign | '*')? |]
+CTypeName = CType CAbstract?
+CDecl = CType ((CDeclarator ('asm' (| @any* |))? CAttr* ('=' CInit)?) % ',')? ';' | 'static_assert' (| CArgs |) ';' | 'id' (| @any* |) ';'?
+CInit = CAssign | {| (CElement % ',' ','?)? |}
+CElement = ((('.' CId) | [| CCond ('...' CCond)? |])+ '=')? CInit
+CFunction = CSpec* CType CDeclarator CDecl* {| CItem* |} | CDeclarator {| CItem* |}
+CItem = CDecl | CStmt
+CStmt = ';' | {| CItem* |} | CExpr ';' | 'if' (| CExpr |) CStmt ('else' CStmt)? | 'while' (| CExpr |) CStmt | 'do' CStmt 'while' (| CExpr |) ';' | 'for' (| CFor |) CStmt | 'switch' (| CExpr |) CStmt
+  | 'case' CCond ('...' CCond)? ':' | 'default' ':' | CId ':' | 'return' CExpr? ';' | 'break' ';' | 'continue' ';' | 'goto' CId ';' | 'asm' ('volatile' | 'goto')* (| @any* |) ';'
+CFor = (CExpr? ';' | CDecl) CExpr? ';' CExpr?
+CExpr = CAssign % ','
+CAssign = CCond | CUnary CAssignOp CAssign
+CAssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<=' | '>' '>='
+CCond = CBin ('?' CExpr? ':' CCond)?
+CBin = CUnary (CBinOp CUnary)*
+CBinOp = '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '+' | '-' | '*' | '/' | '%'
+CUnary = ('+' | '-' | '!' | '~' | '*' | '&' | '++' | '--' | (| CTypeName |))* CPrimary | 'sizeof' (| CTypeName |) | 'sizeof' CUnary | ('+' | '-' | '!' | '~' | '*' | '&' | (| CTypeName |))+ 'sizeof' ((| CTypeName |) | CUnary) | 'alignof' (| CTypeName |)
+CPrimary = CAtom CPost*
+CAtom = CId | 'num' | 'str'+ | 'true' | 'false' | 'nullptr' | (| CExpr |) | (| {| CItem* |} |) | (| CTypeName |) {| (CElement % ',' ','?)? |}
+CPost = [| CExpr |] | (| CArgs? |) | ('.' | '->') CId | '++' | '--'
+CArgs = (CAssign | CTypeName) % ','
+"""
+
 JS = """
+Unit = Tops
 Tops = Top*
-Top = Stmt | 'import' 'str' ImportAttrs? End | 'import' ImportClause 'from' 'str' ImportAttrs? End | Export
+Top = Stmt0 | 'import' 'str' ImportAttrs? End | 'import' ImportClause 'from' 'str' ImportAttrs? End | Export
 ImportAttrs = ('with' | 'assert') {| (Word ':' 'str') % ',' ','? |}
 ImportClause = Id (',' (NsImport | NamedImports))? | NsImport | NamedImports
 NsImport = '*' 'as' Id
@@ -304,18 +363,20 @@ End = ';' | $
 Stmts = Stmt*
 Block = {| Stmts |}
 Stmt = ';' | Block | VarStmt | Func | Class | Decorators Class | Exprs End | 'if' (| Exprs |) Stmt ('else' Stmt)? | 'while' (| Exprs |) Stmt | 'do' Stmt 'while' (| Exprs |) ';'? | 'for' 'await'? (| ForHead |) Stmt
-  | 'return' Exprs? End | 'throw' Exprs End | 'break' Id? End | 'continue' Id? End | 'debugger' End | 'try' Block (Catch Finally? | Finally) | 'switch' (| Exprs |) {| Case* |} | Id ':' Stmt
+  | 'return' Exprs? End | 'throw' Exprs End | 'break' Id? End | 'continue' Id? End | 'debugger' End | 'try' Block (Catch Finally? | Finally) | 'switch' (| Exprs |) {| Cases |} | Id ':' Stmt
+Cases = Case*
 Catch = 'catch' (| Bind |) Block | 'catch' Block
 Finally = 'finally' Block
 Case = ('case' Exprs | 'default') ':' Stmts
-VarStmt = ('var' | 'let' | 'const' | 'using' | 'await' 'using') Binds End
-Binds = (Bind ('=' Expr)?) % ','
+VarStmt = ('var' | 'let') Binds End | ('const' | 'using' | 'await' 'using') Fixed End
+Binds = (Id ('=' Expr)? | Bind '=' Expr) % ','
+Fixed = (Bind '=' Expr) % ','
 Bind = Id | [| PatList |] | {| (PatProp % ',' ','?)? |}
 PatList = ','* (PatItem (','+ PatItem)*)? ','*
 PatItem = '...'? Bind ('=' Expr)?
 PatProp = '...' Id | PropName ':' PatItem | Id ('=' Expr)?
 ForHead = ForInit? ';' Exprs? ';' Exprs? | (('var' | 'let' | 'const' | 'using') Bind | Post2) ('of' | 'in') Exprs
-ForInit = ('var' | 'let' | 'const') Binds | Exprs
+ForInit = ('var' | 'let') Binds | 'const' Fixed | Exprs
 Post2 = Primary
 Func = 'async'? 'function' '*'? Id? Sig Block
 Sig = (| Params? |)
@@ -325,24 +386,38 @@ Class = 'class' Id? ('extends' Primary)? {| Members |}
 Decorators = ('@' Primary)+
 Members = Member*
 Member = ';' | 'static' Block | Decorators? ('static' | 'accessor')* ('get' | 'set' | 'async')? '*'? PropName Sig Block | Decorators? ('static' | 'accessor')* PropName ('=' Expr)? End
-PropName = Word | 'str' | 'num' | [| Expr |] | 'private'
+PropName = Word | 'str' | 'num' | [| Expr |] | '#private'
 Exprs = Expr % ','
-Expr = Bin ('?' Expr ':' Expr)? | Arrow | 'yield' '*'? Expr | 'yield'
+Expr = Bin ('?' Expr ':' Expr)? | Place AssignOp Expr | Arrow | 'yield' '*'? Expr | 'yield'
+Place = Id | Operand Post* (Member2 | [| Exprs |]) | [| Elements |] | {| (Prop % ',' ','?)? |} | (| Place |)
+Member2 = '.' (Word | '#private')
+AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
 Arrow = 'async'? (Id | ArrowSig) '=>' (Expr | Block)
 ArrowSig = Sig
-Bin = Unary (BinOp (Unary | Arrow | 'yield' '*'? Expr))* | 'private' 'in' Unary
-BinOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??=' | '||' | '&&' | '??' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | '**' | 'in' | 'instanceof'
+Bin = Unary (BinOp Unary)* | '#private' 'in' Unary
+BinOp = '||' | '&&' | '??' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | '**' | 'in' | 'instanceof'
 Unary = ('+' | '-' | '!' | '~' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await')* Primary
 Primary = Operand Post*
 Operand = Id | 'num' | 'str' | 'tmpl' | 'regex' | 'this' | 'super' | 'null' | 'true' | 'false' | (| Exprs |) | [| Elements |] | {| (Prop % ',' ','?)? |} | Func | Class | 'new' '.' 'target' | New | 'import' (| Exprs ','? |) | 'import' '.' 'meta' | Decorators Class
-New = 'new' Operand ('.' (Word | 'private') | [| Exprs |])* (| Args? |) | 'new' Operand ('.' (Word | 'private') | [| Exprs |])*
+New = 'new' Operand ('.' (Word | '#private') | [| Exprs |])* (| Args? |) | 'new' Operand ('.' (Word | '#private') | [| Exprs |])*
 Elements = ','* (Element (','+ Element)*)? ','*
 Element = '...'? Expr
 Prop = '...' Expr | PropName ':' Expr | ('get' | 'set' | 'async')? '*'? PropName Sig Block | Id ('=' Expr)?
-Post = '.' (Word | 'private') | '?.' (Word | 'private' | (| Args? |) | [| Exprs |] | 'tmpl') | (| Args? |) | [| Exprs |] | 'tmpl' | '++' | '--'
+Post = '.' (Word | '#private') | '?.' (Word | '#private' | (| Args? |) | [| Exprs |] | 'tmpl') | (| Args? |) | [| Exprs |] | 'tmpl' | '++' | '--'
 Args = ('...'? Expr) % ',' ','?
 """
 
+
+
+def outside(rules: str, names: str, without: str) -> str:
+    """The rules of the named symbols once more, as they hold outside of functions: under names of
+    their own and without an alternative that only functions have."""
+    wanted = "|".join(names.split())
+    found = re.findall(rf"(?ms)^({wanted}) (\+?=) (.*?)(?=^\w+ \+?= |\Z)", rules)
+    return "".join(f"{name}0 {op} {re.sub(rf'\b({wanted})\b', r'\g<1>0', body.replace(without, ''))}" for name, op, body in found)
+
+
+OUTSIDE, RETURN = "Stmts Block Stmt Catch Finally Cases Case", "| 'return' Exprs? End "
 TS = (
     JS
     + """
@@ -350,7 +425,7 @@ Top += 'import' 'type' ImportClause 'from' 'str' ImportAttrs? End | 'import' 'ty
 ImportSpec += 'type' (Word | 'str') ('as' (Word | 'str'))?
 Export += 'export' TypeStmt | 'export' 'type' ('*' ('as' Word)? | NamedImports) ('from' 'str')? End | 'export' 'default' 'abstract' Class | 'export' 'default' Interface | 'export' 'import' Id '=' Id ('.' Id)* End
 Stmt += TypeStmt | 'abstract' Class
-TypeStmt = 'type' Id TypeParams? '=' Type End | Interface | 'const'? 'enum' Id {| (((Word | 'str' | [| 'str' |]) ('=' Expr)?) % ',' ','?)? |} | ('namespace' | 'module') (Id ('.' Id)* | 'str') {| Tops |} | 'declare' (TypeStmt | VarStmt | Func2 | 'abstract'? Class | 'global' {| Tops |} | 'module' 'str' End) | Func2 | 'abstract' Class
+TypeStmt = 'type' Id TypeParams? '=' Type End | Interface | 'const'? 'enum' Id {| (((Word | 'str' | [| 'str' |]) ('=' Expr)?) % ',' ','?)? |} | ('namespace' | 'module') (Id ('.' Id)* | 'str') {| Tops |} | 'declare' (TypeStmt | Declared | Func2 | 'abstract'? Class | 'global' {| Tops |} | 'module' 'str' End) | Func2 | 'abstract' Class
 Func2 = 'async'? 'function' '*'? Id? Sig End
 Interface = 'interface' Id TypeParams? ('extends' Type % ',')? {| TypeMembers |}
 TypeMembers = TypeMember*
@@ -360,10 +435,13 @@ TypeParams = '<' (('const' | 'in' | 'out')* Id ('extends' Type)? ('=' Type)?) %
 TypeArgs = '<' Type % ',' ','? '>'
 Type = ('|' | '&')? TypeOne (('|' | '&') TypeOne)* | TypeOne 'extends' Type '?' Type ':' Type | TypeParams? (| Params? |) '=>' Type | 'abstract'? 'new' TypeParams? (| Params? |) '=>' Type | 'asserts' (Id | 'this') ('is' Type)? | (Id | 'this') 'is' Type | ('|' | '&') Type
 TypeOne = ('keyof' | 'unique' | 'readonly' | 'infer')* TypeAtom ([| Type? |])* | 'infer' Id 'extends' Type
-TypeAtom = TypeName TypeArgs? | 'typeof' (Id | 'this' | 'import' (| 'str' |)) ('.' (Word | 'private'))* TypeArgs? | 'import' (| 'str' |) ('.' Word)* TypeArgs? | 'void' | 'null' | 'this' | 'true' | 'false' | 'str' | 'tmpl' | '-'? 'num' | {| TypeMembers |} | [| ((TupleItem) % ',' ','?)? |] | (| Type |)
+TypeAtom = TypeName TypeArgs? | 'typeof' (Id | 'this' | 'import' (| 'str' |)) ('.' (Word | '#private'))* TypeArgs? | 'import' (| 'str' |) ('.' Word)* TypeArgs? | 'void' | 'null' | 'this' | 'true' | 'false' | 'str' | 'tmpl' | '-'? 'num' | {| TypeMembers |} | [| ((TupleItem) % ',' ','?)? |] | (| Type |)
 TypeName = Id ('.' Word)*
 TupleItem = '...'? (Word '?'? ':')? Type '?'?
-Binds += (Bind '!'? (':' Type)? ('=' Expr)?) % ','
+Binds += (Id '!'? (':' Type)? ('=' Expr)? | Bind (':' Type)? '=' Expr) % ','
+Fixed += (Bind (':' Type)? '=' Expr) % ','
+Declared = ('var' | 'let' | 'const') (Bind (':' Type)? ('=' Expr)?) % ',' End
+Place += Operand Post* '!' | '<' Type '>' Place | (| Place 'as' Type |)
 Param += Decorators? ('public' | 'private' | 'protected' | 'readonly' | 'override')* '...'? (Bind | 'this') '?'? (':' Type)? ('=' Expr)?
 Sig += TypeParams? (| Params? |) (':' Type)?
 ArrowSig += TypeParams? (| Params? |) (':' Type)?
@@ -376,3 +454,82 @@ Post += '!' | TypeArgs | 'as' (Type | 'const') | 'satisfies' Type
 Unary += '<' (Type | 'const') '>' Unary
 """
 )
+TS += outside(TS, OUTSIDE, RETURN)
+JS += outside(JS, OUTSIDE, RETURN)
+#: Markup inside of expressions: the lexer checks the tags and hands on what stands in braces.
+MARKUP = """
+Operand += Markup
+Markup = '<markup' (Markup | {| ('...'? Expr)? |})* 'markup>'
+"""
+JSX = JS + MARKUP
+TSX = TS.replace("Unary += '<' (Type | 'const') '>' Unary\n", "").replace(" | '<' Type '>' Place", "") + MARKUP
+
+#: Functions by themselves: marks before the signature, what stands before the name, the name, and
+#: what follows it. The loose tail takes any body in a block.
+PYTHON += """
+Function = FunctionMarks FunctionHead FunctionName FunctionTail
+FunctionMarks = Decorator*
+FunctionHead = 'async'? 'def'
+FunctionName = Name
+FunctionTail = TypeParams? (| Params? |) ('->' Test)? ':' Suite
+FunctionLoose = @flat* 'nl' <| @any* |> | @flat* 'nl'
+"""
+BLOCK_LOOSE = "(| @any* |) @flat* ({| @any* |} | ';')\n"
+GO += """
+Function = FunctionMarks FunctionHead FunctionName FunctionTail
+FunctionMarks = ';'*
+FunctionHead = 'func' (| Params? |)?
+FunctionName = 'id'
+FunctionTail = TypeParams? Sig Body?
+FunctionLoose = """ + BLOCK_LOOSE
+JAVA += """
+Method = MethodMarks MethodHead MethodName MethodTail
+MethodMarks = Annot*
+MethodHead = Mod* TypeParams? Annot* Type?
+MethodName = Id
+MethodTail = (| Params? |) Dims? ('throws' Types)? (Block | ';' | 'default' ElemValue ';') | Block
+MethodLoose = """ + BLOCK_LOOSE
+RUST += """
+Function = FunctionMarks FunctionHead FunctionName FunctionTail
+FunctionMarks = Attr*
+FunctionHead = Vis? FnQual* 'fn'
+FunctionName = 'id'
+FunctionTail = Generics? (| FnParams? |) ('->' Type)? Where? (Block | ';')
+FunctionLoose = @flat* ({| @any* |} | ';')
+"""
+CPP += """
+Method = MethodMarks MethodHead MethodName MethodTail
+MethodMarks = ('template' '<' (TParam % ',')? '>' Requires?)* Attrs*
+MethodHead = Specs? Ptr* | Spec*
+MethodName = Name
+MethodTail = (| Params? |) Quals (FuncBody | ';' | '=' 'num' ';')
+MethodLoose = """ + BLOCK_LOOSE
+C += """
+Method = MethodMarks MethodHead MethodName MethodTail
+MethodMarks = CAttr*
+MethodHead = CSpec* CType CPtr*
+MethodName = CId
+MethodTail = (| CParams? |) CDecl* ({| CItem* |} | ';')
+MethodLoose = """ + BLOCK_LOOSE
+SCRIPT = """
+Function = FunctionMarks FunctionHead FunctionName FunctionTail
+FunctionMarks = Decorators?
+FunctionHead = ('export' 'default'?)? 'async'? 'function' '*'? | 'export'? ('const' | 'let' | 'var')
+FunctionName = Id
+FunctionTail = Sig (Block | End) | '=' Arrow End? | '=' 'async'? 'function' '*'? Id? Sig Block End?
+FunctionLoose = @flat* {| @any* |}
+Method = MethodMarks MethodHead MethodName MethodTail
+MethodMarks = Decorators?
+MethodHead = ('static' | 'accessor')* ('get' | 'set' | 'async')? '*'?
+MethodName = PropName
+MethodTail = Sig Block | '=' Arrow End?
+MethodLoose = (| @any* |) @flat* {| @any* |}
+"""
+JS, JSX = JS + SCRIPT, JSX + SCRIPT
+TYPED = SCRIPT + """
+FunctionHead += 'declare' 'async'? 'function' '*'? | 'export' 'declare' 'function'
+FunctionTail += ':' Type '=' Arrow End?
+MethodHead += MemberMod* ('get' | 'set' | 'async')? '*'?
+MethodTail += ('?' | '!')? Sig (Block | End) | ':' Type '=' Arrow End?
+"""
+TS, TSX = TS + TYPED, TSX + TYPED
