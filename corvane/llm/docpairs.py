@@ -1,8 +1,9 @@
 """Functions paired with their documentation (problem 7).
 
-The lexers and grammars that judge whole files are used here on parts of them: a function's text is
-found by its brackets or indentation, so that it comes out of files that are broken elsewhere too,
-and is checked by the function rules of its language. Comments that parse as code are none.
+The generalised LL recogniser finds the functions: each is a derivation of its language's function
+rules, tried wherever a declaration can begin, in files that are broken elsewhere too (see
+grammar/islands.py). Its documentation is the comment that stands before the derivation's signature or
+marks, in Python the string that its body begins with. Comments that parse as code are none.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
-from .grammar.languages import ALIASES, Invalid, columns, language
+from .common import cut_lineage, spread
+from .grammar.gll import BASE, INDENT
+from .grammar.islands import Function, Reader, functions
+from .grammar.languages import ALIASES, language
 from .syntax import extension
 
-BETWEEN = re.compile(r"\s*(?:@[\w.]+|#!?\[|\[\[|template\s*<|export\s+default\s*$)")
-PY_STRING = re.compile(r"\s*(?P<p>[rRuU]?)(?:\"\"\"(?P<a>(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*)\"\"\"|'''(?P<b>(?:[^'\\]|\\[\s\S]|'(?!''))*)'''|\"(?P<c>(?:[^\"\\\n]|\\[\s\S])*)\"|'(?P<d>(?:[^'\\\n]|\\[\s\S])*)')\s*(?:;|#|$)")
+COMMENT = re.compile(r"/\*[\s\S]*?\*/|//[^\n]*")
+LITERAL = re.compile(r"(?i)(?P<p>[rbuft]{0,2})(?P<q>\"\"\"|\'\'\'|\"|\')(?P<t>[\s\S]*)(?P=q)")
+#: Line comments that document, by language.
+LINES = {"go": "//", "rs": "///", "cpp": "///", "c": "///", "h": "///"}
 # Headings of parameter lists, tags, and announcements of documentation to come.
 SECTION = re.compile(r"^\s*(?:#+\s*)?(?:args|arguments|parameters|params|returns?|raises|yields|throws|attributes|examples?|see also|notes?|todo)\s*:?\s*$", re.I)
 TAG = re.compile(r"^\s*[@\\](?:param|tparam|arg|args|returns?|throws|exception|raises|type|template|see|since|author|version|deprecated|override|inheritdoc|todo)\b.*$|^\s*:(?:param|type|returns?|rtype|raises|arg)\b[^:]*:.*$", re.I)
@@ -82,247 +86,133 @@ def _is_code(comment: str, ext: str) -> bool:
     return bool(spoken and wrapped and spoken.accepts(wrapped % text))
 
 
-def above(lines: list[str], at: int, ext: str) -> tuple[str, int] | None:
-    """(text, first line) of the documentation comment above line `at` (from 0)."""
-    j, blanks = at - 1, 0
-    depth = 0
-    while j >= 0:
-        line = lines[j]
-        text = line.strip()
-        if not text:
-            if ext == "go":
-                return None
-            blanks += 1
-            if blanks > 1:
-                return None
-            j -= 1
-            continue
-        if text.endswith("*/") or text.startswith("//"):
+def comment_in(gap: str, ext: str, at_line_start: bool) -> tuple[bool, str | None]:
+    """(whether the gap before a token holds a comment, the text of its last one if that documents)."""
+    found = list(COMMENT.finditer(gap))
+    if not found:
+        return False, None
+    last = found[-1]
+    line = gap.rfind("\n", 0, last.start()) + 1
+    if gap[line : last.start()].strip() or line == 0 and not at_line_start or gap.count("\n", last.end()) > (1 if ext == "go" else 2):
+        return True, None
+    text = last.group(0)
+    if not text.startswith("//"):
+        if ext == "go" or not text.startswith("/**") or text.startswith("/***") or text == "/**/":
+            return True, None
+        return True, "\n".join(re.sub(r"^\s*\*\s?", "", x) for x in text[3:-2].split("\n"))
+    mark = LINES.get(ext)
+    if not mark or not text.startswith(mark) or mark == "///" and text.startswith("////"):
+        return True, None
+    body = [text]
+    for m, after in zip(found[-2::-1], found[:0:-1]):
+        # Lines of one comment follow each other without anything between them.
+        start = gap.rfind("\n", 0, m.start()) + 1
+        if not m.group(0).startswith(mark) or gap[m.end() : after.start()].strip(" \t\r") != "\n" or gap[start : m.start()].strip() or start == 0 and not at_line_start:
             break
-        # Annotations can go over several lines; their brackets tell.
-        closing = text.count(")") + text.count("]") - text.count("(") - text.count("[")
-        if depth + closing > 0:
-            depth += closing
-        elif BETWEEN.match(line) or depth:
-            depth = 0
-        else:
-            return None
-        j -= 1
-    if j < 0:
-        return None
-    text = lines[j].strip()
-    if ext == "go" or text.startswith("//"):
-        mark = {"go": "//", "rs": "///", "cpp": "///"}.get(ext)
-        if not mark or not text.startswith(mark) or mark == "///" and text.startswith("////"):
+        body.append(m.group(0))
+    lines = [x[len(mark) :].rstrip("\r") for x in reversed(body)]
+    if ext == "go":
+        lines = [x for x in lines if not re.match(r"go:\w+|nolint\b|export \w", x)]
+    return True, "\n".join(x[1:] if x.startswith(" ") else x for x in lines)
+
+
+def _above(text: str, f: Function, ext: str) -> str | None:
+    """The documentation before a signature, or before the marks above it."""
+    for i in range(f.signature, f.first - 1, -1):
+        begin = f.level.before(i)
+        some, doc = comment_in(text[begin : f.level.start(i)], ext, begin == 0 or text[begin - 1] == "\n")
+        if some:
+            return doc
+    return None
+
+
+def _docstring(text: str, f: Function, spoken) -> str | None:
+    """The string that a Python function's body begins with."""
+    level, stop = f.level, f.end
+    last = level.tokens[stop - 1]
+    if last >= BASE and spoken.recogniser.kinds[last - BASE] == INDENT:
+        level, i = level.below[stop - 1], 0
+        stop = len(level.tokens)
+    else:
+        colon = spoken.terms(":")
+        i = next((k + 1 for k in range(f.name, stop) if level.tokens[k] == colon), stop)
+    out = []
+    while i < stop and level.tokens[i] == spoken.str:
+        m = LITERAL.fullmatch(text[level.start(i) : level.end(i)])
+        if not m or set(m["p"].lower()) & set("bft"):
             return None
-        first = j
-        while first > 0 and lines[first - 1].strip().startswith(mark):
-            first -= 1
-        body = [x.strip()[len(mark) :] for x in lines[first : j + 1]]
-        if ext == "go":
-            body = [x for x in body if not re.match(r"go:\w+|nolint\b|export \w", x)]
-        return "\n".join(x[1:] if x.startswith(" ") else x for x in body), first
-    if not text.endswith("*/"):
-        return None
-    first = j
-    while first >= 0 and "/*" not in lines[first]:
-        first -= 1
-    if first < 0:
-        return None
-    opening = lines[first].strip()
-    if not opening.startswith("/**") or opening.startswith("/***") or opening == "/**/":
-        return None
-    body = "\n".join(lines[first : j + 1]).strip()[3:]
-    body = body[: body.rfind("*/")]
-    return "\n".join(re.sub(r"^\s*\*\s?", "", x) for x in body.split("\n")), first
-
-
-def function_span(lines: list[str], at: int, ext: str) -> tuple[int, int, int]:
-    """(last line, line of the body's start, column) of the function whose signature begins in line
-    `at`, by brackets and, in Python, indentation. What follows a break in the file isn't needed."""
-    spoken = language(ext)
-    text = "\n".join(lines[at:])
-    depth, body, end = 0, None, None
-    for m in spoken.pattern.finditer(text):
-        x = m.group(1)
-        if x in "([{":
-            if x == "{" and depth == 0 and body is None and ext != "py":
-                body = m.end(1)
-            depth += 1
-        elif x in ")]}":
-            depth -= 1
-            if depth <= 0 and x == "}" and body is not None:
-                end = m.end(1)
-                break
-            if depth < 0:
-                end = m.start(1)
-                break
-        elif depth == 0 and ext == "py" and x == ":":
-            body = m.end(1)
-            break
-        elif depth == 0 and x == ";" and body is None and ext != "py":
-            end = m.end(1)
-            break
-    if ext == "py":
-        if body is None:
-            return at, at, len(lines[at])
-        row = at + text.count("\n", 0, body)
-        column = body - (text.rfind("\n", 0, body) + 1)
-        indent = columns("\n" + lines[at])
-        depth, stop = 0, len(text.rstrip())
-        for m in spoken.pattern.finditer(text, body):
-            x = m.group(1)
-            if x in "([{":
-                depth += 1
-            elif x in ")]}":
-                depth -= 1
-            elif x[0] == "\n" and depth <= 0 and columns(x) <= indent and m.end(1) < len(text):
-                stop = m.start(1)
-                break
-        last = at + text.count("\n", 0, stop)
-        return last, row, column
-    row = at + (text.count("\n", 0, body) if body else 0)
-    return at + (text.count("\n", 0, end) if end else len(lines) - 1 - at), row, 0
-
-
-def closings(lines: list[str], at: int, ext: str) -> Iterator[int]:
-    """Lines of the closing braces at which the function that begins in line `at` can end: more than
-    the first one where code goes on behind it, as after a type written in braces."""
-    text = "\n".join(lines[at:])
-    depth = 0
-    for m in language(ext).pattern.finditer(text):
-        x = m.group(1)
-        if x in "([{":
-            depth += 1
-        elif x in ")]}":
-            depth -= 1
-            if depth < 0:
-                return
-            if depth == 0 and x == "}":
-                yield at + text.count("\n", 0, m.end(1))
-                rest = re.compile(r"[ \t]*(.?)(.?)").match(text, m.end(1))
-                if (not rest.group(1) or rest.group(1) in ";,)" or rest.group(1) + rest.group(2) in ("//", "/*")) and not re.compile(r"\s*\{").match(text, m.end(1)):
-                    return
-
+        out.append(m["t"])
+        i += 1
+    ends = {spoken.nl, spoken.semi}
+    return "".join(out) if out and (i >= stop or level.tokens[i] in ends) else None
 
-def recovered(lines: list[str], at: int, row: int) -> int:
-    """The last line of a function whose brackets don't tell it: the next line that is indented no
-    deeper than its signature, which ends in line `row`, begins something else."""
-    indent = columns("\n" + re.match(r"[ \t]*", lines[at]).group(0))
-    last = at
-    for k in range(at + 1, len(lines)):
-        line = lines[k].strip()
-        width = columns("\n" + re.match(r"[ \t]*", lines[k]).group(0))
-        if line and k > row and width <= indent and line[0] not in "{)]":
-            return k if line[0] == "}" and width == indent else last
-        if line:
-            last = k
-    return last
 
-
-def bounded(lines: list[str], at: int, last: int, ext: str) -> tuple[int, bool]:
-    """(last line, whether the grammar accepts the function). The first end that the grammar accepts
-    counts: the scan's own, a later closing brace, or the end by indentation; without any, the last."""
-    text = lambda end: "\n".join(lines[at : end + 1])
-    if parses(ext, text(last)):
-        return last, True
-    for end in closings(lines, at, ext) if ext != "py" else ():
-        if end > last and parses(ext, text(end)):
-            return end, True
-    row = function_span(lines, at, ext)[1]
-    end = recovered(lines, at, row)
-    return (end, parses(ext, text(end))) if end < last else (last, False)
-
-
-def documented(text: str, ext: str, functions: list[tuple[str, int]]) -> list[dict]:
-    """For each (name, line of the signature from 1): its documentation and code."""
+def documented(text: str, ext: str) -> list[dict]:
+    """Every function of a text with documentation that isn't trivial: name, start_line (of the
+    signature, from 1), end_line, doc, code, hash (of the description's words), parses."""
     ext = ALIASES.get(ext, ext)
-    if language(ext) is None:
+    spoken = language(ext)
+    if spoken is None:
         return []
-    lines = text.replace("\r\n", "\n").split("\n")
+    text = text.replace("\r\n", "\n")
+    rows = Reader(spoken, text)
     out = []
-    for name, line in functions:
-        at = line - 1
-        if not 0 <= at < len(lines):
+    for f in functions(spoken, text):
+        level = f.level
+        doc = _docstring(text, f, spoken) if spoken.mode == "py" else _above(text, f, ext)
+        if doc is None:
+            continue
+        name = text[level.start(f.name - 1) : level.end(f.name - 1)]
+        if trivial(doc, name) or spoken.mode != "py" and _is_code(doc, ext):
             continue
-        last, row, column = function_span(lines, at, ext)
-        if ext == "py":
-            rest = lines[row][column:]
-            if re.match(r"\s*(?:#.*)?$", rest):
-                k = row + 1
-                while k < len(lines) and (not lines[k].strip() or lines[k].lstrip().startswith("#")):
-                    k += 1
-                rest = "\n".join(lines[k:]) if k < len(lines) else ""
-                indent = len(lines[at]) - len(lines[at].lstrip())
-                if k >= len(lines) or len(lines[k]) - len(lines[k].lstrip()) <= indent:
-                    rest = ""
-            m = re.compile(PY_STRING.pattern, re.M).match(rest)
-            doc = next((g for g in m.group("a", "b", "c", "d") if g is not None), "") if m else None
-        else:
-            found = above(lines, at, ext)
-            doc = found[0] if found else None
-        if doc is not None and ext != "py" and _is_code(doc, ext):
-            doc = None
-        dull = doc is None or trivial(doc, name)
-        last, valid = (last, False) if dull else bounded(lines, at, last, ext)
-        code = "\n".join(lines[at : last + 1])
-        out.append({"name": name, "start_line": line, "end_line": last + 1, "doc": doc, "code": code, "hash": int.from_bytes(hashlib.blake2b(re.sub(r"\W+", " ", prose(doc or "").lower()).encode(), digest_size=8).digest(), "little", signed=True), "trivial": dull, "parses": valid})
+        first, end = rows.row(level.start(f.signature)), level.end(f.end - 1)
+        words = re.sub(r"\W+", " ", prose(doc).lower())
+        out.append(
+            {"name": name, "start_line": first + 1, "end_line": rows.row(max(0, end - 1)) + 1, "doc": doc, "code": text[rows.rows[first] : end], "hash": int.from_bytes(hashlib.blake2b(words.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True), "parses": f.valid}
+        )
     return out
 
 
-def parses(ext: str, code: str) -> bool:
-    """Whether a function's text stands on its own in its language's grammar."""
-    spoken = language(ext)
-    body = re.sub(r"(?m)^" + re.match(r"[ \t]*", code).group(0), "", code) if ext == "py" else code
-    frame = {"go": "package p\n%s\n", "java": "class C {\n%s\n}", "rs": "impl C {\n%s\n}", "cpp": "struct C {\n%s\n};", "js": "class C {\n%s\n}", "ts": "class C {\n%s\n}"}.get(ALIASES.get(ext, ext), "%s\n")
-    try:
-        return spoken.accepts(frame % body) or spoken.accepts(body + "\n")
-    except Invalid:
-        return False
-
-
 def documented_functions(files: DataFrame, symbols: DataFrame, template_share: float = 0.001) -> DataFrame:
     """(file_id, start_line, end_line, name, doc, code, parses) of functions and methods with
     documentation that isn't trivial.
 
     files has file_id, filename, content and scanned_at, symbols file_id, classes, functions and
-    scanned_at; of each the latest delivery counts. A description that announces nothing of its own
-    but comes with many functions is a template: descriptions of fewer than ten words that more than
-    `template_share` of all documented functions share (ten at least, with different names) are
-    dropped. A function that the grammar rejects at every possible end is kept up to its end by
-    indentation, with parses false. Null texts, lists and lines give no rows; equal (file_id, start_line) come out once.
+    scanned_at; of each the latest delivery counts. The grammar extracts functions; symbols only says
+    which of them are asked for, by the line of their signature. A description that more than
+    `template_share` of all documented functions share, ten at least and with five different names, is
+    a template; these are dropped. parses is false where only the head of a function is valid. Null
+    texts, lists and lines give no rows; equal (file_id, start_line) come out once; empty tables and
+    other languages give none; other columns are ignored.
     """
     at = lambda c: F.coalesce(F.col(c), F.lit("1900-01-01").cast("timestamp"))
-    brief = lambda c: F.transform(c, lambda x: F.struct(x["name"].alias("name"), x["start_line"].cast("int").alias("line")))
-    empty = F.array().cast("array<struct<name:string,line:int>>")
+    lines = lambda c: F.transform(c, lambda x: x["start_line"].cast("int"))
+    none = F.array().cast("array<int>")
     listed = symbols.where("file_id is not null").select(
-        "file_id", F.concat(F.coalesce(brief("functions"), empty), F.coalesce(F.flatten(F.transform(F.filter("classes", lambda c: c["methods"].isNotNull()), lambda c: brief(c["methods"]))), empty)).alias("named"), at("scanned_at").alias("at")
+        "file_id", F.concat(F.coalesce(lines("functions"), none), F.coalesce(F.flatten(F.transform(F.filter("classes", lambda c: c["methods"].isNotNull()), lambda c: lines(c["methods"]))), none)).alias("lines"), at("scanned_at").alias("at")
     )
-    listed = listed.groupBy("file_id").agg(F.max_by("named", "at").alias("named")).where("size(named) > 0")
-    texts = files.where("file_id is not null and content is not null and filename is not null").select("file_id", extension(F.col("filename")).alias("ext"), "content", at("scanned_at").alias("seen"))
-    # Files are unique by file_id as a rule; a later delivery replaces an earlier one.
-    # A fixed number of parts, as parts that are small in bytes still take long to read.
-    spark = files.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = texts.repartition(parts, "file_id").join(listed.repartition(parts, "file_id"), "file_id")
-
+    listed = listed.groupBy("file_id").agg(F.max_by("lines", "at").alias("lines")).select("file_id", F.explode("lines").alias("start_line")).distinct()
+    texts = spread(files.where("file_id is not null and content is not null and filename is not null").select("file_id", extension(F.col("filename")).alias("ext"), "content", at("scanned_at").alias("seen")))
     fields = [("start_line", pa.int32()), ("end_line", pa.int32()), ("name", pa.string()), ("doc", pa.string()), ("code", pa.string()), ("hash", pa.int64()), ("parses", pa.bool_())]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
-            for file_id, ext, text, named, seen in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                wanted = [(x["name"] or "", x["line"]) for x in named if x and x["line"]]
-                found = documented(text, ext, wanted)
-                rows += [{**f, "file_id": file_id, "seen": seen} for f in found if not f["trivial"]]
-            yield pa.RecordBatch.from_arrays([pa.array([r["file_id"] for r in rows], batch.schema.field(0).type), pa.array([r["seen"] for r in rows], batch.schema.field(4).type), *(pa.array([r[n] for r in rows], t) for n, t in fields)], ["file_id", "seen", *(n for n, _ in fields)])
-
-    key_type = both.schema["file_id"].dataType.simpleString()
-    pairs = both.select("file_id", "ext", "content", "named", "seen").mapInArrow(extract, f"file_id {key_type}, seen timestamp, start_line int, end_line int, name string, doc string, code string, hash long, parses boolean")
-    # The counts below read the pairs again, which are costly to find.
-    pairs = cut_lineage(pairs)
-    pairs = pairs.withColumn("n", F.row_number().over(W.partitionBy("file_id", "start_line").orderBy(F.desc("seen"), "name"))).where("n = 1").drop("n", "seen")
-    counts = pairs.where(F.size(F.split(F.trim("doc"), r"\s+")) < 10).groupBy("hash").agg(F.count("*").alias("k"), F.approx_count_distinct("name").alias("names"))
-    total = pairs.agg(F.count("*").alias("total"))
-    templates = counts.where("k >= 10 and names >= 5").join(F.broadcast(total)).where(F.col("k") > template_share * F.col("total")).select("hash")
+            whose: list[int] = []
+            for k, (ext, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                # A row of its own says that this delivery was seen, whatever it holds.
+                found = [{n: None for n, _ in fields}, *documented(text, ext)]
+                rows += found
+                whose += [k] * len(found)
+            taken = pa.array(whose, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(3).take(taken), *(pa.array([r[n] for r in rows], t) for n, t in fields)], ["file_id", "seen", *(n for n, _ in fields)])
+
+    key_type = texts.schema["file_id"].dataType.simpleString()
+    # Texts are parsed where they are read, once: the counts below read the pairs again.
+    pairs = cut_lineage(texts.mapInArrow(extract, f"file_id {key_type}, seen timestamp, start_line int, end_line int, name string, doc string, code string, hash long, parses boolean"))
+    newest = pairs.groupBy("file_id").agg(F.max("seen").alias("seen"))
+    pairs = pairs.where("start_line is not null").join(newest, ["file_id", "seen"], "left_semi").join(listed, ["file_id", "start_line"], "left_semi").dropDuplicates(["file_id", "start_line"])
+    counts = pairs.groupBy("hash", "name").agg(F.count("*").alias("k")).groupBy("hash").agg(F.sum("k").alias("k"), F.count("*").alias("names"))
+    total = counts.agg(F.sum("k").alias("total"))
+    templates = counts.where("k >= 10 and names >= 5").crossJoin(F.broadcast(total)).where(F.col("k") > template_share * F.col("total")).select("hash")
     return pairs.join(templates, "hash", "left_anti").select("file_id", "start_line", "end_line", "name", "doc", "code", "parses")

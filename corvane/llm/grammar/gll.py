@@ -207,12 +207,13 @@ class Line:
 
     __slots__ = ("tokens", "shapes", "n", "cuts")
 
-    def __init__(self, tokens: tuple, kinds: list[int], cutting: frozenset[int]) -> None:
+    def __init__(self, tokens: tuple, kinds: list[int], cutting: frozenset[int], remembered: bool) -> None:
         self.n = len(tokens)
         self.tokens = tokens + (END,)
         self.shapes = [t if t < BASE else kinds[t - BASE] for t in self.tokens]
+        #: Where the memory of item ends looks first; empty where a parse does without.
         self.cuts: list[int] = []
-        if self.n > SHORT:
+        if remembered:
             cuts, last = [self.n] * (self.n + 1), self.n
             for i in range(self.n - 1, -1, -1):
                 if self.shapes[i] in cutting:
@@ -279,8 +280,8 @@ class Recogniser:
                     out.add(s)
         return frozenset(out)
 
-    def line(self, tokens: tuple) -> Line:
-        return Line(tokens, self.kinds, self.cutting)
+    def line(self, tokens: tuple, remembered: bool = True) -> Line:
+        return Line(tokens, self.kinds, self.cutting, remembered)
 
     def matches(self, symbol: int, tokens: tuple) -> bool:
         """Whether a whole sequence is one of the symbol."""
@@ -290,14 +291,12 @@ class Recogniser:
             head = END if not tokens else tokens[0] if tokens[0] < BASE else self.kinds[tokens[0] - BASE]
             if head not in self.grammar.predict[symbol]:
                 return False
-            line = self.line(tokens)
+            line = self.line(tokens, len(tokens) > SHORT)
             got = self.known[key] = line.n in self._run(symbol, line, 0, 0, line.n)[0]
         return got
 
     def ends_from(self, symbol: int, line: Line, start: int) -> tuple[int, ...]:
         """Every place where a sequence of the symbol that begins at `start` can end."""
-        if line.n <= SHORT:
-            return tuple(self._run(symbol, line, start, 0)[0])
         return tuple(start + e for e in self._item(symbol, line, start, 0)[0])
 
     def _item(self, symbol: int, line: Line, start: int, depth: int) -> tuple[tuple[int, ...], int]:
@@ -335,7 +334,7 @@ class Recogniser:
         alternative of a calling node. With a goal, the parse stops where it is reached."""
         predict, items, accepted = self.grammar.predict, self.grammar.items, self.accepted
         tokens, shapes = line.tokens, line.shapes
-        remember = line.n > SHORT and depth < DEEP
+        remember = bool(line.cuts) and depth < DEEP
         root: tuple[set, list] = (set(), [])
         nodes = {(symbol, start): root}
         done: set[tuple] = set()

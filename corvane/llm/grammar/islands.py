@@ -28,22 +28,33 @@ STARTS = re.compile(r"(?:async[ ]+def|def|class|return|if|elif|else|for|while|tr
 
 @dataclass
 class Level:
-    """A sequence of tokens with their places in the text; below has the levels of its groups."""
+    """A sequence of tokens with the numbers of their lexemes (that of the opening bracket for a
+    group, -1 - number of the one before for a token without text); below has the levels of groups."""
 
+    spans: list[tuple[int, int]]
     bracket: int
-    open_end: int
+    opened: int
     indent: int = -1
     row: int = -1
     tokens: list[int] = field(default_factory=list)
-    starts: list[int] = field(default_factory=list)
-    ends: list[int] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
     below: dict[int, Level] = field(default_factory=dict)
     number: int = -1
+    close_end: int = 0
 
-    def add(self, token: int, start: int, end: int) -> None:
-        self.tokens.append(token)
-        self.starts.append(start)
-        self.ends.append(end)
+    def start(self, i: int) -> int:
+        k = self.at[i]
+        return self.spans[k][0] if k >= 0 else self.spans[-1 - k][1]
+
+    def end(self, i: int) -> int:
+        if i in self.below:
+            return self.below[i].close_end
+        k = self.at[i]
+        return self.spans[k][1] if k >= 0 else self.spans[-1 - k][1]
+
+    def before(self, i: int) -> int:
+        """The end of what stands before a token."""
+        return self.end(i - 1) if i else self.spans[self.opened][1] if self.opened >= 0 else 0
 
 
 class Reader:
@@ -51,6 +62,7 @@ class Reader:
 
     def __init__(self, spoken: Language, text: str) -> None:
         self.spoken, self.text = spoken, text
+        self.spans: list[tuple[int, int]] = []
         self.rows = [0, *(m.end() for m in re.finditer("\n", text))]
 
     def row(self, place: int) -> int:
@@ -70,118 +82,141 @@ class Reader:
         except Invalid:
             return read(True), False
 
-    def _lexemes(self, mend: bool) -> list[tuple[str, int, int]]:
+    def _lexemes(self, mend: bool, at: int = 0) -> list[str]:
+        """The text's lexemes; their places go to spans."""
+        spoken, text = self.spoken, self.text
         try:
-            return list(self.spoken.scan(self.text))
+            if spoken.careful(text):
+                told = list(spoken.scan(text))
+                self.spans = [(a, b) for _, a, b in told]
+                return [x for x, _, _ in told]
         except Invalid:
             if not mend:
                 raise
-            return [(m.group(1), m.start(1), m.end(1)) for m in self.spoken.pattern.finditer(self.text)]
+        found = list(spoken.pattern.finditer(text, at))
+        self.spans = [m.span(1) for m in found]
+        return [m[1] for m in found]
 
-    def _open(self, bracket: int, start: int, end: int, mend: bool) -> Level:
-        return Level(bracket, end, *((self.margin(start)[0], self.row(start)) if mend else (-1, -1)))
+    def _open(self, bracket: int, number: int, mend: bool) -> Level:
+        place = self.spans[number][0]
+        return Level(self.spans, bracket, number, *((self.margin(place)[0], self.row(place)) if mend else (-1, -1)))
 
-    def _close(self, stack: list[Level], start: int, end: int, broken: bool = False) -> None:
-        """Ends the innermost level; start is where it was opened."""
+    def _close(self, stack: list[Level], last: int, broken: bool = False) -> None:
+        """Ends the innermost level with the lexeme `last`."""
         done = stack.pop()
         if broken:
-            done.add(self.spoken.err, end, end)
+            done.tokens.append(self.spoken.err)
+            done.at.append(-1 - last)
         done.number = self.spoken.recogniser.group(done.bracket, tuple(done.tokens))
-        stack[-1].below[len(stack[-1].tokens)] = done
-        stack[-1].add(done.number, start, end)
+        done.close_end = self.spans[last][1] if last >= 0 else 0
+        outer = stack[-1]
+        outer.below[len(outer.tokens)] = done
+        outer.tokens.append(done.number)
+        outer.at.append(done.opened)
 
     def _braces(self, mend: bool) -> Level:
         spoken, go, js = self.spoken, self.spoken.mode == "go", self.spoken.mode == "js"
-        kinds, enders = spoken.kinds, spoken.enders
-        stack = [Level(-1, 0)]
-        begun: list[int] = []
-        waiting, last = False, 0
+        kinds, enders, semi = spoken.kinds, spoken.enders, spoken.semi
+        lexemes = self._lexemes(mend)
+        here = Level(self.spans, -1, -1)
+        stack = [here]
+        waiting, last = False, -1
 
-        def broken_close() -> None:
-            self._close(stack, begun.pop(), last, True)
-
-        for x, start, end in self._lexemes(mend):
+        for number, x in enumerate(lexemes):
             k = kinds.get(x)
             if k is None:
                 k = spoken._new_kind(x)
-            here = stack[-1].tokens
             if k == -2:
                 if go:
-                    if here and (here[-1] in enders or here[-1] >= BASE):
-                        stack[-1].add(spoken.semi, last, last)
+                    if here.tokens and (here.tokens[-1] in enders or here.tokens[-1] >= BASE):
+                        here.tokens.append(semi)
+                        here.at.append(-1 - last)
                 else:
                     waiting = True
                 continue
             if k == -3:
                 continue
-            if k == -1 and not mend:
-                raise Invalid("unexpected lexeme")
-            if mend and begun:
-                width, leads = self.margin(start)
+            if k == -1:
+                if not mend:
+                    raise Invalid("unexpected lexeme")
+                k = spoken.err
+            if mend and len(stack) > 1:
+                place = self.spans[number][0]
+                width, leads = self.margin(place)
                 if leads and x not in CLOSING:
-                    while begun and width <= stack[-1].indent and self.row(start) > stack[-1].row and not (width == stack[-1].indent and x in LABELS):
-                        broken_close()
+                    while len(stack) > 1 and width <= stack[-1].indent and self.row(place) > stack[-1].row and not (width == stack[-1].indent and x in LABELS):
+                        self._close(stack, last, True)
                 elif leads and x == "}":
                     # A brace closes the level that its own line's indentation opened.
-                    while len(begun) > 1 and width < stack[-1].indent and any(v.bracket == BRACE and v.indent <= width for v in stack[1:-1]):
-                        broken_close()
+                    while len(stack) > 2 and width < stack[-1].indent and any(v.bracket == BRACE and v.indent <= width for v in stack[1:-1]):
+                        self._close(stack, last, True)
+                here = stack[-1]
             if waiting:
                 waiting = False
-                if js and spoken.ends_before(stack[-1].tokens, k, x):
-                    stack[-1].add(spoken.semi, last, last)
+                if js and spoken.ends_before(here.tokens, k, x):
+                    here.tokens.append(semi)
+                    here.at.append(-1 - last)
             if x in OPENING:
-                stack.append(self._open(OPENING[x], start, end, mend))
-                begun.append(start)
+                here = self._open(OPENING[x], number, mend)
+                stack.append(here)
             elif x in CLOSING:
-                if not begun or stack[-1].bracket != CLOSING[x]:
+                if len(stack) < 2 or here.bracket != CLOSING[x]:
                     if not mend:
                         raise Invalid("unmatched bracket")
                     if not any(v.bracket == CLOSING[x] for v in stack[1:]):
-                        stack[-1].add(spoken.err, start, end)
-                        last = end
+                        here.tokens.append(spoken.err)
+                        here.at.append(number)
+                        last = number
                         continue
                     while stack[-1].bracket != CLOSING[x]:
-                        broken_close()
-                self._close(stack, begun.pop(), end)
+                        self._close(stack, last, True)
+                self._close(stack, number)
+                here = stack[-1]
             else:
-                stack[-1].add(k if k >= 0 else spoken.err, start, end)
-            last = end
-        if begun and not mend:
+                here.tokens.append(k)
+                here.at.append(number)
+            last = number
+        if len(stack) > 1 and not mend:
             raise Invalid("unclosed bracket")
-        while begun:
-            broken_close()
-        if go and stack[0].tokens and (stack[0].tokens[-1] in enders or stack[0].tokens[-1] >= BASE):
-            stack[0].add(spoken.semi, last, last)
-        return stack[0]
+        while len(stack) > 1:
+            self._close(stack, last, True)
+        top = stack[0]
+        if go and top.tokens and (top.tokens[-1] in enders or top.tokens[-1] >= BASE):
+            top.tokens.append(semi)
+            top.at.append(-1 - last)
+        return top
 
     def _python(self, mend: bool) -> Level:
         spoken, nl = self.spoken, self.spoken.nl
         kinds, groups = spoken.kinds, spoken.recogniser.kinds
-        stack = [Level(-1, 0)]
-        begun: list[int] = []
-        indents, last = [0], 0
-        ended = lambda: not stack[-1].tokens or stack[-1].tokens[-1] == nl or stack[-1].tokens[-1] >= BASE and groups[stack[-1].tokens[-1] - BASE] == INDENT
         lead = PY_LINES.match(self.text)
-        at = lead.end() if lead else 0
-        for m in spoken.pattern.finditer(self.text, at):
-            x, start, end = m.group(1), m.start(1), m.end(1)
+        lexemes = self._lexemes(mend, lead.end() if lead else 0)
+        stack = [Level(self.spans, -1, -1)]
+        indents, last = [0], -1
+
+        def line_end() -> None:
+            """A line ends here, unless one just did."""
+            tokens = stack[-1].tokens
+            if tokens and tokens[-1] != nl and not (tokens[-1] >= BASE and groups[tokens[-1] - BASE] == INDENT):
+                tokens.append(nl)
+                stack[-1].at.append(-1 - last)
+
+        for number, x in enumerate(lexemes):
             if x[0] == "\n":
                 width = columns(x)
-                if len(stack) > 1 and stack[-1].bracket != INDENT:
-                    if not mend or not STARTS.match(self.text, end) or width > stack[-1].indent:
+                if stack[-1].bracket not in (-1, INDENT):
+                    if not mend or width > stack[-1].indent or not STARTS.match(self.text, self.spans[number][1]):
                         continue
-                    while len(stack) > 1 and stack[-1].bracket != INDENT:
-                        self._close(stack, begun.pop(), last, True)
-                if not ended():
-                    stack[-1].add(nl, last, last)
+                    while stack[-1].bracket not in (-1, INDENT):
+                        self._close(stack, last, True)
+                line_end()
                 if width > indents[-1]:
                     indents.append(width)
-                    stack.append(Level(INDENT, end))
-                    begun.append(end)
+                    stack.append(Level(self.spans, INDENT, number))
                     continue
                 while width < indents[-1]:
                     indents.pop()
-                    self._close(stack, begun.pop(), last)
+                    self._close(stack, last)
                 if width != indents[-1] and not mend:
                     raise Invalid("unindent")
                 continue
@@ -190,41 +225,42 @@ class Reader:
                 k = spoken._new_kind(x)
             if k < -1:
                 continue
-            if k == -1 and not mend:
-                raise Invalid("unexpected lexeme")
+            if k == -1:
+                if not mend:
+                    raise Invalid("unexpected lexeme")
+                k = spoken.err
             if x in OPENING:
-                stack.append(self._open(OPENING[x], start, end, mend))
-                begun.append(start)
+                stack.append(self._open(OPENING[x], number, mend))
             elif x in CLOSING:
-                if len(stack) < 2 or stack[-1].bracket != CLOSING[x]:
+                if stack[-1].bracket != CLOSING[x]:
                     if not mend:
                         raise Invalid("unmatched bracket")
                     inner = []
-                    for v in reversed(stack[1:]):
-                        if v.bracket == INDENT:
+                    for v in reversed(stack):
+                        if v.bracket in (-1, INDENT):
                             break
                         inner.append(v.bracket)
                     if CLOSING[x] not in inner:
-                        stack[-1].add(spoken.err, start, end)
-                        last = end
+                        stack[-1].tokens.append(spoken.err)
+                        stack[-1].at.append(number)
+                        last = number
                         continue
                     while stack[-1].bracket != CLOSING[x]:
-                        self._close(stack, begun.pop(), last, True)
-                self._close(stack, begun.pop(), end)
+                        self._close(stack, last, True)
+                self._close(stack, number)
             else:
-                stack[-1].add(k if k >= 0 else spoken.err, start, end)
-            last = end
+                stack[-1].tokens.append(k)
+                stack[-1].at.append(number)
+            last = number
         while len(stack) > 1:
-            if stack[-1].bracket != INDENT and not mend:
-                raise Invalid("unclosed bracket")
             if stack[-1].bracket != INDENT:
-                self._close(stack, begun.pop(), last, True)
-                continue
-            if not ended():
-                stack[-1].add(nl, last, last)
-            self._close(stack, begun.pop(), last)
-        if not ended():
-            stack[-1].add(nl, last, last)
+                if not mend:
+                    raise Invalid("unclosed bracket")
+                self._close(stack, last, True)
+            else:
+                line_end()
+                self._close(stack, last)
+        line_end()
         return stack[0]
 
 

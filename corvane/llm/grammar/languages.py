@@ -94,7 +94,7 @@ class Language:
             text = text[text.find("\n") :] if "\n" in text else ""
         if self.mode == "py":
             return self._python(text)
-        lexemes = (x for x, _, _ in self._careful(text)) if self.mode == "js" and (self.markup or REGEXISH.search(text)) else self.lexemes(text)
+        lexemes = (x for x, _, _ in self._careful(text)) if self.careful(text) else self.lexemes(text)
         kinds, kind, group = self.kinds, self.kind, self.recogniser.group
         go, semi, enders = self.mode == "go", self.semi, self.enders
         stack: list[tuple[int, list[int]]] = []
@@ -159,9 +159,13 @@ class Language:
         self.kinds[x] = k
         return k
 
+    def careful(self, text: str) -> bool:
+        """Whether lexemes depend on what stands before them."""
+        return self.mode == "js" and (self.markup or REGEXISH.search(text) is not None)
+
     def scan(self, text: str) -> Iterator[tuple[str, int, int]]:
         """(lexeme, start, end) of every lexeme."""
-        if self.mode == "js" and (self.markup or REGEXISH.search(text)):
+        if self.careful(text):
             yield from self._careful(text)
         else:
             for m in self.pattern.finditer(text):
