@@ -72,8 +72,8 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
-    # The list of libraries has a fixed size of 30 rows.
-    libraries = [r[0] for r in load(spark, d, "lib_item").select("lib_name").limit(10_000).collect()]
+    # The table of libraries has a fixed size.
+    libraries = [r[0] for r in load(spark, d, "lib_item").where("lib_name is not null").select("lib_name").collect()]
     return not_handwritten(load(spark, d, "source_file"), "file_id", "filename", "content", libraries)
 
 
@@ -82,7 +82,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _p5(spark, d).groupBy(F.coalesce("reason", F.lit("handwritten")).alias("reason")).agg(F.count("*").alias("files"))
+    return _p5(spark, d).groupBy(F.coalesce("reason", F.lit("handwritten")).alias("reason"), "told_by").agg(F.count("*").alias("files"))
 
 
 def _p6(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
