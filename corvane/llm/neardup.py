@@ -58,7 +58,7 @@ def _powers(n: int, cache: dict[str, np.ndarray] = {}) -> tuple[np.ndarray, np.n
 
 def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, element, count) of all distinct runs of `width` words, sorted by document and
-    element. Elements are 48-bit hashes; words are runs of letters, digits and underscores of the
+    element. Elements are 64-bit hashes; words are runs of letters, digits and underscores of the
     lower-cased text."""
     none = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
     lowered = [t.lower() for t in texts]
@@ -80,11 +80,13 @@ def shingles(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.n
         for k in range(width):
             value = mix(value * U64(31) + words[k : n + k])
     whole = doc[:n] == doc[width - 1 :]
-    key = (doc[:n][whole].astype(U64) << U64(48)) | (value[whole] >> U64(16))
-    if not len(key):
+    if not whole.any():
         return none
-    key, count = np.unique(key, return_counts=True)
-    return (key >> U64(48)).astype(np.int64), key & U64((1 << 48) - 1), count
+    doc, value = doc[:n][whole], value[whole]
+    order = np.lexsort((value, doc))
+    doc, value = doc[order], value[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])]))
+    return doc[first].astype(np.int64), value[first], np.diff(np.concatenate([first, [len(doc)]]))
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, slots: int) -> np.ndarray:
@@ -132,7 +134,7 @@ def _slices(whole: pa.RecordBatch, rows: int = 1024, characters: int = 2_000_000
 
 
 def near_duplicates(
-    df: DataFrame, key: str, text: str, when: str | None = None, width: int = 5, threshold: float = 0.8, least: int = 1, weighted: bool = True, bands: int = 36, rows: int = 4
+    df: DataFrame, key: str, text: str, when: str | None = None, width: int = 5, threshold: float = 0.8, least: int = 1, weighted: bool = True, bands: int = 36, rows: int = 4, block: int = 4096
 ) -> tuple[DataFrame, DataFrame]:
     """Links between different texts and the membership of equal ones.
 
@@ -143,14 +145,16 @@ def near_duplicates(
 
     weighted=False compares sets, True multisets. Keys that come several times count once (their
     contents are taken to be equal; with `when`, the latest delivery holds). Null keys and texts
-    are left out, texts with fewer elements too; extra columns are ignored. Signatures find the
-    candidates, each candidate is verified on its whole multiset: a pair at exactly 0.7 is missed
-    with a probability of 5e-5 at 36 bands of 4 rows, at 0.8 of 1e-8.
+    are left out, texts with fewer elements too; a null time counts as the earliest; extra columns
+    are ignored. Signatures find the candidates, each candidate is verified on its whole multiset of
+    64-bit elements: a pair at exactly 0.7 is missed with a probability of 5e-5 at 36 bands of 4 rows,
+    at 0.8 of 1e-8. Records count as equal by 128 bits over all elements. A band that more than `block`
+    representatives share is joined in blocks, so that no task holds all of them.
     """
     if bands > 256:
         raise ValueError("at most 256 bands")
     slots = bands * rows
-    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), (F.col(when) if when else F.lit(0)).alias("at"))
+    source = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), (F.coalesce(F.col(when), F.lit("1900-01-01").cast("timestamp")) if when else F.lit(0)).alias("at"))
     source = spread(source.where(F.col("key").isNotNull() & F.col("text").isNotNull()))
 
     def sign(batches: Iterator[pa.RecordBatch], sets: bool) -> Iterator[pa.RecordBatch]:
@@ -165,15 +169,15 @@ def near_duplicates(
                     continue
                 ends = np.cumsum(sizes)
                 with np.errstate(over="ignore"):
-                    total = np.concatenate([[U64(0)], np.cumsum(mix(element ^ mix(count.astype(U64))))])
-                    same = mix(total[ends] - total[ends - sizes])[keep]
-                    columns = [batch.column(0).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array(same.view(np.int64))]
+                    one = mix(element ^ mix(count.astype(U64)))
+                    sums = [np.concatenate([[U64(0)], np.cumsum(x)]) for x in (one, mix(one ^ BASE))]
+                    same = np.stack([mix(t[ends] - t[ends - sizes])[keep] for t in sums], axis=1)
+                    columns = [batch.column(0).take(pa.array(keep)), batch.column(2).take(pa.array(keep)), pa.array([x.tobytes() for x in same], pa.binary())]
                     if sets:
-                        short = (element >> U64(16)).astype(np.uint32)
                         packed = []
                         for i in keep:
                             part = slice(ends[i] - sizes[i], ends[i])
-                            packed.append(short[part].tobytes() + (count[part].astype(np.uint32).tobytes() if weighted else b""))
+                            packed.append(element[part].tobytes() + (count[part].astype(np.uint64).tobytes() if weighted else b""))
                         columns.append(pa.array(packed, pa.binary()))
                     else:
                         value = np.zeros((len(keep), bands), U64)
@@ -187,21 +191,17 @@ def near_duplicates(
     # Texts are read twice, once for signatures and once for the sets of candidates: that costs
     # less than to keep all sets in between.
     at_type = source.schema["at"].dataType.simpleString()
-    signed = source.mapInArrow(lambda b: sign(b, False), f"key long, at {at_type}, same long, bands array<int>")
+    signed = source.mapInArrow(lambda b: sign(b, False), f"key long, at {at_type}, same binary, bands array<int>")
     signed = cut_lineage(signed.groupBy("key").agg(F.max_by(F.struct("same", "bands"), "at").alias("x")).select("key", "x.*"))
     # The copy with the smallest key stands for its group; only representatives are banded.
     reps = cut_lineage(signed.groupBy("same").agg(F.min(F.struct("key", "bands")).alias("x")).select("same", "x.*"))
     members = signed.select("key", "same").join(reps.select(F.col("key").alias("rep"), "same"), "same").select("key", "rep")
     banded = reps.select("key", F.posexplode("bands")).select("key", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col")).alias("band"))
-    pairs = (
-        banded.alias("x")
-        .join(banded.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")))
-        .select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        .distinct()
-    )
-    pairs = cut_lineage(pairs)
+    pairs = cut_lineage(_sharing(banded, block))
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "same"), "key")
-    sets = source.mapInArrow(lambda b: sign(b, True), f"key long, at {at_type}, same long, elements binary")
+    # Only the texts of candidates are read for their elements.
+    told = source.join(asked.select("key"), "key", "left_semi").select("key", "text", "at")
+    sets = told.mapInArrow(lambda b: sign(b, True), f"key long, at {at_type}, same binary, elements binary")
     sets = sets.select("key", "same", "elements").join(asked, ["key", "same"], "left_semi").dropDuplicates(["key"]).select("key", "elements")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
 
@@ -210,7 +210,7 @@ def near_duplicates(
             a, b, left, right = (batch.column(i) for i in range(4))
             score = np.empty(batch.num_rows)
             for i, (x, y) in enumerate(zip(left.to_pylist(), right.to_pylist())):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if weighted:
                     p, q = len(x) // 2, len(y) // 2
                     _, i1, i2 = np.intersect1d(x[:p], y[:q], assume_unique=True, return_indices=True)
@@ -227,6 +227,25 @@ def near_duplicates(
     return links, members
 
 
+def _sharing(banded: DataFrame, block: int, every: int = 64) -> DataFrame:
+    """Distinct pairs (a < b) of keys that share a band. Bands of more than about `block` keys are
+    recognised on every 64th key; these are cut into blocks by hash, and each pair of blocks meets on
+    its own. The sample only decides how a band is cut, so that no pair depends on it."""
+    probe = banded.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).groupBy("band").agg(F.ceil(F.count("*") * every / block).cast("int").alias("m"))
+    hot = cut_lineage(probe.where("m > 1"))
+    n = hot.count()
+    if n:
+        # Broadcast up to a stated size, else joined by its key.
+        cut = banded.join(F.broadcast(hot) if n <= 50_000 else hot, "band", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+        cut = cut.withColumn("own", F.pmod(F.xxhash64("key", F.lit(5)), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        banded = cut.select("key", "band", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        on = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.lo") == F.col("x.hi")))
+    else:
+        on = F.col("x.band") == F.col("y.band")
+    pairs = banded.alias("x").join(banded.alias("y"), on & (F.col("x.key") < F.col("y.key")))
+    return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a < b) of all records, copies expanded; for results that are defined on pairs."""
     m = members.select(F.col("key").alias("k1"), F.col("rep").alias("a"))
@@ -236,12 +255,12 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     return linked.unionByName(equal).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
 
 
-def groups(links: DataFrame, members: DataFrame, rounds: int = 50) -> DataFrame:
+def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """(key, group_id): connected records, named by their smallest key. Labels spread by joins over
-    the links of representatives, each round halves long paths by also jumping to the label's label."""
+    the links of representatives, each round halves long paths by also jumping to the label's label, until nothing changes."""
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut_lineage(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("g")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(label.select(F.col("a").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("h"))
         stepped = label.join(near, "a").select("a", F.least("g", "h").alias("g"))
         jumped = stepped.join(label.select(F.col("a").alias("g"), F.col("g").alias("j")), "g", "left").select("a", F.least("g", F.coalesce("j", "g")).alias("g"))
