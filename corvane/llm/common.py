@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -17,12 +19,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; only where none is set (tests) take a local one."""
+    """Use the shared folder the cluster names. Only a session that runs on one machine (tests) may go
+    without: it takes a folder of its own, which is removed at the end."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="corvane-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    sc.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -48,6 +56,21 @@ def latest(df: DataFrame, key: str, when: str, *values: Column) -> DataFrame:
     ).select(key, *[F.col(f"_latest.{n}").alias(n) for n in names])
 
 
+def latest_rows(df: DataFrame, key: str, when: str, broadcast_rows: int = 500_000) -> DataFrame:
+    """The rows of the latest delivery of each key, whole; of equal ones any. Rows with a null key are
+    left out. Only keys and times are shuffled: few keys come several times as a rule, and these are
+    broadcast up to a stated number; beyond it the rows are joined by key."""
+    at = F.coalesce(F.col(when), F.lit("1900-01-01").cast("timestamp"))
+    rows = df.where(F.col(key).isNotNull())
+    again = cut_lineage(rows.select(key, at.alias("_at")).groupBy(key).agg(F.max("_at").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n"))
+    n = again.count()
+    if not n:
+        return rows
+    marked = rows.join(F.broadcast(again) if n <= broadcast_rows else again.hint("merge"), key, "left")
+    single = marked.where("_last is null").select(*df.columns)
+    return single.unionByName(marked.where(at == F.col("_last")).dropDuplicates([key]).select(*df.columns))
+
+
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
     """Tables of rows that share the first columns, from batches sorted by these."""
     held: list[pa.RecordBatch] = []

@@ -13,6 +13,8 @@ import binascii
 import json
 import math
 import re
+import string
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import latest_rows, spread
 
 # What the automaton looks for, in lower case.
 KEYWORDS = (
@@ -30,7 +32,7 @@ KEYWORDS = (
     "aiza", "npm_", "eyj", "pypi-", "sg.", "hf_", "dop_v1_", "shpat_", "private key", "://", "authorization", "bearer", "basic ",
     "password", "passwd", "passphrase", "pwd", "pass", "secret", "token", "api_key", "apikey", "api-key", "api key", "access_key", "accesskey", "access key",
     "encryption_key", "encryptionkey", "encryption key", "signing_key", "signingkey", "signing key", "private_key", "privatekey", "auth_key", "authkey", "credential", "login", "log in", "pw ",
-    " key ", "staging",
+    "key ", "key:", "key=", "use this for", "sk-",
 )
 
 # Formats of issuers.
@@ -45,8 +47,12 @@ ISSUERS = (
     ("mail_key", r"(?<![A-Za-z0-9])SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
     ("model_token", r"(?<![A-Za-z0-9])hf_[A-Za-z0-9]{30,}"),
     ("host_token", r"(?<![A-Za-z0-9])(?:dop_v1_[0-9a-f]{64}|shpat_[0-9a-f]{32})(?![A-Za-z0-9])"),
+    ("model_key", r"(?<![A-Za-z0-9])sk-(?:[a-z]{2,8}\d{0,2}-)*[A-Za-z0-9_]{20,}(?![A-Za-z0-9])"),
     ("web_token", r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{16,}"),
 )
+CHECKED = re.compile(r"(?:gh[opusr]|npm)_(?P<body>[A-Za-z0-9]{30})(?P<sum>[A-Za-z0-9]{6})")
+BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
+BLOCK_LINE = re.compile(r"\n[ \t\"'+#/*]*(?:[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]+={1,2})[ \t\"'+,;\\n]*(?=\n|\Z)")
 ISSUED = re.compile("|".join(f"(?P<{name}>{pattern})" for name, pattern in ISSUERS))
 
 NOUN = r"(?:password|passwd|passphrase|pwd|smtp_?pass|db_?pass|user_?pass|secret|token|api[_-]?key|access[_-]?key|secret[_-]?key|signing[_-]?key|encryption[_-]?key|private[_-]?key|auth[_-]?key|credential)s?"
@@ -123,6 +129,20 @@ def _decodes(kind: str, value: str) -> bool:
     return not MASKED.search(body) and not re.search(r"(?i)example|xxxx|\*{3}", value) and entropy(body) >= 2.5
 
 
+def checksum(kind: str, value: str) -> bool | None:
+    """Whether the last six characters of an issuer's token are its checksum (CRC-32 of the part
+    before them, in base 62); None where the format has none. It is reported and doesn't decide:
+    a token copied with an error, or made up, still has to be redacted."""
+    m = CHECKED.fullmatch(value) if kind in ("git_token", "package_token") else None
+    if not m:
+        return None
+    left, digits = zlib.crc32(m["body"].encode()), ""
+    while left:
+        left, k = divmod(left, 62)
+        digits = BASE62[k] + digits
+    return digits.rjust(6, "0") == m["sum"]
+
+
 def _unjoined(line: str) -> tuple[str, list[int]]:
     """The line with adjacent literals of a concatenation joined, and each character's place."""
     if not JOINED.search(line):
@@ -182,7 +202,7 @@ def in_line(line: str) -> list[tuple[str, int, int]]:
 
 def find(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, line number from 1, start, end) of all credentials; start and end count characters of
-    the text. A private key reaches to its END line, where there is one."""
+    the text. A private key reaches to its END line or, without one, over its lines of base64."""
     marked: set[int] = set()
     last = -1
     lowered = text.lower()
@@ -205,19 +225,27 @@ def find(text: str) -> list[tuple[str, int, int, int]]:
                 start, stop = a + s, a + e
                 if kind == "private_key":
                     close = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----").search(text, stop)
-                    stop = close.end() if close else stop
+                    if close:
+                        stop = close.end()
+                    while not close and (m := BLOCK_LINE.match(text, stop)):
+                        stop = m.end()
                 out.append((kind, number, start, stop))
     return out
 
 
 def placeholder(value: str) -> str:
-    """Same length and alphabet: letters become x, digits 0, everything else stays. The lines
-    around a key block stay too."""
+    """Same length and alphabet: hexadecimal stays hexadecimal, base32 stays base32, else letters
+    become x or X and digits 0; everything else stays. The lines around a key block stay too."""
     if value.startswith("-----BEGIN"):
         parts = re.split(r"(-----(?:BEGIN|END)[A-Z0-9 ]*-----|\\n)", value)
         return "".join(p if k % 2 else placeholder(p) for k, p in enumerate(parts))
-    value = re.sub(r"\d", "0", re.sub(r"[A-Z]", "X", re.sub(r"[a-z]", "x", value)))
-    return value
+    shown = re.sub(r"[^A-Za-z0-9]", "", value)
+    lower, upper, digit = "x", "X", "0"
+    if re.fullmatch(r"[0-9a-fA-F]*", shown):
+        lower, upper = "a", "A"
+    elif re.fullmatch(r"[A-Z2-7]*", shown):
+        digit = "2"
+    return re.sub(r"[0-9]", digit, re.sub(r"[A-Z]", upper, re.sub(r"[a-z]", lower, value)))
 
 
 def redact(text: str) -> str:
@@ -231,7 +259,7 @@ def redact(text: str) -> str:
 
 
 def credentials(df: DataFrame, key: str, text: str, when: str | None = None) -> DataFrame:
-    """(key, line_no, kind, start, end) of every credential in every text.
+    """(key, line_no, kind, start, end, checksum) of every credential in every text.
 
     Null keys and texts give no row, empty texts none either. A key that comes several times counts
     once, with its latest text. Other columns are ignored. Texts are scanned whole; only the places
@@ -240,22 +268,23 @@ def credentials(df: DataFrame, key: str, text: str, when: str | None = None) ->
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(when) if when else F.lit(None).cast("timestamp")).alias("at")).where("key is not null and text is not null")
     rows = spread(rows)
     key_type = rows.schema["key"].dataType.simpleString()
-    place = pa.list_(pa.struct([("line_no", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    place = pa.list_(pa.struct([("line_no", pa.int64()), ("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("checksum", pa.bool_())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"line_no": n, "kind": k, "start": a, "end": b} for k, n, a, b in find(t)] for t in batch.column(1).to_pylist()]
+            found = [[{"line_no": n, "kind": k, "start": a, "end": b, "checksum": checksum(k, t[a:b])} for k, n, a, b in find(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, place)], ["key", "at", "found"])
 
-    scanned = rows.mapInArrow(scan, f"key {key_type}, at timestamp, found array<struct<line_no:bigint,kind:string,start:int,end:int>>")
+    scanned = rows.mapInArrow(scan, f"key {key_type}, at timestamp, found array<struct<line_no:bigint,kind:string,start:int,end:int,checksum:boolean>>")
     # Texts without a credential take part too: a later delivery may have lost it.
     once = scanned.groupBy("key").agg(F.max_by("found", F.coalesce("at", F.lit("1900-01-01").cast("timestamp"))).alias("found"))
     return once.select(F.col("key").alias(key), F.inline("found"))
 
 
-def redacted(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text) of all rows, with credentials replaced; null texts stay null."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+def redacted(df: DataFrame, key: str, text: str, when: str | None = None) -> DataFrame:
+    """(key, text) of all rows, with credentials replaced; null texts stay null. With `when`, each key
+    comes once, with its latest text, and null keys are left out; else every row comes out."""
+    rows = (latest_rows(df, key, when) if when else df).select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = rows.schema["key"].dataType.simpleString()
 
     def scrub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, load
+from .common import cut_lineage, latest_rows, load
 from .credentials import credentials, redacted
 from .docpairs import documented_functions
 from .handwritten import not_handwritten
@@ -16,7 +16,7 @@ from .mixing import mixed, shares
 from .neardup import all_pairs, groups, near_duplicates
 from .packing import fill_report, packed
 from .splitting import split_oversized
-from .syntax import invalid_rates, parsed
+from .syntax import extension, invalid_rates, parsed
 from .tokens import sized
 from .truncation import rates, truncated
 from .vectors import most_similar, similar_pairs
@@ -58,7 +58,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return redacted(load(spark, d, "chunk").dropDuplicates(["chunk_no"]), "chunk_no", "content")
+    return redacted(load(spark, d, "chunk"), "chunk_no", "content", "indexed_at")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,8 +67,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
-    chunk = load(spark, d, "chunk").dropDuplicates(["chunk_no"])
-    return split_oversized(chunk, "chunk_no", "content", LIMIT, OVERLAP)
+    """Code is cut at its functions: their lines in the file, brought to the chunk's own lines."""
+    chunk = latest_rows(load(spark, d, "chunk").select("chunk_no", "content", "file_id", "filename", "chunk_type", "start_line", "indexed_at"), "chunk_no", "indexed_at")
+    code = F.when(F.col("chunk_type").isin("class", "function", "module"), F.nullif(extension(F.col("filename")), F.lit("")))
+    return split_oversized(chunk.withColumn("ext", code), "chunk_no", "content", LIMIT, OVERLAP, extension="ext")
 
 
 def _p5(spark: SparkSession, d: str) -> DataFrame:
