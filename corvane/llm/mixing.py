@@ -4,7 +4,7 @@ The largest total is taken at which no source needs a document more often than a
 then has the same expected number of copies as the others of its source: a whole part and a fraction.
 Fractions are rounded by the pivotal method: two documents trade tokens at random until one of them
 is decided, so that a source's tokens stay what they should be up to one document. Blocks of documents
-are rounded where they lie; what each leaves undecided meets in a tree of further rounds.
+are rounded by themselves, large ones first; what each leaves undecided meets in a tree of further rounds.
 """
 
 from __future__ import annotations
@@ -85,48 +85,64 @@ def _rounded(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
     return reduce(DataFrame.unionByName, decided).select("doc_id", "part")
 
 
-def mixed(sizes: DataFrame, targets: DataFrame, block_rows: int = 50_000, large: float = 0.005, seed: int = 11) -> DataFrame:
+def aims(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, max_repeats, aim): the tokens each target source should give. The total is the largest
+    at which every source reaches its share within its cap without any document that has more tokens
+    than the share itself. Leaving such documents out can lower the total and so leave out more, which
+    is repeated until nothing changes; the total only falls, past the size of one document at least
+    each time. One row per target source."""
+    wanted = targets.where("source is not null and target_share > 0 and max_repeats > 0").select("source", F.col("target_share").cast("double").alias("share"), "max_repeats").dropDuplicates(["source"])
+    bounds = cut_lineage(wanted.withColumn("aim", F.lit(float("inf"))))
+    total = None
+    while True:
+        held = sized.join(F.broadcast(bounds), "source").where(F.col("tokens") <= F.col("aim") + 0.5).groupBy("source").agg(F.sum("tokens").alias("held"))
+        per_source = held.join(wanted, "source")
+        row = per_source.agg(F.min(F.col("held") * F.col("max_repeats") / F.col("share")).alias("total")).collect()[0]
+        if row["total"] is None or row["total"] == total:
+            return bounds.where(F.lit(total is not None)).select("source", "max_repeats", "aim")
+        total = row["total"]
+        bounds = cut_lineage(per_source.select("source", "share", "max_repeats", (F.col("share") * F.lit(total)).alias("aim")))
+
+
+def _sized(sizes: DataFrame) -> DataFrame:
+    return cut_lineage(sizes.where("doc_id is not null and source is not null and tokens > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("tokens").cast("long").alias("tokens")))
+
+
+def mixed(sizes: DataFrame, targets: DataFrame, block_rows: int = 50_000, seed: int = 11) -> DataFrame:
     """(doc_id, source, tokens, copies) of the documents that are used, copies from 1 to the cap.
 
     sizes has doc_id (unique), source and tokens; targets source, target_share and max_repeats.
     Documents of other sources, without a source or of 0 tokens are not used; a source whose target
     is null or 0 isn't either. A target source without tokens makes its share unreachable and is left
-    out, the others keep their proportions. The total is the largest at which every source reaches
-    its share within its cap. A document with more tokens than its source's share of that total
-    can't be part of any such mixture and is left out. Documents of more than `large` of the share
-    are rounded first, so that the smaller ones can make up for them.
+    out, the others keep their proportions. Totals and documents that are too large for any such
+    mixture: see aims; left_out names them. Documents are rounded from the largest to the smallest,
+    so that what is undecided at last is small.
     """
-    wanted = targets.where("source is not null and target_share > 0 and max_repeats > 0").select("source", F.col("target_share").cast("double").alias("share"), "max_repeats").dropDuplicates(["source"])
-    sized = cut_lineage(sizes.where("doc_id is not null and source is not null and tokens > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("tokens").cast("long").alias("tokens")))
-    # Tables of one row per target source.
-    per_source = sized.groupBy("source").agg(F.sum("tokens").alias("held")).join(wanted, "source")
-    total = per_source.agg(F.min(F.col("held") * F.col("max_repeats") / F.col("share")).alias("total"))
-    aims = per_source.join(F.broadcast(total)).select("source", "max_repeats", (F.col("share") * F.col("total")).alias("aim"))
+    sized = _sized(sizes)
+    wanted = aims(sized, targets)
     # At most one row for each target source.
-    usable = sized.join(F.broadcast(aims), "source").where(F.col("tokens") <= F.col("aim") + 0.5)
+    usable = sized.join(F.broadcast(wanted), "source").where(F.col("tokens") <= F.col("aim") + 0.5)
     rates = usable.groupBy("source", "aim", "max_repeats").agg(F.sum("tokens").alias("held"), F.count("*").alias("docs"))
-    rates = cut_lineage(rates.select("source", "docs", F.least(F.col("max_repeats").cast("double"), F.col("aim") / F.col("held")).alias("rate")).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / block_rows)).cast("int")))
+    rates = cut_lineage(rates.select("source", F.least(F.col("max_repeats").cast("double"), F.col("aim") / F.col("held")).alias("rate"), F.greatest(F.lit(1), F.ceil(F.col("docs") / block_rows)).cast("int").alias("blocks")))
     blocks = rates.agg(F.max("blocks").alias("b")).collect()[0]["b"] or 1
     whole = F.floor(F.col("rate") + EDGE)
     rows = usable.join(F.broadcast(rates), "source").select(
-        "source", "doc_id", "tokens", whole.cast("int").alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("part"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long").alias("block"), (F.col("tokens") > large * F.col("aim")).alias("big")
+        "source", "doc_id", "tokens", whole.cast("int").alias("whole"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("part"), F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("long").alias("block")
     )
     rows = cut_lineage(rows)
-    big = rows.where("big")
-    first = cut_lineage(_rounded(big, blocks, seed))
-    mass = lambda part: F.sum(F.col("tokens") * F.col(part))
-    aimed = rows.groupBy("source").agg(mass("part").alias("all_mass"), F.sum(F.when(~F.col("big"), F.col("tokens") * F.col("part")).otherwise(0.0)).alias("small_mass"))
-    got = big.select("doc_id", "source", "tokens").join(first, "doc_id").groupBy("source").agg(mass("part").alias("big_mass"))
-    scale = aimed.join(got, "source", "left").select("source", F.when(F.col("small_mass") > 0, F.greatest(F.lit(0.0), F.col("all_mass") - F.coalesce("big_mass", F.lit(0.0))) / F.col("small_mass")).otherwise(1.0).alias("scale"))
-    small = rows.where("not big").join(F.broadcast(scale), "source").withColumn("part", F.least(F.lit(1.0), F.col("part") * F.col("scale")))
-    parts = first.unionByName(_rounded(small, blocks, seed + 1))
-    done = rows.select("doc_id", "source", "tokens", "whole").join(parts, "doc_id")
+    done = rows.select("doc_id", "source", "tokens", "whole").join(_rounded(rows, blocks, seed), "doc_id")
     return done.select("doc_id", "source", "tokens", (F.col("whole") + F.col("part").cast("int")).alias("copies")).where("copies > 0")
 
 
+def left_out(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, source, tokens, aim) of the documents that have more tokens than their source may give."""
+    sized = _sized(sizes)
+    return sized.join(F.broadcast(aims(sized, targets)), "source").where(F.col("tokens") > F.col("aim") + 0.5).select("doc_id", "source", "tokens", F.round("aim", 1).alias("aim"))
+
+
 def shares(used: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, tokens, share, documents, most_copies) of each target source."""
     per = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     total = per.agg(F.sum("tokens").alias("total"))
-    out = targets.select("source", "target_share").join(per, "source", "left").join(F.broadcast(total), how="left")
+    out = targets.select("source", "target_share").join(per, "source", "left").crossJoin(total)
     return out.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round(F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)), 6).alias("share"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))

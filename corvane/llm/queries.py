@@ -6,20 +6,22 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.search import exact_search
 from .common import cut_lineage, latest_rows, load
 from .credentials import credentials, redacted
 from .docpairs import documented_functions
 from .handwritten import not_handwritten
-from .mixing import mixed, shares
+from .mixing import left_out, mixed, shares
 from .neardup import all_pairs, groups, near_duplicates
 from .packing import fill_report, packed
 from .splitting import split_oversized
 from .syntax import extension, invalid_rates, parsed
 from .tokens import sized
 from .truncation import rates, truncated
-from .vectors import most_similar, similar_pairs
+from .vectors import most_similar, similar_pairs, unit_vectors, unpacked
 
 LIMIT, OVERLAP = 4000, 200
 
@@ -53,6 +55,32 @@ def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return most_similar(load(spark, d, "vectors"), "vec_no", "vector", "indexed_at", k=10)
 
 
+def p2_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the ten nearest of each query, by brute force over all rows, p2_neighbours has."""
+    vectors = load(spark, d, "vectors")
+    units = cut_lineage(unit_vectors(vectors, "vec_no", "vector", "indexed_at"))
+    rows = units.select("key", "dim", unpacked(F.col("unit")).alias("v"))
+    exact = exact_search(rows, rows.where("key % 100 = 0"), "key", "v", k=11, least=-1.0).where("query <> key")
+    exact = exact.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), "key"))).where("n <= 10")
+    got = most_similar(vectors, "vec_no", "vector", "indexed_at", k=10)
+    hit = exact.join(got.select("query", F.col("neighbour").alias("key"), F.lit(1).alias("hit")), ["query", "key"], "left")
+    return hit.agg(F.count("*").alias("nearest"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
+def p3_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Redaction keeps the length of every text."""
+    return p3_redacted(spark, d).select("chunk_no", F.length("content").cast("long").alias("length"))
+
+
+def p4_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every text, put together again without their overlaps."""
+    pieces = p4_pieces(spark, d).where("chunk_no is not null")
+    per = pieces.groupBy("chunk_no").agg(F.array_sort(F.collect_list(F.struct("start", "end", "piece"))).alias("xs"), F.max(F.col("end") - F.col("start")).alias("longest"))
+    # What a piece adds begins where the one before it ended.
+    rest = F.transform("xs", lambda x, i: F.when(i == 0, x["piece"]).otherwise(F.substr(x["piece"], F.try_element_at(F.col("xs"), i)["end"] - x["start"] + 1)))
+    return per.select("chunk_no", F.md5(F.array_join(rest, "")).alias("md5"), (F.col("longest") <= LIMIT).alias("within"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials(load(spark, d, "chunk"), "chunk_no", "content", "indexed_at").select("chunk_no", "line_no").distinct()
 
@@ -99,6 +127,19 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(*_p6(spark, d)).select(F.col("key").alias("chunk_no"), "group_id")
 
 
+def _p6_weighted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Multisets of five words, at the operator's own threshold of 0.8."""
+    return near_duplicates(load(spark, d, "chunk"), "chunk_no", "content", "indexed_at")
+
+
+def p6_weighted_links(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_weighted(spark, d)[0].select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+def p6_weighted_members(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_weighted(spark, d)[1].select(F.col("key").alias("chunk_no"), "rep")
+
+
 def _p7(spark: SparkSession, d: str) -> DataFrame:
     return documented_functions(load(spark, d, "source_file"), load(spark, d, "file_result"))
 
@@ -113,8 +154,8 @@ def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def _p8(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
     sizes = cut_lineage(sized(load(spark, d, "documents"), "doc_id", "text"))
-    # The list of containers has a fixed size of 3 rows.
-    targets = load(spark, d, "pack_target").limit(1000).collect()
+    # The table of containers has a fixed size; each row is a packing of its own.
+    targets = load(spark, d, "pack_target").where("pack_name is not null and capacity_tokens is not null").collect()
     return [(t["pack_name"], t["capacity_tokens"], packed(sizes, "doc_id", t["capacity_tokens"])) for t in targets]
 
 
@@ -138,6 +179,10 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(cut_lineage(_p9(spark, d)), load(spark, d, "mix_target"))
 
 
+def p9_left_out(spark: SparkSession, d: str) -> DataFrame:
+    return left_out(sized(load(spark, d, "documents"), "doc_id", "text", "source"), load(spark, d, "mix_target"))
+
+
 def _p10(spark: SparkSession, d: str) -> DataFrame:
     return truncated(load(spark, d, "documents"), "doc_id", "text", "source")
 
@@ -151,7 +196,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_rates, p1_files, p2_found, p2_neighbours, p3_found, p3_redacted, p4_found, p4_pieces, p5_found, p5_reasons, p6_found, p6_groups, p7_found, p7_pairs, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p1_found, p1_rates, p1_files, p2_found, p2_neighbours, p2_recall, p3_found, p3_redacted, p3_lengths, p4_found, p4_pieces, p4_joined, p5_found, p5_reasons, p6_found, p6_groups, p6_weighted_links, p6_weighted_members, p7_found, p7_pairs, p8_pack, p8_fill, p9_mix, p9_shares, p9_left_out, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -173,4 +218,24 @@ def oracle_sql() -> dict[str, str]:
                   WHERE x.chunk_no IN (SELECT chunk_no FROM n) AND y.chunk_no IN (SELECT chunk_no FROM n) GROUP BY 1, 2)
             SELECT chunk_a, chunk_b FROM c JOIN n p ON p.chunk_no = chunk_a JOIN n q ON q.chunk_no = chunk_b
             WHERE k >= 0.7 * (p.n + q.n - k)""",
+        "p2_recall": """
+            WITH once AS (SELECT vec_no, arg_max(vector, indexed_at) AS v FROM vectors WHERE vector IS NOT NULL GROUP BY 1),
+            u AS (SELECT vec_no, len(v) AS n FROM once WHERE list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)) > 0),
+            k AS (SELECT n, count(*) AS k FROM u GROUP BY 1)
+            SELECT sum(least(10, k - 1))::BIGINT AS nearest, TRUE AS reached FROM u JOIN k USING (n) WHERE vec_no % 100 = 0""",
+        "p3_lengths": "SELECT chunk_no, length(arg_max(content, indexed_at)) AS length FROM chunk WHERE chunk_no IS NOT NULL GROUP BY 1",
+        "p4_joined": "SELECT chunk_no, md5(content) AS md5, TRUE AS within FROM (SELECT chunk_no, arg_max(content, indexed_at) AS content FROM chunk WHERE chunk_no IS NOT NULL GROUP BY 1) WHERE content IS NOT NULL",
+        "p6_weighted_links": WEIGHTED + """, d AS (SELECT DISTINCT rep FROM m), r AS (SELECT rep AS chunk_no, e, n FROM d JOIN c ON c.chunk_no = rep), t AS (SELECT chunk_no, sum(n) AS n FROM r GROUP BY 1),
+            p AS (SELECT x.chunk_no AS a, y.chunk_no AS b, sum(least(x.n, y.n)) AS k FROM r x JOIN r y ON x.e = y.e AND x.chunk_no < y.chunk_no GROUP BY 1, 2)
+            SELECT a, b, round(k / (s.n + t.n - k), 6)::DOUBLE AS similarity FROM p JOIN t s ON s.chunk_no = a JOIN t ON t.chunk_no = b WHERE k >= 0.8 * (s.n + t.n - k)""",
+        "p6_weighted_members": WEIGHTED + " SELECT chunk_no, rep FROM m",
     }
+
+
+#: Counts of all runs of five words, and the smallest number with the same counts.
+WEIGHTED = """
+    WITH once AS (SELECT chunk_no, arg_max(content, indexed_at) AS content FROM chunk WHERE chunk_no IS NOT NULL GROUP BY 1),
+    words AS (SELECT chunk_no, regexp_extract_all(lower(content), '[\\p{L}\\p{N}_]+') AS w FROM once),
+    c AS (SELECT chunk_no, array_to_string(w[i:i + 4], ' ') AS e, count(*) AS n FROM (SELECT chunk_no, w, unnest(range(1, len(w) - 3)) AS i FROM words) GROUP BY 1, 2),
+    g AS (SELECT chunk_no, md5(string_agg(e || ' ' || n, '|' ORDER BY e)) AS h FROM c GROUP BY 1),
+    m AS (SELECT chunk_no, min(chunk_no) OVER (PARTITION BY h) AS rep FROM g)"""

@@ -1,7 +1,6 @@
 """Texts that lost their end (problem 10).
 
-A stack automaton reads a text's blocks and the spans of its last paragraph and says in which state
-the text stops: inside a code block, a table row, a literal or a bracket, inside a sentence, or at a
+A stack automaton reads the whole text and says in which state it stops: inside a code block, a table row, a literal or a bracket, inside a sentence, or at a
 place where texts do stop. What a place means depends on the corpus: whether a source's texts end
 with a full stop at all, at which length its field was cut, which words and closing phrases exist.
 """
@@ -32,56 +31,64 @@ URL_TAIL = re.compile(r"https?:?/?/?\S*$")
 WHOLE_URL = re.compile(r"https?://[^\s/]+\.[a-z]{2,}(?:[:/]\S*)?$")
 BROKEN = re.compile(r"(?:�|[\ud800-\udfff]|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|&(?:#x?[0-9a-fA-F]*|[a-zA-Z]{2,8})?|%[0-9A-F]?)$")
 OPENS, CLOSES = "([{“«「『（【", {")": "(", "]": "[", "}": "{", "”": "“", "»": "«", "」": "「", "』": "『", "）": "（", "】": "【"}
+# Elements of markup that have to be closed, and what the automaton reads.
+ELEMENTS = "a|b|blockquote|center|code|details|div|em|i|kbd|ol|pre|section|span|strong|sub|summary|sup|table|ul"
+TOKEN = re.compile(
+    rf"(?m)^ {{0,3}}(?P<fence>`{{3,}}|~{{3,}})|(?P<blank>\n[ \t]*(?=\n))|(?P<comment><!--)|(?P<endcomment>-->)|(?P<element><(?P<slash>/?)(?P<name>(?i:{ELEMENTS}))(?:\s[^<>]*)?(?<!/)>)|(?P<escape>\\[\s\S])|(?P<tick>`)|(?P<mark>\*\*|\")|(?P<open>[" + re.escape(OPENS) + "])|(?P<close>[" + re.escape("".join(CLOSES)) + "])"
+)
 LAST_WORD = re.compile(r"[^\W\d_]+$")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def open_spans(paragraph: str) -> list[str]:
-    """What is still open at the end of a paragraph: code spans, brackets, quotes, emphasis."""
-    stack: list[str] = []
-    k, n = 0, len(paragraph)
-    while k < n:
-        c = paragraph[k]
-        top = stack[-1] if stack else ""
-        if c == "\\":
-            k += 2
-            continue
-        if c == "`":
-            if top == "`":
-                stack.pop()
+class Stack:
+    """The automaton: reads a text from its start to its end and holds what is open. Code fences,
+    comments and elements of markup stay open over paragraphs; code spans, brackets, quotes and
+    emphasis end with theirs."""
+
+    def __init__(self, text: str) -> None:
+        self.fence, self.comment = "", False
+        self.elements: list[str] = []
+        self.spans: list[str] = []
+        for m in TOKEN.finditer(text):
+            kind, value = m.lastgroup, m.group(0)
+            if kind == "fence":
+                self._fence(value.strip())
+            elif not self.fence:
+                self._inline(kind, value, m)
+
+    def _fence(self, mark: str) -> None:
+        if not self.fence:
+            self.fence = mark
+            self.spans.clear()
+        elif mark[0] == self.fence[0] and len(mark) >= len(self.fence):
+            self.fence = ""
+
+    def _inline(self, kind: str, value: str, m: re.Match) -> None:
+        spans = self.spans
+        if kind == "blank":
+            spans.clear()
+        elif self.comment:
+            self.comment = kind != "endcomment"
+        elif spans and spans[-1] == "`":
+            if kind == "tick":
+                spans.pop()
+        elif kind == "comment":
+            self.comment = True
+        elif kind == "element":
+            name = m["name"].lower()
+            if not m["slash"]:
+                self.elements.append(name)
+            elif name in self.elements:
+                del self.elements[len(self.elements) - 1 - self.elements[::-1].index(name) :]
+        elif kind == "tick" or value in OPENS:
+            spans.append(value)
+        elif kind == "mark":
+            if value in spans:
+                del spans[spans.index(value) :]
             else:
-                stack.append("`")
-        elif top == "`":
-            pass
-        elif c == '"':
-            if '"' in stack:
-                del stack[stack.index('"') :]
-            else:
-                stack.append('"')
-        elif c in OPENS:
-            stack.append(c)
-        elif c in CLOSES and top == CLOSES[c]:
-            stack.pop()
-        elif c in CLOSES and CLOSES[c] in stack:
-            del stack[len(stack) - 1 - stack[::-1].index(CLOSES[c]) :]
-        elif paragraph.startswith("**", k):
-            if "**" in stack:
-                del stack[stack.index("**") :]
-            else:
-                stack.append("**")
-            k += 1
-        k += 1
-    return stack
-
-
-def _fence_open(text: str) -> bool:
-    mark = ""
-    for m in FENCE.finditer(text):
-        if not mark:
-            mark = m.group(1)
-        elif m.group(1)[0] == mark[0] and len(m.group(1)) >= len(mark):
-            mark = ""
-    return bool(mark)
+                spans.append(value)
+        elif kind == "close" and CLOSES[value] in spans:
+            del spans[len(spans) - 1 - spans[::-1].index(CLOSES[value]) :]
 
 
 def head(text: str) -> str:
@@ -106,8 +113,11 @@ def ending(text: str) -> tuple[str, str]:
         body = body[: dots.start()].rstrip()
     if not body:
         return "whole", ""
-    if _fence_open(body):
+    left = Stack(body)
+    if left.fence:
         return "cut", "code"
+    if left.comment or left.elements:
+        return "cut", "markup"
     tail = body[body.rfind("\n\n") + 2 :] if "\n\n" in body else body
     line = body[body.rfind("\n") + 1 :]
     if FENCE.match(line):
@@ -122,7 +132,7 @@ def ending(text: str) -> tuple[str, str]:
         if len(rows) == 1 or re.fullmatch(r"[|\s:-]+", line):
             return "cut", "table"
         return "open", ""
-    left = open_spans(tail)
+    left = left.spans
     if "`" in left:
         return "cut", "span"
     version = re.fullmatch(r"[A-Z]\w* v?\d+(?:\.\d+)*\.", line)
@@ -179,10 +189,10 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
         for batch in batches:
             counts: Counter[str] = Counter()
             for t in batch.column(0).to_pylist():
+                # How often a word comes before the end of a text: the last one may be cut itself.
                 found = WORDS.findall((t or "").lower())
                 counts.update(found[:-1])
-            short = {w: n for w, n in counts.items() if len(w) <= 40}
-            yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.string()), pa.array(list(short.values()), pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     judged = cut_lineage(rows.mapInArrow(judge, f"key {key_type}, source string, length int, state string, word string, head string, hash long"))
     # A label whose lines mostly do end in a full stop introduces a sentence.
@@ -209,7 +219,7 @@ def truncated(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     origins = F.count_distinct(F.struct("source"))
     closings = dotted.groupBy("word").agg(F.count("*").alias("k"), origins.alias("origins"))
     total = dotted.agg(F.count("*").alias("all"), origins.alias("all_origins"))
-    closings = closings.join(F.broadcast(total)).where("k >= 3 and k * 20 >= all and origins >= least(3, all_origins)").select("word", F.lit(True).alias("closes"))
+    closings = closings.crossJoin(total).where("k >= 3 and k * 20 >= all and origins >= least(3, all_origins)").select("word", F.lit(True).alias("closes"))
 
     # Most texts end as they should: only the others meet the tables of words.
     doubtful = F.col("state").isin("open", "plain", "dots") & (F.col("word") != "")
