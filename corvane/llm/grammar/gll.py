@@ -25,7 +25,7 @@ FIRST_KIND, BASE = 4, 1 << 20
 #: What stands behind the last token of every sequence.
 END = -1
 #: Kinds of grammar symbols.
-TOKENS, SYMBOL, GROUP, LOOP, LAST = range(5)
+TOKENS, SYMBOL, GROUP, LOOP, LAST, RUN = range(6)
 
 
 class Terms:
@@ -46,9 +46,10 @@ class Terms:
 
 class Grammar:
     """Rules compiled to alternatives of (TOKENS, kinds), (SYMBOL, symbol), (GROUP, bracket, symbol)
-    (LAST,), the end, and (LOOP, symbol), which is the symbol any number of times."""
+    (LAST,), the end, (LOOP, symbol), which is the symbol any number of times, and (RUN, kinds),
+    tokens of these kinds any number of times."""
 
-    def __init__(self, text: str, terms: Terms) -> None:
+    def __init__(self, text: str, terms: Terms, items: tuple[str, ...] = ()) -> None:
         self.terms, self.names, self.alts, self.separated = terms, {}, [], []
         self.made: dict[tuple, int] = {}
         spans = list(RULE.finditer(text))
@@ -67,7 +68,7 @@ class Grammar:
         #: By bracket, the symbols that rules put inside of it.
         self.inside: list[list[int]] = [sorted({s[2] for x in self.alts for a in x for s in a if s[0] == GROUP and s[1] == b}) for b in range(FIRST_KIND)]
         #: Symbols whose ends are remembered: items of comma lists, and those that a language names.
-        self.items = set(self.separated)
+        self.items = {*self.separated, *(self.names[x] for x in items)}
         #: Symbols whose rules are those of another symbol but for alternatives that begin with a
         #: token: symbol -> (other symbol, token).
         self.stricter: dict[int, tuple[int, int]] = {}
@@ -161,6 +162,7 @@ class Grammar:
         for alternatives in self.alts:
             for k, alternative in enumerate(alternatives):
                 alternatives[k] = tuple(classes[s[1]] if s[0] == "c" else s for s in alternative)
+        self._flatten()
         n = len(self.alts)
         first: list[set[int]] = [set() for _ in range(n)]
         empty = [False] * n
@@ -170,6 +172,9 @@ class Grammar:
             for s in alternative:
                 if s[0] == TOKENS:
                     return out | s[1], False
+                if s[0] == RUN:
+                    out |= s[1]
+                    continue
                 if s[0] == GROUP:
                     return out | {s[1]}, False
                 if s[0] == LAST:
@@ -202,6 +207,28 @@ class Grammar:
             self.predict.append(table)
 
 
+    def _flatten(self) -> None:
+        """Puts symbols that are one of several tokens, and such that have one alternative only, in the
+        place of their names: a parse then needs no stack node for them."""
+        changed = True
+        while changed:
+            changed = False
+            for k, alternatives in enumerate(self.alts):
+                for j, alternative in enumerate(alternatives):
+                    out: list[tuple] = []
+                    for s in alternative:
+                        below = self.alts[s[1]] if s[0] in (SYMBOL, LOOP) else []
+                        if s[0] in (SYMBOL, LOOP) and below and all(len(a) == 1 and a[0][0] == TOKENS for a in below):
+                            out.append((TOKENS if s[0] == SYMBOL else RUN, frozenset().union(*(a[0][1] for a in below))))
+                        elif s[0] == SYMBOL and s[1] not in self.items and s[1] != k and len(below) == 1 and len(below[0]) + len(alternative) <= 16 and not any(x[0] == SYMBOL and x[1] in (k, s[1]) for x in below[0]):
+                            out += below[0]
+                        else:
+                            out.append(s)
+                    if tuple(out) != alternative:
+                        alternatives[j] = tuple(out)
+                        changed = True
+
+
 class Line:
     """A sequence of tokens on which parses run."""
 
@@ -363,6 +390,9 @@ class Recogniser:
                 elif kind == LAST:
                     if shapes[i] != END:
                         break
+                elif kind == RUN:
+                    if shapes[i] in s[1]:
+                        todo.append((alternative, k, i + 1, node))
                 else:
                     below = s[1]
                     options = predict[below].get(shapes[i])

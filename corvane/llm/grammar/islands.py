@@ -93,9 +93,8 @@ class Reader:
         except Invalid:
             if not mend:
                 raise
-        found = list(spoken.pattern.finditer(text, at))
-        self.spans = [m.span(1) for m in found]
-        return [m[1] for m in found]
+        found, self.spans = spoken.placed(text, at)
+        return found
 
     def _open(self, bracket: int, number: int, mend: bool) -> Level:
         place = self.spans[number][0]

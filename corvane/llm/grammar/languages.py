@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 from . import rules
 from .gll import BASE, BRACE, BRACKET, INDENT, PAREN, Grammar, Recogniser, Terms
@@ -39,9 +40,8 @@ class Language:
         self.private = self.terms("#private")
         for word in ("<markup", "markup>"):
             self.terms(word)
-        self.grammar = Grammar(text, self.terms)
+        self.grammar = Grammar(text, self.terms, items)
         names = self.grammar.names
-        self.grammar.items.update(names[x] for x in items)
         self.top = names[top]
         for name in names:
             if f"{name}0" in names and "return" in keywords:
@@ -50,7 +50,10 @@ class Language:
         self.keywords = frozenset(keywords)
         operator = "|".join(re.escape(x) for x in sorted({x for x in self.terms.number if not re.match(r"\w", x) and x not in (";",)} | {";"} | set(operators), key=len, reverse=True))
         number = NUMBER + f"(?:{suffix})?(?!\\w)" if suffix else NUMBER + r"(?!\w)"
-        self.pattern = re.compile(rf"(?:{blank})*({tokens}|{number}|{ID}|{operator}|[()\[\]{{}}]|\n|/\*|[^\s])", re.M)
+        lexeme = rf"{tokens}|{number}|{ID}|{operator}|[()\[\]{{}}]|\n|/\*|[^\s]"
+        self.pattern = re.compile(rf"(?:{blank})*({lexeme})", re.M)
+        #: The same with what stands before each lexeme, from which places are counted.
+        self.spaced = re.compile(rf"((?:{blank})*)({lexeme})", re.M)
         t = self.terms.number
         self.enders = {self.id, self.num, self.str, self.tmpl, self.regex, self.life, self.private} | {t[x] for x in ENDERS if x in t}
         if mode == "js":
@@ -159,6 +162,17 @@ class Language:
         self.kinds[x] = k
         return k
 
+    def placed(self, text: str, at: int = 0) -> tuple[list[str], list[tuple[int, int]]]:
+        """The lexemes from a place on, and their places."""
+        pairs = self.spaced.findall(text, at)
+        ends = list(accumulate([len(b) + len(x) for b, x in pairs], initial=at))
+        found = [x for _, x in pairs]
+        if text[ends[-1] :].strip() or (found and text[ends[-1] - len(found[-1]) : ends[-1]] != found[-1]):
+            # Blanks that no rule names were passed over: places have to be asked for.
+            told = list(self.pattern.finditer(text, at))
+            return [m[1] for m in told], [m.span(1) for m in told]
+        return found, [(e - len(x), e) for x, e in zip(found, ends[1:])]
+
     def careful(self, text: str) -> bool:
         """Whether lexemes depend on what stands before them."""
         return self.mode == "js" and (self.markup or REGEXISH.search(text) is not None)
