@@ -161,6 +161,60 @@ def cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return out
 
 
+def cycle_edges(edges: DataFrame) -> DataFrame:
+    """(src, dst): the edges that lie on a cycle, of any length.
+
+    First nodes without edges in or out are peeled off, round by round, until none is left; an acyclic
+    graph ends here. What remains is split into strongly connected parts: every node takes the smallest
+    label that reaches it forwards, and the nodes from which its label's own node can be reached keep
+    it; those parts are taken out and the rest goes on."""
+    rest = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
+    out = rest.limit(0)
+    while True:
+        rest = _peeled(rest)
+        if rest.isEmpty():
+            return out
+        label = _spread(rest, "src", "dst", rest.select(F.col("src").alias("name")).distinct().withColumn("label", F.col("name")))
+        # Backwards from a label's own node, along edges within the label.
+        inner = cut_lineage(rest.join(label.toDF("src", "a"), "src").join(label.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", F.col("a").alias("label")))
+        parts = label.where("name = label").select("name", "label")
+        while True:
+            more = inner.join(parts.select(F.col("name").alias("dst"), "label"), ["dst", "label"]).select(F.col("src").alias("name"), "label")
+            grown = cut_lineage(parts.union(more).distinct())
+            same = grown.count() == parts.count()
+            parts = grown
+            if same:
+                break
+        part = lambda end: parts.select(F.col("name").alias(end), F.col("label").alias(f"l_{end}"))
+        out = cut_lineage(out.union(inner.join(part("src"), "src").join(part("dst"), "dst").where("l_src = l_dst").select("src", "dst")))
+        names = parts.select("name")
+        rest = cut_lineage(rest.join(names.toDF("src"), "src", "left_anti").join(names.toDF("dst"), "dst", "left_anti"))
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    n = edges.count()
+    while n:
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        edges = cut_lineage(kept.select("src", "dst"))
+        now = edges.count()
+        if now == n:
+            break
+        n = now
+    return edges
+
+
+def _spread(edges: DataFrame, along: str, to: str, labels: DataFrame) -> DataFrame:
+    """(name, label): the smallest label that reaches each node along the edges."""
+    labels = cut_lineage(labels)
+    while True:
+        sent = edges.join(labels.select(F.col("name").alias(along), "label"), along).groupBy(F.col(to).alias("name")).agg(F.min("label").alias("sent"))
+        step = cut_lineage(labels.join(sent, "name", "left").select("name", "label", F.least("label", F.coalesce("sent", "label")).alias("new")))
+        moved = not step.where("new <> label").isEmpty()
+        labels = step.select("name", F.col("new").alias("label"))
+        if not moved:
+            return labels
+
+
 def call_paths(calls: DataFrame, longest: int = 4, least: int = 2) -> DataFrame:
     """(start, path, n_edges): chains of calls from functions that nobody calls, of at least `least`
     edges and two modules; no function is reached twice on a chain. Where every function is called,

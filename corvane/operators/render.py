@@ -6,8 +6,10 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.labels import action
 from ..session import global_rank
 
 
@@ -24,88 +26,96 @@ def dependency_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return global_rank(head.union(boxes).union(arrows), F.asc("part"), F.asc("k"), name="line_no").select("line_no", "line")
 
 
-def sequence_lines(paths: DataFrame) -> DataFrame:
-    """(start, line_no, line): a call chain `a#f -> b#g -> ...` as lines of a sequence diagram; a call
-    that follows its own repetition is written once."""
+def _steps(paths: DataFrame) -> DataFrame:
+    """(path, message_no, from_module, to_module, name) of chains `a#f -> b#g -> ...`."""
     steps = F.split("path", " -> ")
     module = lambda x: F.split_part(x, F.lit("#"), F.lit(1))
-    head = F.array(F.lit("sequenceDiagram"))
-    people = F.transform(F.array_distinct(F.transform(steps, module)), lambda m: F.concat(F.lit("    participant "), node_id(m)))
-    calls = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat(F.lit("    "), node_id(module(F.element_at(steps, i))), F.lit("->>"), node_id(module(F.element_at(steps, i + 1))), F.lit(": "), F.split_part(F.element_at(steps, i + 1), F.lit("#"), F.lit(2))))
-    return paths.select("path", F.posexplode(F.concat(head, people, calls)).alias("line_no", "line"))
+    calls = F.transform(
+        F.sequence(F.lit(1), F.size(steps) - 1),
+        lambda i: F.struct(i.cast("long").alias("message_no"), module(F.element_at(steps, i)).alias("from_module"), module(F.element_at(steps, i + 1)).alias("to_module"), F.split_part(F.element_at(steps, i + 1), F.lit("#"), F.lit(2)).alias("name")),
+    )
+    return paths.select("path", F.inline(calls))
+
+
+def messages(paths: DataFrame) -> DataFrame:
+    """(path, message_no, from_module, to_module, label, is_return): the messages of call chains. One
+    that goes back where the message before it came from is a return; one that equals the message
+    before it is left out."""
+    told = _steps(paths).withColumn("label", F.concat("name", F.lit("() — "), action(F.col("name"))))
+    before = lambda c: F.lag(c).over(W.partitionBy("path").orderBy("message_no"))
+    back = (before("from_module") == F.col("to_module")) & (before("to_module") == F.col("from_module"))
+    again = (before("from_module") == F.col("from_module")) & (before("to_module") == F.col("to_module")) & (before("label") == F.col("label"))
+    marked = told.select("path", "message_no", "from_module", "to_module", "label", F.coalesce(back, F.lit(False)).alias("is_return"), F.coalesce(again, F.lit(False)).alias("again"))
+    return marked.where("not again").drop("again")
+
+
+def summaries(paths: DataFrame) -> DataFrame:
+    """(path, title, description) of call chains: where they start, over how many top folders they go
+    and where they end."""
+    steps = F.split("path", " -> ")
+    part = lambda x, i: F.split_part(x, F.lit("#"), F.lit(i))
+    first, last = F.element_at(steps, 1), F.element_at(steps, -1)
+    top = lambda x: F.split_part(part(x, 1), F.lit("/"), F.lit(1))
+    layers = F.size(F.array_distinct(F.transform(steps, top)))
+    title = F.concat(part(first, 1), F.lit("."), part(first, 2), F.lit(" -> "), part(last, 1), F.lit("."), part(last, 2))
+    over = F.when(layers > 2, F.concat(F.lit("；经过 "), layers.cast("string"), F.lit(" 个模块协作"))).otherwise("")
+    said = F.concat(F.lit("触发条件：调用 "), top(first), F.lit(" 的 "), action(part(first, 2)), over, F.lit("；最终由 "), top(last), F.lit(" 完成 "), action(part(last, 2)))
+    return paths.select("path", title.alias("title"), said.alias("description"))
 
 
-def validate_diagrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, message): structural errors of diagram texts, lines from 1; 0 for an empty text."""
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    key_type = rows.schema["key"].dataType.simpleString()
+def sequence_lines(paths: DataFrame) -> DataFrame:
+    """(path, line_no, line): call chains as sequence diagrams: a line of description, participants in
+    the order of their first appearance, then the messages."""
+    modules = F.transform(F.split("path", " -> "), lambda x: F.split_part(x, F.lit("#"), F.lit(1)))
+    head = summaries(paths).select("path", F.lit(0).alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("sequenceDiagram").alias("line")), F.struct(F.lit(1), F.concat(F.lit("    %% "), "description")))).alias("x")).select("path", "part", "x.k", "x.line")
+    people = paths.select("path", F.posexplode(F.array_distinct(modules)).alias("k", "m")).select("path", F.lit(1).alias("part"), "k", F.concat(F.lit("    participant "), node_id(F.col("m")), F.lit(" as "), "m").alias("line"))
+    arrow = F.when(F.col("is_return"), "-->>").otherwise("->>")
+    said = messages(paths).select("path", F.lit(2).alias("part"), F.col("message_no").cast("int").alias("k"), F.concat(F.lit("    "), node_id(F.col("from_module")), arrow, node_id(F.col("to_module")), F.lit(": "), "label").alias("line"))
+    rows = head.union(people).union(said)
+    # The lines of one chain, which its length bounds.
+    return rows.withColumn("line_no", F.row_number().over(W.partitionBy("path").orderBy("part", "k")) - 1).select("path", "line_no", "line")
 
-    def run(batches):
-        for batch in batches:
-            keys, at, said = [], [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for line, message in diagram_errors(t):
-                    keys.append(k)
-                    at.append(line)
-                    said.append(message)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(at, pa.int64()), pa.array(said, pa.string())], ["key", "line", "message"])
-
-    return rows.mapInArrow(run, f"key {key_type}, line long, message string").withColumnRenamed("key", key)
-
-
-# Diagram kinds by the start of the first line, and arrows of flow charts.
-KINDS = (("graph", "graph"), ("flowchart", "graph"), ("classdiagram", "class"), ("sequencediagram", "sequence"))
-ARROWS = ("-->", "-.->", "==>", "--x", "--o", "-.-")
-
-
-def diagram_errors(text: str) -> list[tuple[int, str]]:
-    """(line, message) of a diagram text."""
-    lines = text.split("\n")
-    shown = [(n, s) for n, x in enumerate(lines, 1) if (s := x.strip()) and not s.startswith("%%")]
-    if not text.strip():
-        return [(0, "empty diagram")]
-    out: list[tuple[int, str]] = []
-    kind, open_braces, open_graphs = "", 0, 0
-    for n, line in shown:
-        if not kind:
-            word = line.lower()
-            kind = next((k for start, k in KINDS if (word == start or word.startswith(start + " ") if k == "graph" else word.startswith(start))), "")
-            if not kind:
-                out.append((n, "unrecognized diagram type"))
-            continue
-        open_braces += line.count("{") - line.count("}")
-        if open_braces < 0:
-            out.append((n, "unmatched closing brace"))
-            open_braces = 0
-        if kind != "graph":
-            continue
-        if line.startswith("subgraph "):
-            open_graphs += 1
-        elif line == "end":
-            open_graphs -= 1
-            if open_graphs < 0:
-                out.append((n, "unmatched 'end' for subgraph"))
-                open_graphs = 0
-        else:
-            message = _flow_line(line)
-            if message:
-                out.append((n, message))
-    if open_braces > 0:
-        out.append((len(lines), "unclosed brace block"))
-    if open_graphs > 0:
-        out.append((len(lines), "unclosed subgraph block"))
-    return out
-
-
-def _flow_line(line: str) -> str:
-    for opening, closing, what in (("[", "]", "bracket"), ("(", ")", "parenthesis"), ("{", "}", "brace")):
-        if line.count(opening) != line.count(closing):
-            return f"unclosed node {what}"
-    arrow = next((a for a in ARROWS if a in line), None)
-    if arrow:
-        left, _, right = line.partition(arrow)
-        return "edge missing source node" if not left.strip() else "edge missing target node" if not right.strip() else ""
-    return ""
+
+# The kinds of diagrams by their first word, arrows of flow charts, pairs of brackets, and
+# what is said of an error.
+ARROW = r"-->|-\.->|==>|--x|--o|-\.-"
+BRACKETS = (("[", "]", "unclosed node bracket"), ("(", ")", "unclosed node parenthesis"), ("{", "}", "unclosed node brace"))
+EMPTY, UNKNOWN, EXTRA_BRACE, OPEN_BRACE, EXTRA_END, OPEN_GRAPH, NO_SOURCE, NO_TARGET = "empty diagram", "unrecognized diagram type", "unmatched closing brace", "unclosed brace block", "unmatched 'end' for subgraph", "unclosed subgraph block", "edge missing source node", "edge missing target node"
+
+
+def validate_diagrams(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, message): structural errors of diagram texts, lines from 1; 0 for an empty text.
+
+    Lines are rows. The balance of braces and of subgraphs is a running sum over a text's lines; a line
+    closes more than is open where the sum falls below every earlier one. Lines before the first word
+    of a known kind are unrecognised; flow charts are also tested line by line. A null text is empty;
+    null keys are left out.
+    """
+    given = df.where(F.col(key).isNotNull()).select(F.monotonically_increasing_id().alias("id"), F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    blank = given.where(F.trim(F.regexp_replace("text", r"\s", "")) == "").select("key", F.lit(0).cast("long").alias("line"), F.lit(EMPTY).alias("message"))
+    split = given.where(F.trim(F.regexp_replace("text", r"\s", "")) != "").select("id", "key", F.size(F.split("text", "\n")).alias("n"), F.posexplode(F.split("text", "\n")).alias("k", "raw"))
+    shown = split.select("id", "key", "n", (F.col("k") + 1).cast("long").alias("line"), F.regexp_replace("raw", r"^\s+|\s+$", "").alias("said")).where("said <> '' and said not like '%!%!%%' escape '!'")
+    word = F.lower(F.regexp_extract("said", r"^(\w+)", 1))
+    known = F.when(F.lower("said").rlike(r"^(graph|flowchart)( |$)"), "flow").when(word.startswith("classdiagram"), "class").when(word.startswith("sequencediagram"), "sequence")
+    upto = W.partitionBy("id").orderBy("line")
+    typed = shown.withColumn("kind", F.first(known, True).over(upto.rowsBetween(W.unboundedPreceding, 0))).withColumn("opens", F.row_number().over(W.partitionBy("id", F.col("kind").isNull()).orderBy("line")) == 1)
+    lost = typed.where("kind is null").select("key", "line", F.lit(UNKNOWN).alias("message"))
+    body = typed.where("kind is not null and not opens")
+    many = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+    graphs = F.when(F.col("kind") != "flow", 0).when(F.col("said").startswith("subgraph "), 1).when(F.col("said") == "end", -1).otherwise(0)
+    run = body.withColumn("braces", F.sum(many(F.col("said"), "{") - many(F.col("said"), "}")).over(upto)).withColumn("graphs", F.sum(graphs).over(upto))
+    earlier = lambda c: F.least(F.lit(0), F.coalesce(F.min(c).over(upto.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    low = run.withColumn("low_braces", earlier("braces")).withColumn("low_graphs", earlier("graphs"))
+    uneven = F.coalesce(*[F.when(many(F.col("said"), a) != many(F.col("said"), b), message) for a, b, message in BRACKETS])
+    left, right = F.regexp_extract("said", rf"^(.*?)(?:{ARROW})", 1), F.regexp_extract("said", rf"^.*?(?:{ARROW})(.*)$", 1)
+    bare = F.when(F.col("said").rlike(ARROW), F.when(F.trim(left) == "", NO_SOURCE).when(F.trim(right) == "", NO_TARGET))
+    plain = (F.col("kind") == "flow") & ~F.col("said").startswith("subgraph ") & (F.col("said") != "end")
+    found = F.array_compact(F.array(F.when(F.col("braces") < F.col("low_braces"), EXTRA_BRACE), F.when(F.col("graphs") < F.col("low_graphs"), EXTRA_END), F.when(plain, F.coalesce(uneven, bare))))
+    wrong = low.select("key", "line", F.explode(found).alias("message"))
+    # What is open at the end: the last balance above the lowest one.
+    last = low.groupBy("id", "key", "n").agg(F.max_by(F.struct((F.col("braces") - F.least("braces", "low_braces")).alias("b"), (F.col("graphs") - F.least("graphs", "low_graphs")).alias("g")), "line").alias("x"))
+    ends = last.select("key", F.col("n").cast("long").alias("line"), F.explode(F.array_compact(F.array(F.when(F.col("x.b") > 0, OPEN_BRACE), F.when(F.col("x.g") > 0, OPEN_GRAPH)))).alias("message"))
+    return blank.union(lost).union(wrong).union(ends).withColumnRenamed("key", key)
 
 
 INLINE = ((re.compile(r"`([^`]+)`"), "code"), (re.compile(r"\*\*(.+?)\*\*"), "strong"), (re.compile(r"(?<![\w*])\*([^*\s][^*]*)\*"), "em"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, graphs, search, symbols
+from . import documents, graphs, modules, search, symbols
 
-PARTS = (graphs, symbols, search, documents)
+PARTS = (graphs, symbols, search, documents, modules)
 
 
 def queries() -> dict:
