@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,22 +80,66 @@ def neighbourhood(edges: DataFrame, node: str) -> DataFrame:
     return induced(edges, near.distinct())
 
 
+#: Up to so many nodes and edges in all a graph is worked on by one task; beyond it by joins.
+ONE_TASK = 2_000_000
+
+
+def _whole(nodes: DataFrame, edges: DataFrame, schema: str, work) -> DataFrame:
+    """Runs work(names, src, dst) -> columns on a small graph in one task; src and dst are numbers of
+    names, which are sorted."""
+    rows = nodes.select(F.col("name").alias("a"), F.lit(None).cast("string").alias("b")).distinct().unionByName(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).to_pandas()
+        is_node = table["b"].isna().to_numpy()
+        names = np.sort(table["a"].to_numpy()[is_node].astype(object))
+        pairs = table[~is_node]
+        yield pa.RecordBatch.from_arrays(*work(names, np.searchsorted(names, pairs["a"].to_numpy().astype(object)), np.searchsorted(names, pairs["b"].to_numpy().astype(object))))
+
+    return cut_lineage(rows.repartition(1).mapInArrow(run, schema))
+
+
+def is_small(nodes: DataFrame, edges: DataFrame) -> bool:
+    return nodes.count() + edges.count() <= ONE_TASK
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(name, score). Starts even; what nodes without outgoing edges hold is not handed out; stops
-    when the scores change by less than the tolerance in sum."""
-    n = nodes.count()
+    when the scores change by less than the tolerance in sum. Edges are between nodes."""
+    n = nodes.select("name").distinct().count()
     if n == 0:
         return nodes.select("name", F.lit(0.0).alias("score"))
+    if n + edges.count() <= ONE_TASK:
+
+        def work(names: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[list, list[str]]:
+            share = damping / np.maximum(1, np.bincount(src, minlength=len(names)))
+            score = np.full(len(names), 1.0 / len(names))
+            for _ in range(rounds):
+                new = (1 - damping) / len(names) + np.bincount(dst, (score * share)[src], minlength=len(names))
+                change, score = np.abs(new - score).sum(), new
+                if tolerance and change < tolerance:
+                    break
+            return [pa.array(names, pa.string()), pa.array(score)], ["name", "score"]
+
+        return _whole(nodes, edges, "name string, score double", work)
+    return _pagerank_joined(nodes, edges, n, damping, rounds, tolerance)
+
+
+def _pagerank_joined(nodes: DataFrame, edges: DataFrame, n: int, damping: float, rounds: int, tolerance: float) -> DataFrame:
+    """The same by joins; scores are written every fourth round, and only then compared."""
     out = edges.groupBy("src").agg(F.count("*").alias("k"))
-    weighted = cut_lineage(edges.join(out, "src").select("src", "dst", (F.lit(damping) / F.col("k")).alias("w")))
-    scores = cut_lineage(nodes.select("name", F.lit(1.0 / n).alias("score")))
+    weighted = cut_lineage(edges.join(out, "src").select("src", "dst", (F.lit(damping) / F.col("k")).alias("w")).repartition("src"))
+    scores = cut_lineage(nodes.select("name").distinct().select("name", F.lit(1.0 / n).alias("score")))
     for k in range(1, rounds + 1):
         given = weighted.join(scores.withColumnRenamed("name", "src"), "src").groupBy(F.col("dst").alias("name")).agg(F.sum(F.col("w") * F.col("score")).alias("given"))
         new = scores.withColumnRenamed("score", "old").join(given, "name", "left").select("name", "old", (F.lit((1 - damping) / n) + F.coalesce("given", F.lit(0.0))).alias("score"))
-        if tolerance or k % 4 == 0 or k == rounds:
+        if k % 4 == 0 or k == rounds:
             new = cut_lineage(new)
-        if tolerance and (new.agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("d")).collect()[0]["d"] or 0) < tolerance:
-            return new.select("name", "score")
+            if tolerance and (new.agg(F.sum(F.abs(F.col("score") - F.col("old"))).alias("d")).collect()[0]["d"] or 0) < tolerance:
+                return new.select("name", "score")
         scores = new.select("name", "score")
     return scores
 
@@ -129,9 +178,37 @@ def top_modules(ranked: DataFrame, most: int = 0) -> DataFrame:
     return placed.where(F.col("place") <= kept).select("name", "role", "value", "place")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(name, community): every node takes its neighbours' most frequent label, all at once, the
-    smallest of equally frequent ones; nodes without neighbours keep their own."""
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(name, community): nodes take their neighbours' most frequent label, the smallest of equally
+    frequent ones, one after the other in the order of their names, until nothing changes or for
+    `rounds` rounds; nodes without neighbours keep their own. That order is one task's, so that a
+    larger graph is refused: see communities_at_once."""
+    if not is_small(nodes, edges):
+        raise ValueError(f"more than {ONE_TASK} nodes and edges; use communities_at_once")
+
+    def work(names: np.ndarray, src: np.ndarray, dst: np.ndarray) -> tuple[list, list[str]]:
+        near: list[list[int]] = [[] for _ in names]
+        for a, b in zip(src.tolist(), dst.tolist()):
+            near[a].append(b)
+            near[b].append(a)
+        label = list(range(len(names)))
+        for _ in range(rounds):
+            moved = False
+            for k, others in enumerate(near):
+                if others:
+                    votes = Counter([label[o] for o in others])
+                    best = min(votes, key=lambda x: (-votes[x], x))
+                    moved |= best != label[k]
+                    label[k] = best
+            if not moved:
+                break
+        return [pa.array(names, pa.string()), pa.array([names[x] for x in label], pa.string())], ["name", "community"]
+
+    return _whole(nodes, edges, "name string, community string", work)
+
+
+def communities_at_once(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
+    """(name, community): as communities, but all nodes take their new labels at the same time."""
     near = cut_lineage(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("name", "near"))
     labels = cut_lineage(nodes.select("name", F.col("name").alias("label")))
     for _ in range(rounds):

@@ -11,7 +11,6 @@ from ..session import cut_lineage, global_rank, load, once
 
 NODES_SQL = "nodes AS (SELECT DISTINCT regexp_replace(filename, '\\.[^./]*$', '') AS name FROM file_result WHERE filename IS NOT NULL)"
 EDGES_SQL = NODES_SQL + ", g AS (SELECT DISTINCT src, dst FROM edge WHERE src <> dst AND src IN (SELECT name FROM nodes) AND dst IN (SELECT name FROM nodes))"
-DEGREE_SQL = EDGES_SQL + ", deg AS (SELECT name, (SELECT count(*) FROM g WHERE dst = name) AS n_in, (SELECT count(*) FROM g WHERE src = name) AS n_out FROM nodes)"
 DEGREE_SQL = EDGES_SQL + ", deg AS (SELECT name, coalesce(i.k, 0) AS n_in, coalesce(o.k, 0) AS n_out FROM nodes LEFT JOIN (SELECT dst, count(*) AS k FROM g GROUP BY 1) i ON i.dst = name LEFT JOIN (SELECT src, count(*) AS k FROM g GROUP BY 1) o ON o.src = name)"
 ROUNDS = 12
 RANK_SQL = "WITH RECURSIVE " + DEGREE_SQL + f""", sz AS (SELECT count(*) AS n FROM nodes),
@@ -87,7 +86,7 @@ def pagerank_fixed(spark, d):
 
 
 def pagerank_converged(spark, d):
-    return G.pagerank(*_graph(spark, d))
+    return G.pagerank(*_graph(spark, d), tolerance=1e-9).select("name", F.round("score", 5).alias("score"))
 
 
 def _roles(spark, d):
@@ -127,18 +126,25 @@ def module_difficulty(spark, d):
 def architecture_pattern(spark, d):
     n, e, s = _ranked(spark, d)
     r = G.roles(n, e, s)
-    looped = G.cycles(e, 4).limit(1).agg(F.count("*").alias("cyclic"))
-    facts = r.agg(F.countDistinct("role").alias("roles"), F.max("score").alias("top"), F.count("*").alias("modules")).join(F.broadcast(looped))
+    # Exact for cycles of any length: what is left after peeling off nodes without edges in or out.
+    looped = G.cycle_edges(e).limit(1).agg(F.count("*").alias("cyclic"))
+    facts = r.agg(F.countDistinct("role").alias("roles"), F.max("score").alias("top"), F.count("*").alias("modules")).crossJoin(looped)
     pattern = F.when((F.col("roles") > 1) & (F.col("cyclic") == 0), "layered").when((F.col("top") > 0.4) & (F.col("modules") > 2), "hub").when((F.col("cyclic") == 0) & (F.col("modules") > 2), "pipeline").when(F.col("cyclic") > 0, "coupled").otherwise("simple")
     return facts.select(pattern.alias("pattern"), F.col("roles").cast("long").alias("roles"), "modules")
 
 
-def communities_sync(spark, d):
+def communities(spark, d):
     return G.communities(*_graph(spark, d))
 
 
+def communities_sync(spark, d):
+    return G.communities_at_once(*_graph(spark, d), rounds=3)
+
+
 def cycles(spark, d):
-    return G.cycles(_graph(spark, d)[1], 4).select(F.array_join("nodes", ">").alias("cycle"), F.col("size").cast("long").alias("size"))
+    """Cycles of up to three top folders in their calls."""
+    e = G.coarsened(load(spark, d, "call_edge").select(F.col("from_module").alias("src"), F.col("to_module").alias("dst")))
+    return G.cycles(e, 3).select(F.array_join("nodes", ">").alias("cycle"), F.col("size").cast("long").alias("size"))
 
 
 def call_paths(spark, d):
@@ -162,7 +168,7 @@ def mermaid_dependency(spark, d):
     return dependency_lines(*_graph(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (graph_edges, import_links, degrees, entry_points, dependencies, coarsen, subgraph_dir, neighbor_subgraph, dir_groups, pagerank_fixed, pagerank_converged, module_roles, role_edges, module_importance, top_modules, module_difficulty, architecture_pattern, communities_sync, cycles, call_paths, call_targets, mermaid_dependency)}
+QUERIES = {f.__name__: f for f in (graph_edges, import_links, degrees, entry_points, dependencies, coarsen, subgraph_dir, neighbor_subgraph, dir_groups, pagerank_fixed, pagerank_converged, module_roles, role_edges, module_importance, top_modules, module_difficulty, architecture_pattern, communities, communities_sync, cycles, call_paths, call_targets, mermaid_dependency)}
 
 LATEST = "fr AS (SELECT * FROM file_result WHERE file_id IS NOT NULL AND filename IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY scanned_at DESC) = 1)"
 SIZE_SQL = "size AS (SELECT regexp_replace(filename, '\\.[^./]*$', '') AS name, max(coalesce(len(classes), 0) + coalesce(len(functions), 0)) AS k FROM file_result WHERE filename IS NOT NULL GROUP BY 1)"
@@ -200,7 +206,14 @@ SQL = {
      SELECT name, role, value FROM v QUALIFY row_number() OVER (ORDER BY role IN ('{ENTRY}', '{CORE}') DESC, value DESC, name) <= CASE WHEN n <= 30 THEN n WHEN n <= 80 THEN floor(n * 0.7) ELSE floor(n * 0.5) END""",
     "module_difficulty": ROLE_SQL + f", {SIZE_SQL}, s AS (SELECT name, round(50 * round(score, 8) + 8 * n_in + 2 * k + n_out, 7) AS difficulty FROM role JOIN size USING (name)), p AS (SELECT *, (row_number() OVER (ORDER BY difficulty DESC, name) - 1) / (SELECT count(*) FROM s) AS share FROM s) SELECT name, difficulty, CASE WHEN share < 0.25 THEN 'hard' WHEN share < 0.75 THEN 'medium' ELSE 'easy' END AS level FROM p",
     "architecture_pattern": ROLE_SQL + CYCLE_SQL + ", f AS (SELECT count(DISTINCT role) AS roles, max(score) AS top, count(*) AS modules, (SELECT count(*) FROM (SELECT 1 FROM cyc LIMIT 1)) AS cyclic FROM role) SELECT CASE WHEN roles > 1 AND cyclic = 0 THEN 'layered' WHEN top > 0.4 AND modules > 2 THEN 'hub' WHEN cyclic = 0 AND modules > 2 THEN 'pipeline' WHEN cyclic > 0 THEN 'coupled' ELSE 'simple' END AS pattern, roles, modules FROM f",
-    "cycles": f"WITH RECURSIVE {EDGES_SQL}{CYCLE_SQL} SELECT list_aggregate(p, 'string_agg', '>') AS cycle, len(p) AS size FROM cyc",
+    "cycles": """WITH RECURSIVE g AS (SELECT DISTINCT split_part(from_module, '/', 1) AS src, split_part(to_module, '/', 1) AS dst FROM call_edge WHERE split_part(from_module, '/', 1) <> split_part(to_module, '/', 1)),
+      walk(p, last) AS (SELECT [src, dst], dst FROM g WHERE dst > src UNION ALL SELECT list_append(p, dst), dst FROM walk JOIN g ON g.src = last WHERE len(p) < 3 AND dst > p[1] AND NOT list_contains(p, dst))
+      SELECT list_aggregate(p, 'string_agg', '>') AS cycle, len(p) AS size FROM walk JOIN g ON g.src = last AND g.dst = p[1]""",
+    "communities_sync": f"""WITH RECURSIVE {EDGES_SQL}, near AS (SELECT src AS name, dst AS near FROM g UNION ALL SELECT dst, src FROM g),
+      l(i, name, label) AS (SELECT 0, name, name FROM nodes UNION ALL SELECT l.i + 1, l.name, coalesce(b.label, l.label) FROM l LEFT JOIN (
+        SELECT i, name, label FROM (SELECT o.i AS i, near.name AS name, o.label AS label, count(*) AS k FROM near JOIN l o ON o.name = near.near GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY i, name ORDER BY k DESC, label) = 1) b ON b.name = l.name AND b.i = l.i WHERE l.i < 3)
+      SELECT name, label AS community FROM l WHERE i = 3""",
+    "pagerank_converged": RANK_SQL.replace(f"p.i < {ROUNDS}", "p.i < 60").replace(f"i = {ROUNDS}", "i = 60") + " SELECT name, round(score, 5) AS score FROM rank",
     "call_paths": """WITH RECURSIVE e AS (SELECT DISTINCT from_module || '#' || from_name AS a, to_module || '#' || to_name AS b, from_module AS ma, to_module AS mb FROM call_edge),
       heads AS (SELECT * FROM e WHERE a <> b AND a NOT IN (SELECT b FROM e WHERE a <> b)),
       walk(p, m, n) AS (SELECT [a, b], [ma, mb], 1 FROM heads UNION ALL SELECT list_append(p, b), list_append(m, mb), n + 1 FROM walk JOIN e ON e.a = p[-1] WHERE n < 3 AND NOT list_contains(p[2:], b))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 def session(app: str = "corvane", **conf: str) -> SparkSession:
     """A session with adaptive plans and UTC; a cluster's own settings win."""
-    builder = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    builder = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.sql.execution.arrow.pyspark.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
@@ -21,11 +23,25 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder; a local one is made only where none is named."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names. Only a session that runs on one machine (tests) may go
+    without: it takes a folder of its own, which is removed at the end."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="corvane-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder. The session's cleaner removes what nothing refers
+    to any more where spark.cleaner.referenceTracking.cleanCheckpoints is set, as `session` does."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -51,15 +67,25 @@ def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
 
 
 def value_at(df: DataFrame, column: str, index: int) -> float | None:
-    """The value at a place (from 0) of the ascending order, by a bracket of approximate quantiles
-    and an exact count below it."""
+    """The value at a place (from 0) of the ascending order: a bracket of approximate quantiles is
+    narrowed by exact counts until few values are left, which alone are sorted."""
     n = df.count()
     if not 0 <= index < n:
         return None
-    low, high = df.stat.approxQuantile(column, [max(0.0, index / n - 0.003), min(1.0, (index + 1) / n + 0.003)], 0.001)
-    below = df.where(F.col(column) < low).count()
-    if below <= index:
-        got = df.where((F.col(column) >= low) & (F.col(column) <= high)).orderBy(column).offset(index - below).limit(1).collect()
-        if got:
-            return got[0][column]
-    return df.orderBy(column).offset(index).limit(1).collect()[0][column]
+    values = df.select(F.col(column).alias("v"))
+    low, high = values.agg(F.min("v"), F.max("v")).first()
+    below = 0
+    while True:
+        inside = values.where((F.col("v") >= low) & (F.col("v") <= high))
+        k = inside.count()
+        if k <= 100_000 or low == high:
+            return inside.orderBy("v").offset(index - below).limit(1).collect()[0]["v"] if low != high else low
+        middle = inside.stat.approxQuantile("v", [(index - below) / k], 0.001)[0]
+        smaller, equal = inside.agg(F.sum((F.col("v") < middle).cast("long")), F.sum((F.col("v") == middle).cast("long"))).first()
+        if index - below < smaller:
+            high = inside.where(F.col("v") < middle).agg(F.max("v")).first()[0]
+        elif index - below < smaller + equal:
+            return middle
+        else:
+            below += smaller + equal
+            low = inside.where(F.col("v") > middle).agg(F.min("v")).first()[0]

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.incremental import upsert
-from ..session import cut_lineage
+from ..session import checkpoint_folder
 
 
 def _work_folder(spark: SparkSession) -> str:
     """A folder that all executors share: beside the checkpoints."""
-    cut_lineage(spark.range(1))  # makes sure that one is set
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/index-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}"
 
 
 def index_stream(spark: SparkSession, schema: StructType, path: str, target: str, state: str, key: str, *order: str, files_per_batch: int = 64) -> None:
