@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, graphs, modules, search, symbols
+from . import articles, documents, graphs, modules, search, symbols
 
-PARTS = (graphs, symbols, search, documents, modules)
+PARTS = (graphs, symbols, search, documents, modules, articles)
 
 
 def queries() -> dict:

@@ -216,7 +216,7 @@ SQL = {
     "pagerank_converged": RANK_SQL.replace(f"p.i < {ROUNDS}", "p.i < 60").replace(f"i = {ROUNDS}", "i = 60") + " SELECT name, round(score, 5) AS score FROM rank",
     "call_paths": """WITH RECURSIVE e AS (SELECT DISTINCT from_module || '#' || from_name AS a, to_module || '#' || to_name AS b, from_module AS ma, to_module AS mb FROM call_edge),
       heads AS (SELECT * FROM e WHERE a <> b AND a NOT IN (SELECT b FROM e WHERE a <> b)),
-      walk(p, m, n) AS (SELECT [a, b], [ma, mb], 1 FROM heads UNION ALL SELECT list_append(p, b), list_append(m, mb), n + 1 FROM walk JOIN e ON e.a = p[-1] WHERE n < 3 AND NOT list_contains(p[2:], b))
+      walk(p, m, n) AS (SELECT [a, b], [ma, mb], 1 FROM heads UNION ALL SELECT list_append(p, b), list_append(m, mb), n + 1 FROM walk JOIN e ON e.a = p[-1] WHERE n < 10 AND NOT list_contains(p[2:], b))
       SELECT p[1] AS start, list_aggregate(p, 'string_agg', ' -> ') AS path, n::BIGINT AS n_edges FROM walk WHERE n >= 2 AND len(list_distinct(m)) >= 2""",
     "call_targets": f"""WITH {LATEST}, fn AS (SELECT regexp_replace(filename, '\\.[^./]*$', '') AS module, unnest(functions) AS f FROM fr),
       c AS (SELECT DISTINCT from_module, from_name, to_module, to_name FROM call_edge)
