@@ -115,8 +115,11 @@ def description_lines(spark, d):
 
 
 def description_matches(spark, d):
-    """Described names and the function they mean: of the same name, else of the same last part."""
-    told = X.descriptions(_docs(spark, d), "doc_id", "text").select("name").distinct()
+    """Described names and the function they mean: of the same name, else of the same last part. The
+    descriptions are list items made from the call table."""
+    calls = load(spark, d, "call_edge").select("to_name", "from_name", F.split_part("to_module", F.lit("-"), F.lit(1)).alias("top")).distinct()
+    items = calls.select(F.explode(F.array(F.concat(F.lit("- `"), "top", F.lit("."), "to_name", F.lit("`: called")), F.concat(F.lit("* **"), "from_name", F.lit("**: calls")))).alias("said")).withColumn("doc_id", F.xxhash64("said"))
+    told = X.descriptions(items, "doc_id", "said").select("name").distinct()
     names = definitions(_files(spark, d)).where("kind <> 'class'").select(F.col("name").alias("function")).distinct()
     exact = told.join(names, F.col("name") == F.col("function")).select("name", "function", F.lit(1).cast("long").alias("rule"))
     last = told.join(exact, "name", "left_anti").withColumn("function", F.regexp_extract("name", r"([^.]*)$", 1)).join(names, "function").select("name", "function", F.lit(2).cast("long").alias("rule"))
@@ -124,8 +127,10 @@ def description_matches(spark, d):
 
 
 def name_resolution(spark, d):
-    """Quoted names and the module they mean: the module itself, its file, its last parts."""
-    asked = X.quoted_names(_docs(spark, d), "doc_id", "text").select("name").distinct()
+    """Names of called modules, whole and by their last two parts, and the module they mean: the module
+    itself, its file, its last parts."""
+    called = load(spark, d, "call_edge").select("to_module").distinct()
+    asked = called.select(F.explode(F.array(F.col("to_module"), F.regexp_extract("to_module", "([^/]*/[^/]*)$", 1))).alias("name")).where("name <> ''").distinct()
     f = _files(spark, d).select("module", "filename")
     keys = f.select("module", F.col("module").alias("name"), F.lit(1).alias("rule")).union(f.select("module", "filename", F.lit(2))).union(f.select("module", F.explode(X.path_ends(F.col("module"))), F.lit(3)))
     hit = asked.join(keys, "name").groupBy("name").agg(F.min(F.struct("rule", "module")).alias("x"))
@@ -258,6 +263,8 @@ QUOTED = "q AS (SELECT doc_id, name FROM (SELECT doc_id, unnest(list_distinct(li
 ENDS = "list_transform(range(1, len(string_split({c}, '/')) + 1), lambda i: array_to_string(string_split({c}, '/')[i:], '/'))"
 DESC = "ds AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL), db AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(line, '^\\s*(?:[-*+]|\\d+[.)])\\s+', ''), '[`*]', '', 'g') AS b FROM ds), dl AS (SELECT doc_id, line_no, regexp_extract(b, '^([A-Za-z_][\\w.]*)(?:\\(\\))?\\s*[:：]\\s*(\\S.*)$', 1) AS name, trim(regexp_extract(b, '^([A-Za-z_][\\w.]*)(?:\\(\\))?\\s*[:：]\\s*(\\S.*)$', 2), ' ') AS description FROM db)"
 STATES = "first AS (SELECT path, min((mtime, size)) AS x FROM file_index WHERE path IS NOT NULL GROUP BY 1), newest AS (SELECT path, max((mtime, size)) AS x FROM file_index WHERE path IS NOT NULL GROUP BY 1), hits AS (SELECT path, f.x = n.x AS hit FROM newest n JOIN first f USING (path))"
+SIGN = "'(' || array_to_string(coalesce({x}.params, []), ', ') || ')' || CASE WHEN coalesce({x}.return_type, '') <> '' THEN ' -> ' || {x}.return_type ELSE '' END"
+MARKS = "CASE WHEN len({x}.decorators) > 0 THEN ' [decorators: ' || array_to_string({x}.decorators, ', ') || ']' ELSE '' END"
 KEYS = "fk AS (SELECT DISTINCT module || '#' || f.name AS key FROM fn), ck AS (SELECT DISTINCT to_module || '#' || to_name AS key FROM call_edge)"
 SQL = {
     "readme_source": "SELECT repo, arg_min(doc_id, doc_id) AS doc_id, least(arg_min(strlen(text), doc_id), 4000)::BIGINT AS bytes, arg_min(strlen(text), doc_id) > 4000 AS cut FROM documents WHERE repo IS NOT NULL AND doc_kind = 'readme' AND text IS NOT NULL GROUP BY repo",
@@ -281,10 +288,18 @@ SQL = {
     "attributions": f"""WITH {FILES}, a AS (SELECT file_id, [filename, module, regexp_replace(regexp_replace(filename, '[^/]*$', ''), '/+$', '')] AS ps, '.' || regexp_extract(filename, '([^.]*)$', 1) AS ext FROM f), b AS (SELECT file_id, list_transform(list_filter(ps, lambda p: p <> ''), lambda p: CASE WHEN regexp_matches(p, '\\.[^./]*$') THEN p ELSE p || ext END) AS ps FROM a)
       SELECT file_id, array_to_string(list_transform(ps, lambda p: '<span class="source-ref" data-file="' || p || '"><strong>' || regexp_extract(p, '([^/]*)$', 1) || '</strong></span>'), '、') AS spans FROM b""",
     "description_lines": f"WITH {DESC} SELECT doc_id, line_no, name, description FROM dl WHERE name <> ''",
-    "description_matches": f"WITH {DEF2}, {DESC}, t AS (SELECT DISTINCT name FROM dl WHERE name <> ''), n AS (SELECT DISTINCT name AS function FROM named) SELECT name, function, 1::BIGINT AS rule FROM t JOIN n ON name = function UNION ALL SELECT name, function, 2 FROM t JOIN n ON regexp_extract(name, '([^.]*)$', 1) = function WHERE name NOT IN (SELECT function FROM n)",
-    "name_resolution": f"WITH {FILES}, {QUOTED}, a AS (SELECT DISTINCT name FROM q), k AS (SELECT module, module AS name, 1 AS rule FROM f UNION ALL SELECT module, filename, 2 FROM f UNION ALL SELECT module, unnest({ENDS.format(c='module')}), 3 FROM f) SELECT name, arg_min(module, (rule, module)) AS module, min(rule)::BIGINT AS rule FROM a JOIN k USING (name) GROUP BY 1",
+    "description_matches": f"WITH {DEF2}, t AS (SELECT split_part(to_module, '-', 1) || '.' || to_name AS name FROM call_edge UNION SELECT from_name FROM call_edge), n AS (SELECT DISTINCT name AS function FROM named) SELECT name, function, 1::BIGINT AS rule FROM t JOIN n ON name = function UNION ALL SELECT name, function, 2 FROM t JOIN n ON regexp_extract(name, '([^.]*)$', 1) = function WHERE name NOT IN (SELECT function FROM n)",
+    "name_resolution": f"WITH {FILES}, a AS (SELECT to_module AS name FROM call_edge UNION SELECT regexp_extract(to_module, '([^/]*/[^/]*)$', 1) FROM call_edge WHERE contains(to_module, '/')), k AS (SELECT module, module AS name, 1 AS rule FROM f UNION ALL SELECT module, filename, 2 FROM f UNION ALL SELECT module, unnest({ENDS.format(c='module')}), 3 FROM f) SELECT name, arg_min(module, (rule, module)) AS module, min(rule)::BIGINT AS rule FROM a JOIN k USING (name) GROUP BY 1",
     "source_lookup": f"WITH {FILES}, a AS (SELECT DISTINCT to_module AS name FROM call_edge WHERE NOT contains(to_module, '..')), t AS (SELECT name, unnest(range(0, len(string_split(name, '/')))) AS priority, unnest({ENDS.format(c='name')}) AS t FROM a), k AS (SELECT module AS t, filename FROM f UNION ALL SELECT regexp_extract(module, '([^/]*)$', 1), filename FROM f) SELECT name, arg_min(filename, (priority, filename)) AS filename, min(priority)::BIGINT AS priority FROM t JOIN k USING (t) GROUP BY 1",
     "tree_order": f"WITH {LATEST}, p AS (SELECT string_split(filename, '/') AS p FROM fr), q AS (SELECT p, unnest(range(1, len(p) + 1)) AS i FROM p), t AS (SELECT DISTINCT array_to_string(p[1:i-1], '/') AS parent, array_to_string(p[1:i], '/') AS path, i = len(p) AS leaf FROM q) SELECT parent, path, row_number() OVER (PARTITION BY parent ORDER BY leaf, path) AS place FROM t",
+    "all_chunks": f"""WITH {CL}, sf AS (SELECT filename, string_split(replace(content, chr(13), ''), chr(10)) AS a FROM (SELECT * FROM source_file WHERE file_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY scanned_at DESC) = 1)),
+      k AS (SELECT concat_ws('#', filename, c.name) AS id, 'class' AS chunk_type, filename, c.start_line AS b, c.end_line AS e, 'Class ' || c.name || CASE WHEN len(c.bases) > 0 THEN ' extends ' || array_to_string(c.bases, ', ') ELSE '' END || {MARKS.format(x='c')} || chr(10) || CASE WHEN len(c.methods) > 0 THEN 'Methods:' || chr(10) || array_to_string(list_transform(c.methods, lambda m: '- ' || m.name || {SIGN.format(x='m')}), chr(10)) || chr(10) ELSE '' END AS t FROM cl
+        UNION ALL SELECT concat_ws('#', filename, f.name), 'function', filename, f.start_line, f.end_line, 'Function ' || f.name || {SIGN.format(x='f')} || {MARKS.format(x='f')} || chr(10) FROM fn),
+      s AS (SELECT id, chunk_type, min((b, e)) AS x FROM k GROUP BY 1, 2), j AS (SELECT DISTINCT id, chunk_type, filename, t, x[1] AS b, x[2] AS e FROM k JOIN s USING (id, chunk_type)),
+      w AS (SELECT id, chunk_type, CASE WHEN b > 0 AND e > b AND a IS NOT NULL THEN t || chr(10) || '```' || chr(10) || regexp_replace(array_to_string(a[b:least(e, b + 59, len(a))], chr(10)), '\\s+$', '') || chr(10) || '```' || chr(10) ELSE t END AS content FROM j LEFT JOIN sf USING (filename)
+        UNION ALL SELECT filename || '#imports', 'import', 'File ' || filename || ' imports:' || chr(10) || array_to_string(list_transform(imports, lambda i: '- ' || CASE WHEN coalesce(i.name, '') = '' THEN i.module ELSE i.name || ' from ' || i.module END), chr(10)) || chr(10) FROM f WHERE len(imports) > 0
+        UNION ALL SELECT filename || '#module', 'module', 'File: ' || filename || chr(10) FROM f WHERE coalesce(len(imports), 0) = 0 AND coalesce(len(classes), 0) = 0 AND coalesce(len(functions), 0) = 0)
+      SELECT id, chunk_type, md5(content) AS md5 FROM w""",
     "cache_hits": f"WITH {STATES} SELECT path, hit FROM hits",
     "cache_counts": f"WITH {STATES} SELECT hit, count(*) AS files FROM hits GROUP BY 1",
     "graph_cache": f"WITH {STATES} SELECT split_part(path, '/', 1) AS repo, bool_and(hit) AS valid FROM hits GROUP BY 1",

@@ -59,8 +59,8 @@ def symbol_topk(spark, d):
 def hybrid_search(spark, d):
     docs = load(spark, d, "documents")
     q = _questions(spark, d)
-    hits = S.symbol_search(docs, q, "doc_id", "text", "question", k=20).join(docs.select(F.col("doc_id").alias("key"), "title"), "key").join(q, "question_id")
-    return S.hybrid(hits, "title", "question").select("question_id", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
+    hits = S.symbol_search(docs, q, "doc_id", "text", "question", k=20)
+    return S.hybrid(hits, docs, q, "doc_id", "title", "question").select("question_id", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def _retrieved(spark, d):
@@ -84,6 +84,16 @@ def rag_prompt(spark, d):
     return p.select("query", F.length("prompt").cast("long").alias("length"), F.md5("prompt").alias("md5"))
 
 
+def rag_full_prompt(spark, d):
+    """Prompts with a pinned text and the two queries before as history."""
+    r = _retrieved(spark, d)
+    asked = lambda c: F.concat(F.lit("what is like "), c.cast("string"), F.lit("?"))
+    turns = r.select("query").distinct().select("query", F.explode(F.array(F.lit(2), F.lit(1))).alias("back")).where("query >= 100 * back")
+    turns = turns.select("query", (-F.col("back")).alias("turn"), asked(F.col("query") - 100 * F.col("back")).alias("asked"), F.lit("see the sources").alias("answered"))
+    p = S.full_prompts(r, asked(F.col("query")), turns, "corvane", pinned="nothing pinned")
+    return p.select("query", F.length("prompt").cast("long").alias("length"), F.md5("prompt").alias("md5"))
+
+
 def chunk_embed_pending(spark, d):
     return I.pending(load(spark, d, "chunk"), load(spark, d, "vectors").where("vector is not null"), "chunk_no")
 
@@ -126,7 +136,7 @@ def eval_metrics(spark, d):
     return E.metrics(E.judged(cases))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, vector_norms, vector_mixed_dims, symbol_vocabulary, symbol_topk, hybrid_search, rag_retrieve, rag_sources, rag_prompt, chunk_embed_pending, manifest_diff, manifest_prune, upsert_last_wins, stream_index, eval_metrics)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, vector_norms, vector_mixed_dims, symbol_vocabulary, symbol_topk, hybrid_search, rag_retrieve, rag_sources, rag_prompt, rag_full_prompt, chunk_embed_pending, manifest_diff, manifest_prune, upsert_last_wins, stream_index, eval_metrics)}
 
 V = "v AS (SELECT vec_no, arg_max(vector, indexed_at) AS x, arg_max(chunk_no, indexed_at) AS chunk_no FROM vectors WHERE vec_no IS NOT NULL AND vector IS NOT NULL GROUP BY 1)"
 N = "n AS (SELECT vec_no, chunk_no, x::DOUBLE[] AS x, len(x) AS d, sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) AS l FROM v)"
@@ -148,7 +158,12 @@ SQL = {
     "vector_mixed_dims": f"WITH {V}, {N}, h AS (SELECT vec_no, l, x[1:greatest(1, d // 2)] AS x FROM n WHERE d > 0), k AS (SELECT vec_no, l, list_dot_product(x, x) AS s, sqrt(list_dot_product(x, x)) AS m FROM h) SELECT vec_no, round(CASE WHEN l * m > 0 THEN s / (l * m) ELSE 0 END, 6) AS similarity FROM k",
     "symbol_vocabulary": f"SELECT doc_id, len({SYM.format(t='text')})::BIGINT AS symbols FROM documents",
     "symbol_topk": f"WITH {HITS} SELECT question_id, doc_id, round(similarity, 6) AS similarity, rank FROM hits",
-    "hybrid_search": f"WITH {HITS}, f AS (SELECT question_id, hits.doc_id, rank, round(0.6 * similarity + 0.4 * CASE WHEN contains(lower(coalesce(title, '')), lower(question)) THEN 1 ELSE 0 END + 0.2 * CASE WHEN lower(coalesce(title, '')) = lower(question) THEN 1 ELSE 0 END, 9) AS score FROM hits JOIN documents d ON d.doc_id = hits.doc_id JOIN q USING (question_id)) SELECT question_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS place FROM f",
+    "hybrid_search": f"""WITH {HITS}, lit AS (SELECT question_id, d.doc_id AS doc_id, lower(title) = lower(question) AS e FROM documents d JOIN q ON title IS NOT NULL AND question <> '' AND contains(lower(title), lower(question))),
+      f AS (SELECT coalesce(h.question_id, l.question_id) AS question_id, coalesce(h.doc_id, l.doc_id) AS doc_id, coalesce(similarity, 0) AS similarity, round(0.6 * coalesce(similarity, 0) + 0.4 * (l.doc_id IS NOT NULL)::INT + 0.2 * coalesce(e, FALSE)::INT, 9) AS score FROM hits h FULL JOIN lit l ON l.question_id = h.question_id AND l.doc_id = h.doc_id)
+      SELECT question_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, similarity DESC, doc_id) AS place FROM f QUALIFY place <= 20""",
+    "rag_full_prompt": f"""WITH {RAG}, c AS (SELECT query, string_agg('### 上下文 ' || place || ' (' || coalesce(filename, '') || ' - ' || chunk_type || ')' || chr(10) || '```' || chr(10) || coalesce(content, '') || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY place) AS c FROM r GROUP BY query),
+      p AS (SELECT query, replace('{(S.PERSONA.format(project="corvane") + S.PINNED + "nothing pinned" + chr(10) + S.CONTEXT).replace(chr(10), "~~")}', '~~', chr(10)) || c || CASE WHEN query >= 100 THEN '## 对话历史' || chr(10) || chr(10) || CASE WHEN query >= 200 THEN '问：what is like ' || (query - 200) || '?' || chr(10) || '答：see the sources' || chr(10) || chr(10) ELSE '' END || '问：what is like ' || (query - 100) || '?' || chr(10) || '答：see the sources' || chr(10) || chr(10) ELSE '' END || '## 问题' || chr(10) || 'what is like ' || query || '?' || chr(10) AS p FROM c)
+      SELECT query, length(p) AS length, md5(p) AS md5 FROM p""",
     "rag_retrieve": f"WITH {RAG} SELECT query, key, chunk_type, place FROM r",
     "rag_sources": f"WITH {RAG}, f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY query, filename, name ORDER BY place) = 1) SELECT query, filename, name, row_number() OVER (PARTITION BY query ORDER BY place) AS source_no FROM f",
     "rag_prompt": f"WITH {RAG}, p AS (SELECT query, string_agg('[' || place || '] ' || coalesce(filename, '') || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY place) || chr(10) || chr(10) || 'Question: what is like ' || query || '?' AS p FROM r GROUP BY query) SELECT query, length(p) AS length, md5(p) AS md5 FROM p",

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import chunks as C
 from ..operators import symbols as S
 from ..session import cut_lineage, load, once
+from ..sources.files import wanted
 from .graphs import LATEST
 
 
@@ -30,7 +31,9 @@ def end_lines(spark, d):
 
 
 def containment_join(spark, d):
-    return S.contained(S.definitions(_files(spark, d)))
+    """Methods, taken as plain definitions, within the spans of the classes of their file."""
+    defs = S.definitions(_files(spark, d)).where("kind <> 'function'")
+    return S.contained(defs.withColumn("kind", F.when(F.col("kind") == "method", "function").otherwise(F.col("kind"))))
 
 
 def asof_definition(spark, d):
@@ -98,9 +101,7 @@ def noise_filter(spark, d):
 def source_scan(spark, d):
     """Which rows a scan of the files would keep: supported extensions, no skipped folder."""
     f = load(spark, d, "source_file").where("filename is not null").select("filename").distinct()
-    folders = F.slice(F.split("filename", "/"), F.lit(1), F.size(F.split("filename", "/")) - 1)
-    keep = T.extension(F.col("filename")).isin(*T.EXTENSIONS) & ~F.exists(folders, lambda x: x.isin(*T.SKIPPED) | x.startswith("."))
-    return f.select("filename", keep.alias("kept"))
+    return f.select("filename", wanted(F.col("filename")).alias("kept"))
 
 
 def file_tree(spark, d):
@@ -168,7 +169,7 @@ SQL = {
     "signatures": f"WITH {DEFS} SELECT file_id, kind, start_line, {SIG} AS signature FROM defs WHERE kind <> 'class'",
     "end_lines": f"""WITH {DEFS}, ln AS (SELECT file_id, arg_max(length(content) - length(replace(content, chr(10), '')) + 1, scanned_at)::BIGINT AS lines FROM source_file WHERE file_id IS NOT NULL GROUP BY 1)
       SELECT file_id, kind, name, start_line, greatest(start_line, coalesce(lead(start_line) OVER (PARTITION BY file_id ORDER BY start_line, kind, name) - 1, lines, start_line)) AS est_end FROM defs LEFT JOIN ln USING (file_id) WHERE kind <> 'method' AND start_line > 0""",
-    "containment_join": f"WITH {DEFS} SELECT i.file_id, i.name, i.start_line, arg_min(o.name, (o.start_line, o.name)) AS class_name FROM defs i JOIN defs o ON i.file_id = o.file_id AND i.kind = 'function' AND o.kind = 'class' AND o.end_line > 0 AND i.start_line >= o.start_line AND i.end_line <= o.end_line GROUP BY 1, 2, 3",
+    "containment_join": f"WITH {DEFS} SELECT i.file_id, i.name, i.start_line, arg_min(o.name, (o.start_line, o.name)) AS class_name FROM defs i JOIN defs o ON i.file_id = o.file_id AND i.kind = 'method' AND o.kind = 'class' AND o.end_line > 0 AND i.start_line >= o.start_line AND i.end_line <= o.end_line GROUP BY 1, 2, 3",
     "asof_definition": f"WITH {DEFS}, p AS (SELECT DISTINCT file_id, start_line AS line FROM defs WHERE kind = 'method' AND start_line > 0), c AS (SELECT file_id, start_line AS def_line, min(name) AS name FROM defs WHERE kind = 'class' AND start_line > 0 GROUP BY 1, 2) SELECT p.file_id, p.line, c.name, c.def_line FROM p ASOF JOIN c ON p.file_id = c.file_id AND p.line >= c.def_line",
     "symbol_totals": f"WITH {LATEST} SELECT split_part(filename, '/', 1) AS repo, count(*) AS modules, sum(coalesce(len(classes), 0))::BIGINT AS classes, sum(coalesce(len(functions), 0) + coalesce(list_sum(list_transform(classes, lambda c: coalesce(len(c.methods), 0))), 0))::BIGINT AS functions FROM fr GROUP BY 1",
     "richest_classes": f"WITH {LATEST}, cl AS (SELECT file_id, unnest(classes) AS c FROM fr) SELECT c.name AS name, file_id, coalesce(len(c.methods), 0)::BIGINT AS methods FROM cl QUALIFY row_number() OVER (PARTITION BY c.name ORDER BY coalesce(len(c.methods), 0) DESC, file_id) = 1",
