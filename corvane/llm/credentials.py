@@ -233,15 +233,18 @@ def find(text: str) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def placeholder(value: str) -> str:
-    """Same length and alphabet: hexadecimal stays hexadecimal, base32 stays base32, else letters
-    become x or X and digits 0; everything else stays. The lines around a key block stay too."""
+def placeholder(value: str, base64_only: bool = False) -> str:
+    """Same length and alphabet: hexadecimal stays hexadecimal, base32 stays base32, else, and in key
+    blocks, letters become x or X and digits 0; everything else stays. The lines around a key block
+    stay too."""
     if value.startswith("-----BEGIN"):
         parts = re.split(r"(-----(?:BEGIN|END)[A-Z0-9 ]*-----|\\n)", value)
-        return "".join(p if k % 2 else placeholder(p) for k, p in enumerate(parts))
+        return "".join(p if k % 2 else placeholder(p, True) for k, p in enumerate(parts))
     shown = re.sub(r"[^A-Za-z0-9]", "", value)
     lower, upper, digit = "x", "X", "0"
-    if re.fullmatch(r"[0-9a-fA-F]*", shown):
+    if base64_only:
+        pass
+    elif re.fullmatch(r"[0-9a-fA-F]*", shown):
         lower, upper = "a", "A"
     elif re.fullmatch(r"[A-Z2-7]*", shown):
         digit = "2"

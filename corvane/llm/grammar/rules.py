@@ -329,7 +329,7 @@ CTypeName = CType CAbstract?
 CDecl = CType ((CDeclarator ('asm' (| @any* |))? CAttr* ('=' CInit)?) % ',')? ';' | 'static_assert' (| CArgs |) ';' | 'id' (| @any* |) ';'?
 CInit = CAssign | {| (CElement % ',' ','?)? |}
 CElement = ((('.' CId) | [| CCond ('...' CCond)? |])+ '=')? CInit
-CFunction = CSpec* CType CDeclarator CDecl* {| CItem* |} | CDeclarator {| CItem* |}
+CFunction = (CSpec* CType)? CPtr* (CId | (| CAttr* CDeclarator |)) ((| CParams? |) | (| CId % ',' |)) CSuffix* CAttr* CDecl* {| CItem* |}
 CItem = CDecl | CStmt
 CStmt = ';' | {| CItem* |} | CExpr ';' | 'if' (| CExpr |) CStmt ('else' CStmt)? | 'while' (| CExpr |) CStmt | 'do' CStmt 'while' (| CExpr |) ';' | 'for' (| CFor |) CStmt | 'switch' (| CExpr |) CStmt
   | 'case' CCond ('...' CCond)? ':' | 'default' ':' | CId ':' | 'return' CExpr? ';' | 'break' ';' | 'continue' ';' | 'goto' CId ';' | 'asm' ('volatile' | 'goto')* (| @any* |) ';'
@@ -425,7 +425,8 @@ Top += 'import' 'type' ImportClause 'from' 'str' ImportAttrs? End | 'import' 'ty
 ImportSpec += 'type' (Word | 'str') ('as' (Word | 'str'))?
 Export += 'export' TypeStmt | 'export' 'type' ('*' ('as' Word)? | NamedImports) ('from' 'str')? End | 'export' 'default' 'abstract' Class | 'export' 'default' Interface | 'export' 'import' Id '=' Id ('.' Id)* End
 Stmt += TypeStmt | 'abstract' Class
-TypeStmt = 'type' Id TypeParams? '=' Type End | Interface | 'const'? 'enum' Id {| (((Word | 'str' | [| 'str' |]) ('=' Expr)?) % ',' ','?)? |} | ('namespace' | 'module') (Id ('.' Id)* | 'str') {| Tops |} | 'declare' (TypeStmt | Declared | Func2 | 'abstract'? Class | 'global' {| Tops |} | 'module' 'str' End) | Func2 | 'abstract' Class
+TypeStmt = 'type' Id TypeParams? '=' Type End | Interface | 'const'? 'enum' Id {| (((Word | 'str' | [| 'str' |]) ('=' Expr)?) % ',' ','?)? |} | ('namespace' | 'module') (Id ('.' Id)* | 'str') {| Tops |} | 'declare' (TypeStmt | Declared | Func2 | 'abstract'? Class | 'global' {| Ambient |} | ('namespace' | 'module') (Id ('.' Id)* | 'str') {| Ambient |} | 'module' 'str' End) | Func2 | 'abstract' Class
+Ambient = (Top | 'export'? Declared)*
 Func2 = 'async'? 'function' '*'? Id? Sig End
 Interface = 'interface' Id TypeParams? ('extends' Type % ',')? {| TypeMembers |}
 TypeMembers = TypeMember*

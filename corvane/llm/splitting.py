@@ -25,7 +25,7 @@ HEADING = re.compile(r"(#{1,6})\s")
 FENCE = re.compile(r"\s*(```|~~~)")
 SENTENCE = re.compile(r"(?<=[.!?;。！？；,，])\s*|(?<=[)}\]])\s+")
 WORD = re.compile(r"\s+")
-CODE = re.compile(r"[{}();,:=\\]\s*$|^\s*(?:def|class|import|from|return|func|fn|pub|let|const|var|if|for|while|package|use|#include)\b.*[^.]$")
+CODE = re.compile(r"[{}();,:=\\]\s*$|^\s*[\w.\[\]]+\s*[-+*/|&:]?=\s*\S|^\s*(?:def|class|import|from|return|func|fn|pub|let|const|var|if|for|while|package|use|#include)\b.*[^.]$")
 #: Lines that belong to a function below them, and a heading without anything below it.
 ABOVE = re.compile(r"[ \t]*(?://|/\*|\*|#|@|\[\[|template\s*<)")
 BARE = re.compile(r"\s*#{1,6}\s[^\n]*\s*")

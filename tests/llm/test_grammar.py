@@ -66,9 +66,9 @@ def test_python_agrees_with_its_own_parser():
             valid = False
         if spoken.accepts(text) != valid:
             differ.append(text)
-    # Python's own parser also rejects some well-formed trees (such as assignments to literals).
     assert not [t for t in differ if not spoken.accepts(t)], differ
-    assert len(differ) <= 40
+    # What is left over: names of keyword arguments that come twice and the like.
+    assert len(differ) <= 4, differ
 
 
 def test_ambiguous_and_left_recursive_rules():
@@ -81,6 +81,54 @@ def test_ambiguous_and_left_recursive_rules():
     assert r.matches(g.names["N"], (r.group(0, (inner, inner)), inner)) and not r.matches(g.names["N"], (a,))
 
 
-def test_deep_nesting_is_defined():
-    assert language("py").accepts("x = " + "(" * 50 + ")" * 50 + "\n")
-    assert language("js").accepts("x = " + "[" * 3000 + "]" * 3000) in (True, False)
+def test_deep_nesting():
+    assert language("py").accepts("x = " + "(" * 50 + "1" + ")" * 50 + "\n")
+    assert language("js").accepts("x = " + "[" * 3000 + "]" * 3000) and not language("js").accepts("x = " + "[" * 3000 + "]" * 2999)
+    assert language("js").accepts("if (a) b(); " + "else if (a) b(); " * 2000 + "else c();")
+
+
+def test_long_lists_are_parsed_whole():
+    for n in (9, 50, 5000):
+        assert language("js").accepts("x = [" + "1, " * n + "2]") and not language("js").accepts("x = [" + "1, " * n + "2 3, " + "1, " * n + "]")
+        assert language("py").accepts("f(" + "a, " * n + "b=1)\n") and not language("py").accepts("f(" + "a, " * n + "b=1, c)\n")
+        body = "x = 1;\n" * n
+        assert language("java").accepts("class A { void f() {" + body + "} }") and not language("java").accepts("class A { void f() {" + body + "x + 1;" + body + "} }")
+
+
+def test_ends_do_not_depend_on_what_was_seen_before():
+    texts = [f"f({'a, ' * i}b{'.c' * j});" + "g();" * k for i in range(3) for j in range(3) for k in range(6)] + ["if (a) b(); else c(); d(); e(); f(); g();", "if (a) b(); c(); d(); e(); f(); g(); h();", "if (a) { b(); } c(); else d(); e(); f(); g();"]
+    spoken = language("js")
+    alone = []
+    for t in texts:
+        spoken.recogniser.forget()
+        alone.append(spoken.accepts(t))
+    rng = random.Random(1)
+    spoken.recogniser.forget()
+    for k in rng.sample(range(len(texts)), len(texts)):
+        assert spoken.accepts(texts[k]) == alone[k], texts[k]
+    assert not alone[-1] and all(alone[:-1])
+
+
+INVALID = {
+    "java": ["class A {}\nimport x.Y;", "import a.B;\npackage p;\nclass A {}", "class A { void f() { x + 1; } }", "class A { void f() { 1 = x; } }"], "go": ['package p\nfunc f() {}\nimport "x"\n'],
+    "py": ["1 = x\n", "f() = 3\n", "f(a=1, 2)\n", "def f(a=1, b): pass\n", "def f(*): pass\n", "f(**k, *a)\n", "x + 1 = 2\n", "for f() in x: pass\n", "del f()\n", "lambda a=1, b: 0\n", "a += b += c\n", "(a, b) += 1\n", "f(x for x in y, 1)\n"],
+    "js": ["1 = x;", "const a;", "return 1;", "f() = 3;", "if (x) { return; }", "a + b = c;", "let {a};"], "ts": ["1 = x;", "return 1;", "const a: number;"], "c": ["int f( { }", "x = = 3;", "int new = ;"], "tsx": ["const a = <div><b></div>;", "const a = <div>{x +}</div>;"], "jsx": ["const a = <div"],
+}
+VALID = {
+    "java": ["package p;\nimport a.B;\nimport static c.D.*;\nclass A {}", "module m { requires x; }", "class A { void f() { x++; new B(); a.b(c).d(); x[1] += 2; this.y = 3; for (i = 0, j = 1; i < 3; i++, f()) {} a.new B(); } }"],
+    "py": ["x = y = 1\na, *b = c\n(a, b) = 1, 2\n[a, [b]] = c\na.b[0] += 2\nx: int = 3\nx.y: int\ndef f(a, /, b, c=1, *d, e, f=2, **g): pass\nf(a, *b, c=1, *d, **e, f=2)\nf(x for x in y)\nlambda a, b=1, *c, d, **e: 0\nfor a.b, (c, d) in e: pass\ndel a, b[0], (c.d)\n() = x\nclass A(B, *c, m=D, **k): pass\n"],
+    "js": ["function f() { if (x) { return 1; } return; }", "a.b = c[d] = 1; [a, b] = [b, a]; ({a, b: c.d} = e); let x, y = 1; for (const x of y) {}", "class A { m() { return 1; } static { x(); } }"],
+    "ts": ["declare const a: number;\nlet x!: string; (a as B).c = 1; a! = 2;\nnamespace N { function f(): void { return; } }"],
+    "c": ["int new = 3; int f(int class) { return class + new; }\nstruct a { int b; struct { int c; } d[3]; };\ntypedef unsigned long (*fn)(void *, ...);\nstatic const char *names[] = { \"a\", [2] = \"b\" };\n"],
+    "h": ["int new = 3;\n", "class A { public: A(); };\n"],
+    "tsx": ["const a = <div className=\"x\" {...p}>it's {x ? <b>y</b> : null} &amp; <C.D on={() => { f(); }} /></div>;\nconst f = <T,>(x: T) => x;\nconst e = <></>;"], "jsx": ["export default function A() { return (<ul>{xs.map(x => <li key={x}>{x} don't</li>)}</ul>); }\nif (a < b && c > d) { f(); }"],
+}
+
+
+@pytest.mark.parametrize(("ext", "text", "valid"), [(e, t, v) for v, table in ((False, INVALID), (True, VALID)) for e, ts in table.items() for t in ts])
+def test_order_targets_and_dialects(ext, text, valid):
+    assert language(ext).accepts(text) is valid
+
+
+def test_one_stack_for_both_languages_of_a_header():
+    assert not language("cpp").accepts("int new = 3;\n") and not language("c").accepts("class A { public: A(); };\n") and not language("h").accepts("int new = ;\n")
