@@ -67,7 +67,7 @@ def sequence_lines(paths: DataFrame) -> DataFrame:
     """(path, line_no, line): call chains as sequence diagrams: a line of description, participants in
     the order of their first appearance, then the messages."""
     modules = F.transform(F.split("path", " -> "), lambda x: F.split_part(x, F.lit("#"), F.lit(1)))
-    head = summaries(paths).select("path", F.lit(0).alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("sequenceDiagram").alias("line")), F.struct(F.lit(1), F.concat(F.lit("    %% "), "description")))).alias("x")).select("path", "part", "x.k", "x.line")
+    head = summaries(paths).select("path", F.lit(0).alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("sequenceDiagram").alias("line")), F.struct(F.lit(1).alias("k"), F.concat(F.lit("    %% "), "description").alias("line")))).alias("x")).select("path", "part", "x.k", "x.line")
     people = paths.select("path", F.posexplode(F.array_distinct(modules)).alias("k", "m")).select("path", F.lit(1).alias("part"), "k", F.concat(F.lit("    participant "), node_id(F.col("m")), F.lit(" as "), "m").alias("line"))
     arrow = F.when(F.col("is_return"), "-->>").otherwise("->>")
     said = messages(paths).select("path", F.lit(2).alias("part"), F.col("message_no").cast("int").alias("k"), F.concat(F.lit("    "), node_id(F.col("from_module")), arrow, node_id(F.col("to_module")), F.lit(": "), "label").alias("line"))

@@ -62,6 +62,59 @@ def test_cycles_against_brute_force(spark):
     assert got == expected
 
 
+def test_cycle_edges_against_brute_force(spark):
+    rng = random.Random(11)
+    for _ in range(3):
+        names = [f"n{i:02}" for i in range(12)]
+        pairs = {(a, b) for a in names for b in names if a != b and rng.random() < 0.12}
+        reach = set(pairs)
+        while True:
+            more = {(a, d) for a, b in reach for c, d in pairs if b == c} - reach
+            if not more:
+                break
+            reach |= more
+        assert {tuple(r) for r in G.cycle_edges(edges_of(spark, sorted(pairs))).collect()} == {(a, b) for a, b in pairs if (b, a) in reach}
+    assert G.cycle_edges(edges_of(spark, [("a", "b"), ("b", "c"), ("a", "a")])).count() == 0
+
+
+def test_joined_ranks_equal_those_of_one_task(spark):
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(60)]
+    pairs = sorted({(rng.choice(names), rng.choice(names[:20])) for _ in range(150)} - {(n, n) for n in names})
+    n, e = nodes_of(spark, names), edges_of(spark, pairs)
+    one = {r["name"]: r["score"] for r in G.pagerank(n, e, tolerance=0, rounds=9).collect()}
+    joined = {r["name"]: r["score"] for r in G._pagerank_joined(n, e, 60, 0.85, 9, 0).collect()}
+    assert set(one) == set(joined) and all(abs(one[k] - joined[k]) < 1e-12 for k in one)
+
+
+def test_communities_in_order_of_names(spark):
+    names = ["a", "b", "c", "d", "e"]
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]
+    label = {n: n for n in names}
+    near = {n: [x for p in pairs for x in p if n in p and x != n] for n in names}
+    for _ in range(100):
+        old = dict(label)
+        for n in names:
+            votes = [label[x] for x in near[n]]
+            label[n] = min(set(votes), key=lambda v: (-votes.count(v), v))
+        if old == label:
+            break
+    assert {r["name"]: r["community"] for r in G.communities(nodes_of(spark, names), edges_of(spark, pairs)).collect()} == label
+
+
+def test_places_within_groups(spark):
+    from corvane.operators.selection import ranked_within
+
+    df = spark.range(200).selectExpr("id", "id % 3 AS g", "(id * 7) % 50 AS v")
+    got = {(r["g"], r["id"]): r["place"] for r in ranked_within(df, ["g"], df["v"].desc(), df["id"].asc()).collect()}
+    rows = [(r["g"], -r["v"], r["id"]) for r in df.collect()]
+    expected = {}
+    for g in range(3):
+        for k, (_, _, i) in enumerate(sorted(r for r in rows if r[0] == g)):
+            expected[(g, i)] = k + 1
+    assert got == expected
+
+
 def test_communities(spark):
     n = nodes_of(spark, ["a", "b", "c", "x", "y", "lonely"])
     e = edges_of(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y")])

@@ -71,3 +71,63 @@ def test_scan(spark, tmp_path):
     assert [r["source"] for r in files.line_range(lines, "t", "s", "e").collect()] == ["b\nc", ""]
     blob = spark.createDataFrame([(bytearray(np.array([1.5, -2], "<f4").tobytes()),), (bytearray(b"abc"),)], "b binary")
     assert [r[0] for r in blob.select(files.from_blob(F.col("b"))).collect()] == [[1.5, -2.0], None]
+
+
+def test_stores(spark, tmp_path):
+    import json
+    import sqlite3
+
+    x = np.array([[1.5, -2.0], [0.25, 3.0]], "<f4")
+    with sqlite3.connect(tmp_path / "v.db") as c:
+        c.execute("CREATE TABLE vectors (id TEXT PRIMARY KEY, vector BLOB, source_file TEXT)")
+        c.executemany("INSERT INTO vectors VALUES (?, ?, ?)", [(f"k{i}", x[i % 2].tobytes() if i else b"abc", "f.py") for i in range(30)])
+    c.close()
+    got = {r["id"]: r["vector"] for r in files.read_sqlite_store(spark, str(tmp_path / "v.db"), parts=4).collect()}
+    assert len(got) == 30 and got["k0"] is None and got["k1"] == x[1].tolist() and got["k2"] == x[0].tolist()
+    back = spark.createDataFrame([("a", [1.5, -2.0]), ("b", None)], "id string, v array<float>").select("id", files.to_blob(F.col("v")).alias("b"))
+    assert {r["id"]: r["b"] for r in back.collect()} == {"a": bytearray(x[0].tobytes()), "b": None}
+    (tmp_path / "s.json").write_text(json.dumps({"cases": [{"question": "q", "expected": ["a"]}, {"question": "r", "expected": []}]}))
+    assert {r["question"] for r in files.read_suite(spark, str(tmp_path / "s.json")).collect()} == {"q", "r"}
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a/b.md", "one"), ("c.md", None), ("../d.md", "no"), (None, "no")], "name string, text string")
+    files.write_texts(df, str(tmp_path / "out"), "name", "text")
+    assert {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*.md")} == {"a/b.md": "one", "c.md": ""}
+    for k in range(13):
+        (tmp_path / "v" / f"2025{k:02}").mkdir(parents=True)
+    assert sorted(files.keep_newest(spark, str(tmp_path / "v"))) == ["202500", "202501", "202502"]
+    assert len(list((tmp_path / "v").iterdir())) == 10 and files.keep_newest(spark, str(tmp_path / "none")) == []
+
+
+def test_hybrid_has_literal_hits_of_its_own(spark):
+    docs = spark.createDataFrame([(1, "Cache rules"), (2, "The cache rules of old"), (3, "Other"), (4, None)], "doc_id int, title string")
+    asked = spark.createDataFrame([(9, "cache rules"), (8, ""), (7, None)], "question_id int, question string")
+    hits = spark.createDataFrame([(9, 3, 0.5)], "question_id int, key int, similarity double")
+    got = {(r["question_id"], r["key"]): (r["score"], r["place"]) for r in search.hybrid(hits, docs, asked, "doc_id", "title", "question").collect()}
+    assert got == {(9, 1): (0.6, 1), (9, 2): (0.4, 2 + 0), (9, 3): (0.3, 3)}
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    import pytest
+
+    from corvane import session
+
+    class Undefined:
+        def isDefined(self):
+            return False
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        class _jsc:  # noqa: N801
+            @staticmethod
+            def sc():
+                return type("S", (), {"getCheckpointDir": staticmethod(lambda: Undefined())})
+
+        @staticmethod
+        def getConf():
+            return type("C", (), {"get": staticmethod(lambda *a: None)})
+
+    with pytest.raises(ValueError):
+        session.checkpoint_folder(type("Spark", (), {"sparkContext": Context})())

@@ -1,7 +1,7 @@
 """Parsers and chunkers on small sources."""
 
 from corvane.operators import chunks, parsing
-from corvane.operators.render import diagram_errors, markdown_html
+from corvane.operators.render import markdown_html, validate_diagrams
 
 
 def test_python_symbols():
@@ -37,12 +37,19 @@ def test_document_sections(spark):
     assert got[3]["id"] == "wiki/1#section" and len(got[3]["content"]) == 803
 
 
-def test_diagram_errors():
-    assert diagram_errors("graph TD\n  a[x] --> b[y]\n  subgraph s\n  end\n") == []
-    assert diagram_errors("") == [(0, "empty diagram")]
-    assert diagram_errors("hello") == [(1, "unrecognized diagram type")]
-    assert (2, "unclosed node bracket") in diagram_errors("graph TD\n a[x --> b")
-    assert (2, "unmatched 'end' for subgraph") in diagram_errors("flowchart LR\nend")
+def test_diagram_errors(spark):
+    texts = [
+        "graph TD\n  a[x] --> b[y]\n  subgraph s\n  end\n", "", "hello\n\ngraph LR\na --> b", "graph TD\n a[x --> b", "flowchart LR\nend\nsubgraph x", "classDiagram\n class A {\n}\n}\n class B {", "graph TD\n --> b\n a -->", None, "sequenceDiagram\n a->>b: (x", "%% note\ngraph TD\n}\n{\n}\n}",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "no int, text string")
+    got = {}
+    for r in validate_diagrams(df, "no", "text").collect():
+        got.setdefault(r["no"], set()).add((r["line"], r["message"]))
+    assert got == {
+        1: {(0, "empty diagram")}, 2: {(1, "unrecognized diagram type")}, 3: {(2, "unclosed node bracket")}, 4: {(2, "unmatched 'end' for subgraph"), (3, "unclosed subgraph block")}, 5: {(4, "unmatched closing brace"), (5, "unclosed brace block")},
+        6: {(2, "edge missing source node"), (3, "edge missing target node")}, 7: {(0, "empty diagram")}, 9: {(3, "unmatched closing brace"), (3, "unclosed node brace"), (4, "unclosed node brace"), (5, "unclosed node brace"), (6, "unmatched closing brace"), (6, "unclosed node brace")},
+    }
+    assert validate_diagrams(df.where("false"), "no", "text").count() == 0
 
 
 def test_markdown():
@@ -72,3 +79,34 @@ def test_call_sites_and_graph(spark):
     modules = spark.createDataFrame([(1, "m"), (2, "n"), (3, "o")], "file_id long, module string")
     got = {tuple(r) for r in calls.call_graph(calls.call_sites(files, "file_id", "filename", "content"), defs, modules).collect()}
     assert got == {("m", "run", "m", "load"), ("m", "run", "n", "save"), ("o", "load", "n", "save")}
+
+
+def test_message_returns_and_repetitions(spark):
+    from corvane.operators.render import messages, sequence_lines, summaries
+
+    paths = spark.createDataFrame([("a/x#f -> b#get_y -> a/x#g -> a/x#g2 -> c#run",), ("a#f -> a#s -> a#s",)], "path string")
+    got = {(r["path"][:4], r["message_no"]): (r["from_module"], r["to_module"], r["label"], r["is_return"]) for r in messages(paths).collect()}
+    assert got[("a/x#", 1)] == ("a/x", "b", "get_y() — 数据查询", False) and got[("a/x#", 2)][3] and got[("a/x#", 4)][2] == "run() — 主流程执行"
+    assert [k for k in got if k[0] == "a#f "] == [("a#f ", 1)]
+    lines = [r["line"] for r in sequence_lines(paths).where("path like 'a/x%'").orderBy("line_no").collect()]
+    assert lines[0] == "sequenceDiagram" and lines[2] == "    participant a_x as a/x" and lines[5] == "    a_x->>b: get_y() — 数据查询" and lines[6].startswith("    b-->>a_x")
+    assert [r["title"] for r in summaries(paths).where("path like 'a/x%'").collect()] == ["a/x.f -> c.run"]
+
+
+def test_text_operations(spark):
+    from pyspark.sql import functions as F
+
+    from corvane.functions import labels as L
+    from corvane.operators import texts as X
+
+    one = spark.createDataFrame([("[a/b.py]，c/d、e/, ",)], "t string")
+    assert one.select(X.attribution(F.col("t"))).first()[0] == ["a/b.py", "c/d", "e"]
+    assert one.select(X.source_spans(F.array(F.lit("a/b")), F.lit(".py"))).first()[0] == '<span class="source-ref" data-file="a/b.py"><strong>b.py</strong></span>'
+    lines = spark.createDataFrame([(1, 'import {a} from "./x";'), (2, "from .y import z"), (3, "#include <vector>"), (4, "use a::b;"), (5, "import 'side'"), (6, "x = 1"), (7, None)], "no int, line string")
+    assert {r["no"]: (r["module"], r["is_relative"]) for r in X.import_statements(lines, "line").collect()} == {1: ("./x", True), 2: (".y", True), 3: ("vector", False), 4: ("a::b", False), 5: ("side", False)}
+    calls = spark.createDataFrame([(1, "my_load(x); load(y)"), (2, "loader (z)"), (3, "")], "no int, line string")
+    assert {tuple(r) for r in X.named_calls(calls, spark.createDataFrame([("load",), ("my_load",)], "name string"), ["no"], "line").collect()} == {(1, "load"), (1, "my_load")}
+    docs = spark.createDataFrame([(1, "`a/b` `b/c.py` `nope` `x/y` `c`"), (2, "no names"), (3, None)], "no int, text string")
+    paths, names = spark.createDataFrame([("z/b/c.py",)], "path string"), spark.createDataFrame([("c",)], "name string")
+    assert [tuple(r) for r in X.unknown_names(X.quoted_names(docs, "no", "text"), "no", paths, names).collect()] == [(1, 5, 3, False)]
+    assert one.select(L.masked(F.lit("abcdefghijkl")), L.masked(F.lit("short")), L.action(F.lit("zip"))).first()[:] == ("abcd****ijkl", "****", "zip 操作")
