@@ -108,7 +108,28 @@ def dir_keywords(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (parsed_symbols, parse_agreement, call_sites, call_graph, markdown_outline, shifted_headings, plain_texts, source_chunks, import_groups, sequence_diagrams, mermaid_validate, markdown_bodies, dir_keywords)}
+def _sequence_sql() -> str:
+    """Chains of up to ten calls as lines of diagrams."""
+    from ..functions import labels as L
+
+    act = lambda n: "(" + L.rules_sql(L.ACTIONS, "starts_with({n}, '{w}')", "{n} || ' 操作'").format(n=n) + ")"
+    ident = lambda n: f"regexp_replace({n}, '[^A-Za-z0-9_]', '_', 'g')"
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT from_module || '#' || from_name AS a, to_module || '#' || to_name AS b, from_module AS ma, to_module AS mb FROM call_edge),
+      heads AS (SELECT * FROM e WHERE a <> b AND a NOT IN (SELECT b FROM e WHERE a <> b)),
+      walk(p, m, n) AS (SELECT [a, b], [ma, mb], 1 FROM heads UNION ALL SELECT list_append(p, b), list_append(m, mb), n + 1 FROM walk JOIN e ON e.a = p[-1] WHERE n < 10 AND NOT list_contains(p[2:], b)),
+      c AS (SELECT list_aggregate(p, 'string_agg', ' -> ') AS path, p, m, split_part(p[1], '#', 2) AS fn, split_part(p[-1], '#', 2) AS ln, len(list_distinct(list_transform(m, lambda x: split_part(x, '/', 1)))) AS layers FROM walk WHERE n >= 2 AND len(list_distinct(m)) >= 2),
+      s AS (SELECT path, unnest(range(1, len(p))) AS i, p, m FROM c), t AS (SELECT path, i, m[i] AS f, m[i + 1] AS t, split_part(p[i + 1], '#', 2) AS name FROM s),
+      u AS (SELECT *, name || '() — ' || {act('name')} AS label FROM t), v AS (SELECT *, lag(f) OVER w AS pf, lag(t) OVER w AS pt, lag(label) OVER w AS pl FROM u WINDOW w AS (PARTITION BY path ORDER BY i)),
+      k AS (SELECT path, unnest(range(1, len(m) + 1)) AS i, m FROM c), q AS (SELECT path, m[i] AS x, min(i) AS i FROM k GROUP BY 1, 2),
+      l AS (SELECT path, 0 AS part, 0 AS i, 'sequenceDiagram' AS line FROM c
+        UNION ALL SELECT path, 0, 1, '    %% 触发条件：调用 ' || split_part(m[1], '/', 1) || ' 的 ' || {act('fn')} || CASE WHEN layers > 2 THEN '；经过 ' || layers || ' 个模块协作' ELSE '' END || '；最终由 ' || split_part(m[-1], '/', 1) || ' 完成 ' || {act('ln')} FROM c
+        UNION ALL SELECT path, 1, i, '    participant ' || {ident('x')} || ' as ' || x FROM q
+        UNION ALL SELECT path, 2, i, '    ' || {ident('f')} || CASE WHEN coalesce(pf = t AND pt = f, FALSE) THEN '-->>' ELSE '->>' END || {ident('t')} || ': ' || label FROM v WHERE NOT coalesce(pf = f AND pt = t AND pl = label, FALSE))
+      SELECT path, row_number() OVER (PARTITION BY path ORDER BY part, i) - 1 AS line_no, line FROM l"""
+
+
 SQL = {
+    "sequence_diagrams": _sequence_sql(),
     "markdown_outline": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents), m AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS line_no, a FROM l) SELECT doc_id, line_no, length(regexp_extract(a[line_no], '^(#+)', 1)) AS level, trim(regexp_replace(a[line_no], '^#+ ', ''), ' ') AS heading FROM m WHERE regexp_matches(a[line_no], '^#{1,6} ')",
     "shifted_headings": "SELECT doc_id, md5(regexp_replace(text, '(?m)^(#{1,5}) ', '\\1# ', 'g')) AS md5 FROM documents",
     "plain_texts": "WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '\\[([^\\]\\n]*)\\]\\([^)\\n]*\\)', '\\1', 'g'), '\\*\\*([^*\\n]+)\\*\\*', '\\1', 'g'), '`([^`\\n]+)`', '\\1', 'g') AS t FROM documents) SELECT doc_id, length(t) AS length, md5(t) AS md5 FROM p",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,18 @@ def session(app: str = "corvane", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands the package to the executors of a cluster where it isn't installed."""
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="corvane-")
+    archive = Path(folder, "corvane.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, Path("corvane", file.relative_to(root)))
+    spark.sparkContext.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

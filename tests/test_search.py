@@ -52,14 +52,16 @@ def test_evaluation(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from corvane.streaming.index import index_stream, _last
+    from corvane.streaming.index import _parts, index_stream, read_index
 
     rows = spark.range(200).selectExpr("CAST(id % 40 AS STRING) AS id", "id AS seq")
     rows.repartition(5).write.parquet(str(tmp_path / "in"))
-    index_stream(spark, rows.schema, str(tmp_path / "in"), str(tmp_path / "index"), str(tmp_path / "state"), "id", "seq", files_per_batch=1)
-    last = _last(spark, str(tmp_path / "index"))
-    got = {r["id"]: r["seq"] for r in spark.read.parquet(f"{tmp_path}/index/v={last}").select("id", "_seq.seq").collect()}
-    assert last >= 1 and got == {str(k): 160 + k for k in range(40)}
+    for every in (32, 2):
+        target = str(tmp_path / f"index{every}")
+        index_stream(spark, rows.schema, str(tmp_path / "in"), target, str(tmp_path / f"state{every}"), "id", "seq", files_per_batch=1, compact_every=every)
+        got = {r["id"]: r["seq"] for r in read_index(spark, target, "id").select("id", "_seq.seq").collect()}
+        assert got == {str(k): 160 + k for k in range(40)} and ("base" in {k for k, _ in _parts(spark, target)}) == (every == 2)
+    assert read_index(spark, str(tmp_path / "none"), "id") is None
 
 
 def test_scan(spark, tmp_path):
