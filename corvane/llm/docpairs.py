@@ -157,7 +157,7 @@ def documented(text: str, ext: str) -> list[dict]:
     text = text.replace("\r\n", "\n")
     rows = Reader(spoken, text)
     out = []
-    for f in functions(spoken, text):
+    for f in functions(spoken, text, rows):
         level = f.level
         doc = _docstring(text, f, spoken) if spoken.mode == "py" else _above(text, f, ext)
         if doc is None:

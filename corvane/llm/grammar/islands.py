@@ -284,29 +284,37 @@ def walk(top: Level) -> Iterator[Level]:
         todo += level.below.values()
 
 
-def functions(spoken: Language, text: str) -> list[Function]:
+#: Words of which every function outside of a class has one on its own level; elsewhere, a
+#: parenthesis tells.
+WORDS = {"py": ("def",), "go": ("func",), "rs": ("fn",), "js": ("function", "=>"), "ts": ("function", "=>"), "jsx": ("function", "=>"), "tsx": ("function", "=>")}
+
+
+def functions(spoken: Language, text: str, reader: Reader | None = None) -> list[Function]:
     """Every function that a derivation of the language's function rules covers, in no order."""
     spoken.rest()
-    reader = Reader(spoken, text)
-    top, sound = reader.levels()
+    top, sound = (reader or Reader(spoken, text)).levels()
     grammar, recogniser, number = spoken.grammar, spoken.recogniser, spoken.terms.number
     names = grammar.names
     sets = [tuple(names[p + part] for part in ("Marks", "Head", "Name", "Tail", "Loose", "")) + (p == "Method",) for p in ("Function", "Method") if f"{p}Marks" in names]
     before = {number[x] for x in (";", "nl") if x in number} | {spoken.err} | ({number[":"]} if spoken.name in ("cpp", "c", "h") else set())
     statements, members = names.get("Stmts", -1), names.get("Members", -1)
+    words = [number[w] for w in WORDS.get(spoken.name, ())]
     out: list[Function] = []
     for level in walk(top):
         if level.bracket not in (-1, BRACE, INDENT) or not level.tokens:
             continue
         accepted = recogniser.accepted[level.number - BASE] if level.number >= BASE else frozenset()
         plain = statements in accepted and members not in accepted or level.bracket == -1 and sound and spoken.mode == "js"
+        tried = [x for x in sets if not (plain if x[-1] else words and not any(w in level.tokens for w in words))]
+        if not tried:
+            continue
         line = recogniser.line(tuple(level.tokens))
         seen: set[int] = set()
         for i, shape in enumerate(line.shapes[: line.n]):
             if i and level.tokens[i - 1] not in before and line.shapes[i - 1] not in (BRACE, INDENT):
                 continue
-            for *parts, whole, inside in sets:
-                if inside and plain or shape not in grammar.predict[whole]:
+            for *parts, whole, _ in tried:
+                if shape not in grammar.predict[whole]:
                     continue
                 got = _derived(recogniser, line, i, parts)
                 if got and got[1] not in seen:

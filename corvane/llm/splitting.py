@@ -96,7 +96,7 @@ def parsed_nodes(text: str, extension: str) -> list[tuple[int, int]]:
     if spoken is None or "\r" in text:
         return []
     rows = Reader(spoken, text)
-    return function_nodes(text, [(rows.row(f.level.start(f.first)) + 1, rows.row(max(0, f.level.end(f.end - 1) - 1)) + 1) for f in functions(spoken, text)])
+    return function_nodes(text, [(rows.row(f.level.start(f.first)) + 1, rows.row(max(0, f.level.end(f.end - 1) - 1)) + 1) for f in functions(spoken, text, rows)])
 
 
 def children(text: str, start: int, end: int, limit: int, prose: bool, nodes: list[tuple[int, int]]) -> list[tuple[int, int]]:
