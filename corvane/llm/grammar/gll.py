@@ -253,6 +253,8 @@ class Line:
 SHORT = 8
 #: Parses of items run inside of each other to this depth; deeper ones share one stack.
 DEEP = 24
+#: Beginnings of up to so many tokens that a symbol can't have are remembered.
+PREFIX = 8
 MORE = ((), -1)
 
 
@@ -274,6 +276,8 @@ class Recogniser:
         self.kinds: list[int] = []
         self.accepted: list[frozenset[int]] = []
         self.known: dict[tuple, bool] = {}
+        #: By symbol and length, beginnings of which the symbol has no sequence.
+        self.refused: dict[int, dict[int, set[tuple]]] = {}
         self.ends: dict[tuple, tuple] = {}
         self.classes: dict[tuple, int] = {}
 
@@ -318,8 +322,18 @@ class Recogniser:
             head = END if not tokens else tokens[0] if tokens[0] < BASE else self.kinds[tokens[0] - BASE]
             if head not in self.grammar.predict[symbol]:
                 return False
+            ended = tokens + (END,)
+            refused = self.refused.setdefault(symbol, {})
+            for n, beginnings in refused.items():
+                if ended[:n] in beginnings:
+                    return False
             line = self.line(tokens, len(tokens) > SHORT)
-            got = self.known[key] = line.n in self._run(symbol, line, 0, 0, line.n)[0]
+            ends, looked = self._run(symbol, line, 0, 0, line.n)
+            got = self.known[key] = line.n in ends
+            if not got and (n := max(looked, *ends, 0) + 1) <= PREFIX:
+                # Whatever begins so is none of the symbol: no token behind was looked at, and none of
+                # the ends is the end of the sequence.
+                refused.setdefault(n, set()).add(ended[:n])
         return got
 
     def ends_from(self, symbol: int, line: Line, start: int) -> tuple[int, ...]:
