@@ -37,8 +37,8 @@ def core_modules(facts: DataFrame) -> DataFrame:
 
 def core_classes(classes: DataFrame, scores: DataFrame, n: int) -> DataFrame:
     """(name, module, score): the n classes of the highest ranked modules, each name once."""
-    scored = classes.join(scores, "module").groupBy("name").agg(F.max_by(F.struct("module", "score"), F.struct(F.round("score", 10), F.lit(0))).alias("x"), F.min(F.struct(-F.round("score", 10), "module")).alias("y"))
-    best = scored.select("name", F.col("y.module").alias("module"), (-F.col("y.col1")).alias("score"))
+    scored = classes.join(scores, "module").select("name", "module", F.round("score", 10).alias("score"))
+    best = scored.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("below"), "module")).alias("x")).select("name", "x.module", (-F.col("x.below")).alias("score"))
     return best.orderBy(F.desc("score"), "name").limit(n)
 
 

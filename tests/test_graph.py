@@ -136,7 +136,7 @@ CALL = "from_module string, from_name string, to_module string, to_name string"
 
 
 def chains(calls, longest):
-    """All chains by depth-first search, as the reference walks them."""
+    """All chains by depth-first search."""
     edges = {(f"{a}#{f}", f"{b}#{g}", a, b) for a, f, b, g in calls}
     called = {b for a, b, _, _ in edges if a != b}
     sources = [e for e in edges if e[0] not in called] or [e for e in edges if e[0] == min(x[0] for x in edges)]
