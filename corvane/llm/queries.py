@@ -19,13 +19,18 @@ from .neardup import all_pairs, groups, near_duplicates
 from .packing import fill_report, packed
 from .splitting import split_oversized
 from .syntax import extension, invalid_rates, parsed
-from .tokens import sized
+from .tokens import VOCABULARY, sized
 from .truncation import rates, truncated
 from .vectors import most_similar, similar_pairs, unit_vectors, unpacked
 
 LIMIT, OVERLAP = 4000, 200
 
 
+def _sizes(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Documents with their sizes; the vocabulary's path can be set for the session."""
+    return sized(load(spark, d, "documents"), "doc_id", "text", *more, vocabulary=spark.conf.get("spark.corvane.vocabulary", VOCABULARY))
+
+
 def _p1(spark: SparkSession, d: str) -> DataFrame:
     return parsed(load(spark, d, "source_file"), "file_id", "filename", "content", "scanned_at", "repo")
 
@@ -153,7 +158,7 @@ def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p8(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
-    sizes = cut_lineage(sized(load(spark, d, "documents"), "doc_id", "text"))
+    sizes = cut_lineage(_sizes(spark, d))
     # The table of containers has a fixed size; each row is a packing of its own.
     targets = load(spark, d, "pack_target").where("pack_name is not null and capacity_tokens is not null").collect()
     return [(t["pack_name"], t["capacity_tokens"], packed(sizes, "doc_id", t["capacity_tokens"])) for t in targets]
@@ -168,7 +173,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p9(spark: SparkSession, d: str) -> DataFrame:
-    return mixed(sized(load(spark, d, "documents"), "doc_id", "text", "source"), load(spark, d, "mix_target"))
+    return mixed(_sizes(spark, d, "source"), load(spark, d, "mix_target"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +185,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_left_out(spark: SparkSession, d: str) -> DataFrame:
-    return left_out(sized(load(spark, d, "documents"), "doc_id", "text", "source"), load(spark, d, "mix_target"))
+    return left_out(_sizes(spark, d, "source"), load(spark, d, "mix_target"))
 
 
 def _p10(spark: SparkSession, d: str) -> DataFrame:
