@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..functions.text import module_name, reading_minutes
+from ..functions.text import is_noise, module_name, reading_minutes, symbols
 from ..operators import incremental as I
 from ..operators import texts as X
 from ..operators.chunks import file_chunks, with_source
@@ -13,9 +13,12 @@ from ..operators.selection import ranked_within
 from ..operators.symbols import definitions, latest_files
 from ..session import cut_lineage, load, once
 from .graphs import LATEST
-from .modules import CL, DEF2, FILES
+from .modules import CL, DEF2, FILES, NOISE, PATHS
+from .search import SYM
 
 # Words by which a project's documents are put in order; the earlier, the more they say about it.
+ARTIFACT_FOLDERS = ("build", "dist", "out", "target", "bin", "obj", "node_modules", "__pycache__")
+ARTIFACT_ENDINGS = r"\.(?:min\.js|map|lock|pyc|class|o|generated\.\w+|pb\.\w+)$"
 PRIORITY = ("architecture", "design", "overview", "guide", "api", "config", "deploy", "release")
 
 
@@ -255,7 +258,48 @@ def masked_ids(spark, d):
     return c.select("id", F.coalesce("name", F.lit("")).alias("name"), L.masked(F.col("id")).alias("masked"), F.when(F.col("chunk_type") == "document", "article").otherwise(F.col("chunk_type")).alias("label"), F.when(depth <= 1, "easy").when(depth == 2, "medium").otherwise("hard").alias("difficulty")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (readme_source, project_docs, front_matter, front_matter_stripped, fences_stripped, next_reading, compilation, navigation, readme_hints, unknown_names, import_statements, named_calls, attributions, description_lines, description_matches, name_resolution, source_lookup, tree_order, all_chunks, cache_hits, cache_counts, graph_cache, manifest_changes, manifest_vanished, resume_pending, resume_stale, history_turns, versions_kept, record_counts, record_lookup, records_deleted, masked_ids)}
+def theme_members(spark, d):
+    """Modules of each theme with their files, in order."""
+    f = _files(spark, d).where(~is_noise(F.col("module"))).select(L.theme(F.col("module")).alias("theme"), "module", "filename").distinct()
+    return ranked_within(f, ["theme"], F.asc("module"), F.asc("filename")).select("theme", "place", "module", "filename")
+
+
+def theme_sequences(spark, d):
+    """Up to two call chains for each theme in which one of its modules takes part."""
+    from ..operators.graph import call_paths
+
+    paths = call_paths(load(spark, d, "call_edge"), 3)
+    themes = paths.select("path", F.explode(F.array_distinct(F.transform(F.split("path", " -> "), lambda x: L.theme(F.split_part(x, F.lit("#"), F.lit(1)))))).alias("theme"))
+    return ranked_within(themes, ["theme"], F.asc("path")).where("place <= 2").select("theme", "path", "place")
+
+
+def build_artifacts(spark, d):
+    """Repository paths that a build makes, by a folder or an ending."""
+    f = _files(spark, d)
+    folders = F.slice(F.split("filename", "/"), F.lit(1), F.size(F.split("filename", "/")) - 1)
+    made = F.exists(folders, lambda x: x.isin(*ARTIFACT_FOLDERS)) | F.lower("filename").rlike(ARTIFACT_ENDINGS)
+    return f.select("filename", made.alias("artifact")).distinct()
+
+
+def answered(spark, d):
+    """Answers that repeat the context of a question where they share two symbols at least, else refuse;
+    an answer that fails has no sources and doesn't pass."""
+    docs = _docs(spark, d).where("title is not null and text is not null")
+    told = docs.select("doc_id", F.size(F.array_intersect(symbols(F.col("title")), symbols(F.col("text")))).alias("shared"), "doc_kind")
+    return told.select("doc_id", (F.col("shared") >= 2).alias("grounded"), F.when(F.col("doc_kind") == "commit_note", "error").when(F.col("shared") >= 2, "context").otherwise("refused").alias("answer"), F.when((F.col("shared") >= 2) & (F.col("doc_kind") != "commit_note"), 1).otherwise(0).cast("long").alias("sources"))
+
+
+def sections_by_id(spark, d):
+    """The sections of documents whose heading several documents have."""
+    from ..functions.text import heading_slug
+    from ..operators.chunks import document_sections
+
+    told = document_sections(_docs(spark, d), "doc_id", "text").select("doc_id", "section_no", heading_slug(F.col("heading")).alias("slug"))
+    wanted = told.groupBy("slug").agg(F.count_distinct("doc_id").alias("k")).where("k > 1").select("slug")
+    return told.join(wanted, "slug", "left_semi").select("doc_id", "section_no", "slug")
+
+
+QUERIES = {f.__name__: f for f in (readme_source, project_docs, front_matter, front_matter_stripped, fences_stripped, next_reading, compilation, navigation, readme_hints, unknown_names, import_statements, named_calls, attributions, description_lines, description_matches, name_resolution, source_lookup, tree_order, all_chunks, cache_hits, cache_counts, graph_cache, manifest_changes, manifest_vanished, resume_pending, resume_stale, history_turns, versions_kept, record_counts, record_lookup, records_deleted, masked_ids, theme_members, theme_sequences, build_artifacts, answered, sections_by_id)}
 
 TRIM = "regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
 LN = "sf AS (SELECT file_id, string_split(replace(arg_max(content, scanned_at), chr(13), ''), chr(10)) AS a FROM source_file WHERE file_id IS NOT NULL GROUP BY 1), ln AS (SELECT file_id, unnest(range(1, len(a) + 1)) AS line_no, unnest(a) AS line FROM sf)"
@@ -265,6 +309,8 @@ DESC = "ds AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) +
 STATES = "first AS (SELECT path, min((mtime, size)) AS x FROM file_index WHERE path IS NOT NULL GROUP BY 1), newest AS (SELECT path, max((mtime, size)) AS x FROM file_index WHERE path IS NOT NULL GROUP BY 1), hits AS (SELECT path, f.x = n.x AS hit FROM newest n JOIN first f USING (path))"
 SIGN = "'(' || array_to_string(coalesce({x}.params, []), ', ') || ')' || CASE WHEN coalesce({x}.return_type, '') <> '' THEN ' -> ' || {x}.return_type ELSE '' END"
 MARKS = "CASE WHEN len({x}.decorators) > 0 THEN ' [decorators: ' || array_to_string({x}.decorators, ', ') || ']' ELSE '' END"
+SECTIONS = "p AS (SELECT doc_id, string_split(chr(10) || text, chr(10) || '## ') AS a FROM documents WHERE text IS NOT NULL), q AS (SELECT doc_id, unnest(range(2, len(a) + 1)) AS i, a FROM p), r AS (SELECT doc_id, i - 1 AS section_no, trim(split_part(a[i], chr(10), 1), ' ') AS heading, regexp_replace(CASE WHEN contains(a[i], chr(10)) THEN substring(a[i], instr(a[i], chr(10)) + 1) ELSE '' END, '^\\s+|\\s+$', '', 'g') AS body FROM q)"
+SLUG = "regexp_replace(regexp_replace(lower({t}), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g')"
 KEYS = "fk AS (SELECT DISTINCT module || '#' || f.name AS key FROM fn), ck AS (SELECT DISTINCT to_module || '#' || to_name AS key FROM call_edge)"
 SQL = {
     "readme_source": "SELECT repo, arg_min(doc_id, doc_id) AS doc_id, least(arg_min(strlen(text), doc_id), 4000)::BIGINT AS bytes, arg_min(strlen(text), doc_id) > 4000 AS cut FROM documents WHERE repo IS NOT NULL AND doc_kind = 'readme' AND text IS NOT NULL GROUP BY repo",
@@ -313,4 +359,9 @@ SQL = {
     "record_lookup": "SELECT DISTINCT id, id IN (SELECT id FROM vectors WHERE vector IS NOT NULL AND id IS NOT NULL) AS stored FROM chunk WHERE id IS NOT NULL",
     "records_deleted": "SELECT DISTINCT id FROM vectors WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM chunk WHERE chunk_type = 'document' AND id IS NOT NULL)",
     "masked_ids": "WITH c AS (SELECT DISTINCT id, chunk_type, coalesce(name, '') AS name FROM chunk WHERE id IS NOT NULL) SELECT DISTINCT id, name, CASE WHEN length(id) <= 8 THEN '****' ELSE substring(id, 1, 4) || '****' || right(id, 4) END AS masked, CASE WHEN chunk_type = 'document' THEN 'article' ELSE chunk_type END AS label, CASE WHEN length(name) - length(replace(name, '_', '')) <= 1 THEN 'easy' WHEN length(name) - length(replace(name, '_', '')) = 2 THEN 'medium' ELSE 'hard' END AS difficulty FROM c",
+    "theme_members": f"WITH {FILES}, t AS (SELECT DISTINCT {L.rules_sql(L.THEMES, "contains(lower(module), '{w}')", "'" + L.OTHER_THEME + "'")} AS theme, module, filename FROM f WHERE NOT {NOISE.format(n='module')}) SELECT theme, row_number() OVER (PARTITION BY theme ORDER BY module, filename) AS place, module, filename FROM t",
+    "theme_sequences": PATHS + f", x AS (SELECT DISTINCT path, unnest(m) AS m FROM paths), t AS (SELECT DISTINCT path, {L.rules_sql(L.THEMES, "contains(lower(m), '{w}')", "'" + L.OTHER_THEME + "'")} AS theme FROM x) SELECT theme, path, row_number() OVER (PARTITION BY theme ORDER BY path) AS place FROM t QUALIFY place <= 2",
+    "build_artifacts": f"WITH {FILES} SELECT DISTINCT filename, len(list_intersect(string_split(filename, '/')[:-2], {list(ARTIFACT_FOLDERS)})) > 0 OR regexp_matches(lower(filename), '{ARTIFACT_ENDINGS}') AS artifact FROM f",
+    "answered": f"WITH s AS (SELECT doc_id, doc_kind, len(list_intersect({SYM.format(t='title')}, {SYM.format(t='text')})) AS shared FROM documents WHERE title IS NOT NULL AND text IS NOT NULL) SELECT doc_id, shared >= 2 AS grounded, CASE WHEN doc_kind = 'commit_note' THEN 'error' WHEN shared >= 2 THEN 'context' ELSE 'refused' END AS answer, (shared >= 2 AND doc_kind <> 'commit_note')::BIGINT AS sources FROM s",
+    "sections_by_id": f"WITH {SECTIONS}, t AS (SELECT doc_id, section_no, {SLUG.format(t='heading')} AS slug FROM r WHERE body <> '') SELECT * FROM t WHERE slug IN (SELECT slug FROM t GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)",
 }
