@@ -109,11 +109,6 @@ def manifest_diff(spark, d):
     return I.changed(*_manifests(spark, d)).select("path", "size", "is_new")
 
 
-def manifest_prune(spark, d):
-    now, index = _manifests(spark, d)
-    return I.vanished(now, index)
-
-
 def upsert_last_wins(spark, d):
     """Chunks by id: the last indexed row holds."""
     c = load(spark, d, "chunk").where("id is not null").select("id", "chunk_no", "start_line", F.struct("indexed_at", "chunk_no").alias("seq"))
@@ -136,7 +131,7 @@ def eval_metrics(spark, d):
     return E.metrics(E.judged(cases))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, vector_norms, vector_mixed_dims, symbol_vocabulary, symbol_topk, hybrid_search, rag_retrieve, rag_sources, rag_prompt, rag_full_prompt, chunk_embed_pending, manifest_diff, manifest_prune, upsert_last_wins, stream_index, eval_metrics)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_threshold, vector_norms, vector_mixed_dims, symbol_vocabulary, symbol_topk, hybrid_search, rag_retrieve, rag_sources, rag_prompt, rag_full_prompt, chunk_embed_pending, manifest_diff, upsert_last_wins, stream_index, eval_metrics)}
 
 V = "v AS (SELECT vec_no, arg_max(vector, indexed_at) AS x, arg_max(chunk_no, indexed_at) AS chunk_no FROM vectors WHERE vec_no IS NOT NULL AND vector IS NOT NULL GROUP BY 1)"
 N = "n AS (SELECT vec_no, chunk_no, x::DOUBLE[] AS x, len(x) AS d, sqrt(list_dot_product(x::DOUBLE[], x::DOUBLE[])) AS l FROM v)"
@@ -169,7 +164,6 @@ SQL = {
     "rag_prompt": f"WITH {RAG}, p AS (SELECT query, string_agg('[' || place || '] ' || coalesce(filename, '') || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY place) || chr(10) || chr(10) || 'Question: what is like ' || query || '?' AS p FROM r GROUP BY query) SELECT query, length(p) AS length, md5(p) AS md5 FROM p",
     "chunk_embed_pending": "SELECT DISTINCT chunk_no FROM chunk WHERE chunk_no NOT IN (SELECT chunk_no FROM vectors WHERE vector IS NOT NULL AND chunk_no IS NOT NULL)",
     "manifest_diff": f"WITH {NOW} SELECT now.path, now.size, idx.path IS NULL AS is_new FROM now LEFT JOIN idx ON idx.path = now.path WHERE idx.path IS NULL OR idx.size IS DISTINCT FROM now.size",
-    "manifest_prune": f"WITH {NOW} SELECT path FROM idx WHERE path NOT IN (SELECT path FROM now)",
     "upsert_last_wins": "SELECT id, arg_max(chunk_no, (indexed_at, chunk_no)) AS chunk_no FROM chunk WHERE id IS NOT NULL GROUP BY 1",
     "stream_index": "SELECT id, arg_max(chunk_no, (indexed_at, chunk_no)) AS chunk_no FROM chunk WHERE id IS NOT NULL GROUP BY 1",
     "eval_metrics": """WITH c AS (SELECT doc_kind AS category, lang AS difficulty, lower(text) AS a, list_filter(regexp_split_to_array(lower(title), '\\s+'), lambda w: w <> '') AS e, doc_id % 3 = 0 AS must_cite, len(regexp_extract_all(text, '`[^`\\n]+`')) AS n FROM documents WHERE title IS NOT NULL),
