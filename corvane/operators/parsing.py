@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 FUNCTION = "struct<name:string,params:array<string>,return_type:string,decorators:array<string>,start_line:int,end_line:int>"
 SCHEMA = f"classes array<struct<name:string,bases:array<string>,methods:array<{FUNCTION}>,decorators:array<string>,start_line:int,end_line:int>>, functions array<{FUNCTION}>, imports array<struct<module:string,name:string,is_relative:boolean>>"
 
@@ -200,6 +202,7 @@ def _fill_ends(classes: list[dict], functions: list[dict], total: int) -> None:
 def parse_files(df: DataFrame, key: str, filename: str, text: str) -> DataFrame:
     """(key, filename, classes, functions, imports) of every file with a name and a text."""
     rows = df.where(F.col(filename).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(filename).alias("filename"), F.col(text).alias("text"))
+    rows = spread(rows)
     key_type = rows.schema["key"].dataType.simpleString()
     fn = pa.struct([("name", pa.string()), ("params", pa.list_(pa.string())), ("return_type", pa.string()), ("decorators", pa.list_(pa.string())), ("start_line", pa.int32()), ("end_line", pa.int32())])
     cl = pa.struct([("name", pa.string()), ("bases", pa.list_(pa.string())), ("methods", pa.list_(fn)), ("decorators", pa.list_(pa.string())), ("start_line", pa.int32()), ("end_line", pa.int32())])

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import symbols
+from ..session import spread
 
 
 def norm(vector: Column) -> Column:
@@ -97,7 +98,7 @@ def symbol_search(docs: DataFrame, questions: DataFrame, key: str, text: str, qu
     asked = questions.select("question_id", symbols(F.col(question)).alias("ws")).select("question_id", F.size("ws").alias("m"), F.explode("ws").alias("w"))
     parts = docs.sparkSession.sparkContext.defaultParallelism
     q = asked.select("question_id", "m", "w", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    listed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), symbols(F.col(text)).alias("ws"))
+    listed = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", symbols(F.col("text")).alias("ws"))
     d = listed.select("key", F.size("ws").alias("n"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), F.explode("ws").alias("w"))
     d = d.join(asked.select("w").distinct(), "w", "left_semi")
     common = q.join(d, ["part", "w"]).groupBy("question_id", "m", "key", "n").agg(F.count("*").alias("c"))

@@ -59,6 +59,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer parts than there are cores, as a single small file
+    has; larger inputs stay as they are read. For stages that spend long on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def once(df: DataFrame, key: str, when: str) -> DataFrame:
     """The latest delivery of every key."""
     columns = [c for c in df.columns if c != key]
