@@ -149,7 +149,9 @@ def near_duplicates(
     are ignored. Signatures find the candidates, each candidate is verified on its whole multiset of
     64-bit elements: a pair at exactly 0.7 is missed with a probability of 5e-5 at 36 bands of 4 rows,
     at 0.8 of 1e-8. Records count as equal by 128 bits over all elements. A band that more than `block`
-    representatives share is joined in blocks, so that no task holds all of them.
+    representatives share is joined in blocks, so that no task holds all of them. All tables that grow
+    with the input are joined by merging: what Spark takes for their size doesn't count the rows that
+    bands and elements unfold to, so that it would send them to every node through the driver.
     """
     if bands > 256:
         raise ValueError("at most 256 bands")
@@ -195,15 +197,15 @@ def near_duplicates(
     signed = cut_lineage(signed.groupBy("key").agg(F.max_by(F.struct("same", "bands"), "at").alias("x")).select("key", "x.*"))
     # The copy with the smallest key stands for its group; only representatives are banded.
     reps = cut_lineage(signed.groupBy("same").agg(F.min(F.struct("key", "bands")).alias("x")).select("same", "x.*"))
-    members = signed.select("key", "same").join(reps.select(F.col("key").alias("rep"), "same"), "same").select("key", "rep")
+    members = signed.select("key", "same").join(reps.select(F.col("key").alias("rep"), "same").hint("merge"), "same").select("key", "rep")
     banded = reps.select("key", F.posexplode("bands")).select("key", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col")).alias("band"))
     pairs = cut_lineage(_sharing(banded, block))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "same"), "key")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(reps.select("key", "same").hint("merge"), "key")
     # Only the texts of candidates are read for their elements.
-    told = source.join(asked.select("key"), "key", "left_semi").select("key", "text", "at")
+    told = source.join(asked.select("key").hint("merge"), "key", "left_semi").select("key", "text", "at")
     sets = told.mapInArrow(lambda b: sign(b, True), f"key long, at {at_type}, same binary, elements binary")
-    sets = sets.select("key", "same", "elements").join(asked, ["key", "same"], "left_semi").dropDuplicates(["key"]).select("key", "elements")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")), "b")
+    sets = sets.select("key", "same", "elements").join(asked.hint("merge"), ["key", "same"], "left_semi").dropDuplicates(["key"]).select("key", "elements")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")).hint("merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("eb")).hint("merge"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,13 +238,13 @@ def _sharing(banded: DataFrame, block: int, every: int = 64) -> DataFrame:
     n = hot.count()
     if n:
         # Broadcast up to a stated size, else joined by its key.
-        cut = banded.join(F.broadcast(hot) if n <= 50_000 else hot, "band", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+        cut = banded.join(F.broadcast(hot) if n <= 50_000 else hot.hint("merge"), "band", "left").withColumn("m", F.coalesce("m", F.lit(1)))
         cut = cut.withColumn("own", F.pmod(F.xxhash64("key", F.lit(5)), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
         banded = cut.select("key", "band", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
         on = (F.col("x.band") == F.col("y.band")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.lo") == F.col("x.hi")))
     else:
         on = F.col("x.band") == F.col("y.band")
-    pairs = banded.alias("x").join(banded.alias("y"), on & (F.col("x.key") < F.col("y.key")))
+    pairs = banded.alias("x").join(banded.alias("y").hint("merge"), on & (F.col("x.key") < F.col("y.key")))
     return pairs.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
@@ -250,8 +252,8 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs (a < b) of all records, copies expanded; for results that are defined on pairs."""
     m = members.select(F.col("key").alias("k1"), F.col("rep").alias("a"))
     n = members.select(F.col("key").alias("k2"), F.col("rep").alias("b"))
-    linked = links.select("a", "b").join(m, "a").join(n, "b").select("k1", "k2")
-    equal = m.join(n.withColumnRenamed("b", "a"), "a").where(F.col("k1") < F.col("k2")).select("k1", "k2")
+    linked = links.select("a", "b").join(m.hint("merge"), "a").join(n.hint("merge"), "b").select("k1", "k2")
+    equal = m.join(n.withColumnRenamed("b", "a").hint("merge"), "a").where(F.col("k1") < F.col("k2")).select("k1", "k2")
     return linked.unionByName(equal).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
 
 
@@ -261,12 +263,12 @@ def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = cut_lineage(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("g")))
     while True:
-        near = edges.join(label.select(F.col("a").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("h"))
-        stepped = label.join(near, "a").select("a", F.least("g", "h").alias("g"))
-        jumped = stepped.join(label.select(F.col("a").alias("g"), F.col("g").alias("j")), "g", "left").select("a", F.least("g", F.coalesce("j", "g")).alias("g"))
+        near = edges.join(label.select(F.col("a").alias("b"), "g").hint("merge"), "b").groupBy("a").agg(F.min("g").alias("h"))
+        stepped = label.join(near.hint("merge"), "a").select("a", F.least("g", "h").alias("g"))
+        jumped = stepped.join(label.select(F.col("a").alias("g"), F.col("g").alias("j")).hint("merge"), "g", "left").select("a", F.least("g", F.coalesce("j", "g")).alias("g"))
         new = cut_lineage(jumped)
-        changed = new.join(label.withColumnRenamed("g", "old"), "a").where("g <> old").limit(1).count()
+        changed = new.join(label.withColumnRenamed("g", "old").hint("merge"), "a").where("g <> old").limit(1).count()
         label = new
         if not changed:
             break
-    return members.join(label.select(F.col("a").alias("rep"), "g"), "rep", "left").select("key", F.coalesce("g", "rep").alias("group_id"))
+    return members.join(label.select(F.col("a").alias("rep"), "g").hint("merge"), "rep", "left").select("key", F.coalesce("g", "rep").alias("group_id"))

@@ -124,6 +124,18 @@ def test_hot_bands_are_cut_into_blocks(spark):
     assert got == {(a, b) for a in range(900) for b in range(a + 1, 900)}
 
 
+def test_growing_tables_are_not_broadcast(spark, tmp_path):
+    """Whatever Spark takes for their size, which leaves out the rows that bands unfold to."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = " ".join(f"w{i}" for i in range(60))
+    spark.createDataFrame([(k, text + " more" * (k % 2), T0) for k in range(4)], "no long, text string, seen timestamp").write.parquet(f"{tmp_path}/texts")
+    spark.createDataFrame([(1, 1), (2, 1)], "key long, band long").write.parquet(f"{tmp_path}/bands")
+    df, banded = spark.read.parquet(f"{tmp_path}/texts"), spark.read.parquet(f"{tmp_path}/bands")
+    links, members = neardup.near_duplicates(df, "no", "text", "seen")
+    plans = [plan(x) for x in (links, members, neardup.all_pairs(links, members), neardup.groups(links, members), neardup._sharing(banded, 64))]
+    assert all("SortMergeJoin" in x and "Broadcast" not in x for x in plans)
+
+
 def test_null_times_lose_no_record(spark):
     text = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(1, text, None), (2, text + " more", None), (3, text, None)], "no long, text string, seen timestamp")
