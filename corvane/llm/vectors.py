@@ -5,8 +5,8 @@ each trained on what the earlier ones left over. Encoding keeps a beam of the be
 query is scored against a code by adding its dot products with the codewords (looked up in a table)
 and dividing by the stored norm of the sum; the best are then scored exactly.
 
-The beam after the second codebook also names the cells in which a vector is listed, so that pairs
-above a threshold are found without comparing everything.
+For pairs above a threshold the length of what a code leaves over bounds the error of its dot products,
+so that only few pairs are scored exactly and none is lost.
 """
 
 from __future__ import annotations
@@ -196,55 +196,52 @@ def similar_pairs(df: DataFrame, key: str, vector: str, when: str | None = None,
 
     Returns (links, members): links (a, b, similarity), a < b, between representatives; members
     (key, rep) for every usable vector, rep being the smallest key with the same unit vector.
-    A vector looks in its nearest cell, and is listed in its 16 nearest ones; so of pairs at 0.92
-    about 0.99 are found, at 0.96 all but 1 in 1000. There are as many cells as two codebooks make,
-    and more codebooks once a cell would list more than `per_cell` rows on average; with each of them
-    a vector is listed in four times as many. A cell with more than `block` rows is worked on in blocks of
-    that many queries and listed vectors. Nulls, zeros, repeated rows: see
-    unit_vectors; other columns are ignored. Vectors of different lengths are never compared.
+    All pairs are found: every vector meets the codes of all others of its length, and by the
+    inequality of Cauchy and Schwarz what a code leaves over adds at most its length to a dot product.
+    So the codes only decide which pairs are scored exactly, and neither their sample nor the number of
+    rows has a part in the result; the work grows as the square of the rows. Rows meet in blocks of four
+    times `block`, each block with half of the others. per_cell has no influence any more. Nulls,
+    zeros, repeated rows: see unit_vectors; other columns are ignored. Vectors of different lengths
+    are never compared.
     """
     units = cut_lineage(unit_vectors(df, key, vector, when))
-    members = units.groupBy("dim", "unit").agg(F.min("key").alias("rep"))
-    members = units.join(members, ["dim", "unit"]).select("key", "rep")
     distinct = units.groupBy("dim", "unit").agg(F.min("key").alias("key")).select("key", "dim", "unit")
+    members = units.join(distinct.withColumnRenamed("key", "rep").hint("merge"), ["dim", "unit"]).select("key", "rep")
     books = fit(units, **fitting)
-    cell_stages, wide = _cells(distinct.count(), per_cell, min((len(c.books[0]) for c in books.values()), default=2))
-    indexed = cut_lineage(index(distinct, books, wide=wide, cell_stages=cell_stages))
+    indexed = cut_lineage(index(distinct, books))
     shared = units.sparkSession.sparkContext.broadcast(books)
-    listed = indexed.select("dim", F.explode("cells").alias("cell"), "key", "codes", "norm", "rest")
-    asking = indexed.select("dim", F.col("cells")[0].alias("cell"), "key", "unit")
-    # As many rows as there are cells, which the codebooks bound.
-    blocks = listed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nm"))
-    blocks = blocks.join(asking.groupBy("dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nq")), ["dim", "cell"])
-    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asking.join(blocks, ["dim", "cell"]).select("dim", "cell", part("nq").alias("qb"), spread("nm").alias("mb"), F.lit(0).alias("role"), "key", F.col("unit").alias("data"), F.lit(0.0).cast("float").alias("norm"), F.lit(0.0).cast("float").alias("rest"))
-    right = listed.join(blocks, ["dim", "cell"]).select("dim", "cell", "nq", part("nm").alias("mb"), "key", F.col("codes").alias("data"), "norm", "rest")
-    right = right.select("dim", "cell", spread("nq").alias("qb"), "mb", F.lit(1).alias("role"), "key", "data", "norm", "rest")
-    meeting = left.unionByName(right).repartition("dim", "cell", "qb", "mb").sortWithinPartitions("dim", "cell", "qb", "mb", "role")
+    # The number of blocks only decides which task scores a pair.
+    blocks = max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-indexed.count() // (4 * block)))
+    own = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    none = F.lit(0.0).cast("float")
+    asking = indexed.select("dim", own.alias("block"), F.lit(-1).alias("part"), "key", F.col("unit").alias("data"), none.alias("rest"))
+    listed = indexed.select("dim", own.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks // 2))).alias("before"), "key", "codes", "rest")
+    listed = listed.select("dim", F.pmod(F.col("part") - F.col("before"), F.lit(blocks)).alias("block"), "part", "key", F.col("codes").alias("data"), "rest")
+    meeting = asking.unionByName(listed).repartition("dim", "block").sortWithinPartitions("dim", "block", "part")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, 4):
-            dim = table.column("dim")[0].as_py()
-            c, role = shared.value[dim], table.column("role").to_numpy()
-            cut = int((role == 0).sum())
-            if cut in (0, len(role)):
+        here = None
+        for table in grouped(batches, 3):
+            dim, at, part = (table.column(i)[0].as_py() for i in range(3))
+            keys, data = table.column("key").to_numpy(), table.column("data").combine_chunks()
+            if part < 0:
+                here, asked, q = (dim, at), keys, _matrix(data, dim)
+            if part < 0 or here != (dim, at):
                 continue
-            keys = table.column("key").to_numpy()
-            data = table.column("data").combine_chunks()
-            q = _matrix(data[:cut], dim)
-            codes = np.frombuffer(b"".join(data[cut:].to_pylist()), np.uint8).reshape(-1, len(c.books))
-            norms, rest = table.column("norm").to_numpy()[cut:], table.column("rest").to_numpy()[cut:]
-            # What the codes leave over adds at most `rest` to a dot product.
-            slack = rest
-            for start in range(0, cut, 128):
-                s = _scores(q[start : start + 128], codes, norms, c) * norms + slack
-                i, j = np.nonzero(s >= threshold)
-                a, b = keys[start + i], keys[cut + j]
-                other = a != b
-                a, b = np.minimum(a, b)[other], np.maximum(a, b)[other]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            c, rests = shared.value[dim], table.column("rest").to_numpy()
+            codes = np.frombuffer(b"".join(data.to_pylist()), np.uint8).reshape(-1, len(c.books))
+            for low in range(0, len(codes), 1024):
+                near = codes[low : low + 1024]
+                sums = sum(c.books[i][near[:, i]] for i in range(len(c.books)))
+                # 1e-4: more than 32-bit sums are wrong by.
+                least = (threshold - 1e-4 - rests[low : low + 1024])[:, None]
+                for start in range(0, len(q), 1024):
+                    j, i = np.nonzero(sums @ q[start : start + 1024].T >= least)
+                    a, b = asked[start + i], keys[low + j]
+                    other = a != b
+                    a, b = np.minimum(a, b)[other], np.maximum(a, b)[other]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     found = meeting.mapInArrow(score, "a long, b long").distinct()
     full = indexed.select("key", "unit")

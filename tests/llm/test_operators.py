@@ -187,6 +187,20 @@ def test_finer_cells_find_the_same_pairs(cloud):
     assert len(found[0] & found[1]) >= 0.98 * len(found[0])
 
 
+def test_no_similar_pair_is_lost_at_any_size(spark):
+    """Pairs just above the threshold, however many rows a cell is said to have."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = rng.normal(size=x.shape)
+    g -= (g * x).sum(1)[:, None] * x
+    y = 0.925 * x + np.sqrt(1 - 0.925**2) * g / np.linalg.norm(g, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))], "no long, v array<float>")
+    for size in (1024, 1):
+        links, _ = vectors.similar_pairs(df, "no", "v", threshold=0.92, per_cell=size, block=32)
+        assert {tuple(r)[:2] for r in links.collect()} == {(i, i + 600) for i in range(600)}
+
+
 def test_query_blocks_change_nothing(cloud):
     _, df = cloud
     one, many = ({tuple(r)[:3] for r in vectors.most_similar(df, "no", "v", "seen", k=5, words=32, groups=3, queries=n).collect()} for n in (100_000, 4))
