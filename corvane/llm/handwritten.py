@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, spread
 from .grammar.languages import ALIASES, MAKERS
-from .provenance import GENERATED, KEPT, MINIFIED, VENDORED, Origin
+from .provenance import GENERATED, KEPT, MINIFIED, ORDER, VENDORED, Origin, runs
 from .syntax import valid
 
 IDENTIFIER = re.compile(r"\b[A-Za-z_$][\w$]*", re.ASCII)
@@ -185,25 +185,30 @@ def judge(filename: str, text: str, model: NameModel, origin: Origin | None, sty
     return None, None, bits
 
 
-def not_handwritten(df: DataFrame, key: str, filename: str, text: str, libraries: list[str] | None = None, sample_files: int = 1000) -> DataFrame:
+def not_handwritten(df: DataFrame, key: str, filename: str, text: str, libraries: list[str] | None = None) -> DataFrame:
     """(key, filename, reason, told_by, bits) for every file; reason is generated, vendored,
     minified, data or null for what was written by hand, told_by what decided: origin, names,
     literals, diversity or style. bits is the names' cross-entropy per character.
 
-    libraries are names of third-party libraries, which notes are read with. The models of names
-    count the whole corpus; those of origins are fitted on comments and paths of about
-    `sample_files` files, twice as many at most. Null keys, names and texts: rows with a null key are
-    left out, a null name or text counts as empty. Empty files are handwritten. Repeated rows come
-    out repeated. Other columns are ignored. The tables of the models are bounded by the alphabet
-    (letters, 0, _ and $: at most 40^3 trigrams per language), not by the corpus.
+    libraries are names of third-party libraries, which notes are read with. All models count the whole
+    corpus: names, the comments behind the opening one, folders and endings. Null keys, names and
+    texts: rows with a null key are left out, a null name or text counts as empty. Empty files are
+    handwritten. Repeated rows come out repeated. Other columns are ignored. The tables of names are
+    bounded by the alphabet (letters, 0, _ and $: at most 40^3 trigrams per language); of the n-grams of
+    comments and paths only those come to the driver that opening comments, folders and endings have
+    which are like the phrases of provenance.py.
     """
     rows = df.select(F.col(key).alias("key"), F.coalesce(F.col(filename), F.lit("")).alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("key is not null")
     rows = spread(rows)
     key_type = rows.schema["key"].dataType.simpleString()
+    libraries = sorted({x.lower() for x in libraries or []})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        origin = Origin(libraries)
         for batch in batches:
             names: dict[str, dict[str, int]] = {}
+            written: Counter[tuple[str, str]] = Counter()
+            asked: set[tuple[str, str]] = set()
             styled: list[tuple[str, str, str, int, int]] = []
             for name, body, copy in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 language = language_of(name)
@@ -213,6 +218,9 @@ def not_handwritten(df: DataFrame, key: str, filename: str, text: str, libraries
                     if x.lower() not in WORDS:
                         own[x] = own.get(x, 0) + n
                 styled += [(language, s, x, 1, copy) for x in found if (s := style(x)) != "plain"]
+                opening = leading_comment(body)
+                written.update(origin.examples(name, [x.strip() for x in INNER.findall(body)[len(opening) :]]))
+                asked.update(origin.texts(name, opening))
             told = []
             for language, found in names.items():
                 out: dict[str, int] = {}
@@ -221,6 +229,13 @@ def not_handwritten(df: DataFrame, key: str, filename: str, text: str, libraries
                         out[g] = out.get(g, 0) + n
                 told += [(language, "", g, n, 0) for g, n in out.items()]
             told += styled
+            grams: Counter[tuple[str, str]] = Counter()
+            for (kind, x), n in written.items():
+                for g in runs(x):
+                    grams[kind, g] += n
+            told += [(kind, "hand", g, n, 0) for (kind, g), n in grams.items()]
+            asked = {(kind, g) for kind, x in asked if origin.kinds[kind].nearest(x)[0] < math.inf for g in runs(x)}
+            told += [(kind, "asked", g, 0, 0) for kind, g in asked]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in told], pa.string() if i < 3 else pa.int64()) for i in range(5)], ["language", "style", "gram", "n", "copy"])
 
     counted = rows.select("name", "text", F.xxhash64("text").alias("copy")).mapInArrow(count, "language string, style string, gram string, n long, copy long")
@@ -230,7 +245,7 @@ def not_handwritten(df: DataFrame, key: str, filename: str, text: str, libraries
     places = cut_lineage(rows.select(F.xxhash64("text").alias("copy"), F.lower(F.regexp_extract("name", r"([^/]*)$", 1)).alias("base"), F.regexp_extract("name", "^([^/]*)/", 1).alias("repo")).distinct())
     several = lambda c: places.groupBy(c).agg(F.count_distinct("repo").alias("repos")).where("repos > 1").select(c)
     shared_texts = places.join(several("base"), "base", "left_semi").select("copy").union(several("copy")).distinct()
-    own = counted.where("style <> ''").join(shared_texts, "copy", "left_anti").groupBy("language", "style").agg(F.count_distinct("gram").alias("n"))
+    own = counted.where(F.col("style").isin("snake", "camel", "pascal", "upper")).join(shared_texts, "copy", "left_anti").groupBy("language", "style").agg(F.count_distinct("gram").alias("n"))
     grams: dict[str, dict[str, int]] = {}
     styles: dict[str, dict[str, float]] = {}
     for r in counted.where("style = ''").groupBy("language", "gram").agg(F.sum("n").alias("n")).collect():
@@ -241,12 +256,11 @@ def not_handwritten(df: DataFrame, key: str, filename: str, text: str, libraries
         told = sum(s.get(x, 0) for x in ("snake", "camel", "pascal", "upper")) or 1
         for x in s:
             s[x] /= told
-    comments, paths = _sample(rows, sample_files)
-    shared = df.sparkSession.sparkContext.broadcast((grams, styles, comments, paths, sorted({x.lower() for x in libraries or []})))
+    shared = df.sparkSession.sparkContext.broadcast((grams, styles, _written(counted), libraries))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, styles, comments, paths, names = shared.value
-        model, origin = NameModel(grams), Origin(comments, paths, names)
+        grams, styles, hand, names = shared.value
+        model, origin = NameModel(grams), Origin(names, hand)
         for batch in batches:
             told = [judge(n, t, model, origin, styles) for n, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in told], pa.string()), pa.array([x[1] for x in told], pa.string()), pa.array([x[2] for x in told], pa.float64())], ["key", "name", "reason", "told_by", "bits"])
@@ -254,16 +268,14 @@ def not_handwritten(df: DataFrame, key: str, filename: str, text: str, libraries
     return rows.mapInArrow(score, f"key {key_type}, name string, reason string, told_by string, bits double").toDF(key, filename, "reason", "told_by", "bits")
 
 
-def _sample(rows: DataFrame, files: int) -> tuple[list[str], list[str]]:
-    """(comment lines, paths) of about `files` files, chosen by their hash: up to five lines each
-    behind the opening comment."""
-    share = min(1.0, files / max(1, rows.count()))
-    drawn = rows.where(F.pmod(F.xxhash64("name", "key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)).select("name", "text")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[x.strip() for x in INNER.findall(t)[len(leading_comment(t)) :][:5]] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["name", "lines"])
-
-    got = drawn.mapInArrow(read, "name string, lines array<string>").orderBy("name").limit(2 * files).collect()
-    return [x for r in got for x in r["lines"]], [r["name"] for r in got]
+def _written(counted: DataFrame) -> dict[str, list[tuple]]:
+    """By kind of text, the rows of Model.counted that the texts which are asked for need: n-grams of all
+    orders, as ends of the longest, with the counts of their contexts over the whole corpus."""
+    told = counted.where(F.col("style").isin("hand", "asked")).groupBy(F.col("language").alias("kind"), "gram").agg(F.sum("n").alias("n"), F.max(F.col("style") == "asked").alias("asked"))
+    ends = told.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(ORDER)))).select("kind", F.expr("substring(gram, -k, k)").alias("gram"), F.expr("substring(gram, -k, k - 1)").alias("context"), "n", "asked")
+    ends = ends.groupBy("kind", "context", "gram").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    contexts = ends.groupBy("kind", "context").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("different"), F.max("asked").alias("_asked")).where("_asked and total > 0")
+    got: dict[str, list[tuple]] = {}
+    for r in ends.where("asked").join(contexts.hint("merge"), ["kind", "context"]).select("kind", "gram", "n", "total", "different").collect():
+        got.setdefault(r["kind"], []).append(tuple(r)[1:])
+    return got

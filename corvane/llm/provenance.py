@@ -4,7 +4,7 @@ A file tells where it comes from in its opening comment, in the folders it lies
 its name. Each such piece of text is given to the class whose n-gram model needs the fewest bits for
 it: what generators write, what third-party libraries write, what people write who took a file over,
 and what people write otherwise. The first three are trained on phrases that public tools and
-licences use, the last on comments, folders and names of a bounded sample of the corpus.
+licences use, the last on all comments, folders and names of the corpus.
 """
 
 from __future__ import annotations
@@ -65,6 +65,12 @@ def folders(path: str) -> list[str]:
     return [*parts, *(f"{a}/{b}" for a, b in zip(parts, parts[1:]))]
 
 
+def runs(text: str, order: int = ORDER) -> list[str]:
+    """The n-grams of the whole text; those of lower orders are their ends."""
+    padded = "\x02" * (order - 1) + text + "\x03"
+    return [padded[i : i + order] for i in range(len(padded) - order + 1)]
+
+
 class Model:
     """An n-gram model of characters whose orders are mixed by how many different characters each
     context was followed by."""
@@ -80,6 +86,14 @@ class Model:
         self.table = {c: (f, sum(f.values()), len(f)) for c, f in self.follow.items()}
         del self.follow
 
+    @classmethod
+    def counted(cls, rows) -> Model:
+        """From (n-gram of any order, its count, that of its context, how many characters followed it)."""
+        made = cls(())
+        for gram, n, total, different in rows:
+            made.table.setdefault(gram[:-1], ({}, total, different))[0][gram[-1]] = n
+        return made
+
     def bits(self, text: str, most: float = math.inf) -> float:
         """Bits of the whole text; infinite if they are more than `most`."""
         order, table = self.order, self.table
@@ -105,21 +119,31 @@ class Classes:
 
     MOST = 4.5
 
-    def __init__(self, seeds: dict[str, tuple[str, ...]], hand: list[str], least: float, per_character: bool) -> None:
+    def __init__(self, seeds: dict[str, tuple[str, ...]], hand: Model, least: float, per_character: bool) -> None:
         self.models = {name: Model(texts) for name, texts in seeds.items() if name != HAND}
         # What the seeds name is no example of what people write, however often a corpus has it.
-        marks = {t for name, texts in seeds.items() if name != HAND for t in texts}
-        hand = [t for t in hand if t not in marks]
-        self.hands = [Model(hand), *([Model(seeds[HAND])] if seeds.get(HAND) else [])]
+        self.marks = {t for name, texts in seeds.items() if name != HAND for t in texts}
+        self.hands = [hand, *([Model(seeds[HAND])] if seeds.get(HAND) else [])]
         self.least, self.per_character = least, per_character
         self.bounds = {name: max(m.bits(t) for t in seeds[name]) + 0.5 for name, m in self.models.items()}
         self.memo: dict[str, str] = {}
+        self.told: dict[str, tuple[float, str]] = {}
+
+    def nearest(self, text: str) -> tuple[float, str]:
+        """(bits, class) of the class other than the hand-written one that needs the fewest bits; only
+        where these are finite does the hand-written model have a say."""
+        got = self.told.get(text)
+        if got is None:
+            most = self.MOST * (len(text) + 1)
+            got = min((m.bits(text, most if self.per_character else min(most, self.bounds[n])), n) for n, m in self.models.items())
+            if len(self.told) < 200_000:
+                self.told[text] = got
+        return got
 
     def best(self, text: str) -> str:
         got = self.memo.get(text)
         if got is None:
-            most = self.MOST * (len(text) + 1)
-            bits, name = min((m.bits(text, most if self.per_character else min(most, self.bounds[n])), n) for n, m in self.models.items())
+            bits, name = self.nearest(text)
             got = HAND
             if bits < math.inf:
                 gain = min(m.bits(text) for m in self.hands) - bits
@@ -131,21 +155,27 @@ class Classes:
 
 
 class Origin:
-    """Judges files by their opening comment, folders and name."""
+    """Judges files by their opening comment, folders and name. hand: by kind of text, the rows of the
+    model of what people write."""
 
-    def __init__(self, comments: list[str], paths: list[str], libraries: list[str]) -> None:
+    def __init__(self, libraries: list[str], hand: dict[str, list[tuple]] | None = None) -> None:
         self.libraries = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(libraries, key=len, reverse=True))) + r")\b") if libraries else None
-        self.notes = Classes(NOTES, [self.folded(x) for x in comments], 0.4, True)
-        self.folders = Classes(FOLDERS, [f for p in paths for f in folders(p)], 2.0, False)
-        self.endings = Classes(ENDINGS, [ending(p.rpartition("/")[2]) for p in paths], 2.0, False)
+        told = lambda kind: Model.counted((hand or {}).get(kind, ()))
+        self.kinds = {"notes": Classes(NOTES, told("notes"), 0.4, True), "folders": Classes(FOLDERS, told("folders"), 2.0, False), "endings": Classes(ENDINGS, told("endings"), 2.0, False)}
 
     def folded(self, line: str) -> str:
         text = folded(line)
         return self.libraries.sub("#", text) if self.libraries else text
 
+    def texts(self, path: str, note: list[str]) -> list[tuple[str, str]]:
+        """(kind, text) of all that is judged of a file."""
+        return [*(("notes", x) for x in map(self.folded, note) if x), *(("folders", x) for x in folders(path)), ("endings", ending(path.rpartition("/")[2]))]
+
+    def examples(self, path: str, comments: list[str]) -> list[tuple[str, str]]:
+        """(kind, text) of what a file adds to the models of what people write."""
+        told = [*(("notes", self.folded(x)) for x in comments), *(("folders", x) for x in folders(path)), ("endings", ending(path.rpartition("/")[2]))]
+        return [(kind, x) for kind, x in told if x not in self.kinds[kind].marks]
+
     def classes(self, path: str, note: list[str]) -> set[str]:
         """The classes of a file's opening comment, folders and ending, without the hand-written one."""
-        told = {self.notes.best(x) for x in map(self.folded, note) if x}
-        told.update(self.folders.best(x) for x in folders(path))
-        told.add(self.endings.best(ending(path.rpartition("/")[2])))
-        return told - {HAND}
+        return {self.kinds[kind].best(x) for kind, x in self.texts(path, note)} - {HAND}

@@ -377,6 +377,18 @@ def test_not_handwritten(spark):
     assert handwritten.not_handwritten(df.where("false"), "file_id", "filename", "content").count() == 0
 
 
+def test_all_comments_tell_what_people_write(spark):
+    """A phrase is one that people write wherever the corpus has it."""
+    phrase, body = "# This file is generated by nightshift, do not edit\n", "def walk(node):\n    return node\n"
+    rest = body + "".join(f"# {w} is told apart\n" for w in "alpha beta gamma delta harbor".split())
+    opened = [(1, "r/a.py", phrase + body), (2, "r/b.py", rest)]
+    found = []
+    for rows in (opened, [*opened, (3, "r/c.py", rest + phrase * 60)]):
+        got = handwritten.not_handwritten(spark.createDataFrame(rows, "file_id long, filename string, content string"), "file_id", "filename", "content").collect()
+        found.append({r["file_id"]: r["reason"] for r in got})
+    assert found == [{1: "generated", 2: None}, {1: None, 2: None, 3: None}]
+
+
 def test_a_library_in_many_repositories_stays_foreign(spark):
     words = "alpha beta gamma delta harbor lantern mirror copper".split()
     both = list(itertools.permutations(words, 2))
