@@ -69,7 +69,10 @@ def prose(comment: str) -> str:
 def trivial(comment: str, name: str, least: int = 5) -> bool:
     """Whether a documentation text says nothing: empty, fewer than `least` words besides those of
     the function's name, or only an announcement."""
-    text = prose(comment)
+    return _empty(prose(comment), name, least)
+
+
+def _empty(text: str, name: str, least: int = 5) -> bool:
     if not text or PENDING.match(re.sub(r"\s+", " ", text)):
         return True
     own = {w.lower() for w in SPLIT.findall(name)} | {name.lower()}
@@ -163,10 +166,11 @@ def documented(text: str, ext: str) -> list[dict]:
         if doc is None:
             continue
         name = text[level.start(f.name - 1) : level.end(f.name - 1)]
-        if trivial(doc, name) or spoken.mode != "py" and _is_code(doc, ext):
+        said = prose(doc)
+        if _empty(said, name) or spoken.mode != "py" and _is_code(doc, ext):
             continue
         first, end = rows.row(level.start(f.signature)), level.end(f.end - 1)
-        words = re.sub(r"\W+", " ", prose(doc).lower())
+        words = re.sub(r"\W+", " ", said.lower())
         out.append(
             {"name": name, "start_line": first + 1, "end_line": rows.row(max(0, end - 1)) + 1, "doc": doc, "code": text[rows.rows[first] : end], "hash": int.from_bytes(hashlib.blake2b(words.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True), "parses": f.valid}
         )

@@ -72,6 +72,11 @@ class Grammar:
         #: Symbols whose rules are those of another symbol but for alternatives that begin with a
         #: token: symbol -> (other symbol, token).
         self.stricter: dict[int, tuple[int, int]] = {}
+        #: Symbols that match all that another symbol does, and more only where one of some tokens is:
+        #: symbol -> (other symbol, tokens), in an order in which the other symbols come first.
+        self.wider: dict[int, tuple[int, frozenset[int]]] = {}
+        #: Symbols that have a token only behind one of some others: (symbols, token, others).
+        self.barred: tuple[frozenset[int], int, frozenset[int]] = frozenset(), -9, frozenset()
         self._prepare()
 
     def _named(self, name: str) -> int:
@@ -201,7 +206,7 @@ class Grammar:
             for alternative in self.alts[k]:
                 f, e = of(alternative)
                 entry = (number, alternative, len(alternative))
-                number += 1
+                number += len(alternative) + 1
                 for token in (*every, END) if e else f:
                     table.setdefault(token, []).append(entry)
             self.predict.append(table)
@@ -300,15 +305,21 @@ class Recogniser:
         return got
 
     def _accepted(self, bracket: int, content: tuple) -> frozenset[int]:
-        strict = self.grammar.stricter
-        out = {s for s in self.grammar.inside[bracket] if s not in strict and self.matches(s, content)}
-        for s in self.grammar.inside[bracket]:
-            if s in strict and (other := strict[s][0]) in out:
+        strict, wider, inside = self.grammar.stricter, self.grammar.wider, self.grammar.inside[bracket]
+        out = {s for s in inside if s not in strict and s not in wider and self.matches(s, content)}
+        barred, token, others = self.grammar.barred
+        if token not in content or all(t != token or b in others for b, t in zip((-9, *content), content)):
+            barred = frozenset()
+        for s in inside:
+            if s in strict and s not in barred and (other := strict[s][0]) in out:
                 # Where neither the token nor a group that differs occurs, both are the same.
                 below = [self.accepted[t - BASE] for t in content if t >= BASE]
                 same = strict[s][1] not in content and not any(o in a and x not in a for a in below for x, (o, _) in strict.items())
                 if same or self.matches(s, content):
                     out.add(s)
+        for s, (other, tokens) in wider.items():
+            if s in inside and s not in barred and (other in out or (other not in inside or not tokens.isdisjoint(content)) and self.matches(s, content)):
+                out.add(s)
         return frozenset(out)
 
     def line(self, tokens: tuple, remembered: bool = True) -> Line:
@@ -316,17 +327,17 @@ class Recogniser:
 
     def matches(self, symbol: int, tokens: tuple) -> bool:
         """Whether a whole sequence is one of the symbol."""
+        head = END if not tokens else tokens[0] if tokens[0] < BASE else self.kinds[tokens[0] - BASE]
+        if head not in self.grammar.predict[symbol]:
+            return False
+        ended = tokens[:PREFIX] + (END,)
+        refused = self.refused.setdefault(symbol, {})
+        for n, beginnings in refused.items():
+            if ended[:n] in beginnings:
+                return False
         key = (symbol, tokens)
         got = self.known.get(key)
         if got is None:
-            head = END if not tokens else tokens[0] if tokens[0] < BASE else self.kinds[tokens[0] - BASE]
-            if head not in self.grammar.predict[symbol]:
-                return False
-            ended = tokens + (END,)
-            refused = self.refused.setdefault(symbol, {})
-            for n, beginnings in refused.items():
-                if ended[:n] in beginnings:
-                    return False
             line = self.line(tokens, len(tokens) > SHORT)
             ends, looked = self._run(symbol, line, 0, 0, line.n)
             got = self.known[key] = line.n in ends
@@ -371,23 +382,25 @@ class Recogniser:
 
     def _run(self, symbol: int, line: Line, start: int, depth: int, goal: int = -1) -> tuple[set[int], int]:
         """(ends, last place looked at). Descriptors are (alternative, place in it, position, stack
-        node). A stack node is a symbol at a position: (ends, returns); a return continues an
-        alternative of a calling node. With a goal, the parse stops where it is reached."""
+        node). A stack node is a symbol at a position: (ends, returns, numbers of its descriptors that
+        were taken up); a return continues an alternative of a calling node. With a goal, the parse
+        stops where it is reached."""
         predict, items, accepted = self.grammar.predict, self.grammar.items, self.accepted
         tokens, shapes = line.tokens, line.shapes
         remember = bool(line.cuts) and depth < DEEP
-        root: tuple[set, list] = (set(), [])
+        root: tuple[set, list, set] = (set(), [], set())
         nodes = {(symbol, start): root}
-        done: set[tuple] = set()
+        width = line.n + 2
         looked = start
         todo = [(a, 0, start, root) for a in predict[symbol].get(shapes[start], ())]
         while todo:
             alternative, k, i, node = todo.pop()
-            mark = (alternative[0], k, i, id(node))
-            if mark in done:
+            number, body, size = alternative
+            # Every place in an alternative has a number of its own.
+            mark = (number + k) * width + i
+            if mark in node[2]:
                 continue
-            done.add(mark)
-            _, body, size = alternative
+            node[2].add(mark)
             while k < size:
                 if i > looked:
                     looked = i
@@ -421,7 +434,7 @@ class Recogniser:
                         else:
                             child = nodes.get((below, i))
                             if child is None:
-                                child = nodes[below, i] = (set(), [])
+                                child = nodes[below, i] = (set(), [], set())
                                 for a in options:
                                     todo.append((a, 0, i, child))
                             else:

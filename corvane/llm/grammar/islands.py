@@ -17,21 +17,24 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
+from itertools import accumulate
 
 from .gll import BASE, BRACE, INDENT
-from .languages import CLOSING, OPENING, PY_LINES, Invalid, Language, columns
+from .languages import CLOSES, CLOSING, LINE_END, OPENING, OPENS, OVER, PY_LINES, Invalid, Language, columns
 
 #: Words that begin a line of their own inside of a block without being indented deeper.
 LABELS = frozenset(["case", "default", "public", "private", "protected"])
 STARTS = re.compile(r"(?:async[ ]+def|def|class|return|if|elif|else|for|while|try|except|finally|with|import|from|raise|pass|break|continue)\b|@\w")
 
 
-@dataclass
+@dataclass(slots=True)
 class Level:
     """A sequence of tokens with the numbers of their lexemes (that of the opening bracket for a
-    group, -1 - number of the one before for a token without text); below has the levels of groups."""
+    group, -1 - number of the one before for a token without text); below has the levels of groups,
+    where a text is sound only of such that are blocks or hold one."""
 
-    spans: list[tuple[int, int]]
+    reader: Reader
     bracket: int
     opened: int
     indent: int = -1
@@ -40,30 +43,37 @@ class Level:
     at: list[int] = field(default_factory=list)
     below: dict[int, Level] = field(default_factory=dict)
     number: int = -1
-    close_end: int = 0
 
     def start(self, i: int) -> int:
         k = self.at[i]
-        return self.spans[k][0] if k >= 0 else self.spans[-1 - k][1]
+        return self.reader.starts[k] if k >= 0 else self.reader.stops[-1 - k]
 
     def end(self, i: int) -> int:
-        if i in self.below:
-            return self.below[i].close_end
         k = self.at[i]
-        return self.spans[k][1] if k >= 0 else self.spans[-1 - k][1]
+        if k < 0:
+            return self.reader.stops[-1 - k]
+        k = self.reader.closes.get(k, k)
+        return self.reader.stops[k] if k >= 0 else 0
 
     def before(self, i: int) -> int:
         """The end of what stands before a token."""
-        return self.end(i - 1) if i else self.spans[self.opened][1] if self.opened >= 0 else 0
+        return self.end(i - 1) if i else self.reader.stops[self.opened] if self.opened >= 0 else 0
 
 
 class Reader:
-    """Reads the levels of one text."""
+    """Reads the levels of one text. starts and stops are the places of its lexemes; closes has, by
+    the lexeme that opens a group, the one that ends it."""
 
     def __init__(self, spoken: Language, text: str) -> None:
         self.spoken, self.text = spoken, text
-        self.spans: list[tuple[int, int]] = []
-        self.rows = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.starts: list[int] = []
+        self.stops: list[int] = []
+        self.closes: dict[int, int] = {}
+
+    @cached_property
+    def rows(self) -> list[int]:
+        """Where the text's lines begin."""
+        return list(accumulate([len(x) + 1 for x in self.text.split("\n")[:-1]], initial=0))
 
     def row(self, place: int) -> int:
         return bisect_right(self.rows, place) - 1
@@ -76,29 +86,171 @@ class Reader:
 
     def levels(self) -> tuple[Level, bool]:
         """(top level, whether brackets and lexemes were all right)."""
-        read = self._python if self.spoken.mode == "py" else self._braces
+        python = self.spoken.mode == "py"
         try:
-            return read(False), True
+            return (self._sound_python if python else self._sound_braces)(), True
         except Invalid:
-            return read(True), False
+            return (self._python if python else self._braces)(), False
 
     def _lexemes(self, mend: bool, at: int = 0) -> list[str]:
-        """The text's lexemes; their places go to spans."""
+        """The text's lexemes; their places go to starts and stops."""
         spoken, text = self.spoken, self.text
+        self.closes = {}
         try:
             if spoken.careful(text):
                 told = list(spoken.scan(text))
-                self.spans = [(a, b) for _, a, b in told]
-                return [x for x, _, _ in told]
+                self.starts, self.stops = [x[1] for x in told], [x[2] for x in told]
+                return [x[0] for x in told]
         except Invalid:
             if not mend:
                 raise
-        found, self.spans = spoken.placed(text, at)
+        found, self.starts, self.stops = spoken.placed(text, at)
         return found
 
-    def _open(self, bracket: int, number: int, mend: bool) -> Level:
-        place = self.spans[number][0]
-        return Level(self.spans, bracket, number, *((self.margin(place)[0], self.row(place)) if mend else (-1, -1)))
+    def _marks(self, lexemes: list[str]) -> tuple[list[int], list[int]]:
+        """(the lexemes' marks, the numbers of those that aren't plain tokens)."""
+        spoken = self.spoken
+        marks = list(map(spoken.marks.get, lexemes))
+        if None in marks:
+            marks = [spoken.mark(x) if k is None else k for k, x in zip(marks, lexemes)]
+        return marks, [i for i, k in enumerate(marks) if k < 0]
+
+    def _sound_braces(self) -> Level:
+        """The levels of a text whose brackets fit. What stands between two brackets or line ends is
+        taken at once, and brackets without blocks get no level."""
+        spoken, go, js = self.spoken, self.spoken.mode == "go", self.spoken.mode == "js"
+        enders, semi, ends_before = spoken.enders, spoken.semi, spoken.ends_before
+        group = spoken.recogniser.group
+        lexemes = self._lexemes(False)
+        closes = self.closes
+        marks, places = self._marks(lexemes)
+        places.append(len(lexemes))
+        marks.append(OVER)
+        stack: list[tuple] = []
+        tokens: list[int] = []
+        at: list[int] = []
+        below: dict[int, Level] = {}
+        bracket = opened = last = -1
+        waiting, done = False, 0
+        for i in places:
+            if i > done:
+                if waiting:
+                    waiting = False
+                    if ends_before(tokens, marks[done], lexemes[done]):
+                        tokens.append(semi)
+                        at.append(-1 - last)
+                tokens += marks[done:i]
+                at += range(done, i)
+                last = i - 1
+            done = i + 1
+            k = marks[i]
+            if k == LINE_END:
+                if js:
+                    waiting = True
+                elif go and tokens and (tokens[-1] in enders or tokens[-1] >= BASE):
+                    tokens.append(semi)
+                    at.append(-1 - last)
+            elif k <= CLOSES:
+                if bracket != CLOSES - k:
+                    raise Invalid("unmatched bracket")
+                waiting = False
+                number = group(bracket, tuple(tokens))
+                level = Level(self, bracket, opened, -1, -1, tokens, at, below, number) if bracket == BRACE or below else None
+                closes[opened] = last = i
+                start = opened
+                tokens, at, below, bracket, opened = stack.pop()
+                if level:
+                    below[len(tokens)] = level
+                tokens.append(number)
+                at.append(start)
+            elif k <= OPENS:
+                if waiting:
+                    waiting = False
+                    if ends_before(tokens, OPENS - k, lexemes[i]):
+                        tokens.append(semi)
+                        at.append(-1 - last)
+                stack.append((tokens, at, below, bracket, opened))
+                tokens, at, below, bracket, opened, last = [], [], {}, OPENS - k, i, i
+            elif k == -1:
+                raise Invalid("unexpected lexeme")
+        if stack:
+            raise Invalid("unclosed bracket")
+        if go and tokens and (tokens[-1] in enders or tokens[-1] >= BASE):
+            tokens.append(semi)
+            at.append(-1 - last)
+        return Level(self, -1, -1, -1, -1, tokens, at, below)
+
+    def _sound_python(self) -> Level:
+        """The same for Python."""
+        spoken, nl, groups = self.spoken, self.spoken.nl, self.spoken.recogniser.kinds
+        group = spoken.recogniser.group
+        lead = PY_LINES.match(self.text)
+        lexemes = self._lexemes(False, lead.end() if lead else 0)
+        closes = self.closes
+        marks, places = self._marks(lexemes)
+        places.append(len(lexemes))
+        marks.append(OVER)
+        stack: list[tuple] = []
+        tokens: list[int] = []
+        at: list[int] = []
+        below: dict[int, Level] = {}
+        bracket = opened = last = -1
+        indents, done = [0], 0
+        for i in places:
+            if i > done:
+                tokens += marks[done:i]
+                at += range(done, i)
+                last = i - 1
+            done = i + 1
+            k = marks[i]
+            if k == LINE_END or k == OVER:
+                if bracket not in (-1, INDENT):
+                    if k == OVER:
+                        raise Invalid("unclosed bracket")
+                    continue
+                # A line ends here, unless one just did.
+                if tokens and tokens[-1] != nl and not (tokens[-1] >= BASE and groups[tokens[-1] - BASE] == INDENT):
+                    tokens.append(nl)
+                    at.append(-1 - last)
+                width = columns(lexemes[i]) if k == LINE_END else 0
+                if width > indents[-1]:
+                    indents.append(width)
+                    stack.append((tokens, at, below, bracket, opened))
+                    tokens, at, below, bracket, opened = [], [], {}, INDENT, i
+                    continue
+                while width < indents[-1]:
+                    indents.pop()
+                    number = group(INDENT, tuple(tokens))
+                    level, start = Level(self, INDENT, opened, -1, -1, tokens, at, below, number), opened
+                    closes[opened] = last
+                    tokens, at, below, bracket, opened = stack.pop()
+                    below[len(tokens)] = level
+                    tokens.append(number)
+                    at.append(start)
+                if width != indents[-1]:
+                    raise Invalid("unindent")
+            elif k <= CLOSES:
+                if bracket != CLOSES - k:
+                    raise Invalid("unmatched bracket")
+                number = group(bracket, tuple(tokens))
+                level = Level(self, bracket, opened, -1, -1, tokens, at, below, number) if bracket == BRACE or below else None
+                closes[opened] = last = i
+                start = opened
+                tokens, at, below, bracket, opened = stack.pop()
+                if level:
+                    below[len(tokens)] = level
+                tokens.append(number)
+                at.append(start)
+            elif k <= OPENS:
+                stack.append((tokens, at, below, bracket, opened))
+                tokens, at, below, bracket, opened, last = [], [], {}, OPENS - k, i, i
+            elif k == -1:
+                raise Invalid("unexpected lexeme")
+        return Level(self, -1, -1, -1, -1, tokens, at, below)
+
+    def _open(self, bracket: int, number: int) -> Level:
+        place = self.starts[number]
+        return Level(self, bracket, number, self.margin(place)[0], self.row(place))
 
     def _close(self, stack: list[Level], last: int, broken: bool = False) -> None:
         """Ends the innermost level with the lexeme `last`."""
@@ -107,17 +259,18 @@ class Reader:
             done.tokens.append(self.spoken.err)
             done.at.append(-1 - last)
         done.number = self.spoken.recogniser.group(done.bracket, tuple(done.tokens))
-        done.close_end = self.spans[last][1] if last >= 0 else 0
+        self.closes[done.opened] = last
         outer = stack[-1]
         outer.below[len(outer.tokens)] = done
         outer.tokens.append(done.number)
         outer.at.append(done.opened)
 
-    def _braces(self, mend: bool) -> Level:
+    def _braces(self) -> Level:
+        """The levels of a text in which something doesn't fit."""
         spoken, go, js = self.spoken, self.spoken.mode == "go", self.spoken.mode == "js"
         kinds, enders, semi = spoken.kinds, spoken.enders, spoken.semi
-        lexemes = self._lexemes(mend)
-        here = Level(self.spans, -1, -1)
+        lexemes = self._lexemes(True)
+        here = Level(self, -1, -1)
         stack = [here]
         waiting, last = False, -1
 
@@ -136,11 +289,9 @@ class Reader:
             if k == -3:
                 continue
             if k == -1:
-                if not mend:
-                    raise Invalid("unexpected lexeme")
                 k = spoken.err
-            if mend and len(stack) > 1:
-                place = self.spans[number][0]
+            if len(stack) > 1:
+                place = self.starts[number]
                 width, leads = self.margin(place)
                 if leads and x not in CLOSING:
                     while len(stack) > 1 and width <= stack[-1].indent and self.row(place) > stack[-1].row and not (width == stack[-1].indent and x in LABELS):
@@ -156,12 +307,10 @@ class Reader:
                     here.tokens.append(semi)
                     here.at.append(-1 - last)
             if x in OPENING:
-                here = self._open(OPENING[x], number, mend)
+                here = self._open(OPENING[x], number)
                 stack.append(here)
             elif x in CLOSING:
                 if len(stack) < 2 or here.bracket != CLOSING[x]:
-                    if not mend:
-                        raise Invalid("unmatched bracket")
                     if not any(v.bracket == CLOSING[x] for v in stack[1:]):
                         here.tokens.append(spoken.err)
                         here.at.append(number)
@@ -175,8 +324,6 @@ class Reader:
                 here.tokens.append(k)
                 here.at.append(number)
             last = number
-        if len(stack) > 1 and not mend:
-            raise Invalid("unclosed bracket")
         while len(stack) > 1:
             self._close(stack, last, True)
         top = stack[0]
@@ -185,12 +332,12 @@ class Reader:
             top.at.append(-1 - last)
         return top
 
-    def _python(self, mend: bool) -> Level:
+    def _python(self) -> Level:
         spoken, nl = self.spoken, self.spoken.nl
         kinds, groups = spoken.kinds, spoken.recogniser.kinds
         lead = PY_LINES.match(self.text)
-        lexemes = self._lexemes(mend, lead.end() if lead else 0)
-        stack = [Level(self.spans, -1, -1)]
+        lexemes = self._lexemes(True, lead.end() if lead else 0)
+        stack = [Level(self, -1, -1)]
         indents, last = [0], -1
 
         def line_end() -> None:
@@ -204,20 +351,18 @@ class Reader:
             if x[0] == "\n":
                 width = columns(x)
                 if stack[-1].bracket not in (-1, INDENT):
-                    if not mend or width > stack[-1].indent or not STARTS.match(self.text, self.spans[number][1]):
+                    if width > stack[-1].indent or not STARTS.match(self.text, self.stops[number]):
                         continue
                     while stack[-1].bracket not in (-1, INDENT):
                         self._close(stack, last, True)
                 line_end()
                 if width > indents[-1]:
                     indents.append(width)
-                    stack.append(Level(self.spans, INDENT, number))
+                    stack.append(Level(self, INDENT, number))
                     continue
                 while width < indents[-1]:
                     indents.pop()
                     self._close(stack, last)
-                if width != indents[-1] and not mend:
-                    raise Invalid("unindent")
                 continue
             k = kinds.get(x)
             if k is None:
@@ -225,15 +370,11 @@ class Reader:
             if k < -1:
                 continue
             if k == -1:
-                if not mend:
-                    raise Invalid("unexpected lexeme")
                 k = spoken.err
             if x in OPENING:
-                stack.append(self._open(OPENING[x], number, mend))
+                stack.append(self._open(OPENING[x], number))
             elif x in CLOSING:
                 if stack[-1].bracket != CLOSING[x]:
-                    if not mend:
-                        raise Invalid("unmatched bracket")
                     inner = []
                     for v in reversed(stack):
                         if v.bracket in (-1, INDENT):
@@ -253,8 +394,6 @@ class Reader:
             last = number
         while len(stack) > 1:
             if stack[-1].bracket != INDENT:
-                if not mend:
-                    raise Invalid("unclosed bracket")
                 self._close(stack, last, True)
             else:
                 line_end()
@@ -294,7 +433,7 @@ def functions(spoken: Language, text: str, reader: Reader | None = None) -> list
     spoken.rest()
     top, sound = (reader or Reader(spoken, text)).levels()
     grammar, recogniser, number = spoken.grammar, spoken.recogniser, spoken.terms.number
-    names = grammar.names
+    names, kinds = grammar.names, recogniser.kinds
     sets = [tuple(names[p + part] for part in ("Marks", "Head", "Name", "Tail", "Loose", "")) + (p == "Method",) for p in ("Function", "Method") if f"{p}Marks" in names]
     before = {number[x] for x in (";", "nl") if x in number} | {spoken.err} | ({number[":"]} if spoken.name in ("cpp", "c", "h") else set())
     statements, members = names.get("Stmts", -1), names.get("Members", -1)
@@ -308,13 +447,17 @@ def functions(spoken: Language, text: str, reader: Reader | None = None) -> list
         tried = [x for x in sets if not (plain if x[-1] else words and not any(w in level.tokens for w in words))]
         if not tried:
             continue
-        line = recogniser.line(tuple(level.tokens))
+        tokens = level.tokens
+        shapes = [t if t < BASE else kinds[t - BASE] for t in tokens]
+        begins = {x for *_, whole, _ in tried for x in grammar.predict[whole]}
+        places = [i for i, shape in enumerate(shapes) if shape in begins and (not i or tokens[i - 1] in before or shapes[i - 1] in (BRACE, INDENT))]
+        if not places:
+            continue
+        line = recogniser.line(tuple(tokens))
         seen: set[int] = set()
-        for i, shape in enumerate(line.shapes[: line.n]):
-            if i and level.tokens[i - 1] not in before and line.shapes[i - 1] not in (BRACE, INDENT):
-                continue
+        for i in places:
             for *parts, whole, _ in tried:
-                if shape not in grammar.predict[whole]:
+                if shapes[i] not in grammar.predict[whole]:
                     continue
                 got = _derived(recogniser, line, i, parts)
                 if got and got[1] not in seen:

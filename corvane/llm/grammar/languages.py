@@ -12,11 +12,16 @@ from .gll import BASE, BRACE, BRACKET, INDENT, PAREN, Grammar, Recogniser, Terms
 
 OPENING, CLOSING = {"(": PAREN, "[": BRACKET, "{": BRACE}, {")": PAREN, "]": BRACKET, "}": BRACE}
 C_COMMENT = r"//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
-DQ, SQ = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'"
+DQ, SQ = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
 ID = r"[^\W\d][\w]*"
 NUMBER = r"(?:0[xX][0-9a-fA-F_']+|0[bB][01_']+|0[oO][0-7_]+|(?:\d[\d_']*)?\.\d[\d_']*(?:[eE][-+]?\d[\d_]*)?|\d[\d_']*\.(?![\w.])|\d[\d_']*\.(?=[eE]\d)(?:[eE][-+]?\d+)|\d[\d_']*(?:[eE][-+]?\d[\d_]*)?)"
 
 
+#: Marks of lexemes that aren't plain tokens: OPENS - bracket, CLOSES - bracket, the end of a line
+#: where that counts, and the end of a text. Those of other lexemes are their kinds.
+LINE_END, OVER, OPENS, CLOSES = -2, -4, -10, -20
+
+
 class Invalid(Exception):
     """The text can't be read as tokens in balanced brackets."""
 
@@ -46,14 +51,26 @@ class Language:
         for name in names:
             if f"{name}0" in names and "return" in keywords:
                 self.grammar.stricter[names[f"{name}0"]] = names[name], self.terms("return")
+        # What may stand in a namespace is what may stand outside of functions, imports and exports, and
+        # what in an ambient one that and declarations without values.
+        if "Ambient" in names:
+            for name, other, begins in (("Tops", "Stmts0", ("import", "export")), ("Ambient", "Tops", ("var", "let", "const"))):
+                self.grammar.wider[names[name]] = names[other], frozenset(map(self.terms, begins))
+            # None of them has a return statement, and as a word `return` only follows these.
+            self.grammar.barred = frozenset(names[x] for x in ("Stmts0", "Tops", "Ambient")), self.terms("return"), frozenset(map(self.terms, (".", "?.", "as")))
         self.recogniser = Recogniser(self.grammar)
         self.keywords = frozenset(keywords)
-        operator = "|".join(re.escape(x) for x in sorted({x for x in self.terms.number if not re.match(r"\w", x) and x not in (";",)} | {";"} | set(operators), key=len, reverse=True))
+        signs = {x for x in self.terms.number if not re.match(r"\w", x)} | {";"} | set(operators)
+        operator = "|".join(re.escape(x) for x in sorted(signs, key=len, reverse=True))
         number = NUMBER + f"(?:{suffix})?(?!\\w)" if suffix else NUMBER + r"(?!\w)"
         lexeme = rf"{tokens}|{number}|{ID}|{operator}|[()\[\]{{}}]|\n|/\*|[^\s]"
         self.pattern = re.compile(rf"(?:{blank})*({lexeme})", re.M)
-        #: The same with what stands before each lexeme, from which places are counted.
-        self.spaced = re.compile(rf"((?:{blank})*)({lexeme})", re.M)
+        #: The same with what stands before each lexeme, from which places are counted, and the end of
+        #: the text. Common lexemes come first, where none of the others can begin with them.
+        word = r"[A-Za-z_][\w$]*+" if mode == "js" else r"[A-Za-z_]\w*+(?![\"'#])"
+        longer = {c: "".join(sorted({re.escape(x[1]) for x in signs if len(x) > 1 and x[0] == c})) for c in "=:<>+-*&|!?@~^%" if c in signs}
+        common = "|".join([word, r"[()\[\]{},;]", r"\.(?=[A-Za-z_])", *(re.escape(c) + (f"(?![{after}])" if after else "") for c, after in longer.items()), r"\d++(?![\w.'])"])
+        self.spaced = re.compile(rf"([ \t]*+(?:(?:{blank}|[^\S\n])++)?+)({common}|{lexeme}|\Z)", re.M)
         t = self.terms.number
         self.enders = {self.id, self.num, self.str, self.tmpl, self.regex, self.life, self.private} | {t[x] for x in ENDERS if x in t}
         if mode == "js":
@@ -62,6 +79,7 @@ class Language:
         self.heads = {t[x] for x in ("if", "for", "while", "with") if x in t}
         self.going_on = {t[x] for x in GOING_ON if x in t}
         self.kinds: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
 
     # -- tokens ------------------------------------------------------------------------------
 
@@ -148,30 +166,44 @@ class Language:
         before_else = k == self.otherwise and (last < BASE or kinds[last - BASE] != BRACE)
         return not headed and (last in self.enders or last >= BASE) and (k not in self.going_on or before_else) and x not in ")]}" and (x not in "([{" or x == "{" and last < BASE)
 
-    def _new_kind(self, x: str) -> int:
+    def _lexeme_kind(self, x: str) -> int:
         if x == "\n":
-            k = -2 if self.mode in ("go", "js") else -3
-        elif x[0] == "#" and self.name in ("cpp", "c", "h"):
-            k = -3 if DIRECTIVE.fullmatch(x) else -1
-        elif x in OPENING or x in CLOSING:
-            k = OPENING.get(x, CLOSING.get(x, 0))
-        else:
-            k = self.kind(x)
+            return -2 if self.mode in ("go", "js") else -3
+        if x[0] == "#" and self.name in ("cpp", "c", "h"):
+            return -3 if DIRECTIVE.fullmatch(x) else -1
+        if x in OPENING or x in CLOSING:
+            return OPENING.get(x, CLOSING.get(x, 0))
+        return self.kind(x)
+
+    def _new_kind(self, x: str) -> int:
+        k = self._lexeme_kind(x)
         if len(self.kinds) > 150_000:
             self.kinds.clear()
         self.kinds[x] = k
         return k
 
-    def placed(self, text: str, at: int = 0) -> tuple[list[str], list[tuple[int, int]]]:
-        """The lexemes from a place on, and their places."""
-        pairs = self.spaced.findall(text, at)
-        ends = list(accumulate([len(b) + len(x) for b, x in pairs], initial=at))
-        found = [x for _, x in pairs]
-        if text[ends[-1] :].strip() or (found and text[ends[-1] - len(found[-1]) : ends[-1]] != found[-1]):
-            # Blanks that no rule names were passed over: places have to be asked for.
-            told = list(self.pattern.finditer(text, at))
-            return [m[1] for m in told], [m.span(1) for m in told]
-        return found, [(e - len(x), e) for x, e in zip(found, ends[1:])]
+    def mark(self, x: str) -> int:
+        """The mark of a lexeme."""
+        if x[0] == "\n" and len(x) > 80:
+            return LINE_END
+        if x.isidentifier() and x not in self.terms.number:
+            k = self.id
+        else:
+            k = OPENS - OPENING[x] if x in OPENING else CLOSES - CLOSING[x] if x in CLOSING else LINE_END if x[0] == "\n" and self.mode else self._lexeme_kind(x)
+        if len(self.marks) > 150_000:
+            self.marks.clear()
+        self.marks[x] = k
+        return k
+
+    def placed(self, text: str, at: int = 0) -> tuple[list[str], list[int], list[int]]:
+        """The lexemes from a place on, where they start and where they end."""
+        parts = self.spaced.split(text[at:] if at else text)
+        # Nothing, blanks and a lexeme by turns.
+        places = list(accumulate(map(len, parts), initial=at))
+        found, starts, stops = parts[2::3], places[2::3], places[3::3]
+        while found and not found[-1]:
+            found.pop()
+        return found, starts[: len(found)], stops[: len(found)]
 
     def careful(self, text: str) -> bool:
         """Whether lexemes depend on what stands before them."""
@@ -188,7 +220,7 @@ class Language:
     def _careful(self, text: str) -> Iterator[tuple[str, int, int]]:
         """Lexemes of scripts where a slash can begin a pattern, templates can nest and, where the
         language has it, a `<` can begin markup."""
-        self.kinds["/regex/"] = self.regex
+        self.kinds["/regex/"] = self.marks["/regex/"] = self.regex
         match, last, at = self.pattern.match, "", 0
         #: What encloses the place: "" for plain brackets, else the names of open tags.
         holders: list[list[str] | None] = []
@@ -418,7 +450,7 @@ def words(text: str) -> tuple[str, ...]:
 
 
 def _python() -> Language:
-    string = r"(?:[rRbBuUfFtT]{0,2})(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|(?!\"\"\"|''')(?:" + DQ + "|" + SQ + "))"
+    string = r"(?:[rRbBuUfFtT]{0,2})(?:\"\"\"[^\"\\]*+(?:(?:\\[\s\S]|\"(?!\"\"))[^\"\\]*+)*+\"\"\"|'''[^'\\]*+(?:(?:\\[\s\S]|'(?!''))[^'\\]*+)*+'''|(?!\"\"\"|''')(?:" + DQ + "|" + SQ + "))"
     return Language(
         "py", rules.PYTHON, rf"{string}|(?:\n[ \t\f]*(?:#[^\n]*)?)+|\.\.\.", r"[ \t\f]+|\\\n|#[^\n]*", words("and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield None True False match case type"),
         ("Stmt", "Small"), mode="py", suffix="[jJ]", operators=("!",),
@@ -465,7 +497,7 @@ TS_WORDS = words("type declare abstract readonly namespace module is asserts inf
 def _script(name: str, text: str, more: tuple[str, ...]) -> Language:
     return Language(
         name, text, rf"{DQ}|{SQ}|`(?:[^`\\]|\\[\s\S])*`|\#?[^\W\d][\w$]*|\#?\$[\w$]*", rf"[ \t\r\f\v   ]+|{C_COMMENT}", JS_WORDS + more,
-        ("Top", "Stmt", "Stmt0", "Member", "Case"), mode="js", suffix="n", operators=(">>>=", ">>="),
+        ("Top", "Stmt", "Stmt0", "Member", "Case", "Element"), mode="js", suffix="n", operators=(">>>=", ">>="),
     )
 
 

@@ -132,3 +132,22 @@ def test_order_targets_and_dialects(ext, text, valid):
 
 def test_one_stack_for_both_languages_of_a_header():
     assert not language("cpp").accepts("int new = 3;\n") and not language("c").accepts("class A { public: A(); };\n") and not language("h").accepts("int new = ;\n")
+
+
+def test_bodies_with_return_are_not_parsed_as_namespaces():
+    """What may stand in a namespace or an ambient module is told from one parse where it can be."""
+    spoken = language("ts")
+    names, ran = spoken.grammar.names, []
+    run = spoken.recogniser._run
+    spoken.recogniser._run = lambda symbol, *rest: ran.append(symbol) or run(symbol, *rest)
+    try:
+        spoken.recogniser.forget()
+        assert spoken.accepts("function f(a: number) {\n  const b = a + 1;\n  let c = [b];\n  return c;\n}\nif (x) {\n  const d = 1;\n  g(d);\n}\n")
+    finally:
+        del spoken.recogniser._run
+    assert names["Stmts"] in ran and not {names["Tops"], names["Ambient"]} & set(ran[:-1])
+    for text, valid in [
+        ("declare module 'm' { const a: number; let b: string; import x from 'y'; export const c: T; }", True), ("declare global { f.return; let {a}: T; }", True), ("namespace N { import a = b.c; export let d = 1; x.return(); }", True),
+        ("namespace N { const a: number; }", False), ("namespace N { return 1; }", False), ("declare module 'm' { const a: number; return 1; }", False), ("declare module 'm' { if (a) return; }", False), ("namespace N { if (a) { return; } }", False),
+    ]:
+        assert spoken.accepts(text) is valid, text

@@ -518,3 +518,38 @@ def test_copies_of_a_cut_text_are_no_closing_phrase(spark):
     df = table(spark, cut + alike + closing, "doc_id long, text string, source string")
     flagged = {r["doc_id"] for r in truncation.truncated(df, "doc_id", "text", "source").where("cut").collect()}
     assert flagged == {i for i, *_ in cut + alike}
+
+
+# -- 7: reading of sound and broken texts ---------------------------------------------------
+
+
+def test_sound_texts_are_read_as_broken_ones_are():
+    """Runs of plain tokens are taken at once, brackets without blocks get no level; the functions are
+    those that reading lexeme by lexeme finds."""
+    from corvane.llm.grammar import islands
+    from corvane.llm.grammar.languages import language
+    from test_grammar import GOOD, VALID
+
+    slow = islands.Reader.levels
+    levels = lambda top: sum(1 for _ in islands.walk(top))
+    fewer = 0
+    for ext, text in [(e, t) for table in (GOOD, VALID) for e, texts in table.items() for t in texts]:
+        spoken = language(ext)
+        fast, told = islands.Reader(spoken, text), islands.Reader(spoken, text)
+        top, sound = slow(fast)
+        if not sound:
+            continue
+        by_one = told._python() if spoken.mode == "py" else told._braces()
+        told.levels = lambda by_one=by_one: (by_one, True)
+        fewer += levels(by_one) - levels(top)
+        places = [sorted((f.level.start(f.first), f.level.start(f.signature), f.level.end(f.name - 1), f.level.end(f.end - 1), f.level.before(f.first), f.valid) for f in islands.functions(spoken, text, r)) for r in (fast, told)]
+        assert places[0] == places[1], text
+    assert fewer > 100
+
+
+def test_a_comment_at_the_end_without_a_line_end_is_no_token():
+    doc = "/** Returns what the given thing is good for. */\n"
+    (f,) = docpairs.documented(doc + "function f() {\n  return 1;\n// loom", "ts")
+    assert (f["start_line"], f["end_line"], f["code"]) == (2, 3, "function f() {\n  return 1;")
+    (f,) = docpairs.documented('def f():\n    """Says what the thing is good for."""\n    return 1  # note', "py")
+    assert f["parses"] and f["code"].endswith("return 1")
