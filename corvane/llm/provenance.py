@@ -14,6 +14,8 @@ import re
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
+
 HAND, GENERATED, VENDORED, MINIFIED, KEPT = "hand", "generated", "vendored", "minified", "kept"
 
 # How public tools and licences mark files, with # for the name of a tool or library and
@@ -39,6 +41,7 @@ ENDINGS = {
     MINIFIED: (".min.js", ".min.mjs", ".min.ts", "-min.js", ".bundle.js", ".bundle.ts", ".umd.js", ".prod.js", ".packed.js"),
 }
 ORDER = 5
+BEFORE = "\x02" * (ORDER - 1)
 
 
 @lru_cache(maxsize=200_000)
@@ -71,6 +74,50 @@ def runs(text: str, order: int = ORDER) -> list[str]:
     return [padded[i : i + order] for i in range(len(padded) - order + 1)]
 
 
+class Runs:
+    """Counts of the n-grams of texts, as runs() gives them; few texts are held at a time."""
+
+    def __init__(self) -> None:
+        self.texts: list[str] = []
+        self.uses: list[int] = []
+        self.size = 0
+        self.sums: dict[str, int] = {}
+
+    def add(self, text: str, n: int) -> None:
+        self.texts.append(text)
+        self.uses.append(n)
+        self.size += len(text) + ORDER
+        if self.size > 200_000:
+            self.flush()
+
+    def flush(self) -> None:
+        whole = "".join([f"{BEFORE}{x}\x03" for x in self.texts])
+        sizes = np.fromiter(map(len, self.texts), np.int64, len(self.texts)) + ORDER
+        # Those that span two texts count nothing.
+        n = np.repeat(np.array(self.uses, np.int64), sizes)
+        ends = np.cumsum(sizes)
+        for k in range(1, ORDER):
+            n[ends - k] = 0
+        signs = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        known, signs = np.unique(signs, return_inverse=True)
+        last, code = len(whole) - ORDER + 1, signs[: len(whole) - ORDER + 1]
+        for k in range(1, ORDER):
+            if int(code.max()) + 1 > 2**62 // len(known):
+                code = np.unique(code, return_inverse=True)[1]
+            code = code * len(known) + signs[k : last + k]
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        for i, x in zip(first.tolist(), np.bincount(which, n[:last]).astype(np.int64).tolist()):
+            if x:
+                gram = whole[i : i + ORDER]
+                self.sums[gram] = self.sums.get(gram, 0) + x
+        self.texts, self.uses, self.size = [], [], 0
+
+    def counts(self) -> dict[str, int]:
+        if self.texts:
+            self.flush()
+        return self.sums
+
+
 class Model:
     """An n-gram model of characters whose orders are mixed by how many different characters each
     context was followed by."""
@@ -84,6 +131,7 @@ class Model:
                 for k in range(order):
                     self.follow[padded[i - k : i]][padded[i]] += 1
         self.table = {c: (f, sum(f.values()), len(f)) for c, f in self.follow.items()}
+        self.memo: dict[str, float] = {}
         del self.follow
 
     @classmethod
@@ -96,20 +144,28 @@ class Model:
 
     def bits(self, text: str, most: float = math.inf) -> float:
         """Bits of the whole text; infinite if they are more than `most`."""
-        order, table = self.order, self.table
-        padded, out = "\x02" * (order - 1) + text + "\x03", 0.0
-        for i in range(order - 1, len(padded)):
-            p, c = 1 / 256, padded[i]
-            for k in range(order):
-                told = table.get(padded[i - k : i])
-                if told is None:
-                    break
-                p = (told[0].get(c, 0) + told[2] * p) / (told[1] + told[2])
-            out -= math.log2(p)
+        memo, out = self.memo, 0.0
+        for gram in runs(text, self.order):
+            told = memo.get(gram)
+            if told is None:
+                told = self.last(gram)
+                if len(memo) < 200_000:
+                    memo[gram] = told
+            out += told
             if out > most:
                 return math.inf
         return out
 
+    def last(self, gram: str) -> float:
+        """Bits of the last character of an n-gram of the longest order."""
+        p, c, end = 1 / 256, gram[-1], len(gram) - 1
+        for k in range(self.order):
+            told = self.table.get(gram[end - k : end])
+            if told is None:
+                break
+            p = (told[0].get(c, 0) + told[2] * p) / (told[1] + told[2])
+        return -math.log2(p)
+
 
 class Classes:
     """Models of one kind of text, one of them for what people write. A text belongs to another

@@ -1,16 +1,18 @@
 """The operators on small and awkward tables, against brute force where there is any."""
 
+import collections
 import datetime
 import itertools
 import random
 import re
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import credentials as cred
-from corvane.llm import docpairs, handwritten, mixing, neardup, packing, splitting, syntax, tokens, truncation, vectors
+from corvane.llm import docpairs, handwritten, mixing, neardup, packing, provenance, splitting, syntax, tokens, truncation, vectors
 
 T0 = datetime.datetime(2025, 1, 1)
 LATER = datetime.datetime(2025, 1, 2)
@@ -357,6 +359,44 @@ def test_names_alone_tell_minified_files():
     assert handwritten.judge("r/a.js", small, handwritten.NameModel({}), None, {})[0] is None
 
 
+def test_names_and_comments_are_counted_at_once():
+    """Counts and bits of many names are those of one after the other, without Python calls for each."""
+    rng = random.Random(3)
+    names = ["a", "$", "_", "x$y", "A_9", "$9$", "Caf", "a" * 300, *("".join(rng.choice("abXYZ_$019") for _ in range(rng.randrange(1, 9))).lstrip("019") or "q" for _ in range(30_000))]
+    uses = collections.Counter(names)
+    told = handwritten.Trigrams()
+    for language, some in (("py", uses), ("go", {"ab": 3}), ("go", {"b$": 2}), ("rs", {})):
+        told.add(language, some)
+    expected = collections.Counter()
+    for x, n in uses.items():
+        for g in handwritten.trigrams(x):
+            expected[g] += n
+    got = list(told.counts())
+    assert {g: n for language, g, n in got if language == "py"} == expected and len(got) == len({x[:2] for x in got})
+    assert {(g, n) for language, g, n in got if language == "go"} == {("^ab", 3), ("ab$", 3), ("^b$", 2), ("b$$", 2)} and "rs" not in {x[0] for x in got}
+    model = handwritten.NameModel({"py": {"^ab": 2, "ab$": 1, "abc": 1}})
+    bits, characters = model.bits("py", ["ab", "ax", "q"])
+    log = lambda a, b: np.log2((a + 20) / (b + 0.5))
+    assert np.allclose(bits, [log(2, 2) + log(2, 1), log(2, 0) + handwritten.NEW, handwritten.NEW]) and characters.tolist() == [2, 2, 1]
+    assert np.allclose(model.bits("none", ["ab", "$"])[0], [2 * handwritten.NEW, handwritten.NEW]) and len(model.bits("py", [])[0]) == 0
+
+    texts = ["", "a", "ab", "\x02\x03", "\x03\x02\x02a", "é字😀" * 3, *("".join(map(chr, range(a, a + 900))) for a in range(0x4E00, 0x7000, 900)), *("word " * rng.randrange(9) for _ in range(50)), "x" * 250_000, "last"]
+    counted, expected = provenance.Runs(), collections.Counter()
+    for n, x in enumerate(texts, 1):
+        counted.add(x, n)
+        for g in provenance.runs(x):
+            expected[g] += n
+    assert counted.counts() == expected and provenance.Runs().counts() == {}
+
+    text, calls = "".join(f"{x}(1)\n" for x in uses), []
+    sys.setprofile(lambda frame, event, _: event == "call" and calls.append(frame.f_code.co_name))
+    try:
+        handwritten.judge("r/a.py", text, model, None, {})
+    finally:
+        sys.setprofile(None)
+    assert len(uses) > 5_000 and len(calls) < 100
+
+
 def test_opening_comments_are_read_whole():
     text = "/*\n" + " * licence\n" * 300 + " */\n" + "// " + "x" * 900 + "\n\'\'\'\nsecond line\n\'\'\'\nx = 1\n# later\n"
     got = handwritten.leading_comment(text)
